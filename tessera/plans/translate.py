@@ -1,0 +1,142 @@
+"""The whole page translation as one Spark plan with two call stages.
+
+``translate_pages(pages, backend)`` takes ``pages(page_id, url, html)`` and a
+backend (see ``tessera.operators.calls``) and returns every table of the
+run: fragments, planned groups, replies, outcomes, rendered pages and the
+per-page report.
+
+Materialization points (written to the shared checkpoint folder):
+fragments (read by grouping and by rendering), the translation replies and
+every fit round (model calls are never repeated by a retried stage).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.calls import Backend, call_model
+from tessera.operators.fit import best_candidate, fit_edits, fit_rounds, grade_best, route_groups
+from tessera.operators.groups import page_groups
+from tessera.operators.render import render_pages
+from tessera.operators.replies import explode_reply_groups, segment_status, unknown_key_rows
+from tessera.operators.report import OUTCOME_COLS, page_report
+from tessera.operators.requests import translate_requests
+from tessera.operators.segments import plan_segments
+from tessera.operators.tokenize import fragments as tokenize
+from tessera.options import Options
+from tessera.session import WorkArea
+
+
+@dataclass
+class Translation:
+    fragments: DataFrame
+    planned: DataFrame
+    replies: DataFrame
+    outcomes: DataFrame
+    failed: DataFrame
+    out_pages: DataFrame
+    report: DataFrame
+    work: WorkArea
+
+
+def _outcome(df: DataFrame, status, score=None, error=None) -> DataFrame:
+    return df.select(
+        "page_id",
+        F.col("group_no").cast("int").alias("group_no"),
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
+        (F.lit(score) if not hasattr(score, "alias") else score).cast("double").alias("score"),
+        (F.lit(error) if not hasattr(error, "alias") else error).cast("string").alias("error"),
+    )
+
+
+def translate_pages(
+    pages: DataFrame,
+    backend: Backend,
+    options: Options = Options(),
+    fit_backend: Backend | None = None,
+    work: WorkArea | None = None,
+) -> Translation:
+    """Translate all pages; see the module doc for the stages."""
+    spark = pages.sparkSession
+    work = work or WorkArea(spark)
+    fit_backend = fit_backend or backend
+
+    # B1 once; read by grouping and by rendering.
+    frags = work.write(tokenize(pages), "fragments")
+    # B2-B12, C1-C7 in one pass over the page_id partitioning.
+    groups = page_groups(pages, frags)
+    planned = plan_segments(groups, options.max_tokens, carry=["text", "n_shreds", "shreds"])
+    planned = planned.persist(StorageLevel.MEMORY_AND_DISK)
+
+    # One request per segment; replies stored before use.
+    reqs = translate_requests(planned.filter(F.col("seg_no").isNotNull()), options)
+    replies = call_model(reqs, backend, work, "translate_replies")
+
+    # F1-F6, I5
+    seg = segment_status(replies)
+    if options.on_segment_error == "fail_page":
+        failed = seg.filter(F.col("seg_error").isNotNull()).select("page_id", F.col("seg_error").alias("error"))
+        usable = seg.join(failed.select("page_id").distinct(), "page_id", "left_anti")
+        seg_errors = None
+        unknown = None
+    else:
+        failed = spark.createDataFrame([], "page_id long, error string")
+        bad = F.col("seg_error").isNotNull() & ~F.col("seg_error").startswith("unknown key")
+        usable = seg.filter(~bad | F.col("seg_error").isNull())
+        seg_errors = seg.filter(bad)
+        unknown = unknown_key_rows(usable)
+    rows = explode_reply_groups(usable)
+
+    # G3-G5 routing
+    present = rows.filter(F.col("present"))
+    routed = route_groups(present.filter(~F.col("non_string")))
+    unchanged = routed.filter(F.col("route") == "unchanged")
+    single = routed.filter(F.col("route") == "single")
+    multi = routed.filter(F.col("route") == "multi").select(
+        "page_id", "group_no", "n_shreds", "shreds", "src_text", "trans_text"
+    )
+
+    # G6-G10 fit rounds
+    cands = fit_rounds(multi, fit_backend, options, work)
+    graded = grade_best(best_candidate(cands))
+    fitted = multi.select("page_id", "group_no").join(
+        graded.select("page_id", "group_no", "status", "score", "error"), ["page_id", "group_no"], "left"
+    )
+
+    parts = [
+        _outcome(unchanged, "S", 1.0),
+        _outcome(single, "S", 1.0),
+        _outcome(fitted, F.coalesce(F.col("status"), F.lit("F")), F.col("score"), F.col("error")),
+        _outcome(rows.filter(~F.col("present")), "M", None, "no translation for this key"),
+        _outcome(present.filter(F.col("non_string")), "E", None, "translation is not a string"),
+        _outcome(planned.filter(F.col("seg_no").isNull()), "X", None, "oversize"),
+    ]
+    if seg_errors is not None:
+        parts.append(
+            _outcome(seg_errors.select("page_id", F.explode("groups.group_no").alias("group_no"), "seg_error"),
+                     "E", None, F.col("seg_error"))
+        )
+        parts.append(
+            unknown.select("page_id", F.lit(None).cast("int").alias("group_no"), F.lit("U").alias("status"),
+                           F.lit(None).cast("double").alias("score"),
+                           F.concat(F.lit("unknown key "), F.col("key")).alias("error"))
+        )
+    outcomes = parts[0]
+    for p in parts[1:]:
+        outcomes = outcomes.unionByName(p)
+    if options.on_segment_error == "fail_page":
+        outcomes = outcomes.join(failed.select("page_id").distinct(), "page_id", "left_anti")
+    outcomes = work.write(outcomes.select(*OUTCOME_COLS), "outcomes")
+
+    # H1, H2, I4
+    single_edits = single.select(
+        "page_id", F.col("shreds")[0]["frag_no"].alias("frag_no"), F.col("trans_text").alias("new_text")
+    )
+    edits = single_edits.unionByName(fit_edits(graded))
+    out_pages = render_pages(frags, edits, failed)
+    report = page_report(outcomes, pages, failed)
+    return Translation(frags, planned, replies, outcomes, failed, out_pages, report, work)
