@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,34 +29,89 @@ def _wrapped(j: Column) -> Column:
     return F.concat(F.lit("["), j, F.lit("]"))
 
 
-def parse_reply(col) -> Column:
-    """reply text -> ``map<string,string>`` or null when it is not one JSON object.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    Wrapping the object in ``[...]`` and requiring exactly one element rejects
-    ``{..} text {..}``; single quotes and NaN are rejected by the options.
-    Duplicate keys: the last one wins. Non-string values arrive as their JSON
-    text; see ``non_string_values``.
-    """
-    arr = F.from_json(
-        _wrapped(reply_object(col)),
-        "array<map<string,string>>",
-        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
-    )
-    return F.when(F.size(arr) == 1, arr[0])
+
+def _cmp(a, b):
+    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
 
 
-def non_string_values(col) -> Column:
-    """True when the parsed object holds a value that is not a JSON string (null included)."""
-    arr = F.from_json(
-        _wrapped(reply_object(col)),
-        "array<map<string,variant>>",
-        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
+def _dedup_last(df: DataFrame, m: str, out: str) -> DataFrame:
+    """``out`` = map column ``m`` with duplicate keys resolved last-wins (as Python dicts).
+
+    ``from_json`` keeps every entry. Entries are sorted by (key, position)
+    and an entry is kept when the next one has another key: O(n log n), for
+    any value type. No lambda refers to anything but its own arguments, so
+    inlining by the optimizer cannot make it quadratic.
+    """
+    entries = F.transform(
+        F.map_entries(F.col(m)), lambda x, i: F.struct(x["key"].alias("k"), i.alias("i"), x["value"].alias("v"))
+    )
+    srt = F.array_sort(
+        entries,
+        lambda a, b: F.when(a["k"] != b["k"], _cmp(a["k"], b["k"])).otherwise(_cmp(a["i"], b["i"])),
     )
-    vals = F.map_values(arr[0])
-    return F.coalesce(
-        F.exists(vals, lambda v: v.isNull() | (F.schema_of_variant(v) != F.lit("STRING"))),
-        F.lit(False),
+    t = f"_dd_{out}"
+    df = df.withColumn(t, srt)
+    s = F.col(t)
+    last = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
+                      lambda x, y: F.when(y.isNull() | (y["k"] != x["k"]), x))
+    kept = F.filter(last, lambda x: x.isNotNull())
+    df = df.withColumn(
+        out,
+        F.when(
+            F.col(m).isNotNull(),
+            F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))),
+        ),
     )
+    return df.drop(t)
+
+
+# a JSON string token, written as an unrolled loop (no deep regex recursion)
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def has_non_string_value(col) -> Column:
+    """True when the reply object holds a value that is not a JSON string.
+
+    Linear check on the extracted object text: every string token is blanked
+    to ``""``; a value that is not a string then shows as a ``:`` followed by
+    something other than a quote. Only meaningful for readable objects. (With
+    a duplicated key it looks at every occurrence, not only the last.)
+    """
+    blanked = F.regexp_replace(reply_object(col), _JSON_STRING, '""')
+    return blanked.rlike(r':\s*+[^"\s]')
+
+
+def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply",
+                      non_string: str | None = None, variants: str | None = None) -> DataFrame:
+    """Adds ``out`` = reply text as ``map<string,string>``, null when it
+    is not one JSON object.
+
+    Wrapping the object in ``[...]`` and requiring exactly one element rejects
+    ``{..} text {..}``; single quotes and NaN are rejected by the options.
+    Duplicate keys: the last one wins. Non-string values arrive as their JSON
+    text; ``non_string`` (optional) flags objects holding any value that is
+    not a JSON string (null included). ``variants`` (optional) holds the
+    values as variants for per-key checks, only for objects that have a
+    non-string value (null otherwise).
+    """
+    j = F.concat(F.lit("["), reply_object(content), F.lit("]"))
+    arr = F.from_json(j, "array<map<string,string>>", _STRICT)
+    tmp = f"_raw_{out}"
+    df = df.withColumn(tmp + "a", arr)
+    df = df.withColumn(tmp, F.when(F.size(tmp + "a") == 1, F.get(F.col(tmp + "a"), 0)))
+    df = _dedup_last(df, tmp, out).drop(tmp, tmp + "a")
+    flag = non_string or f"_ns_{out}"
+    df = df.withColumn(flag, F.when(F.col(out).isNotNull(), has_non_string_value(content)))
+    if variants:
+        va = F.from_json(j, "array<map<string,variant>>", _STRICT)
+        vt = f"_rawv_{out}"
+        df = df.withColumn(vt, F.when(F.col(flag), F.get(va, 0)))
+        df = _dedup_last(df, vt, variants).drop(vt)
+    if not non_string:
+        df = df.drop(flag)
+    return df
 
 
 def int_key_order(m) -> Column:

@@ -183,7 +183,10 @@ def rate_check(
     ``limit`` earlier non-empty buckets) and the lag runs per
     ``(key, bucket)``. Without it, the lag runs per key.
     """
-    secs = F.col(ts).cast("double")
+    def secs_of(c):
+        return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+
+    secs = secs_of(ts)
     if bucket_sec is None:
         w = Window.partitionBy(key).orderBy(ts, tie)
         out = calls.withColumn("prev_ts", F.lag(ts, limit).over(w))
@@ -207,7 +210,7 @@ def rate_check(
         both = b.withColumn("_carry", F.lit(False)).unionByName(carried)
         w = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
         out = both.withColumn("prev_ts", F.lag(ts, limit).over(w)).filter(~F.col("_carry")).drop("_carry", "_bucket")
-    gap = secs - F.col("prev_ts").cast("double")
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(1e6)
     return out.withColumn("gap_sec", gap).withColumn("breaks", gap < F.lit(period_sec))
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json_reply import int_key_order, non_string_values, parse_reply
+from tessera.functions.json_reply import int_key_order, with_parsed_reply
 from tessera.functions.similarity import with_match_score
 from tessera.functions.text import compact_text
 from tessera.operators.calls import Backend, call_model
@@ -53,10 +53,12 @@ def validate_fit(replies: DataFrame) -> DataFrame:
     - otherwise the pieces joined in integer key order are scored against
       the translation: 1.0 is a perfect fit, less a partial one.
     """
-    r = replies.withColumn("pieces", parse_reply("content")).withColumn("bad_values", non_string_values("content"))
+    r = with_parsed_reply(replies, "content", "pieces", non_string="bad_values")
+    r = r.withColumn("bad_values", F.coalesce(F.col("bad_values"), F.lit(False)))
     readable = F.col("error").isNull() & F.col("pieces").isNotNull() & (F.size("pieces") > 0)
     count_ok = F.size("pieces") == F.col("n_shreds")
-    ordered = int_key_order("pieces")
+    r = r.withColumn("_ordered", int_key_order("pieces"))
+    ordered = F.col("_ordered")
     keys_ok = ~F.exists(ordered, lambda e: e["k"].isNull())
     r = r.withColumn(
         "_state",
@@ -81,7 +83,9 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         .when(F.col("score") < 1.0, F.format_string('String not match, to_fit="%s" | fit="%s"', F.col("trans_text"), F.col("fitted")))
         .otherwise(F.lit(""))
     )
-    return out.withColumn("candidate", F.col("_state").isin("count", "scored")).withColumn("reason", reason).drop("_state")
+    return out.withColumn("candidate", F.col("_state").isin("count", "scored")).withColumn("reason", reason).drop(
+        "_state", "_ordered"
+    )
 
 
 def fit_rounds(
@@ -136,20 +140,21 @@ def grade_best(best: DataFrame) -> DataFrame:
     ``0..n_shreds-1``, or a piece that is not a string, makes the group an
     error and leaves its text untouched.
     """
-    ordered = int_key_order("pieces")
-    bad_key = F.exists(ordered, lambda e: e["k"].isNull() | (e["k"] < 0) | (e["k"] >= F.col("n_shreds")))
+    best = best.withColumn("_ordered", int_key_order("pieces"))
+    n = F.col("n_shreds")
+    bad_key = F.exists("_ordered", lambda e: e["k"].isNull() | (e["k"] < 0) | (e["k"] >= n))
     status = (
         F.when(bad_key | F.col("bad_values"), F.lit("E"))
         .when(F.col("score") >= 1.0, F.lit("S"))
         .otherwise(F.lit("C"))
     )
     err = F.when(bad_key | F.col("bad_values"), F.lit("pieces cannot be applied"))
-    return best.withColumn("status", status).withColumn("error", err)
+    return best.withColumn("status", status).withColumn("error", err).drop("_ordered")
 
 
 def fit_edits(graded: DataFrame) -> DataFrame:
     """H1 input from fitted groups: ``(page_id, frag_no, new_text)`` for S and C."""
     ok = graded.filter(F.col("status").isin("S", "C"))
     e = ok.select("page_id", "shreds", F.explode("pieces").alias("k", "v"))
-    idx = F.col("k").cast("int")
+    idx = F.col("k").try_cast("int")
     return e.select("page_id", F.try_element_at("shreds", idx + 1)["frag_no"].alias("frag_no"), F.col("v").alias("new_text"))

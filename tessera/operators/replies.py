@@ -10,32 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json_reply import parse_reply, reply_object
+from tessera.functions.json_reply import with_parsed_reply
 from tessera.operators.calls import truncated
 
 
-def _variant_map(content):
-    return F.from_json(
-        F.concat(F.lit("["), reply_object(content), F.lit("]")),
-        "array<map<string,variant>>",
-        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
-    )[0]
-
-
 def segment_status(replies: DataFrame) -> DataFrame:
     """Segment-level reading of a translation reply.
 
-    Adds ``reply`` (parsed map or null), ``unknown_keys`` (reply keys with
-    no group in the segment), ``truncated`` and ``seg_error``: the reason a
-    segment cannot be used (call failed / unreadable reply / unknown key),
-    or null.
+    Adds ``reply`` (parsed map or null), ``_vm`` (the same values as
+    variants), ``unknown_keys`` (reply keys with no group in the segment),
+    ``truncated`` and ``seg_error``: the reason a segment cannot be used
+    (call failed / unreadable reply / unknown key), or null.
     """
-    keys = F.transform("groups", lambda g: g["seg_key"].cast("string"))
-    r = replies.withColumn("reply", parse_reply("content"))
+    r = with_parsed_reply(replies, "content", "reply", non_string="_any_ns", variants="_vm")
+    r = r.withColumn("_keys", F.transform("groups", lambda g: g["seg_key"].cast("string")))
+    keys = F.col("_keys")
     r = r.withColumn(
         "unknown_keys",
         F.coalesce(F.filter(F.map_keys("reply"), lambda k: ~F.array_contains(keys, k)), F.array().cast("array<string>")),
-    )
+    ).drop("_keys")
     r = r.withColumn("truncated", truncated("finish_reason"))
     seg_error = (
         F.when(F.col("error").isNotNull(), F.concat(F.lit("call failed: "), F.col("error")))
@@ -51,15 +44,15 @@ def explode_reply_groups(seg: DataFrame) -> DataFrame:
     Output: ``page_id, seg_no, seg_key, group_no, n_shreds, shreds,
     src_text, trans_text, present, non_string, seg_error, truncated``.
     """
-    vm = _variant_map("content")
-    s = seg.withColumn("_vm", vm)
-    g = s.select(
-        "page_id", "seg_no", "seg_error", "truncated", "reply", "_vm", F.explode("groups").alias("g")
+    g = seg.select(
+        "page_id", "seg_no", "seg_error", "truncated", "reply", "_vm", "_any_ns", F.explode("groups").alias("g")
     )
     key = F.col("g.seg_key").cast("string")
     present = F.coalesce(F.map_contains_key("reply", key), F.lit(False))
     v = F.try_element_at(F.col("_vm"), key)
-    non_string = present & (v.isNull() | (F.schema_of_variant(v) != F.lit("STRING")))
+    non_string = present & F.coalesce(F.col("_any_ns"), F.lit(False)) & (
+        v.isNull() | (F.schema_of_variant(v) != F.lit("STRING"))
+    )
     return g.select(
         "page_id",
         "seg_no",

@@ -175,3 +175,39 @@ def conversation_candidates(conversations: DataFrame) -> DataFrame:
         F.lit(False).alias("bad_values"),
         F.size(words).alias("n_shreds"),
     )
+
+
+def faulty_reply_texts(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, content)``: reply texts with a fault class ``conv_id % 8``.
+
+    0 clean object; 1 prose and a trailing comma; 2 two objects; 3 single
+    quotes; 4 cut off; 5 a duplicated key; 6 a number as value; 7 ``{}``.
+    """
+    t = F.regexp_replace(F.col("text"), "\n", " ")
+    obj = F.to_json(F.create_map(F.lit("0"), t, F.lit("1"), F.lit("x")))
+    cls = F.pmod(F.col("conv_id"), F.lit(8))
+    content = (
+        F.when(cls == 0, obj)
+        .when(cls == 1, F.concat(F.lit("Sure:\n"), F.regexp_replace(obj, r"\}$", ",}"), F.lit("\nBye")))
+        .when(cls == 2, F.concat(obj, F.lit(" and "), obj))
+        .when(cls == 3, F.concat(F.lit("{'0':'"), t, F.lit("'}")))
+        .when(cls == 4, F.concat(F.lit('{"0":"'), t))
+        .when(cls == 5, F.concat(F.lit('{"0":"a","0":"'), t, F.lit('"}')))
+        .when(cls == 6, F.concat(F.lit('{"0":'), F.length(t).cast("string"), F.lit("}")))
+        .otherwise(F.lit("{}"))
+    )
+    return conversations.select("conv_id", "turn", content.alias("content"))
+
+
+def reply_entries(segments: DataFrame) -> DataFrame:
+    """``(page_id, seg_no, key, value)``: reply entries for planned segments,
+    with key 0 missing when ``page_id % 3 == 1`` and an extra key 99 when
+    ``page_id % 3 == 2``."""
+    cls = F.pmod(F.col("page_id"), F.lit(3))
+    base = segments.filter(~((cls == 1) & (F.col("seg_key") == 0))).select(
+        "page_id", "seg_no", F.col("seg_key").cast("string").alias("key"), F.lit("v").alias("value")
+    )
+    extra = segments.filter((cls == 2) & (F.col("seg_key") == 0)).select(
+        "page_id", "seg_no", F.lit("99").alias("key"), F.lit("v").alias("value")
+    )
+    return base.unionByName(extra)

@@ -27,6 +27,7 @@ def local_session(cpus: int | str = "*", app: str = "tessera") -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -47,6 +48,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable on the Python workers of this context.
+
+    The package is zipped once into the shared checkpoint folder and added
+    with ``addPyFile``, so executors started anywhere can unpickle the
+    Arrow-batch functions (tokenizer, similarity, call stage).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        # a shared non-local store: workers get the zip through addPyFile from the driver copy
+        target_dir = tempfile.mkdtemp(prefix="tessera-pkg-")
+    else:
+        target_dir = os.path.join(base[len("file:"):] if base.startswith("file:") else base, "tessera-pkg")
+        os.makedirs(target_dir, exist_ok=True)
+    zpath = os.path.join(target_dir, f"tessera-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
 class WorkArea:
     """Named tables written under the shared checkpoint folder.
 
