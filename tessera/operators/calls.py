@@ -77,6 +77,48 @@ def backoff_factor(request_id: str, retry: int, base: float) -> float:
     return base + rnd.uniform(-1.0, 1.0)
 
 
+def call_batches(
+    batches: Iterator[pd.DataFrame],
+    fn: Callable[[str, list, float], tuple[str, str]],
+    options: Options,
+    spacing: float,
+    sleep: Callable[[float], None] = time.sleep,
+    clock: Callable[[], float] = time.time,
+) -> Iterator[pd.DataFrame]:
+    """The per-partition call loop (E1, E4, E6, E7) over Arrow batches of requests."""
+    last_call = None
+    for pdf in batches:
+        calls, contents, finishes, errors = [], [], [], []
+        for rid, model, msgs, temp in zip(pdf["request_id"], pdf["model"], pdf["messages"], pdf["temperature"]):
+            messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
+            n, delay = 0, options.backoff_init_delay
+            content = finish = err = None
+            while True:
+                if last_call is not None:
+                    wait = last_call + spacing - clock()
+                    if wait > 0:
+                        sleep(wait)
+                last_call = clock()
+                n += 1
+                try:
+                    content, finish = fn(model, messages, float(temp))
+                    break
+                except Exception as e:  # noqa: BLE001 - every failure is a row result
+                    if n > options.call_max_retry:
+                        err = f"Maximum retry reached: {e}"
+                        break
+                    if isinstance(e, RetryableError):
+                        sleep(delay)
+                        delay = min(options.backoff_cap_sec, delay * backoff_factor(rid, n, options.backoff_exp_base))
+                    else:
+                        sleep(options.backoff_init_delay)
+            calls.append(n)
+            contents.append(content)
+            finishes.append(finish)
+            errors.append(err)
+        yield pdf.assign(calls=calls, content=contents, finish_reason=finishes, error=errors)
+
+
 def python_backend(
     fn: Callable[[str, list, float], tuple[str, str]],
     options: Options = Options(),
@@ -97,37 +139,7 @@ def python_backend(
     spacing = parts * options.rate_period_sec / max(1, options.rate_limit)
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_call = None
-        for pdf in batches:
-            calls, contents, finishes, errors = [], [], [], []
-            for rid, model, msgs, temp in zip(pdf["request_id"], pdf["model"], pdf["messages"], pdf["temperature"]):
-                messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
-                n, delay = 0, options.backoff_init_delay
-                content = finish = err = None
-                while True:
-                    if last_call is not None:
-                        wait = last_call + spacing - clock()
-                        if wait > 0:
-                            sleep(wait)
-                    last_call = clock()
-                    n += 1
-                    try:
-                        content, finish = fn(model, messages, float(temp))
-                        break
-                    except Exception as e:  # noqa: BLE001 - every failure is a row result
-                        if n > options.call_max_retry:
-                            err = f"Maximum retry reached: {e}"
-                            break
-                        if isinstance(e, RetryableError):
-                            sleep(delay)
-                            delay = min(options.backoff_cap_sec, delay * backoff_factor(rid, n, options.backoff_exp_base))
-                        else:
-                            sleep(options.backoff_init_delay)
-                calls.append(n)
-                contents.append(content)
-                finishes.append(finish)
-                errors.append(err)
-            yield pdf.assign(calls=calls, content=contents, finish_reason=finishes, error=errors)
+        return call_batches(batches, fn, options, spacing, sleep, clock)
 
     def run(requests: DataFrame) -> DataFrame:
         schema = T.StructType(requests.schema.fields + REPLY_FIELDS)

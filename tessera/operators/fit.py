@@ -68,11 +68,11 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         .otherwise(F.lit("scored")),
     )
     r = r.withColumn("fitted", F.when(F.col("_state") == "scored", F.array_join(F.transform(ordered, lambda e: e["value"]), "")))
-    scored = with_match_score(r.filter(F.col("_state") == "scored"), "trans_text", "fitted", "score")
-    others = r.filter(F.col("_state") != "scored").withColumn(
-        "score", F.when(F.col("_state") == "count", F.lit(0.0)).cast("double")
-    )
-    out = scored.unionByName(others)
+    r = with_match_score(r, "trans_text", "fitted", "_score")
+    out = r.withColumn(
+        "score",
+        F.when(F.col("_state") == "scored", F.col("_score")).when(F.col("_state") == "count", F.lit(0.0)).cast("double"),
+    ).drop("_score")
     reason = (
         F.when(F.col("_state") == "invalid", F.lit("Invalid model response as JSON object."))
         .when(

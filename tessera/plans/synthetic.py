@@ -121,11 +121,12 @@ def faulty_fit_backend(requests: DataFrame) -> DataFrame:
     even group: keys shifted by one (count right, keys out of range); 7 with
     an odd group: ``{}`` and non-string pieces in turn (never a candidate).
     """
-    pieces = F.from_json(_fit_pieces(requests), "map<string,string>")
-    perfect = F.to_json(F.transform_values(pieces, lambda k, v: rot13(v)))
+    r = requests.withColumn("_pieces", F.from_json(_fit_pieces(requests), "map<string,string>"))
+    r = r.withColumn("_rot", F.transform_values("_pieces", lambda k, v: rot13(v)))
+    perfect = F.to_json("_rot")
     whole = F.to_json(F.create_map(F.lit("0"), F.col("trans_text")))
-    shifted = F.to_json(F.transform_keys(F.transform_values(pieces, lambda k, v: rot13(v)), lambda k, v: (k.cast("int") + 1).cast("string")))
-    numeric = F.regexp_replace(perfect, r'":"[^"]*"', '":1')
+    shifted = F.to_json(F.transform_keys("_rot", lambda k, v: (k.cast("int") + 1).cast("string")))
+    numeric = F.to_json(F.transform_values("_pieces", lambda k, v: F.length(v)))
     cls = F.pmod(F.col("page_id") + 3 * F.col("group_no"), F.lit(8))
     a = F.col("attempt")
     content = (
@@ -136,7 +137,7 @@ def faulty_fit_backend(requests: DataFrame) -> DataFrame:
         .when(F.pmod(F.col("group_no"), F.lit(2)) == 0, shifted)
         .otherwise(F.when(F.pmod(a, F.lit(2)) == 0, F.lit("{}")).otherwise(numeric))
     )
-    return _reply(requests, content)
+    return _reply(r, content).drop("_pieces", "_rot")
 
 
 # --------------------------------------------------------------------------

@@ -89,7 +89,7 @@ def translate_pages(
         usable = seg.filter(~bad | F.col("seg_error").isNull())
         seg_errors = seg.filter(bad)
         unknown = unknown_key_rows(usable)
-    rows = explode_reply_groups(usable)
+    rows = work.write(explode_reply_groups(usable), "reply_groups")
 
     # G3-G5 routing
     present = rows.filter(F.col("present"))
