@@ -39,10 +39,12 @@ def _cmp(a, b):
 def _dedup_last(df: DataFrame, m: str, out: str) -> DataFrame:
     """``out`` = map column ``m`` with duplicate keys resolved last-wins (as Python dicts).
 
-    ``from_json`` keeps every entry. Entries are sorted by (key, position)
-    and an entry is kept when the next one has another key: O(n log n), for
-    any value type. No lambda refers to anything but its own arguments, so
-    inlining by the optimizer cannot make it quadratic.
+    ``from_json`` keeps every entry. Maps without a repeated key (checked
+    with built-in, code-generated functions) pass unchanged; the others are
+    sorted by (key, position) and an entry is kept when the next one has
+    another key: O(n log n), for any value type. No lambda refers to
+    anything but its own arguments, so inlining by the optimizer cannot make
+    it quadratic.
     """
     entries = F.transform(
         F.map_entries(F.col(m)), lambda x, i: F.struct(x["key"].alias("k"), i.alias("i"), x["value"].alias("v"))
@@ -52,17 +54,21 @@ def _dedup_last(df: DataFrame, m: str, out: str) -> DataFrame:
         lambda a, b: F.when(a["k"] != b["k"], _cmp(a["k"], b["k"])).otherwise(_cmp(a["i"], b["i"])),
     )
     t = f"_dd_{out}"
-    df = df.withColumn(t, srt)
+    has_dups = F.size(F.array_distinct(F.map_keys(F.col(m)))) < F.size(F.col(m))
+    # the sort only runs for the (rare) maps that repeat a key
+    df = df.withColumn(t, F.when(has_dups, srt))
     s = F.col(t)
     last = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
                       lambda x, y: F.when(y.isNull() | (y["k"] != x["k"]), x))
     kept = F.filter(last, lambda x: x.isNotNull())
     df = df.withColumn(
         out,
-        F.when(
-            F.col(m).isNotNull(),
+        F.when(F.col(m).isNull(), F.lit(None))
+        .when(
+            F.col(t).isNotNull(),
             F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))),
-        ),
+        )
+        .otherwise(F.col(m)),
     )
     return df.drop(t)
 

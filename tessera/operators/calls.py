@@ -40,9 +40,16 @@ REPLY_SCHEMA = T.StructType([T.StructField("request_id", T.StringType(), False),
 Backend = Callable[[DataFrame], DataFrame]
 
 
-def call_model(requests: DataFrame, backend: Backend, work: WorkArea, name: str) -> DataFrame:
-    """Run the backend over all request rows and store the result."""
-    return work.write(backend(requests), name)
+def call_model(
+    requests: DataFrame, backend: Backend, work: WorkArea, name: str, drop: tuple[str, ...] = ("messages",)
+) -> DataFrame:
+    """Run the backend over all request rows and store the result.
+
+    The prompt messages are dropped before storing (they are rebuilt from
+    the request columns when needed); the reply is kept with its request key.
+    """
+    out = backend(requests)
+    return work.write(out.drop(*[c for c in drop if c in out.columns]), name)
 
 
 # --------------------------------------------------------------------------

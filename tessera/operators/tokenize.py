@@ -221,7 +221,44 @@ def tokenize_html(html: str) -> list[tuple]:
 _COLS = [f.name for f in FRAGMENT_SCHEMA.fields]
 
 
+def _arrow_schema():
+    import pyarrow as pa
+
+    types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
+    return pa.schema([pa.field(f.name, types[type(f.dataType)], f.nullable) for f in FRAGMENT_SCHEMA.fields])
+
+
+def _batches(batches, max_rows: int = 65536):
+    """mapInArrow body: Arrow batches of pages in, Arrow batches of fragments out."""
+    import pyarrow as pa
+
+    schema = _arrow_schema()
+    cols: list[list] = [[] for _ in _COLS]
+
+    def take():
+        arrays = [pa.array(c, type=schema.field(i).type) for i, c in enumerate(cols)]
+        for c in cols:
+            c.clear()
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    for batch in batches:
+        ids = batch.column(batch.schema.get_field_index("page_id")).to_pylist()
+        htmls = batch.column(batch.schema.get_field_index("html")).to_pylist()
+        for page_id, html in zip(ids, htmls):
+            if html is None:
+                continue
+            rows = tokenize_html(html)
+            cols[0].extend([page_id] * len(rows))
+            for j, col in enumerate(zip(*rows), start=1):
+                cols[j].extend(col)
+            if len(cols[0]) >= max_rows:
+                yield take()
+    if cols[0]:
+        yield take()
+
+
 def _frames(batches: Iterator[pd.DataFrame], max_rows: int = 65536) -> Iterator[pd.DataFrame]:
+    """Pandas form of ``_batches`` (kept for callers on pandas batches)."""
     cols: list[list] = [[] for _ in _COLS]
 
     def take():
@@ -244,11 +281,20 @@ def _frames(batches: Iterator[pd.DataFrame], max_rows: int = 65536) -> Iterator[
         yield take()
 
 
-def fragments(pages: DataFrame) -> DataFrame:
+def fragments(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """B1: ``pages(page_id, html)`` -> ``fragments`` (FRAGMENT_SCHEMA).
 
-    One page in, N fragment rows out, inside the task that read the page;
-    no shuffle. Output batches are bounded in rows, so a large page does
-    not build one huge Arrow batch.
+    One page in, N fragment rows out, inside the task that holds the page.
+    Output batches are bounded in rows, so a large page does not build one
+    huge Arrow batch.
+
+    Tokenizing is Python work, so it needs as many tasks as there are cores.
+    When the input has fewer partitions than ``min_partitions`` (default:
+    the context's parallelism), pages are spread round-robin first; an input
+    that is already split finely (the large-scale case) is not shuffled.
     """
-    return pages.select("page_id", "html").mapInPandas(_frames, FRAGMENT_SCHEMA)
+    p = pages.select("page_id", "html")
+    want = min_partitions or p.sparkSession.sparkContext.defaultParallelism
+    if p.rdd.getNumPartitions() < want:
+        p = p.repartition(want)
+    return p.mapInArrow(_batches, FRAGMENT_SCHEMA)
