@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.running import last_marked, running_sum
 from tessera.options import Options
 from tessera.session import WorkArea
 
@@ -240,6 +241,7 @@ def backoff_schedule(
     tie: str,
     outcome: str,
     options: Options = Options(),
+    bucket_sec: float | None = None,
 ) -> DataFrame:
     """E7 on a call log: the delay that follows each failed call.
 
@@ -248,16 +250,21 @@ def backoff_schedule(
     the n-th listed error since the last success it is
     ``min(cap, init * base ** (n - 1))``; other errors wait ``init``.
     Successes get a null delay. (No jitter here, so it can be checked.)
+
+    ``n`` = listed errors so far minus listed errors at the last success.
+    With ``bucket_sec`` both running values are computed per time bucket
+    (``tessera.operators.running``), so a hot key is spread over tasks.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    ok = (F.col(outcome) == "ok").cast("int")
-    listed = (F.col(outcome) == "listed").cast("int")
-    d = log.withColumn("_run", F.sum(ok).over(w))
-    w2 = Window.partitionBy(key, "_run").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_n", F.sum(listed).over(w2))
+    order = [ts, tie]
+    bucket = None
+    if bucket_sec is not None:
+        bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_sec * 1e6)).cast("long")
+    d = running_sum(log, key, order, (F.col(outcome) == "listed").cast("long"), "_cum", bucket)
+    d = last_marked(d, key, order, F.col(outcome) == "ok", "_cum", "_at_ok", bucket)
+    n = F.col("_cum") - F.coalesce(F.col("_at_ok"), F.lit(0))
     delay = F.least(
         F.lit(options.backoff_cap_sec),
-        F.lit(options.backoff_init_delay) * F.pow(F.lit(options.backoff_exp_base), F.col("_n") - 1),
+        F.lit(options.backoff_init_delay) * F.pow(F.lit(options.backoff_exp_base), n - 1),
     )
     d = d.withColumn(
         "delay_sec",
@@ -265,4 +272,4 @@ def backoff_schedule(
         .when(F.col(outcome) == "listed", delay)
         .otherwise(F.lit(options.backoff_init_delay)),
     )
-    return d.drop("_run", "_n")
+    return d.drop("_cum", "_at_ok")

@@ -161,6 +161,24 @@ def chat_messages(conversations: DataFrame, system_prompt: str, user_prompt: str
     )
 
 
+def chat_message_rows(
+    conversations: DataFrame, system_prompt: str, bucket_turns: int | None = None
+) -> DataFrame:
+    """D7, D8 as rows ``(conv_id, pos, role, content)``: the system prompt at 0,
+    then every non-system turn in order. No list is built, and with
+    ``bucket_turns`` the positions of a very long conversation are counted
+    per block of turns (``tessera.operators.running``)."""
+    from tessera.operators.running import running_sum
+
+    h = conversations.filter(F.col("role") != "system").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    bucket = None if bucket_turns is None else F.floor(F.col("turn") / F.lit(bucket_turns)).cast("long")
+    h = running_sum(h, "conv_id", ["turn"], F.lit(1).cast("long"), "pos", bucket)
+    sys_rows = h.select("conv_id").distinct().select(
+        "conv_id", F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), F.lit(system_prompt).alias("content")
+    )
+    return h.select("conv_id", "pos", "role", "content").unionByName(sys_rows)
+
+
 def append_round(log: DataFrame, user_col: str, assistant_col: str) -> DataFrame:
     """A finished round adds its user and assistant turns to the log."""
     new = F.array(

@@ -18,7 +18,7 @@ from tessera.operators.calls import assemble_chunks, backoff_schedule, rate_chec
 from tessera.operators.fit import best_candidate, grade_best, route_groups, validate_fit
 from tessera.operators.groups import page_groups, shreds
 from tessera.operators.replies import match_replies
-from tessera.operators.requests import chat_messages, exploded_messages, fit_requests, translate_requests
+from tessera.operators.requests import chat_message_rows, fit_requests, translate_requests
 from tessera.operators.segments import page_tokens, plan_segments, segment_groups, with_encoding
 from tessera.operators.tokenize import fragments
 from tessera.options import ENCODING_MAP, Options
@@ -130,8 +130,7 @@ def q_segment_requests(spark, sf):
 
 
 def q_chat_history(spark, sf):
-    m = chat_messages(_t(spark, sf, "conversations"), OPTIONS.default_system_prompt)
-    e = exploded_messages(m, ["conv_id"])
+    e = chat_message_rows(_t(spark, sf, "conversations"), OPTIONS.default_system_prompt, bucket_turns=4)
     return e.select(*_long("conv_id", "pos"), "role", "content")
 
 
@@ -185,7 +184,7 @@ def q_backoff(spark, sf):
         .otherwise(F.lit("other"))
         .alias("outcome"),
     )
-    b = backoff_schedule(ev, "user_id", "ts", "event_id", "outcome", OPTIONS)
+    b = backoff_schedule(ev, "user_id", "ts", "event_id", "outcome", OPTIONS, bucket_sec=7 * 86400.0)
     return b.select(*_long("event_id", "user_id"), "outcome", F.col("delay_sec").cast("double").alias("delay_sec"))
 
 

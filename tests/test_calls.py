@@ -85,3 +85,23 @@ def test_backoff_schedule(spark):
     got = [r.delay_sec for r in backoff_schedule(df, "k", "ts", "id", "outcome").orderBy("id").collect()]
     assert got[:6] == [1.0, 2.0, 1.0, 4.0, None, 1.0]
     assert got[-1] == 300.0
+
+
+def test_backoff_bucketed_equals_plain(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select(
+        "event_id", "user_id", "ts",
+        F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "error", "listed").otherwise("other").alias("outcome"),
+    )
+    plain = {r.event_id: r.delay_sec for r in backoff_schedule(ev, "user_id", "ts", "event_id", "outcome").collect()}
+    for b in (3600.0, 86400.0):
+        got = {r.event_id: r.delay_sec for r in backoff_schedule(ev, "user_id", "ts", "event_id", "outcome", bucket_sec=b).collect()}
+        assert got == plain
+
+
+def test_chat_rows_bucketed_equals_plain(spark):
+    from tessera.operators.requests import chat_message_rows
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    plain = sorted(tuple(r) for r in chat_message_rows(conv, "sys").collect())
+    for b in (1, 2, 3):
+        assert sorted(tuple(r) for r in chat_message_rows(conv, "sys", bucket_turns=b).collect()) == plain
