@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.session import spread
 from tessera.options import INLINE_TAGS, PRESERVE_WHITESPACE_TAGS, RAW_TEXT_TAGS, SKIPPED_TAGS, VOID_TAGS
 
 FRAGMENT_SCHEMA = T.StructType(
@@ -293,8 +294,5 @@ def fragments(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
     the context's parallelism), pages are spread round-robin first; an input
     that is already split finely (the large-scale case) is not shuffled.
     """
-    p = pages.select("page_id", "html")
-    want = min_partitions or p.sparkSession.sparkContext.defaultParallelism
-    if p.rdd.getNumPartitions() < want:
-        p = p.repartition(want)
+    p = spread(pages.select("page_id", "html"), min_partitions)
     return p.mapInArrow(_batches, FRAGMENT_SCHEMA)

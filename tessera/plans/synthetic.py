@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import html_escape, rot13
+from tessera.session import spread
 
 WRAP_TAGS = ("em", "code", "a")
 
@@ -147,7 +148,7 @@ def reply_chunks(documents: DataFrame, width: int = 40) -> DataFrame:
     """``chunks(request_id, seq, role, content, finish_reason)``: each document
     cut every ``width`` characters; role only on seq 0, finish reason on the last."""
     n = F.greatest(F.ceil(F.length("text") / F.lit(width)), F.lit(1)).cast("int")
-    d = documents.select(F.col("doc_id"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), n.alias("n"))
+    d = spread(documents).select(F.col("doc_id"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), n.alias("n"))
     return d.select(
         F.format_string("d-%d", "doc_id").alias("request_id"),
         F.col("seq").cast("int").alias("seq"),

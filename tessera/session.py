@@ -48,6 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's parallelism only when it has fewer
+    partitions than that (a small or single-row-group input); input that is
+    already split finely is returned as is, without a shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 _SHIPPED: set[str] = set()
 
 
