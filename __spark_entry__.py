@@ -334,7 +334,7 @@ WHERE g.n_shreds > 1 AND {_compact('g.text')} <> {_compact(_rot('g.text'))}"""
 SELECT 't-' || page_id || '-' || seg_no AS request_id,
        CAST(page_id AS BIGINT) AS page_id, CAST(seg_no AS BIGINT) AS seg_no,
        CASE WHEN page_id % 8 <> 7 THEN rot_payload END AS content,
-       CASE WHEN page_id % 8 = 7 THEN 'no reply' END AS error
+       CASE WHEN page_id % 8 = 7 THEN 'Maximum retry reached: rate limited' END AS error
 FROM req"""
 
     sql["chunk_assembly"] = """

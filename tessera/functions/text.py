@@ -45,3 +45,33 @@ def rot13(col) -> Column:
     src = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
     dst = "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
     return F.translate(_c(col), src, dst)
+
+
+_ENCODERS: dict = {}
+
+
+def _encoder(name: str):
+    enc = _ENCODERS.get(name)
+    if enc is None:
+        import tiktoken
+
+        enc = _ENCODERS[name] = tiktoken.get_encoding(name)
+    return enc
+
+
+def vocab_token_count(text, encoding) -> Column:
+    """C1 with a real vocabulary: tokens of ``text`` under the ``encoding``
+    column (see C2 ``with_encoding``), counted on Arrow batches with
+    ``tiktoken``. Needs the vocabulary files where the tasks run; the
+    default counter (``token_count``) needs nothing."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series, encs: pd.Series) -> pd.Series:
+        return pd.Series(
+            [None if t is None else len(_encoder(e).encode(t, disallowed_special=())) for t, e in zip(texts, encs)],
+            dtype="Int32",
+        )
+
+    return count(_c(text), _c(encoding) if not isinstance(encoding, str) else F.lit(encoding))

@@ -72,7 +72,13 @@ def groups_from_shreds(sh: DataFrame) -> DataFrame:
     )
 
 
-def page_groups(pages: DataFrame, frags: DataFrame | None = None) -> DataFrame:
-    """Pages -> groups, with the token count of each group."""
+def page_groups(pages: DataFrame, frags: DataFrame | None = None, counter=None) -> DataFrame:
+    """Pages -> groups, with the token count of each group.
+
+    ``counter`` maps the text column to a token-count column; the default is
+    the JVM-side rule ``token_count``; ``vocab_token_count`` uses a real
+    vocabulary.
+    """
     frags = tokenize(pages) if frags is None else frags
-    return groups_from_shreds(shreds(frags)).withColumn("n_tokens", token_count("text"))
+    counter = counter or token_count
+    return groups_from_shreds(shreds(frags)).withColumn("n_tokens", counter(F.col("text")))

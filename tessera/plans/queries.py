@@ -156,9 +156,18 @@ def q_fit_requests(spark, sf):
 
 # ---------------------------------------------------------------- E
 def q_replay(spark, sf):
+    """Requests joined with a stored reply table; requests of every 8th
+    conversation have a stored failed call instead of a reply."""
     reqs = _conv_requests(spark, sf)
-    stored = syn.rot13_translate_backend(reqs.filter(F.pmod("page_id", F.lit(8)) != 7))
-    stored = stored.select("request_id", "calls", "content", "finish_reason", "error")
+    stored = syn.rot13_translate_backend(reqs)
+    failed = F.pmod("page_id", F.lit(8)) == 7
+    stored = stored.select(
+        "request_id",
+        "calls",
+        F.when(~failed, F.col("content")).alias("content"),
+        "finish_reason",
+        F.when(failed, F.lit("Maximum retry reached: rate limited")).alias("error"),
+    )
     out = replay_backend(stored)(reqs)
     return out.select("request_id", *_long("page_id", "seg_no"), "content", "error")
 

@@ -59,8 +59,13 @@ def translate_pages(
     options: Options = Options(),
     fit_backend: Backend | None = None,
     work: WorkArea | None = None,
+    token_counter=None,
 ) -> Translation:
-    """Translate all pages; see the module doc for the stages."""
+    """Translate all pages; see the module doc for the stages.
+
+    ``token_counter`` (optional) maps a text column to its token count
+    (default: the built-in rule; ``vocab_token_count`` for a vocabulary).
+    """
     spark = pages.sparkSession
     work = work or WorkArea(spark)
     fit_backend = fit_backend or backend
@@ -68,7 +73,7 @@ def translate_pages(
     # B1 once; read by grouping and by rendering.
     frags = work.write(tokenize(pages), "fragments")
     # B2-B12, C1-C7 in one pass over the page_id partitioning.
-    groups = page_groups(pages, frags)
+    groups = page_groups(pages, frags, token_counter)
     planned = plan_segments(groups, options.max_tokens, carry=["text", "n_shreds", "shreds"])
     planned = planned.persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -105,3 +105,13 @@ def test_chat_rows_bucketed_equals_plain(spark):
     plain = sorted(tuple(r) for r in chat_message_rows(conv, "sys").collect())
     for b in (1, 2, 3):
         assert sorted(tuple(r) for r in chat_message_rows(conv, "sys", bucket_turns=b).collect()) == plain
+
+
+def test_replay_missing_reply(spark):
+    from tessera.operators.calls import replay_backend
+
+    reqs = _requests(spark, 3)
+    stored = spark.createDataFrame([("r-0", 1, "hi", "stop", None)], "request_id string, calls int, content string, finish_reason string, error string")
+    out = {r.request_id: r for r in replay_backend(stored)(reqs).collect()}
+    assert out["r-0"].content == "hi" and out["r-0"].error is None
+    assert out["r-1"].content is None and out["r-1"].error == "no reply"

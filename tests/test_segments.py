@@ -75,3 +75,18 @@ def test_segment_groups_carry(spark):
     df = spark.createDataFrame([(1, 0, 3, "a"), (1, 1, 4, "b")], "page_id long, group_no int, n_tokens int, text string")
     rows = segment_groups(df, 200, carry=["text"]).orderBy("group_no").collect()
     assert [(r.seg_no, r.seg_key, r.text) for r in rows] == [(0, 0, "a"), (0, 1, "b")]
+
+
+def test_vocabulary_counter_when_available(spark):
+    import pytest
+
+    try:
+        import tiktoken
+
+        tiktoken.get_encoding("cl100k_base").encode("hello world")
+    except Exception:  # noqa: BLE001
+        pytest.skip("no tiktoken vocabulary available offline")
+    from tessera.functions.text import vocab_token_count
+
+    df = spark.createDataFrame([("hello world",)], "t string")
+    assert df.select(vocab_token_count(F.col("t"), "cl100k_base").alias("n")).first().n == 2
