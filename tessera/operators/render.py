@@ -26,9 +26,10 @@ def render_pages(frags: DataFrame, edits: DataFrame | None = None, drop_pages: D
     if edits is not None:
         ed = edits.select("page_id", "frag_no", html_escape("new_text").alias("src"), F.lit(1).alias("prio"))
         base = base.unionByName(ed)
+    base = base.repartition("page_id")
     if drop_pages is not None:
+        # after the exchange: only the (small) failed-page list moves
         base = base.join(drop_pages.select("page_id").distinct(), "page_id", "left_anti")
-    base = base.repartition("page_id")
     picked = base.groupBy("page_id", "frag_no").agg(F.max_by("src", "prio").alias("src"))
     return picked.groupBy("page_id").agg(
         F.expr("listagg(src, '') WITHIN GROUP (ORDER BY frag_no)").alias("html")
