@@ -165,18 +165,29 @@ def truncated(finish_reason: Column | str = "finish_reason") -> Column:
 # --------------------------------------------------------------------------
 # E3 chunk assembly
 # --------------------------------------------------------------------------
-def assemble_chunks(chunks: DataFrame) -> DataFrame:
+def assemble_chunks(chunks: DataFrame, block: int = 1024) -> DataFrame:
     """Streamed pieces -> one reply per request.
 
     Content is the pieces in ``seq`` order; role is the last non-null role;
-    finish reason is the one of the last piece. Partial aggregation applies
-    to the role and finish reason; the text concat is per request.
+    finish reason is the one of the last piece. Two levels: pieces are first
+    joined per block of ``block`` sequence numbers (spread over tasks, so a
+    request with a huge number of pieces is not sorted in one task), then the
+    blocks are joined per request in block order.
     """
-    return chunks.groupBy("request_id").agg(
-        F.expr("listagg(coalesce(content, ''), '') WITHIN GROUP (ORDER BY seq)").alias("content"),
-        F.max_by(F.col("role"), F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"),
-        F.max_by("finish_reason", "seq").alias("finish_reason"),
-        F.count(F.lit(1)).cast("int").alias("n_chunks"),
+    c = chunks.withColumn("_blk", F.floor(F.col("seq") / F.lit(block)).cast("long"))
+    parts = c.groupBy("request_id", "_blk").agg(
+        F.expr("listagg(coalesce(content, ''), '') WITHIN GROUP (ORDER BY seq)").alias("_part"),
+        F.max_by(F.col("role"), F.when(F.col("role").isNotNull(), F.col("seq"))).alias("_role"),
+        F.max(F.when(F.col("role").isNotNull(), F.col("seq"))).alias("_role_seq"),
+        F.max_by("finish_reason", "seq").alias("_finish"),
+        F.max("seq").alias("_last_seq"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    return parts.groupBy("request_id").agg(
+        F.expr("listagg(_part, '') WITHIN GROUP (ORDER BY _blk)").alias("content"),
+        F.max_by("_role", "_role_seq").alias("role"),
+        F.max_by("_finish", "_last_seq").alias("finish_reason"),
+        F.sum("_n").cast("int").alias("n_chunks"),
     )
 
 

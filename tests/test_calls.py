@@ -115,3 +115,12 @@ def test_replay_missing_reply(spark):
     out = {r.request_id: r for r in replay_backend(stored)(reqs).collect()}
     assert out["r-0"].content == "hi" and out["r-0"].error is None
     assert out["r-1"].content is None and out["r-1"].error == "no reply"
+
+
+def test_chunk_assembly_blocks(spark):
+    rows = [("q", i, "assistant" if i == 0 else None, chr(97 + i % 26), "stop" if i == 99 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "request_id string, seq int, role string, content string, finish_reason string")
+    for b in (1, 7, 1024):
+        r = assemble_chunks(df, block=b).first()
+        assert r.content == "".join(chr(97 + i % 26) for i in range(100))
+        assert (r.role, r.finish_reason, r.n_chunks) == ("assistant", "stop", 100)
