@@ -174,10 +174,11 @@ class PageTokenizer(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag, check_closed: bool = True):
-        self.flush()
         if check_closed and tag in self.closed_void:
+            # the redundant end tag of a void element: dropped without ending the text
             self.closed_void.remove(tag)
             return
+        self.flush()
         self._pop_to(tag)
 
     def handle_data(self, data):

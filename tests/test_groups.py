@@ -125,3 +125,41 @@ def test_pages_sf0001_all_single_shred(spark):
     g = page_groups(df)
     assert g.count() == 950
     assert g.filter("n_shreds > 1").count() == 0
+
+
+EDGE_CASES = [
+    # whitespace-only text keeps its form inside pre
+    ("<pre>  </pre><p>a</p>", [["  "], ["a"]]),
+    # whitespace-only text elsewhere collapses to one space: a shred
+    ("<p><b>a</b>   <b>b</b></p>", [["a", " ", "b"]]),
+    # CDATA, processing instructions and other declarations are text
+    ("<p>a<![CDATA[x]]>b</p>", [["a", "x", "b"]]),
+    ("<p>a<?pi x?>b</p>", [["a", "pi x?", "b"]]),
+    # an unmatched end tag closes nothing but ends the text; p is not closed by another p
+    ("<p>a</span>b<p>c</p>d</p>", [["a", "b"], ["c"], ["d"]]),
+    # the redundant end tag of a void element does not even end the text
+    ("<p><br>a</br>b</p>", [["ab"]]),
+    # a block inside an inline element does not split the outer group
+    ("<div><span>a<div>b</div>c</span></div>", [["a", "c"], ["b"]]),
+    # entities are decoded; numeric too
+    ("<p>&lt;x&gt; &amp; &#233;&#x41;</p>", [["<x> & éA"]]),
+    # an unclosed script swallows the rest
+    ("<p>a</p><script>b</p>", [["a"]]),
+    # title text is translated; only script is skipped
+    ("<title>T</title><template>U</template>", [["T"], ["U"]]),
+]
+
+
+def test_edge_cases(spark):
+    got = _groups(spark, [c for c, _ in EDGE_CASES])
+    for i, (html, want) in enumerate(EDGE_CASES):
+        assert got[i] == want, html
+
+
+def test_void_quirk_of_the_tree_builder():
+    # after a plain <br>, a later <br/> is not closed at once (tree-builder rule):
+    # the following text becomes its child
+    rows = tokenize_html("<p><br>x<br/>y</p>")
+    texts = [(r[1], r[2], r[4]) for r in rows if r[1] == "text"]
+    br2 = [r[3] for r in rows if r[1] == "start" and r[2] == "br"][1]
+    assert texts[1][2] == br2
