@@ -88,6 +88,9 @@ def validate_fit(replies: DataFrame) -> DataFrame:
     )
 
 
+FIT_ROW_COLS = ["page_id", "group_no", "n_shreds", "shreds", "src_text", "trans_text"]
+
+
 def fit_rounds(
     fit_rows: DataFrame,
     backend: Backend,
@@ -98,32 +101,31 @@ def fit_rounds(
     """Attempt rounds over a shrinking table of unresolved groups.
 
     ``fit_rows``: ``page_id, group_no, n_shreds, shreds, src_text,
-    trans_text``. Returns all candidates (``CANDIDATE_COLS``), read back
-    from the work area. The driver only loops over attempt numbers and
-    reads one count per round.
+    trans_text``. Per round: the replies are stored (call stage), then the
+    validated replies are stored once; the groups without a perfect fit,
+    read from that table, are the next round's input. Returns all
+    candidates (``CANDIDATE_COLS``). The driver only loops over attempt
+    numbers and asks once per round whether any group is left.
     """
-    active = work.write(fit_rows, f"{prefix}_active_0")
-    cand_path = f"{prefix}_candidates"
-    wrote = False
+    active = work.write(fit_rows.select(*FIT_ROW_COLS), f"{prefix}_active")
+    written: list[str] = []
     for attempt in range(options.fit_attempts):
         if active.isEmpty():
             break
         reqs = fit_requests(active, attempt, options)
         replies = call_model(reqs, backend, work, f"{prefix}_replies_{attempt}")
-        checked = validate_fit(replies)
-        cands = checked.filter("candidate").select(*CANDIDATE_COLS)
-        cands = work.write(cands, cand_path, mode="append" if wrote else "overwrite")
-        wrote = True
-        done = cands.filter((F.col("attempt") == attempt) & (F.col("score") == 1.0)).select("page_id", "group_no")
-        active = work.write(active.join(done, ["page_id", "group_no"], "left_anti"), f"{prefix}_active_{attempt + 1}")
-    if not wrote:
-        empty = fit_rows.sparkSession.createDataFrame(
+        name = f"{prefix}_checked_{attempt}"
+        checked = work.write(validate_fit(replies).select(*CANDIDATE_COLS, "candidate", "src_text", "trans_text"), name)
+        written.append(work.path(name))
+        perfect = F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False))
+        active = checked.filter(~perfect).select(*FIT_ROW_COLS)
+    if not written:
+        return fit_rows.sparkSession.createDataFrame(
             [], "page_id long, group_no int, attempt int, score double, reason string, "
             "pieces map<string,string>, bad_values boolean, n_shreds int, "
             "shreds array<struct<shred_no:int,frag_no:int,text:string>>"
         )
-        return empty
-    return work.read(cand_path)
+    return fit_rows.sparkSession.read.parquet(*written).filter("candidate").select(*CANDIDATE_COLS)
 
 
 def best_candidate(cands: DataFrame) -> DataFrame:

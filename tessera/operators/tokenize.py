@@ -54,11 +54,13 @@ _VOID = frozenset(VOID_TAGS)
 _PRESERVE = frozenset(PRESERVE_WHITESPACE_TAGS)
 _RAW = frozenset(RAW_TEXT_TAGS)
 _SKIP = frozenset(SKIPPED_TAGS)
-_ASCII_SPACES = {ord(c): None for c in "\x20\x0a\x09\x0c\x0d"}
+_ASCII_SPACES = "\x20\x0a\x09\x0c\x0d"
 ROOT_ID = -1
 
 
 def _escape_text(s: str) -> str:
+    if "&" not in s and "<" not in s and ">" not in s:
+        return s
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
@@ -72,6 +74,8 @@ def _quote_attr(v: str) -> str:
 
 
 def render_start_tag(name: str, attrs: dict, void: bool) -> str:
+    if not attrs:
+        return f"<{name}/>" if void else f"<{name}>"
     parts = [name]
     for k in sorted(attrs):
         parts.append(f"{k}={_quote_attr(attrs[k])}")
@@ -101,6 +105,7 @@ class PageTokenizer(HTMLParser):
         self.stack: list[_Node] = [root]
         self.buf: list[str] = []
         self.closed_void: list[str] = []
+        self.preserve_depth = 0
 
     # -- helpers -----------------------------------------------------------
     def _parent(self) -> _Node:
@@ -125,7 +130,7 @@ class PageTokenizer(HTMLParser):
             return
         data = "".join(self.buf)
         self.buf = []
-        if data.translate(_ASCII_SPACES) == "" and not any(n.name in _PRESERVE for n in self.stack):
+        if not data.strip(_ASCII_SPACES) and not self.preserve_depth:
             data = "\n" if "\n" in data else " "
         raw = self._parent().name in _RAW
         self._add_leaf("text", data, data if raw else _escape_text(data), raw)
@@ -147,12 +152,16 @@ class PageTokenizer(HTMLParser):
                    render_start_tag(name, ad, is_void), None)
         node = _Node(name, fid, inline, p.owner if p.inline else p.node_id, skip, idx)
         self.stack.append(node)
+        if name in _PRESERVE:
+            self.preserve_depth += 1
         if is_void and void_self_close:
             self._pop_to(name)
             self.closed_void.append(name)
 
     def _pop_one(self):
         n = self.stack.pop()
+        if n.name in _PRESERVE:
+            self.preserve_depth -= 1
         parent = self.stack[-1]
         src = "" if n.name in _VOID else f"</{n.name}>"
         self._emit("end", n.name, n.node_id, parent.node_id, n.child_idx, n.inline,

@@ -60,8 +60,8 @@ def test_translate_markup_faults_and_report(spark):
     assert tot["c"] > 0 and tot["f"] > 0 and tot["e"] > 0 and tot["s"] > tot["c"]
     assert tr.out_pages.count() == 200 - len(failed)
     # every fit round was written; no group got more than 11 attempts
-    cands = tr.work.read("fit_candidates")
-    assert cands.agg(F.max("attempt")).first()[0] <= 10
+    attempts = [a for a in range(12) if __import__("os").path.exists(tr.work.path(f"fit_checked_{a}"))]
+    assert attempts and max(attempts) <= 10
 
 
 def test_keep_mode_isolates_segments(spark):
