@@ -24,7 +24,11 @@ TEXT_KINDS = ("text", "cdata", "decl", "pi")
 
 
 def mark_fragments(frags: DataFrame) -> DataFrame:
-    """Shred flag, page-wide shred number and run number."""
+    """Shred flag, page-wide shred number and run number.
+
+    Returns the shred rows and the splitting block tags (the only rows that
+    move either running count), with ``shred_no`` and ``run_no``.
+    """
     page_w = Window.partitionBy("page_id").orderBy("frag_no").rowsBetween(Window.unboundedPreceding, 0)
     block_w = (
         Window.partitionBy("page_id", "owner_block")
@@ -35,10 +39,15 @@ def mark_fragments(frags: DataFrame) -> DataFrame:
     splits = (F.col("kind") == "start") & ~F.col("is_inline") & ~F.col("skip") & (
         F.col("parent_id") == F.col("owner_block")
     )
+    # Only shreds and splitting tags change either running count; every other
+    # fragment adds 0 to both, so it is dropped before the exchange.
     return (
         frags.withColumn("is_shred", is_shred)
+        .withColumn("_split", splits)
+        .filter(F.col("is_shred") | F.col("_split"))
         .withColumn("shred_no", (F.sum(F.col("is_shred").cast("int")).over(page_w) - 1).cast("int"))
-        .withColumn("run_no", F.sum(splits.cast("int")).over(block_w).cast("int"))
+        .withColumn("run_no", F.sum(F.col("_split").cast("int")).over(block_w).cast("int"))
+        .drop("_split")
     )
 
 
