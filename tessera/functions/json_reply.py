@@ -25,10 +25,6 @@ def reply_object(col) -> Column:
     return strip_trailing_commas(extract_object(col))
 
 
-def _wrapped(j: Column) -> Column:
-    return F.concat(F.lit("["), j, F.lit("]"))
-
-
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 

@@ -59,7 +59,8 @@ def call_model(
 def replay_backend(replies: DataFrame) -> Backend:
     """Offline form of the call: left join on ``request_id``.
 
-    A request without a stored reply gets ``error = 'no reply'``.
+    ``replies`` has ``REPLY_SCHEMA``. A request without a stored reply gets
+    ``error = 'no reply'``.
     """
 
     def run(requests: DataFrame) -> DataFrame:

@@ -15,10 +15,8 @@ ignored), void elements hold no children, whitespace-only text outside
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -268,30 +266,6 @@ def _batches(batches, max_rows: int = 65536):
         yield take()
 
 
-def _frames(batches: Iterator[pd.DataFrame], max_rows: int = 65536) -> Iterator[pd.DataFrame]:
-    """Pandas form of ``_batches`` (kept for callers on pandas batches)."""
-    cols: list[list] = [[] for _ in _COLS]
-
-    def take():
-        out = pd.DataFrame({name: col for name, col in zip(_COLS, cols)})
-        for c in cols:
-            c.clear()
-        return out
-
-    for pdf in batches:
-        for page_id, html in zip(pdf["page_id"].tolist(), pdf["html"].tolist()):
-            if html is None:
-                continue
-            for row in tokenize_html(html):
-                cols[0].append(page_id)
-                for j, v in enumerate(row, start=1):
-                    cols[j].append(v)
-            if len(cols[0]) >= max_rows:
-                yield take()
-    if cols[0]:
-        yield take()
-
-
 def fragments(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """B1: ``pages(page_id, html)`` -> ``fragments`` (FRAGMENT_SCHEMA).
 

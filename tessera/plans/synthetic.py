@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import html_escape, rot13
 from tessera.session import spread
 
-WRAP_TAGS = ("em", "code", "a")
-
-
 # --------------------------------------------------------------------------
 # markup: pages with multi-shred groups, from documents
 # --------------------------------------------------------------------------

@@ -124,3 +124,19 @@ def test_chunk_assembly_blocks(spark):
         r = assemble_chunks(df, block=b).first()
         assert r.content == "".join(chr(97 + i % 26) for i in range(100))
         assert (r.role, r.finish_reason, r.n_chunks) == ("assistant", "stop", 100)
+
+
+def test_chat_messages_and_rounds(spark):
+    from tessera.operators.requests import append_round, chat_messages, exploded_messages
+
+    conv = spark.createDataFrame(
+        [(1, 0, "system", "old"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo")],
+        "conv_id long, turn long, role string, text string",
+    )
+    cont = exploded_messages(chat_messages(conv, "sys"), ["conv_id"]).orderBy("pos").collect()
+    assert [(r.role, r.content) for r in cont] == [("system", "sys"), ("user", "hi"), ("assistant", "yo")]
+    new = exploded_messages(chat_messages(conv, "sys", "next?"), ["conv_id"]).orderBy("pos").collect()
+    assert [r.role for r in new] == ["system", "user", "assistant", "user"] and new[-1].content == "next?"
+    log = spark.createDataFrame([(1, "q", "a")], "id long, u string, a string").withColumn("history", F.lit(None))
+    h = append_round(append_round(log, "u", "a"), "u", "a").first().history
+    assert [m.role for m in h] == ["user", "assistant", "user", "assistant"]

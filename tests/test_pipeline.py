@@ -1,7 +1,5 @@
 """Rendering, the whole run and its report."""
 
-from pyspark.sql import functions as F
-
 from tessera.operators.render import render_pages
 from tessera.operators.tokenize import fragments
 from tessera.options import Options
@@ -10,7 +8,6 @@ from tessera.plans.translate import translate_pages
 
 
 def _render(spark, htmls):
-    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, url string")
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
     return {r.page_id: r.html for r in render_pages(fragments(df)).collect()}
 
@@ -72,3 +69,13 @@ def test_keep_mode_isolates_segments(spark):
     assert all(r.page_status == "ok" for r in rep)
     assert sum(r.e for r in rep if r.page_id % 8 == 7) > 0
     assert tr.out_pages.count() == 200
+
+
+def test_report_line_and_skipped(spark):
+    from tessera.operators.report import report_line
+    from tessera.operators.segments import skipped_groups
+
+    rep = spark.createDataFrame([(1, 3, 1, 0, 0, 4)], "page_id long, s int, c int, f int, e int, all int")
+    assert report_line(rep).first().line == "RESULT: S|C|F/ALL: 3|1|0/4"
+    g = spark.createDataFrame([(1, 0, 5), (1, 1, 50)], "page_id long, group_no int, n_tokens int")
+    assert [(r.group_no, r.reason) for r in skipped_groups(g, 20).collect()] == [(1, "oversize")]
