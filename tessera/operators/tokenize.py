@@ -198,7 +198,8 @@ class PageTokenizer(HTMLParser):
     def handle_decl(self, decl):
         self.flush()
         data = decl[len("DOCTYPE "):] if decl.startswith("DOCTYPE ") else decl
-        self._add_leaf("doctype", data, f"<!DOCTYPE {data}>")
+        # the serializer ends a doctype with a newline
+        self._add_leaf("doctype", data, f"<!DOCTYPE {data}>\n")
 
     def unknown_decl(self, data):
         self.flush()
