@@ -99,3 +99,39 @@ def test_render_shape_matches_example_output(spark):
     mine = _render(spark, [src])[0]
     assert re.findall(r"<[^>]+>", mine) == re.findall(r"<[^>]+>", out)
     assert re.findall(r">(\s+)<", mine) == re.findall(r">(\s+)<", out)
+
+
+def _fixed_backend(contents):
+    def run(requests):
+        from pyspark.sql import functions as F
+
+        expr = F.lit(None).cast("string")
+        for pid, text in contents.items():
+            expr = F.when(F.col("page_id") == pid, F.lit(text)).otherwise(expr)
+        return requests.select(
+            "*", F.lit(1).alias("calls"), expr.alias("content"), F.lit("stop").alias("finish_reason"),
+            F.lit(None).cast("string").alias("error"),
+        )
+
+    return run
+
+
+def test_translate_stage_faults(spark):
+    html = "<p>alpha</p><p>beta</p><p>gamma</p>"
+    pages = spark.createDataFrame([(p, f"u{p}", html) for p in (1, 2, 3)], "page_id long, url string, html string")
+    contents = {1: '{"0":"x","1":2}', 2: '{"0":"x","7":"y"}', 3: "garbage"}
+    for mode in ("fail_page", "keep"):
+        tr = translate_pages(pages, _fixed_backend(contents), Options(on_segment_error=mode), syn.rot13_fit_backend)
+        out = {(r.page_id, r.group_no): r.status for r in tr.outcomes.collect()}
+        rep = {r.page_id: r for r in tr.report.collect()}
+        assert (out[(1, 0)], out[(1, 1)], out[(1, 2)]) == ("S", "E", "M")
+        if mode == "fail_page":
+            assert rep[2].page_status == "failed" and rep[3].page_status == "failed"
+            assert {r.page_id for r in tr.out_pages.collect()} == {1}
+        else:
+            assert (out[(2, 0)], out[(2, 1)], out[(2, 2)], out[(2, None)]) == ("S", "M", "M", "U")
+            assert all(out[(3, g)] == "E" for g in range(3))
+            assert rep[2].u == 1 and rep[3].e == 3
+            assert {r.page_id for r in tr.out_pages.collect()} == {1, 2, 3}
+        pages_out = {r.page_id: r.html for r in tr.out_pages.collect()}
+        assert pages_out[1] == "<p>x</p><p>beta</p><p>gamma</p>"
