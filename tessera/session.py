@@ -64,10 +64,12 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``tessera`` importable on the Python workers of this context.
 
-    The package is zipped once into the shared checkpoint folder and added
-    with ``addPyFile``, so executors started anywhere can unpickle the
-    Arrow-batch functions (tokenizer, similarity, call stage).
+    The package is zipped in memory, written once into the shared checkpoint
+    folder (through Hadoop's file system API when the folder is not local)
+    and added with ``addPyFile``, so executors started anywhere can unpickle
+    the Arrow-batch functions (tokenizer, similarity, call stage).
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -75,15 +77,8 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    if "://" in base and not base.startswith("file:"):
-        # a shared non-local store: workers get the zip through addPyFile from the driver copy
-        target_dir = tempfile.mkdtemp(prefix="tessera-pkg-")
-    else:
-        target_dir = os.path.join(base[len("file:"):] if base.startswith("file:") else base, "tessera-pkg")
-        os.makedirs(target_dir, exist_ok=True)
-    zpath = os.path.join(target_dir, f"tessera-{uuid.uuid4().hex}.zip")
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg):
             if "__pycache__" in root:
                 continue
@@ -91,7 +86,24 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(zpath)
+    data = buf.getvalue()
+    base = ensure_checkpoint_dir(spark)
+    name = f"tessera-pkg/tessera-{uuid.uuid4().hex}.zip"
+    if "://" not in base or base.startswith("file:"):
+        local = os.path.join(base[len("file:"):] if base.startswith("file:") else base, name)
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        with open(local, "wb") as f:
+            f.write(data)
+        target = local
+    else:
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") + "/" + name)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+        target = path.toString()
+    sc.addPyFile(target)
     _SHIPPED.add(key)
 
 
