@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 OUTCOME_COLS = ["page_id", "group_no", "status", "score", "error"]
 
 
-def page_report(outcomes: DataFrame, pages: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """I1 (+ I4): one row per input page.
+def page_report(
+    outcomes: DataFrame, pages: DataFrame, failed: DataFrame | None = None, segments: DataFrame | None = None
+) -> DataFrame:
+    """I1 (+ I4, E8): one row per input page.
 
     ``failed(page_id, error)`` lists pages lost to a segment error; their
-    counts are zero and ``page_status`` is ``failed``. Counting is a partial
-    aggregate; only the per-page counts meet the page list.
+    counts are zero and ``page_status`` is ``failed``. ``segments(page_id,
+    truncated)`` (optional) adds ``truncated``, the number of replies that
+    stopped at the length limit. Counting is a partial aggregate; only the
+    per-page counts meet the page list.
     """
 
     def n(s):
@@ -32,6 +36,11 @@ def page_report(outcomes: DataFrame, pages: DataFrame, failed: DataFrame | None
         rep = rep.join(f, "page_id", "left")
     else:
         rep = rep.withColumn("page_error", F.lit(None).cast("string"))
+    if segments is not None:
+        t = segments.groupBy("page_id").agg(F.count_if(F.col("truncated")).cast("int").alias("truncated"))
+        rep = rep.join(t, "page_id", "left")
+    else:
+        rep = rep.withColumn("truncated", F.lit(None).cast("int"))
     zero = F.lit(0)
     for c in ["s", "c", "f", "e", "m", "u", "x"]:
         rep = rep.withColumn(c, F.when(F.col("page_error").isNotNull(), zero).otherwise(F.coalesce(F.col(c), zero)))
@@ -46,6 +55,7 @@ def page_report(outcomes: DataFrame, pages: DataFrame, failed: DataFrame | None
         "m",
         "u",
         "x",
+        F.coalesce(F.col("truncated"), zero).alias("truncated"),
         F.when(F.col("page_error").isNotNull(), F.lit("failed")).otherwise(F.lit("ok")).alias("page_status"),
         "page_error",
     )

@@ -143,7 +143,7 @@ def translate_pages(
     )
     edits = single_edits.unionByName(fit_edits(graded))
     out_pages = render_pages(frags, edits, failed)
-    report = page_report(outcomes, pages, failed)
+    report = page_report(outcomes, pages, failed, seg.select("page_id", "truncated"))
     # every later table reads written data; the cached plan is not needed any more
     planned.unpersist()
     return Translation(frags, planned, replies, outcomes, failed, out_pages, report, work)

@@ -56,6 +56,9 @@ def test_translate_markup_faults_and_report(spark):
     tot = {k: sum(getattr(r, k) for r in rep.values()) for k in "scfe"}
     assert tot["c"] > 0 and tot["f"] > 0 and tot["e"] > 0 and tot["s"] > tot["c"]
     assert tr.out_pages.count() == 200 - len(failed)
+    # class 6 pages get replies cut at the length limit: still used, and counted
+    assert all(r.truncated > 0 for p, r in rep.items() if p % 8 == 6 and r.all > 0)
+    assert all(r.truncated == 0 for p, r in rep.items() if p % 8 != 6)
     # every fit round was written; no group got more than 11 attempts
     attempts = [a for a in range(12) if __import__("os").path.exists(tr.work.path(f"fit_checked_{a}"))]
     assert attempts and max(attempts) <= 10
