@@ -49,6 +49,8 @@ def call_model(
     The prompt messages are dropped before storing (they are rebuilt from
     the request columns when needed); the reply is kept with its request key.
     """
+    if work.resume and work.done(name):
+        return work.read(name)  # stored replies of an earlier attempt of this run
     out = backend(requests)
     return work.write(out.drop(*[c for c in drop if c in out.columns]), name)
 

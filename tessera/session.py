@@ -113,17 +113,30 @@ class WorkArea:
     Writing a stage out cuts the lineage: a lost executor re-reads the
     written table instead of re-running earlier stages, and a model-call
     stage is never repeated by a re-planned downstream job.
+
+    With a fixed ``run_id`` and ``resume=True`` a restarted driver re-reads
+    every stage that was written completely (Spark's ``_SUCCESS`` marker)
+    instead of running it again, model calls included.
     """
 
-    def __init__(self, spark: SparkSession, run_id: str | None = None):
+    def __init__(self, spark: SparkSession, run_id: str | None = None, resume: bool = False):
         self.spark = spark
+        self.resume = resume
         base = ensure_checkpoint_dir(spark)
         self.root = os.path.join(base, "tessera", run_id or uuid.uuid4().hex)
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
+    def done(self, name: str) -> bool:
+        """The table was written completely."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+        if self.resume and mode == "overwrite" and self.done(name):
+            return self.read(name)
         p = self.path(name)
         df.write.mode(mode).parquet(p)
         return self.spark.read.parquet(p)

@@ -138,3 +138,22 @@ def test_translate_stage_faults(spark):
             assert {r.page_id for r in tr.out_pages.collect()} == {1, 2, 3}
         pages_out = {r.page_id: r.html for r in tr.out_pages.collect()}
         assert pages_out[1] == "<p>x</p><p>beta</p><p>gamma</p>"
+
+
+def test_resume_does_not_call_again(spark):
+    from tessera.session import WorkArea
+
+    calls = []
+
+    def counting(requests):
+        calls.append(1)
+        return syn.rot13_translate_backend(requests)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    run_id = "resume-test-" + __import__("uuid").uuid4().hex
+    first = translate_pages(pages, counting, Options(), syn.rot13_fit_backend, work=WorkArea(spark, run_id, resume=True))
+    a = sorted(tuple(r) for r in first.report.collect())
+    assert len(calls) == 1
+    again = translate_pages(pages, counting, Options(), syn.rot13_fit_backend, work=WorkArea(spark, run_id, resume=True))
+    assert sorted(tuple(r) for r in again.report.collect()) == a
+    assert len(calls) == 1
