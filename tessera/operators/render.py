@@ -22,7 +22,10 @@ def render_pages(frags: DataFrame, edits: DataFrame | None = None, drop_pages: D
     serializer escapes plain text); other fragments keep their source form,
     newlines included. Pages in ``drop_pages(page_id)`` are not written.
     """
-    base = frags.select("page_id", "frag_no", "src", F.lit(0).alias("prio"))
+    src = F.coalesce(
+        F.col("src"), F.when(F.col("raw"), F.col("text")).otherwise(html_escape("text"))
+    )
+    base = frags.select("page_id", "frag_no", src.alias("src"), F.lit(0).alias("prio"))
     if edits is not None:
         ed = edits.select("page_id", "frag_no", html_escape("new_text").alias("src"), F.lit(1).alias("prio"))
         base = base.unionByName(ed)

@@ -40,8 +40,9 @@ FRAGMENT_SCHEMA = T.StructType(
         T.StructField("skip", T.BooleanType(), False),
         # text is raw (script/style): written back without escaping
         T.StructField("raw", T.BooleanType(), False),
-        # serialized form of this token
-        T.StructField("src", T.StringType(), False),
+        # serialized form of this token; null for plain text, whose form is
+        # its text (escaped unless raw), so text is stored once
+        T.StructField("src", T.StringType(), True),
         # string value of text-like nodes
         T.StructField("text", T.StringType(), True),
     ]
@@ -131,7 +132,7 @@ class PageTokenizer(HTMLParser):
         if not data.strip(_ASCII_SPACES) and not self.preserve_depth:
             data = "\n" if "\n" in data else " "
         raw = self._parent().name in _RAW
-        self._add_leaf("text", data, data if raw else _escape_text(data), raw)
+        self._add_leaf("text", data, None, raw)
 
     def _open(self, name: str, attrs: list, void_self_close: bool):
         self.flush()
