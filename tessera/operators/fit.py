@@ -107,8 +107,10 @@ def fit_rounds(
     candidates (``CANDIDATE_COLS``). The driver only loops over attempt
     numbers and asks once per round whether any group is left.
     """
-    active = work.write(fit_rows.select(*FIT_ROW_COLS), f"{prefix}_active")
     written: list[str] = []
+    active = fit_rows.select(*FIT_ROW_COLS)
+    if not active.isEmpty():
+        active = work.write(active, f"{prefix}_active")
     for attempt in range(options.fit_attempts):
         if active.isEmpty():
             break
