@@ -1,7 +1,7 @@
 """Segment payloads, prompts and chat messages as columns.
 
 Prompt wording is our own; only the roles and the inputs of each message
-follow the reference. Every request is an independent row (the history is
+follow the behaviour being reproduced. Every request is an independent row (the history is
 cleared before each fit attempt, D9), so requests need no driver state.
 """
 

@@ -58,7 +58,7 @@ TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\x0B]"
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of one translation run (all have the reference defaults)."""
+    """Settings of one translation run (defaults equal the reproduced behaviour)."""
 
     source_language: str = "English"
     target_language: str = "Simplified Chinese"

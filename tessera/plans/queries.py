@@ -23,7 +23,7 @@ from tessera.operators.segments import page_tokens, plan_segments, segment_group
 from tessera.operators.tokenize import fragments
 from tessera.options import ENCODING_MAP, Options
 from tessera.plans import synthetic as syn
-from tessera.plans.translate import translate_pages
+from tessera.plans.translation import translate_pages
 from tessera.sources.tree import plan_tree
 
 SMALL_MAX = 200

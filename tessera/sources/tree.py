@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.calls import Backend
 from tessera.options import Options
-from tessera.plans.translate import Translation, translate_pages
+from tessera.plans.translation import Translation, translate_pages
 
 
 def _strip_scheme(col):

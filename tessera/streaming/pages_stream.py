@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.operators.calls import Backend
 from tessera.options import Options
-from tessera.plans.translate import translate_pages
+from tessera.plans.translation import translate_pages
 from tessera.sources.tree import _strip_scheme, plan_tree, write_tree
 
 BINARY_FILE_SCHEMA = T.StructType(
