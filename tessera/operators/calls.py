@@ -272,9 +272,14 @@ def backoff_schedule(
     order = [ts, tie]
     bucket = None
     if bucket_sec is not None:
-        bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_sec * 1e6)).cast("long")
+        bucket = "_bo_bucket"
+        log = log.withColumn(
+            bucket, F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_sec * 1e6)).cast("long")
+        )
     d = running_sum(log, key, order, (F.col(outcome) == "listed").cast("long"), "_cum", bucket)
     d = last_marked(d, key, order, F.col(outcome) == "ok", "_cum", "_at_ok", bucket)
+    if bucket is not None:
+        d = d.drop(bucket)
     n = F.col("_cum") - F.coalesce(F.col("_at_ok"), F.lit(0))
     delay = F.least(
         F.lit(options.backoff_cap_sec),

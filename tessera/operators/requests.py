@@ -171,7 +171,10 @@ def chat_message_rows(
     from tessera.operators.running import running_sum
 
     h = conversations.filter(F.col("role") != "system").select("conv_id", "turn", "role", F.col("text").alias("content"))
-    bucket = None if bucket_turns is None else F.floor(F.col("turn") / F.lit(bucket_turns)).cast("long")
+    bucket = None
+    if bucket_turns is not None:
+        bucket = "_turn_bucket"
+        h = h.withColumn(bucket, F.floor(F.col("turn") / F.lit(bucket_turns)).cast("long"))
     h = running_sum(h, "conv_id", ["turn"], F.lit(1).cast("long"), "pos", bucket)
     sys_rows = h.select("conv_id").distinct().select(
         "conv_id", F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), F.lit(system_prompt).alias("content")

@@ -15,34 +15,36 @@ from pyspark.sql import functions as F
 
 
 def running_sum(
-    df: DataFrame, key: str, order: list[str], value: Column, out: str, bucket: Column | None = None
+    df: DataFrame, key: str, order: list[str], value: Column, out: str, bucket: str | None = None
 ) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over the rows of the same key up to this one (inclusive)."""
+    """Adds ``out`` = sum of ``value`` over the rows of the same key up to this one (inclusive).
+
+    ``bucket`` names a column of ``df`` that grows with the order; several
+    steps on the same bucket column share one ``(key, bucket)`` partitioning.
+    """
     if bucket is None:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
-    b = f"_{out}_b"
-    d = df.withColumn(b, bucket).withColumn(f"_{out}_v", value)
+    b = bucket
+    d = df.withColumn(f"_{out}_v", value)
     totals = d.groupBy(key, b).agg(F.sum(f"_{out}_v").alias("_t"))
     before = Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, b, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias(f"_{out}_off"))
     inside = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(offsets, [key, b])
-    return d.withColumn(out, F.col(f"_{out}_off") + F.sum(f"_{out}_v").over(inside)).drop(
-        b, f"_{out}_v", f"_{out}_off"
-    )
+    return d.withColumn(out, F.col(f"_{out}_off") + F.sum(f"_{out}_v").over(inside)).drop(f"_{out}_v", f"_{out}_off")
 
 
 def last_marked(
-    df: DataFrame, key: str, order: list[str], mark: Column, value: str, out: str, bucket: Column | None = None
+    df: DataFrame, key: str, order: list[str], mark: Column, value: str, out: str, bucket: str | None = None
 ) -> DataFrame:
     """Adds ``out`` = ``value`` at the last row (up to this one) of the same key where ``mark`` holds."""
     marked = F.when(mark, F.col(value))
     if bucket is None:
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.last(marked, ignorenulls=True).over(w))
-    b = f"_{out}_b"
-    d = df.withColumn(b, bucket).withColumn(f"_{out}_m", marked)
+    b = bucket
+    d = df.withColumn(f"_{out}_m", marked)
     ordered = F.struct(*[F.col(c) for c in order])
     per_b = d.filter(F.col(f"_{out}_m").isNotNull()).groupBy(key, b).agg(
         F.max_by(f"_{out}_m", ordered).alias("_last")
@@ -55,4 +57,4 @@ def last_marked(
     inside = Window.partitionBy(key, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(carry, [key, b], "left")
     d = d.withColumn(out, F.coalesce(F.last(f"_{out}_m", ignorenulls=True).over(inside), F.col(f"_{out}_c")))
-    return d.drop(b, f"_{out}_m", f"_{out}_c")
+    return d.drop(f"_{out}_m", f"_{out}_c")
