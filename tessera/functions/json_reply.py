@@ -85,6 +85,20 @@ def has_non_string_value(col) -> Column:
     return blanked.rlike(r':\s*+[^"\s]')
 
 
+def has_trailing_text(col) -> Column:
+    """True when text follows the first complete top-level object.
+
+    The JSON reader stops after the first value and ignores the rest, so
+    ``{"0":"a"}] }`` would pass; Python's parser rejects it. With strings
+    blanked, an object nested at most two levels deep is matched possessively
+    and anything after it is trailing text. (Deeper objects are not judged.)
+    """
+    blanked = F.regexp_replace(reply_object(col), _JSON_STRING, '""')
+    flat = r"[^{}\[\]]"
+    inner = rf"\{{{flat}*+\}}|\[{flat}*+\]"
+    return blanked.rlike(rf"^\{{(?:{flat}++|{inner})*+\}}\s*+\S")
+
+
 def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply",
                       non_string: str | None = None, variants: str | None = None) -> DataFrame:
     """Adds ``out`` = reply text as ``map<string,string>``, null when it
@@ -102,7 +116,9 @@ def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply
     arr = F.from_json(j, "array<map<string,string>>", _STRICT)
     tmp = f"_raw_{out}"
     df = df.withColumn(tmp + "a", arr)
-    df = df.withColumn(tmp, F.when(F.size(tmp + "a") == 1, F.get(F.col(tmp + "a"), 0)))
+    df = df.withColumn(
+        tmp, F.when((F.size(tmp + "a") == 1) & ~has_trailing_text(content), F.get(F.col(tmp + "a"), 0))
+    )
     df = _dedup_last(df, tmp, out).drop(tmp, tmp + "a")
     flag = non_string or f"_ns_{out}"
     df = df.withColumn(flag, F.when(F.col(out).isNotNull(), has_non_string_value(content)))
