@@ -337,6 +337,17 @@ SELECT 't-' || page_id || '-' || seg_no AS request_id,
        CASE WHEN page_id % 8 = 7 THEN 'Maximum retry reached: rate limited' END AS error
 FROM req"""
 
+    sql["call_stage"] = f"""
+{_conv_requests_sql()}
+SELECT 't-' || page_id || '-' || seg_no AS request_id,
+       CAST(page_id AS BIGINT) AS page_id, CAST(seg_no AS BIGINT) AS seg_no,
+       CAST(CASE WHEN length(payload) % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS calls,
+       rot_payload AS content,
+       CASE WHEN length(payload) % 11 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+       length(payload) % 11 = 0 AS truncated,
+       CAST(NULL AS VARCHAR) AS error
+FROM req"""
+
     sql["chunk_assembly"] = """
 SELECT 'd-' || doc_id AS request_id, text AS content, 'assistant' AS role, 'stop' AS finish_reason,
        CAST(greatest(ceil(length(text) / 40.0e0), 1) AS BIGINT) AS n_chunks

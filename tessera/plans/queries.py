@@ -172,6 +172,24 @@ def q_replay(spark, sf):
     return out.select("request_id", *_long("page_id", "seg_no"), "content", "error")
 
 
+def q_call_stage(spark, sf):
+    """Segment requests through the live-call backend (paced,
+    retried) with a stand-in model that fails some first calls and cuts some
+    replies at the length limit."""
+    from tessera.operators.calls import python_backend, truncated
+
+    opts = OPTIONS.with_(rate_limit=100000, rate_period_sec=1.0, backoff_init_delay=0.0, call_partitions=8)
+    out = python_backend(syn.FlakyRotationModel(), opts)(_conv_requests(spark, sf))
+    return out.select(
+        "request_id",
+        *_long("page_id", "seg_no", "calls"),
+        "content",
+        "finish_reason",
+        truncated("finish_reason").alias("truncated"),
+        "error",
+    )
+
+
 def q_chunk_assembly(spark, sf):
     a = assemble_chunks(syn.reply_chunks(_t(spark, sf, "documents")))
     return a.select("request_id", "content", "role", "finish_reason", F.col("n_chunks").cast("long").alias("n_chunks"))
@@ -310,6 +328,7 @@ QUERIES = {
     "chat_history": q_chat_history,
     "fit_requests": q_fit_requests,
     "replay": q_replay,
+    "call_stage": q_call_stage,
     "chunk_assembly": q_chunk_assembly,
     "rate_check": q_rate_check,
     "backoff": q_backoff,

@@ -210,3 +210,33 @@ def reply_entries(segments: DataFrame) -> DataFrame:
         "page_id", "seg_no", F.lit("99").alias("key"), F.lit("v").alias("value")
     )
     return base.unionByName(extra)
+
+
+class FlakyRotationModel:
+    """Stand-in for a model service behind ``python_backend``.
+
+    Answers with the letter-rotated JSON payload of the last user message.
+    The first call for a payload whose length is a multiple of 7 fails with
+    a retryable error; a payload whose length is a multiple of 11 is answered
+    with finish reason ``length``. Each task gets its own copy (and memory).
+    """
+
+    def __init__(self):
+        self.failed: set[str] = set()
+
+    def __call__(self, model, messages, temperature):
+        import codecs
+        import json
+        import re
+
+        from tessera.operators.calls import RetryableError
+
+        user = [m for m in messages if m["role"] == "user"][-1]["content"]
+        found = re.search(r"\{.*\}", user, re.S)
+        payload = found.group(0) if found else "{}"
+        if len(payload) % 7 == 0 and payload not in self.failed:
+            self.failed.add(payload)
+            raise RetryableError("rate limited")
+        obj = json.loads(payload)
+        out = json.dumps({k: codecs.encode(v, "rot13") for k, v in obj.items()}, ensure_ascii=False, separators=(",", ":"))
+        return out, ("length" if len(payload) % 11 == 0 else "stop")
