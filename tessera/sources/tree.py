@@ -70,7 +70,9 @@ def plan_tree(files: DataFrame, root_src: str, root_dst: str, done: DataFrame |
 def existing_targets(spark: SparkSession, root_dst: str) -> DataFrame | None:
     """A4 input: relative paths that already exist under the target root."""
     dst = _norm_root(root_dst)
-    if not os.path.isdir(dst):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root_dst)
+    if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
         return None
     t = scan_tree(spark, dst, with_content=False)
     return t.select(F.substring(F.col("path"), len(dst) + 2, 1 << 30).alias("rel_path"))
@@ -88,7 +90,12 @@ def _write_files(rows, content_field: str, binary: bool):
 
 
 def write_tree(df: DataFrame, content_col: str, binary: bool) -> None:
-    """Each task writes its own files (``target_path``, ``content_col``)."""
+    """Each task writes its own files (``target_path``, ``content_col``).
+
+    The target must be a folder every executor can write to (a shared
+    mount); the table sink (``out_pages`` as parquet) works on any store.
+    Rewriting a file on a task retry gives the same content.
+    """
     df.select("target_path", content_col).foreachPartition(lambda rows: _write_files(rows, content_col, binary))
 
 
