@@ -30,7 +30,8 @@ def page_report(
         return F.count_if(F.col("status") == s).cast("int").alias(s.lower())
 
     counts = outcomes.groupBy("page_id").agg(n("S"), n("C"), n("F"), n("E"), n("M"), n("U"), n("X"))
-    rep = pages.select("page_id", "url").join(counts, "page_id", "left")
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url")
+    rep = pages.select("page_id", url).join(counts, "page_id", "left")
     if failed is not None:
         f = failed.groupBy("page_id").agg(F.min("error").alias("page_error"))
         rep = rep.join(f, "page_id", "left")

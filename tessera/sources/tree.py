@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.operators.calls import Backend
 from tessera.options import Options
 from tessera.plans.translation import Translation, translate_pages
+from tessera.session import WorkArea
 
 
 def _strip_scheme(col):
@@ -99,6 +100,21 @@ def write_tree(df: DataFrame, content_col: str, binary: bool) -> None:
     df.select("target_path", content_col).foreachPartition(lambda rows: _write_files(rows, content_col, binary))
 
 
+def numbered_pages(files: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """Pages to translate with a unique ``page_id`` (``monotonically_increasing_id``).
+
+    The result is meant to be written once (the ids are then fixed, and the
+    run works on a snapshot of the input files); a hash of the path could
+    collide across a billion files and merge two pages.
+    """
+    return files.select(
+        F.monotonically_increasing_id().alias("page_id"),
+        F.col("rel_path").alias("url"),
+        F.decode("content", encoding).alias("html"),
+        "target_path",
+    )
+
+
 def translate_tree(
     spark: SparkSession,
     root_src: str,
@@ -118,16 +134,12 @@ def translate_tree(
     plan = plan_tree(files, root_src, root_dst, existing_targets(spark, root_dst))
     copies = plan.filter(F.col("action") == "copy")
     write_tree(copies, "content", binary=True)
-    work = plan.filter(F.col("action") == "translate").select(
-        F.xxhash64("rel_path").alias("page_id"),
-        F.col("rel_path").alias("url"),
-        F.decode("content", encoding).alias("html"),
-        "target_path",
-    )
+    area = WorkArea(spark)
+    work = area.write(numbered_pages(plan.filter(F.col("action") == "translate"), encoding), "tree_pages")
     n_tasks = work.count()  # A8
     if n_tasks == 0:
         return 0, spark.createDataFrame([], "page_id long, url string"), None
-    tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend)
+    tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend, work=area)
     out = tr.out_pages.join(work.select("page_id", "target_path"), "page_id")
     write_tree(out, "html", binary=False)
     report = tr.report.join(work.select("page_id", "target_path"), "page_id", "left")

@@ -9,6 +9,7 @@ new files. Each page is self-contained: no state, no watermark.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 from tessera.operators.calls import Backend
 from tessera.options import Options
 from tessera.plans.translation import translate_pages
-from tessera.sources.tree import _strip_scheme, plan_tree, write_tree
+from tessera.session import WorkArea
+from tessera.sources.tree import _strip_scheme, numbered_pages, plan_tree, write_tree
 
 BINARY_FILE_SCHEMA = T.StructType(
     [
@@ -56,14 +58,10 @@ def translate_stream(
         b = batch.select(_strip_scheme(F.col("path")).alias("path"), "content")
         plan = plan_tree(b, root_src, root_dst).persist()
         write_tree(plan.filter(F.col("action") == "copy"), "content", binary=True)
-        work = plan.filter(F.col("action") == "translate").select(
-            F.xxhash64("rel_path").alias("page_id"),
-            F.col("rel_path").alias("url"),
-            F.decode("content", "UTF-8").alias("html"),
-            "target_path",
-        )
+        area = WorkArea(spark, f"stream-{batch_id}-{uuid.uuid4().hex}")
+        work = area.write(numbered_pages(plan.filter(F.col("action") == "translate")), "tree_pages")
         if not work.isEmpty():
-            tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend)
+            tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend, work=area)
             out = tr.out_pages.join(work.select("page_id", "target_path"), "page_id")
             write_tree(out, "html", binary=False)
             if report_path:
