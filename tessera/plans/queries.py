@@ -107,6 +107,11 @@ def q_skipped_conversations(spark, sf):
     return p.select(*_long("page_id", "group_no", "n_tokens"), F.lit("oversize").alias("reason"))
 
 
+def q_skipped_pages(spark, sf):
+    p = plan_segments(page_groups(_t(spark, sf, "pages")), SMALL_MAX).filter(F.col("seg_no").isNull())
+    return p.select(*_long("page_id", "group_no", "n_tokens"), F.lit("oversize").alias("reason"))
+
+
 # ---------------------------------------------------------------- D
 def _conv_requests(spark, sf):
     g = _conv_groups(spark, sf).withColumn("n_shreds", F.lit(1)).withColumn(
@@ -324,6 +329,7 @@ QUERIES = {
     "segments_conversations": q_segments_conversations,
     "segments_pages": q_segments_pages,
     "skipped_conversations": q_skipped_conversations,
+    "skipped_pages": q_skipped_pages,
     "segment_requests": q_segment_requests,
     "chat_history": q_chat_history,
     "fit_requests": q_fit_requests,

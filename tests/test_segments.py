@@ -90,3 +90,16 @@ def test_vocabulary_counter_when_available(spark):
 
     df = spark.createDataFrame([("hello world",)], "t string")
     assert df.select(vocab_token_count(F.col("t"), "cl100k_base").alias("n")).first().n == 2
+
+
+def test_fixture_counts_pages(spark):
+    from tessera.operators.groups import page_groups
+
+    g = page_groups(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    p = plan_segments(g, 200)
+    kept = p.filter(F.col("seg_no").isNotNull())
+    segs = kept.select("page_id", "seg_no").distinct()
+    assert kept.select("page_id").distinct().count() == 50
+    assert segs.count() == 144
+    assert segs.groupBy("page_id").count().filter("count > 1").count() == 40
+    assert p.filter(F.col("seg_no").isNull()).count() == 15
