@@ -244,7 +244,8 @@ def rate_check(
         both = b.withColumn("_carry", F.lit(False)).unionByName(carried)
         w = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
         out = both.withColumn("prev_ts", F.lag(ts, limit).over(w)).filter(~F.col("_carry")).drop("_carry", "_bucket")
-    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(1e6)
+    # wall-clock difference for TIMESTAMP_NTZ (no session time zone involved)
+    gap = F.expr(f"timestampdiff(MICROSECOND, prev_ts, `{ts}`)") / F.lit(1e6)
     return out.withColumn("gap_sec", gap).withColumn("breaks", gap < F.lit(period_sec))
 
 
