@@ -6,8 +6,10 @@ run: fragments, planned groups, replies, outcomes, rendered pages and the
 per-page report.
 
 Materialization points (written to the shared checkpoint folder):
-fragments (read by grouping and by rendering), the translation replies and
-every fit round (model calls are never repeated by a retried stage).
+fragments (read by grouping and by rendering), the translation replies,
+the exploded reply groups, the replies and validated rows of every fit
+round, and the outcomes. Model calls are never repeated by a retried stage,
+and with a resumable work area not by a restarted driver either.
 """
 
 from __future__ import annotations
