@@ -14,7 +14,9 @@ work area, so later rounds never recompute earlier ones.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.json_reply import int_key_order, with_parsed_reply
@@ -105,21 +107,31 @@ def fit_rounds(
     validated replies are stored once; the groups without a perfect fit,
     read from that table, are the next round's input. Returns all
     candidates (``CANDIDATE_COLS``). The driver only loops over attempt
-    numbers and asks once per round whether any group is left.
+    numbers; the number of groups left is observed while a round is written,
+    so no extra job asks for it.
     """
     written: list[str] = []
     active = fit_rows.select(*FIT_ROW_COLS)
-    if not active.isEmpty():
+    left = 0 if active.isEmpty() else None
+    if left is None:
         active = work.write(active, f"{prefix}_active")
     for attempt in range(options.fit_attempts):
-        if active.isEmpty():
+        if left == 0:
             break
         reqs = fit_requests(active, attempt, options)
         replies = call_model(reqs, backend, work, f"{prefix}_replies_{attempt}")
         name = f"{prefix}_checked_{attempt}"
-        checked = work.write(validate_fit(replies).select(*CANDIDATE_COLS, "candidate", "src_text", "trans_text"), name)
-        written.append(work.path(name))
         perfect = F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False))
+        checked = validate_fit(replies).select(*CANDIDATE_COLS, "candidate", "src_text", "trans_text")
+        if work.resume and work.done(name):
+            checked = work.read(name)
+            left = 0 if checked.filter(~perfect).isEmpty() else None
+        else:
+            # the number of groups left is counted while the round is written
+            obs = Observation(f"{prefix}_{attempt}_{uuid.uuid4().hex}")
+            checked = work.write(checked.observe(obs, F.count_if(~perfect).alias("left")), name)
+            left = obs.get["left"]
+        written.append(work.path(name))
         active = checked.filter(~perfect).select(*FIT_ROW_COLS)
     if not written:
         return fit_rows.sparkSession.createDataFrame(
