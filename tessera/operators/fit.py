@@ -109,10 +109,11 @@ def fit_rounds(
     """
     written: list[str] = []
     active = fit_rows.select(*FIT_ROW_COLS)
-    if not active.isEmpty():
-        active = work.write(active, f"{prefix}_active")
+    if active.isEmpty():
+        return _no_candidates(fit_rows)
+    active = work.write(active, f"{prefix}_active")
     for attempt in range(options.fit_attempts):
-        if active.isEmpty():
+        if attempt > 0 and active.isEmpty():
             break
         reqs = fit_requests(active, attempt, options)
         replies = call_model(reqs, backend, work, f"{prefix}_replies_{attempt}")
@@ -121,15 +122,17 @@ def fit_rounds(
         written.append(work.path(name))
         perfect = F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False))
         active = checked.filter(~perfect).select(*FIT_ROW_COLS)
-    if not written:
-        return fit_rows.sparkSession.createDataFrame(
-            [], "page_id long, group_no int, attempt int, score double, reason string, "
-            "pieces map<string,string>, bad_values boolean, n_shreds int, "
-            "shreds array<struct<shred_no:int,frag_no:int,text:string>>"
-        )
     return fit_rows.sparkSession.read.parquet(*written).filter("candidate").select(*CANDIDATE_COLS)
 
 
+def _no_candidates(like: DataFrame) -> DataFrame:
+    return like.sparkSession.createDataFrame(
+        [], "page_id long, group_no int, attempt int, score double, reason string, "
+        "pieces map<string,string>, bad_values boolean, n_shreds int, "
+        "shreds array<struct<shred_no:int,frag_no:int,text:string>>"
+    )
+
+
 def best_candidate(cands: DataFrame) -> DataFrame:
     """Highest score, earliest attempt on ties, as a partial aggregate."""
     rank = F.struct(F.col("score"), (-F.col("attempt")).alias("neg_attempt"))
