@@ -31,3 +31,16 @@ def test_scan_prunes_columns(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = fragments(pages, min_partitions=1)._jdf.queryExecution().executedPlan().toString()
     assert "url" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_spread_only_when_under_partitioned(spark):
+    from tessera.session import spread
+
+    one = spark.range(100).coalesce(1)
+    many = spark.range(0, 100, numPartitions=16)
+    spread_one = spread(one, 8)
+    spread_many = spread(many, 8)
+    assert spread_one.rdd.getNumPartitions() == 8
+    assert "RoundRobinPartitioning" in spread_one._jdf.queryExecution().executedPlan().toString()
+    assert spread_many.rdd.getNumPartitions() == 16
+    assert "Exchange" not in spread_many._jdf.queryExecution().executedPlan().toString()
