@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import sharding
+from tessera.llm import line_dedup, sharding
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_kd_sharding": sharding.op9_kd_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+}
