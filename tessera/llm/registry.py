@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, sharding
+from tessera.llm import line_dedup, sharding, warc
 
 QUERIES = {
+    "op6_warc_segments": warc.op6_warc_segments,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_kd_sharding": sharding.op9_kd_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_warc_segments": warc.OP6_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
 }
