@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, sharding, warc
+from tessera.llm import line_dedup, sharding, token_files, warc
 
 QUERIES = {
+    "op3_token_files": token_files.op3_token_files,
     "op6_warc_segments": warc.op6_warc_segments,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_kd_sharding": sharding.op9_kd_sharding,
