@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, sharding, token_files, warc
+from tessera.llm import line_dedup, sharding, token_files, toxicity, warc
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op3_token_files": token_files.op3_token_files,
     "op6_warc_segments": warc.op6_warc_segments,
     "op2_line_dedup": line_dedup.op2_line_dedup,
