@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_tree, line_dedup, sharding, token_files, toxicity, warc
+from tessera.llm import bpe_tree, line_dedup, quality, sharding, token_files, toxicity, warc
 
 QUERIES = {
+    "op8_quality_llr": quality.op8_quality_llr,
     "op7_bpe_tree": bpe_tree.op7_bpe_tree,
     "op4_toxicity": toxicity.op4_toxicity,
     "op3_token_files": token_files.op3_token_files,
