@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_tree, line_dedup, quality, sharding, substring_dedup, token_files, toxicity, warc
+from tessera.llm import bpe_tree, jaccard_join, line_dedup, quality, sharding, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op8_quality_llr": quality.op8_quality_llr,
     "op7_bpe_tree": bpe_tree.op7_bpe_tree,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op6_warc_segments": warc.OP6_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
