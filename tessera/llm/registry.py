@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_tree, jaccard_join, line_dedup, quality, sharding, substring_dedup, token_files, toxicity, warc
+from tessera.llm import bpe_tree, decontamination, jaccard_join, line_dedup, quality, sharding, substring_dedup, token_files, toxicity, warc
 
 QUERIES = {
+    "op10_cgk_decontamination": decontamination.op10_cgk_decontamination,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op8_quality_llr": quality.op8_quality_llr,
