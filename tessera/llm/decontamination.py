@@ -166,24 +166,13 @@ class ItemIndex:
 def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeats: int = 32, sampled: int = 3, block_bytes: int = 4 << 20, seed: int = 11) -> DataFrame:
     """doc_id, item_id, n_words (of the item), edits and last_word (the place in
     the document where the best stretch ends) of every item in every document."""
-    spark = docs.sparkSession
-    area = work_area(spark)
-    items = benchmark.select("item_id", "text").filter("text is not null")
-    sized = items.groupBy("item_id", "text").agg(F.octet_length("text").alias("size"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    blocks = -(-total // (block_bytes // 2)) or 1
-    by_block = area.write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).distinct(), "items")
-
     out = None
-    for k in range(blocks):
-        own = sorted((r["item_id"] is not None, r["item_id"] or 0, r["text"]) for r in by_block.filter(F.col("block") == k).collect())
-        index = spark.sparkContext.broadcast(ItemIndex([(i if known else None, t) for known, i, t in own], edits, repeats, sampled, seed))
+    for index in _blocks(benchmark, edits, repeats, sampled, block_bytes, seed):
 
         def search(batches, index=index):
             x = index.value
             for b in text_slices(batches):
-                h, counts = normal_words(b.column(1))
-                rows = x.search(h, counts)
+                rows = x.search(*normal_words(b.column(1)))
                 if rows:
                     t, i, e, w = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -195,5 +184,31 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeat
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeats: int = 32, sampled: int = 3, block_bytes: int = 4 << 20, seed: int = 11) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+    at = docs.columns.index("text")
+    for index in _blocks(benchmark, edits, repeats, sampled, block_bytes, seed):
+
+        def clean(batches, index=index):
+            for b in text_slices(batches):
+                bad = {t for t, *_ in index.value.search(*normal_words(b.column(at)))}
+                yield b.filter(pa.array([k not in bad for k in range(b.num_rows)]))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, edits: float, repeats: int, sampled: int, block_bytes: int, seed: int):
+    """Broadcast indexes of the benchmark's items, block by block."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text").filter("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // (block_bytes // 2)) or 1
+    by_block = work_area(spark).write(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), "items")
+    for k in range(blocks):
+        own = sorted((r["item_id"] is not None, r["item_id"] or 0, r["text"]) for r in by_block.filter(F.col("block") == k).collect())
+        yield spark.sparkContext.broadcast(ItemIndex([(i if known else None, t) for known, i, t in own], edits, repeats, sampled, seed))
+
+
 def op10_cgk_decontamination(spark, sf_dir: str) -> DataFrame:
     return find_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))

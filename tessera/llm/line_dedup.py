@@ -38,7 +38,6 @@ table gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -271,10 +270,13 @@ class _Hot:
         return out
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, hot: int = 10_000, shards: int | None = None) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept (the text left) of every row of docs."""
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, hot: int = 10_000, shards: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept (the text left) of every row of docs, and
+    a struct ``carry`` of the columns named so."""
     spark = docs.sparkSession
     area = work_area(spark)
+    carried = F.struct(*carry) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    whole = docs.select("doc_id", "text", carried.alias("carry"))
     docs = docs.select("doc_id", "text")
     shards = shards or partitions(spark)
     index = area.write(index_lines(docs, min_chars, shards), "index")
@@ -335,11 +337,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
             for i in np.flatnonzero(dropped):
                 lines, bad = kept[i].split("\n"), set(place[out & (owner == i)].tolist()) if dropped[i] else ()
                 kept[i] = "\n".join(x for k, x in enumerate(lines) if k not in bad)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())],
-                                             ["doc_id", "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string()), b.column(3)],
+                                             ["doc_id", "n_lines", "n_dropped", "kept", "carry"])
 
-    joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"]), "left").select(docs["doc_id"], "text", "gone")
-    return joined.mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept string")
+    joined = whole.join(lists, whole["doc_id"].eqNullSafe(lists["doc_id"]), "left").select(whole["doc_id"], "text", "gone", "carry")
+    out = joined.mapInArrow(rewrite, f"doc_id long, n_lines long, n_dropped long, kept string, carry {whole.schema['carry'].dataType.simpleString()}")
+    return out if carry else out.drop("carry")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

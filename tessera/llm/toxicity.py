@@ -13,8 +13,8 @@ Learning uses a bounded sample of labelled rows: the ``sample`` rows with the
 smallest hash of doc_id among those with crc32(doc_id as text) mod 5 not 0. The
 sample's ids are the only thing broadcast besides the model (``terms`` rows of
 ``FACTORS`` + 1 numbers), both of a size fixed by parameters. Buckets are
-chosen by their likelihood-ratio statistic against the label, counted over the
-sample by a Spark aggregate; the machine is then fitted on the driver from the
+chosen by their likelihood-ratio statistic against the label (``least_gain`` or
+more, the ``terms`` best), counted over the sample by a Spark aggregate; the machine is then fitted on the driver from the
 sample's chosen terms (a few per row). Scoring covers every whole text.
 
 Defined cases: null and empty texts have no terms and get the score of the bias
@@ -136,7 +136,7 @@ def _held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5 == 0
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, terms: int = 2048, min_rows: int = 5):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, terms: int = 2048, min_rows: int = 5, least_gain: float = 4.0):
     """(chosen, machine): places of the chosen buckets and the fitted machine."""
     spark = docs.sparkSession
     picked = (
@@ -164,7 +164,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, terms
     c, d = F.lit(n["bad"] + 1.0), F.lit(n["good"] + 1.0)
     share = (a + b) / (c + d)
     gain = part(a, c * share) + part(b, d * share) + part(c - a, c * (1 - share)) + part(d - b, d * (1 - share))
-    best = seen.filter(F.col("bad") + F.col("good") >= min_rows).withColumn("gain", gain).orderBy(F.desc("gain"), "bucket").limit(terms).collect()
+    best = seen.filter(F.col("bad") + F.col("good") >= min_rows).withColumn("gain", gain).filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "bucket").limit(terms).collect()
     chosen[[r["bucket"] for r in best]] = np.arange(len(best), dtype=np.int32)
 
     def present(batches):
