@@ -8,14 +8,15 @@ length. Of pages with equal payloads of at least ``least`` bytes the one with
 the largest page_id is the response; the others are ``revisit`` records that
 refer to it and carry no payload. Records are packed into archives of about
 ``archive_bytes``; Spark's own text writer puts them into files, its line
-separator being the two line ends that close a record, so the files are plain
-WARC files on any file system that Spark writes.
+separator being the two line ends that close a record and gzip its codec, so
+the files are compressed WARC files on any file system that Spark writes.
 
 *Reading.* Every archive is parsed by its content lengths, independently of
-the others. Records are grouped by the identifier of their origin, wherever
-their segments lie, ordered by segment number, checked to be gapless and of
-the stated total length, joined, and taken out of the chunked framing; the
-SHA-1 is compared with the record's digest. Revisits take their payload's
+the others. Segments are grouped by the identifier of their origin, wherever
+they lie, ordered by segment number, checked to be gapless and of the stated
+total length and joined; a record that isn't segmented is whole where it is
+read and goes through no shuffle. Blocks are taken out of the chunked framing
+and the SHA-1 is compared with the record's digest. Revisits take their payload's
 length and digest from the response they refer to.
 
 A group has the segments of one record, so its size is that of one page. Hot
@@ -32,6 +33,7 @@ of the input are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -159,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, segment_byt
             yield pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary())], ["archive"])
 
     archives = rows.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string"))
-    archives.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).text(folder)
+    archives.write.option("lineSep", END.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(folder)
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -168,61 +170,67 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row per page record of all archives in folder."""
 
-    def parse(batches):
+    def headers(h: dict) -> dict:
+        kind = h[b"warc-type"].decode()
+        ident = h[b"warc-segment-origin-id" if kind == "continuation" else b"warc-record-id"]
+        number, total, page, ref = (h.get(k) for k in (b"warc-segment-number", b"warc-segment-total-length", b"x-page-id", b"x-refers-to-page-id"))
+        return {
+            "origin": ident.decode(), "number": int(number) if number else None, "total": int(total) if total else None, "kind": kind,
+            "page_id": int(page) if page else None, "refers_to": int(ref) if ref else None,
+            "digest": h[b"warc-payload-digest"].decode().removeprefix("sha1:") if b"warc-payload-digest" in h else None,
+        }
+
+    def decoded(r: dict, block: bytes) -> dict:
+        row = {"page_id": r["page_id"], "payload_bytes": None, "payload_digest": r["digest"], "record_type": r["kind"], "refers_to": r["refers_to"]}
+        if r["kind"] == "response":
+            payload = unchunked(block[block.index(END) + 4 :])
+            if hashlib.sha1(payload).hexdigest() != r["digest"]:
+                raise ValueError(f"{r['origin']}: payload differs from its digest")
+            row["payload_bytes"] = len(payload)
+            if with_payload:
+                row["payload"] = payload
+        return row
+
+    def records(batches):
+        """(headers, block) of the page records and segments, archive by archive."""
         for b in batches:
             for i in range(b.num_rows):
-                rows = []
-                for h, block in parse_records(b.column(0)[i].as_py()):
-                    kind = h[b"warc-type"].decode()
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    ident = h[b"warc-segment-origin-id" if kind == "continuation" else b"warc-record-id"]
-                    number, total, page, ref = (h.get(k) for k in (b"warc-segment-number", b"warc-segment-total-length", b"x-page-id", b"x-refers-to-page-id"))
-                    rows.append({
-                        "origin": ident.decode(), "number": int(number or 1), "total": int(total) if total else None, "kind": kind,
-                        "page_id": int(page) if page else None, "refers_to": int(ref) if ref else None,
-                        "digest": h[b"warc-payload-digest"].decode().removeprefix("sha1:") if b"warc-payload-digest" in h else None, "block": block,
-                    })
-                yield pa.RecordBatch.from_pylist(rows, parsed)
+                data = gzip.decompress(b.column(0)[i].as_py())
+                yield [(headers(h), block) for h, block in parse_records(data) if h[b"warc-type"] in (b"response", b"revisit", b"continuation")]
 
-    parsed = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()),
-                        ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
-    files = spark.read.format("binaryFile").load(folder).select("content")
-    records = files.mapInArrow(parse, "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, block binary")
-    first = F.col("kind") != "continuation"
-    whole = records.groupBy("origin").agg(
-        F.collect_list(F.struct("number", "block")).alias("segments"),
-        F.max("total").alias("total"),
-        F.max(F.when(first, F.col("kind"))).alias("kind"),
-        F.max(F.when(first, F.col("page_id"))).alias("page_id"),
-        F.max(F.when(first, F.col("refers_to"))).alias("refers_to"),
-        F.max(F.when(first, F.col("digest"))).alias("digest"),
-    )
+    def whole(batches):
+        for found in records(batches):
+            yield pa.RecordBatch.from_pylist([decoded(r, block) for r, block in found if r["number"] is None], schema)
+
+    def segments(batches):
+        for found in records(batches):
+            yield pa.RecordBatch.from_pylist([r | {"block": block} for r, block in found if r["number"] is not None], parsed)
 
-    def decode(batches):
+    def joined(batches):
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 r = {n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)}
                 if r["kind"] is None:
                     raise ValueError(f"{r['origin']}: continuation without its origin")
-                row = {"page_id": r["page_id"], "payload_bytes": None, "payload_digest": r["digest"], "record_type": r["kind"], "refers_to": r["refers_to"]}
-                if r["kind"] == "response":
-                    block = reassemble([(s["number"], s["block"]) for s in r["segments"]], r["total"])
-                    payload = unchunked(block[block.index(END) + 4 :])
-                    if hashlib.sha1(payload).hexdigest() != r["digest"]:
-                        raise ValueError(f"{r['origin']}: payload differs from its digest")
-                    row["payload_bytes"] = len(payload)
-                    if with_payload:
-                        row["payload"] = payload
-                out.append(row)
+                out.append(decoded(r, reassemble([(x["number"], x["block"]) for x in r["segments"]], r["total"])))
             yield pa.RecordBatch.from_pylist(out, schema)
 
+    parsed = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()),
+                        ("refers_to", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
+    parts = files.mapInArrow(segments, "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, block binary")
+    first = F.col("kind") != "continuation"
+    groups = parts.groupBy("origin").agg(
+        F.collect_list(F.struct("number", "block")).alias("segments"),
+        F.max("total").alias("total"),
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "digest")],
+    )
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
                         ("refers_to", pa.int64()), *([("payload", pa.binary())] if with_payload else [])])
-    pages = whole.mapInArrow(decode, RECORD + (", payload binary" if with_payload else ""))
-    area = work_area(spark)
-    pages = area.write(pages, "records")
+    fields = RECORD + (", payload binary" if with_payload else "")
+    pages = files.mapInArrow(whole, fields).unionByName(groups.mapInArrow(joined, fields))
+    pages = work_area(spark).write(pages, "records")
     served = pages.filter("record_type = 'response' and page_id is not null").select(
         F.col("page_id").alias("of_page"), F.col("payload_digest").alias("of_digest"), F.col("payload_bytes").alias("of_bytes"),
         *([F.col("payload").alias("of_payload")] if with_payload else []),
