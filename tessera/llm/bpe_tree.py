@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,24 +50,29 @@ class TreeEncoder(bpe_words.WordEncoder):
     """Word encoder that can also encode unsplit text by halves."""
 
     def __init__(self, path: str):
-        super().__init__(path)
-        from tokenizers import models
-
+        super().__init__(path, keep=500_000)
         with open(path) as f:
             spec = json.load(f)
-        m = spec["model"]
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in m["merges"]]
-        self.ending = models.BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=m["end_of_word_suffix"])
-        self.going_on = models.BPE(vocab=m["vocab"], merges=merges)
-        self.suffix = m["end_of_word_suffix"] or ""
+        self.spec = spec["model"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        names = {v: k for k, v in m["vocab"].items()}
-        self.text_of = [names.get(i, "").removesuffix(self.suffix) for i in range(max(names) + 1)]
+
+    @cached_property
+    def models(self):
+        """The model without and with the end-of-word mark; loaded where unsplit text is met."""
+        from tokenizers import models
+
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in self.spec["merges"]]
+        return models.BPE(vocab=self.spec["vocab"], merges=merges), models.BPE(vocab=self.spec["vocab"], merges=merges, end_of_word_suffix=self.spec["end_of_word_suffix"])
+
+    @cached_property
+    def text_of(self) -> list[str]:
+        names = {v: k for k, v in self.spec["vocab"].items()}
+        return [names.get(i, "").removesuffix(self.spec["end_of_word_suffix"] or "") for i in range(max(names) + 1)]
 
     def half(self, symbols: str, last: bool) -> list[int]:
         """Ids of a piece of a pre-token (in the byte alphabet)."""
-        return [t.id for t in (self.ending if last else self.going_on).tokenize(symbols)]
+        return [t.id for t in self.models[last].tokenize(symbols)]
 
     def join(self, left: list[int], right: list[int], last: bool, window: int = 4) -> list[int]:
         """The ids of two neighbouring halves as one; last: the pre-token ends
@@ -160,7 +166,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame
 
     def whole(batches):
         enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in text_slices(batches, most=8 << 20):
+        for b in text_slices(batches, most=4 << 20):
             ids, counts = enc.texts(b.column(1))
             raw, ends = memoryview(ids.astype("<i4").tobytes()), 4 * np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], ["doc_id", "ids"])
@@ -219,37 +225,45 @@ def encode_texts(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame
     return docs.filter(~long).mapInArrow(whole, "doc_id long, ids binary").unionByName(trees.mapInArrow(concatenate, "doc_id long, ids binary"))
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    return bpe_words.load(path)
+
+
+def _decoded(batches, tokenizer: str):
+    """(batch, ids as lists, decoded texts), a bounded slice of ids at a time."""
+    tok = _tokenizer(tokenizer)
+    for b in text_slices(batches, text="ids", most=1 << 20):
+        ids = [np.frombuffer(x, "<i4").tolist() for x in b.column(1).to_pylist()]
+        yield b, ids, tok.decode_batch(ids, skip_special_tokens=False)
+
+
 def decode_ids(coded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids, and the decoded text of every document."""
 
     def decode(batches):
-        enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in text_slices(batches, text="ids", most=8 << 20):
-            texts = enc.tok.decode_batch([np.frombuffer(x, "<i4").tolist() for x in b.column(1).to_pylist()], skip_special_tokens=False)
+        for b, _, texts in _decoded(batches, tokenizer):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return coded.mapInArrow(decode, "doc_id long, ids binary, decoded string")
 
 
-def with_digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of decoded documents."""
+def digests(coded: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
 
     def digest(batches):
         name = list(map(str, range(1 << 16)))
-        for b in text_slices(batches, text="ids", most=8 << 20):
-            counts, shas = [], []
-            for x in b.column(1).to_pylist():
-                ids = np.frombuffer(x, "<i4").tolist()
-                counts.append(len(ids))
-                shas.append(hashlib.sha256(" ".join(map(name.__getitem__, ids)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(shas), b.column(2)], ["doc_id", "n_tokens", "ids_sha256", "decoded"])
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        for b, ids, texts in _decoded(batches, tokenizer):
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(name.__getitem__, x))) for x in ids], pa.string()), pa.array(list(map(sha, texts)), pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe_tree(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    return with_digests(decode_ids(encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), path), path))
+    return digests(encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), path), path)

@@ -5,11 +5,12 @@ pre-tokenizer drops it, so no token, normalization or special token reaches
 across the ASCII white space between two words: a text's ids are the ids of
 its words, one after another. Every distinct word is therefore given to the
 library once and looked up afterwards; the table of a Python worker is bounded
-by ``KEEP_WORDS`` and starts anew when full.
+by ``keep`` words and starts anew when full.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import threading
 
@@ -18,13 +19,13 @@ import pyarrow as pa
 
 from tessera.llm.common import split_words
 
-KEEP_WORDS = 1_000_000
 #: Characters whose normalized and lower-cased forms have as many UTF-8 bytes
 #: as they have, and which never combine: ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -36,10 +37,9 @@ def load(path: str):
 class WordEncoder:
     """Ids of words and of texts, for a tokenizer that drops white space."""
 
-    def __init__(self, path: str, long_words=None, long_chars: int = 1 << 62):
-        """long_words(word) -> ids encodes words of over long_chars characters."""
+    def __init__(self, path: str, keep: int = 1_000_000):
         self.tok = load(path)
-        self.long_words, self.long_chars = long_words, long_chars
+        self.keep = keep
         size = self.tok.get_vocab_size()
         names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.bytes_of = np.array([len(n.removesuffix("</w>")) for n in names], np.int64)
@@ -80,10 +80,7 @@ class WordEncoder:
                 continue
             self._add(part, ids, np.diff(last, prepend=-1))
         for w in other:
-            if len(w) > self.long_chars:
-                ids = self.long_words(w)
-            else:
-                ids = self.tok.encode(w, add_special_tokens=False).ids
+            ids = self.tok.encode(w, add_special_tokens=False).ids
             self._add([w], np.array(ids, np.int32), np.array([len(ids)]))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +91,7 @@ class WordEncoder:
         coded = words.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         names = coded.dictionary.to_pylist()
-        if len(self.at) > KEEP_WORDS:
+        if len(self.at) > self.keep:
             self._reset()
         new = [w for w in names if w not in self.at]
         if new:
