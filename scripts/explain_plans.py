@@ -34,7 +34,7 @@ def main():
     spark = local_session(8)
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # show the static plan
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    f = fragments(pages, min_partitions=1)
+    f = fragments(pages)
     planned = plan_segments(page_groups(pages, f), 1638, carry=["text", "n_shreds", "shreds"])
     show("grouping -> segments -> requests", translate_requests(planned.filter(F.col("seg_no").isNotNull()), Options()))
     edits = spark.createDataFrame([(0, 5, "x")], "page_id long, frag_no int, new_text string")

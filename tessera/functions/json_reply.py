@@ -89,14 +89,26 @@ def has_trailing_text(col) -> Column:
     """True when text follows the first complete top-level object.
 
     The JSON reader stops after the first value and ignores the rest, so
-    ``{"0":"a"}] }`` would pass; Python's parser rejects it. With strings
-    blanked, an object nested at most two levels deep is matched possessively
-    and anything after it is trailing text. (Deeper objects are not judged.)
+    ``{"0":"a"}] }`` would pass; Python's parser rejects it. Strings are
+    blanked and everything that is no bracket becomes one mark; the depth is
+    then counted bracket by bracket, so the rule holds at any depth: something
+    that comes when the depth is back at zero is trailing text. Objects without
+    inner brackets (nearly all) are judged by one pattern.
     """
     blanked = F.regexp_replace(reply_object(col), _JSON_STRING, '""')
-    flat = r"[^{}\[\]]"
-    inner = rf"\{{{flat}*+\}}|\[{flat}*+\]"
-    return blanked.rlike(rf"^\{{(?:{flat}++|{inner})*+\}}\s*+\S")
+    flat = blanked.rlike(r"^\{[^{}\[\]]*+\}$")
+    marks = F.split(F.regexp_replace(F.regexp_replace(blanked, r"\s++", ""), r"[^{}\[\]]++", "x"), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("begun"), F.lit(False).alias("after"))
+    counted = F.aggregate(
+        marks, start,
+        lambda a, c: F.struct(
+            (a["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            F.lit(True).alias("begun"),
+            (a["after"] | (a["begun"] & (a["depth"] == 0) & (c != ""))).alias("after"),
+        ),
+        lambda a: a["after"],
+    )
+    return F.when(flat, F.lit(False)).otherwise(counted)
 
 
 def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply",

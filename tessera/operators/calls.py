@@ -11,15 +11,18 @@ error STRING``. Three kinds exist:
 
 ``call_model`` writes the replies to the shared work area before anything
 reads them: a retried or re-planned downstream stage re-reads the stored
-replies and never calls the model twice for a ``request_id``.
+replies. Within the call stage itself a lost task repeats the calls of its share
+of one wave; complete waves are never asked again.
 """
 
 from __future__ import annotations
 
 import random
+import threading
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,9 +51,25 @@ def call_model(
 
     The prompt messages are dropped before storing (they are rebuilt from
     the request columns when needed); the reply is kept with its request key.
+
+    Live backends (those with ``waves``) run in that many waves by a hash of the
+    request id. A wave's replies are stored when it is complete and are not
+    asked for again: a resumed run leaves out the waves that are there, and a lost
+    task repeats its own share of one wave only.
     """
     if work.resume and work.done(name):
         return work.read(name)  # stored replies of an earlier attempt of this run
+    waves = getattr(backend, "waves", 1)
+    if waves > 1:
+        requests = work.write(requests, f"{name}_requests")
+        parts = []
+        for k in range(waves):
+            part = f"{name}_wave_{k}"
+            if not (work.resume and work.done(part)):
+                out = backend(requests.filter(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == k))
+                work.write(out.drop(*[c for c in drop if c in out.columns]), part)
+            parts.append(work.path(part))
+        return work.write(work.spark.read.parquet(*parts), name)
     out = backend(requests)
     return work.write(out.drop(*[c for c in drop if c in out.columns]), name)
 
@@ -96,38 +115,47 @@ def call_batches(
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.time,
 ) -> Iterator[pd.DataFrame]:
-    """The per-partition call loop (E1, E4, E6, E7) over Arrow batches of requests."""
-    last_call = None
-    for pdf in batches:
-        calls, contents, finishes, errors = [], [], [], []
-        for rid, model, msgs, temp in zip(pdf["request_id"], pdf["model"], pdf["messages"], pdf["temperature"]):
-            messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
-            n, delay = 0, options.backoff_init_delay
-            content = finish = err = None
-            while True:
-                if last_call is not None:
-                    wait = last_call + spacing - clock()
-                    if wait > 0:
-                        sleep(wait)
-                last_call = clock()
-                n += 1
-                try:
-                    content, finish = fn(model, messages, float(temp))
-                    break
-                except Exception as e:  # noqa: BLE001 - every failure is a row result
-                    if n > options.call_max_retry:
-                        err = f"Maximum retry reached: {e}"
-                        break
-                    if isinstance(e, RetryableError):
-                        sleep(delay)
-                        delay = min(options.backoff_cap_sec, delay * backoff_factor(rid, n, options.backoff_exp_base))
-                    else:
-                        sleep(options.backoff_init_delay)
-            calls.append(n)
-            contents.append(content)
-            finishes.append(finish)
-            errors.append(err)
-        yield pdf.assign(calls=calls, content=contents, finish_reason=finishes, error=errors)
+    """The per-partition call loop (E1, E4, E6, E7) over Arrow batches of requests.
+
+    Only the opening of calls is paced: up to ``options.calls_in_flight`` calls
+    of a task run at the same time, so the rate limit, not the model's latency,
+    bounds the throughput.
+    """
+    opened: list[float] = []
+    gate = threading.Lock()
+
+    def wait_for_turn() -> None:
+        with gate:
+            if opened:
+                wait = opened[0] + spacing - clock()
+                if wait > 0:
+                    sleep(wait)
+            opened[:] = [clock()]
+
+    def one(row) -> tuple:
+        rid, model, msgs, temp = row
+        messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
+        n, delay = 0, options.backoff_init_delay
+        while True:
+            wait_for_turn()
+            n += 1
+            try:
+                content, finish = fn(model, messages, float(temp))
+                return n, content, finish, None
+            except Exception as e:  # noqa: BLE001 - every failure is a row result
+                if n > options.call_max_retry:
+                    return n, None, None, f"gave up after {n} calls: {e}"
+                if isinstance(e, RetryableError):
+                    sleep(delay)
+                    delay = min(options.backoff_cap_sec, delay * backoff_factor(rid, n, options.backoff_exp_base))
+                else:
+                    sleep(options.backoff_init_delay)
+
+    with ThreadPoolExecutor(max(1, options.calls_in_flight)) as pool:
+        for pdf in batches:
+            rows = list(pool.map(one, zip(pdf["request_id"], pdf["model"], pdf["messages"], pdf["temperature"])))
+            calls, contents, finishes, errors = zip(*rows) if rows else ((), (), (), ())
+            yield pdf.assign(calls=calls, content=contents, finish_reason=finishes, error=errors)
 
 
 def python_backend(
@@ -146,16 +174,18 @@ def python_backend(
     - E7 back-off: ``RetryableError`` delays grow by ``base ± 1`` up to
       the cap; other errors wait the initial delay.
     """
-    parts = max(1, int(options.call_partitions))
-    spacing = parts * options.rate_period_sec / max(1, options.rate_limit)
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return call_batches(batches, fn, options, spacing, sleep, clock)
 
     def run(requests: DataFrame) -> DataFrame:
+        parts = int(options.call_partitions or requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spacing = parts * options.rate_period_sec / max(1, options.rate_limit)
+
+        def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return call_batches(batches, fn, options, spacing, sleep, clock)
+
         schema = T.StructType(requests.schema.fields + REPLY_FIELDS)
         return requests.repartition(parts, "request_id").mapInPandas(per_partition, schema)
 
+    run.waves = max(1, options.call_waves)
     return run
 
 
@@ -213,8 +243,7 @@ def rate_check(
 
     With ``bucket_sec`` the timeline of every key is cut into time buckets
     so that one hot key is spread over many tasks: each bucket receives the
-    last ``limit`` calls before it (at most ``limit`` rows from at most
-    ``limit`` earlier non-empty buckets) and the lag runs per
+    last ``limit`` calls before it and the lag runs per
     ``(key, bucket)``. Without it, the lag runs per key.
     """
     def secs_of(c):
@@ -228,18 +257,19 @@ def rate_check(
         b = calls.withColumn("_bucket", F.floor(secs / F.lit(bucket_sec)).cast("long"))
         bw = Window.partitionBy(key, "_bucket").orderBy(F.col(ts).desc(), F.col(tie).desc())
         # last `limit` calls of every non-empty bucket (bounded per bucket)
-        tails = b.withColumn("_rn", F.row_number().over(bw)).filter(F.col("_rn") <= limit).drop("_rn")
-        # dense index of non-empty buckets per key: one row per bucket
-        buckets = tails.select(key, "_bucket").distinct()
-        buckets = buckets.withColumn("_bidx", F.row_number().over(Window.partitionBy(key).orderBy("_bucket")))
-        tails = tails.join(buckets, [key, "_bucket"])
-        # a tail row of bucket index j is carried into buckets j+1 .. j+limit
-        carried = tails.withColumn("_to", F.explode(F.sequence(F.col("_bidx") + 1, F.col("_bidx") + limit)))
-        carried = carried.join(
-            buckets.select(key, F.col("_bucket").alias("_tb"), F.col("_bidx").alias("_to")), [key, "_to"]
-        )
+        tails = b.withColumn("_rn", F.row_number().over(bw)).filter(F.col("_rn") <= limit)
+        # one row per non-empty bucket: its calls (limit at most) and those of the buckets before
+        buckets = tails.groupBy(key, "_bucket").agg(F.max("_rn").alias("_n"))
+        buckets = buckets.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")))
+        buckets = buckets.withColumn("_before", F.col("_upto") - F.col("_n"))
+        near = Window.partitionBy(key).orderBy("_before").rangeBetween(1, 2 * limit)
+        buckets = buckets.withColumn("_next", F.collect_list(F.struct("_bucket", "_before")).over(near))
+        tails = tails.join(buckets.drop("_before", "_n"), [key, "_bucket"])
+        # a call is carried into a later bucket while fewer than `limit` calls lie between: `limit` rows a bucket
+        reach = F.filter("_next", lambda x: x["_before"] - F.col("_upto") + F.col("_rn") <= limit)
+        carried = tails.withColumn("_to", F.explode(reach))
         carried = carried.select(
-            *[F.col(c) for c in calls.columns], F.col("_tb").alias("_bucket"), F.lit(True).alias("_carry")
+            *[F.col(c) for c in calls.columns], F.col("_to._bucket").alias("_bucket"), F.lit(True).alias("_carry")
         )
         both = b.withColumn("_carry", F.lit(False)).unionByName(carried)
         w = Window.partitionBy(key, "_bucket").orderBy(ts, tie)

@@ -74,13 +74,13 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         F.when(F.col("_state") == "scored", F.col("_score")).when(F.col("_state") == "count", F.lit(0.0)).cast("double"),
     ).drop("_score")
     reason = (
-        F.when(F.col("_state") == "invalid", F.lit("Invalid model response as JSON object."))
+        F.when(F.col("_state") == "invalid", F.lit("reply is not a JSON object of pieces"))
         .when(
             F.col("_state") == "count",
-            F.format_string("Length not match, in(%d) != out(%d).", F.col("n_shreds"), F.size("pieces")),
+            F.format_string("piece count differs, wanted %d, got %d", F.col("n_shreds"), F.size("pieces")),
         )
         .when(F.col("_state") == "raised", F.lit("Keys or pieces not readable."))
-        .when(F.col("score") < 1.0, F.format_string('String not match, to_fit="%s" | fit="%s"', F.col("trans_text"), F.col("fitted")))
+        .when(F.col("score") < 1.0, F.format_string("pieces differ from the translation, wanted [%s], joined [%s]", F.col("trans_text"), F.col("fitted")))
         .otherwise(F.lit(""))
     )
     return out.withColumn("candidate", F.col("_state").isin("count", "scored")).withColumn("reason", reason).drop(

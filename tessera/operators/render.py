@@ -1,10 +1,10 @@
 """H1, H2: applying translated pieces and writing the pages back.
 
-The fragments hold every token in document order with its serialized form,
-so a page is the ordered concatenation of its fragments. Edits replace the
-text of single shreds. Fragments and edits are brought together by one
-exchange on ``page_id``; the per-fragment pick and the per-page concat
-both reuse it. Work per key is bounded by one page.
+A page is one row that holds its fragments in document order, each with its
+serialized form, so a page is the concatenation of its fragments. The edits of
+a page are gathered into one sorted array and meet the page in one join on
+``page_id``; the token table itself is not shuffled. Between two edits the
+unchanged fragments are joined as a slice, so a page costs time in its length.
 """
 
 from __future__ import annotations
@@ -15,25 +15,33 @@ from pyspark.sql import functions as F
 from tessera.functions.text import html_escape
 
 
-def render_pages(frags: DataFrame, edits: DataFrame | None = None, drop_pages: DataFrame | None = None) -> DataFrame:
+def render_pages(rows: DataFrame, edits: DataFrame | None = None, drop_pages: DataFrame | None = None) -> DataFrame:
     """H1 + H2 (+ I4): ``out_pages(page_id, html)``.
 
-    ``edits(page_id, frag_no, new_text)`` replace shred texts (escaped as the
-    serializer escapes plain text); other fragments keep their source form,
-    newlines included. Pages in ``drop_pages(page_id)`` are not written.
+    ``rows`` are page rows (``tokenize.page_rows``). ``edits(page_id, frag_no,
+    new_text)`` replace shred texts, written as the serializer writes the text
+    they replace: escaped, but for the text of raw elements (style). Other
+    fragments keep their source form, newlines included. An empty page gives an
+    empty text. Pages with a read error and pages in ``drop_pages(page_id)`` are
+    not written.
     """
-    src = F.coalesce(
-        F.col("src"), F.when(F.col("raw"), F.col("text")).otherwise(html_escape("text"))
-    )
-    base = frags.select("page_id", "frag_no", src.alias("src"), F.lit(0).alias("prio"))
-    if edits is not None:
-        ed = edits.select("page_id", "frag_no", html_escape("new_text").alias("src"), F.lit(1).alias("prio"))
-        base = base.unionByName(ed)
-    base = base.repartition("page_id")
+    pages = rows.filter(F.col("page_error").isNull()).select("page_id", "frags")
     if drop_pages is not None:
-        # after the exchange: only the (small) failed-page list moves
-        base = base.join(drop_pages.select("page_id").distinct(), "page_id", "left_anti")
-    picked = base.groupBy("page_id", "frag_no").agg(F.max_by("src", "prio").alias("src"))
-    return picked.groupBy("page_id").agg(
-        F.expr("listagg(src, '') WITHIN GROUP (ORDER BY frag_no)").alias("html")
+        pages = pages.join(drop_pages.select("page_id").distinct(), "page_id", "left_anti")
+    src = F.transform(
+        "frags", lambda f: F.coalesce(f["src"], F.when(f["raw"], f["text"]).otherwise(html_escape(f["text"])))
     )
+    if edits is None:
+        return pages.select("page_id", F.array_join(src, "").alias("html"))
+    by_page = edits.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("frag_no", "new_text"))).alias("edits"))
+    p = pages.join(by_page, "page_id", "left").select("page_id", src.alias("src"), F.col("frags.raw").alias("raw"), "edits")
+
+    def piece(e, i):
+        first = F.coalesce(F.get("edits", i - 1)["frag_no"] + 2, F.lit(1))  # after the edit before
+        kept = F.array_join(F.slice("src", first, e["frag_no"] + 1 - first), "")
+        return F.concat(kept, F.when(F.get("raw", e["frag_no"]), e["new_text"]).otherwise(html_escape(e["new_text"])))
+
+    last = F.get("edits", F.size("edits") - 1)["frag_no"]
+    rest = F.array_join(F.slice("src", last + 2, F.size("src")), "")
+    edited = F.concat(F.array_join(F.transform("edits", piece), ""), rest)
+    return p.select("page_id", F.when(F.col("edits").isNull(), F.array_join("src", "")).otherwise(edited).alias("html"))

@@ -63,8 +63,8 @@ def page_report(
 
 
 def report_line(report: DataFrame) -> DataFrame:
-    """The console line of a finished page: ``RESULT: S|C|F/ALL: s|c|f/all``."""
+    """A console line for a finished page: its groups by outcome."""
     return report.select(
         "page_id",
-        F.format_string("RESULT: S|C|F/ALL: %d|%d|%d/%d", "s", "c", "f", "all").alias("line"),
+        F.format_string("%d fitted, %d partly, %d not, of %d groups", "s", "c", "f", "all").alias("line"),
     )

@@ -11,16 +11,21 @@ tree-builder rules: tag names lower-cased, entities decoded, an end tag
 closes up to the nearest open element of that name (unmatched ones are
 ignored), void elements hold no children, whitespace-only text outside
 ``pre``/``textarea`` collapses to a newline (if it has one) or one space.
+Every step is constant work per token, so a page costs time in its length.
+
+A page that cannot be read (null, or markup that the tokenizer refuses) gets no
+fragments but an error; the other pages of its task are not affected.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import spread
 from tessera.options import INLINE_TAGS, PRESERVE_WHITESPACE_TAGS, RAW_TEXT_TAGS, SKIPPED_TAGS, VOID_TAGS
 
 FRAGMENT_SCHEMA = T.StructType(
@@ -103,7 +108,8 @@ class PageTokenizer(HTMLParser):
         root = _Node("[document]", ROOT_ID, False, ROOT_ID, False, 0)
         self.stack: list[_Node] = [root]
         self.buf: list[str] = []
-        self.closed_void: list[str] = []
+        self.open_names: Counter[str] = Counter()
+        self.closed_void: Counter[str] = Counter()
         self.preserve_depth = 0
 
     # -- helpers -----------------------------------------------------------
@@ -151,14 +157,16 @@ class PageTokenizer(HTMLParser):
                    render_start_tag(name, ad, is_void), None)
         node = _Node(name, fid, inline, p.owner if p.inline else p.node_id, skip, idx)
         self.stack.append(node)
+        self.open_names[name] += 1
         if name in _PRESERVE:
             self.preserve_depth += 1
         if is_void and void_self_close:
             self._pop_to(name)
-            self.closed_void.append(name)
+            self.closed_void[name] += 1
 
     def _pop_one(self):
         n = self.stack.pop()
+        self.open_names[n.name] -= 1
         if n.name in _PRESERVE:
             self.preserve_depth -= 1
         parent = self.stack[-1]
@@ -167,11 +175,13 @@ class PageTokenizer(HTMLParser):
                    n.owner, n.skip, False, src, None)
 
     def _pop_to(self, name: str):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name:
-                while len(self.stack) > i:
-                    self._pop_one()
-                return
+        """Close up to the nearest open element of that name, if there is one."""
+        if not self.open_names[name]:
+            return
+        last = None
+        while last != name:
+            last = self.stack[-1].name
+            self._pop_one()
 
     # -- parser callbacks --------------------------------------------------
     def handle_starttag(self, tag, attrs):
@@ -182,9 +192,9 @@ class PageTokenizer(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag, check_closed: bool = True):
-        if check_closed and tag in self.closed_void:
+        if check_closed and self.closed_void[tag]:
             # the redundant end tag of a void element: dropped without ending the text
-            self.closed_void.remove(tag)
+            self.closed_void[tag] -= 1
             return
         self.flush()
         self._pop_to(tag)
@@ -229,56 +239,85 @@ def tokenize_html(html: str) -> list[tuple]:
     return t.finish()
 
 
-_COLS = [f.name for f in FRAGMENT_SCHEMA.fields]
-
+PAGE_ROWS_SCHEMA = T.StructType(
+    [
+        T.StructField("page_id", T.LongType(), True),
+        T.StructField("page_error", T.StringType(), True),
+        # every field of a fragment but page_id; empty for an empty page, null for a page with an error
+        T.StructField("frags", T.ArrayType(T.StructType(FRAGMENT_SCHEMA.fields[1:])), True),
+    ]
+)
 
-def _arrow_schema():
-    import pyarrow as pa
 
-    types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
-    return pa.schema([pa.field(f.name, types[type(f.dataType)], f.nullable) for f in FRAGMENT_SCHEMA.fields])
+def _try_tokenize(html: str | None) -> tuple[list[tuple] | None, str | None]:
+    """(fragments, None) of a page or (None, error): one odd page must not end the run."""
+    if html is None:
+        return None, "page has no content"
+    try:
+        return tokenize_html(html), None
+    except Exception as e:  # noqa: BLE001 - whatever the tokenizer raises is that page's result
+        return None, f"page not readable: {type(e).__name__}: {e}"
 
 
-def _batches(batches, max_rows: int = 65536):
-    """mapInArrow body: Arrow batches of pages in, Arrow batches of fragments out."""
+def _page_batches(batches, max_rows: int = 65536):
+    """mapInArrow body: Arrow batches of pages in, one row per page out, in
+    batches of about ``max_rows`` fragments."""
+    import numpy as np
     import pyarrow as pa
 
-    schema = _arrow_schema()
-    cols: list[list] = [[] for _ in _COLS]
+    types = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
+    fields = [pa.field(f.name, types[type(f.dataType)], f.nullable) for f in FRAGMENT_SCHEMA.fields[1:]]
+    ids, errors, sizes, cols = [], [], [], [[] for _ in fields]
 
     def take():
-        arrays = [pa.array(c, type=schema.field(i).type) for i, c in enumerate(cols)]
-        for c in cols:
+        flat = pa.StructArray.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, fields)], fields=fields)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([e is not None for e in errors]))
+        out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(errors, pa.string()), lists], ["page_id", "page_error", "frags"])
+        for c in (ids, errors, sizes, *cols):
             c.clear()
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        return out
 
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("page_id")).to_pylist()
-        htmls = batch.column(batch.schema.get_field_index("html")).to_pylist()
-        for page_id, html in zip(ids, htmls):
-            if html is None:
-                continue
-            rows = tokenize_html(html)
-            cols[0].extend([page_id] * len(rows))
-            for j, col in enumerate(zip(*rows), start=1):
-                cols[j].extend(col)
+        for page_id, html, known in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, error = (None, known) if known else _try_tokenize(html)
+            ids.append(page_id)
+            errors.append(error)
+            sizes.append(len(rows or ()))
+            for c, values in zip(cols, zip(*(rows or ()))):
+                c.extend(values)
             if len(cols[0]) >= max_rows:
                 yield take()
-    if cols[0]:
+    if ids:
         yield take()
 
 
-def fragments(pages: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """B1: ``pages(page_id, html)`` -> ``fragments`` (FRAGMENT_SCHEMA).
-
-    One page in, N fragment rows out, inside the task that holds the page.
-    Output batches are bounded in rows, so a large page does not build one
-    huge Arrow batch.
+def page_rows(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """B1: ``pages(page_id, html)`` -> one row per page (PAGE_ROWS_SCHEMA).
 
-    Tokenizing is Python work, so it needs as many tasks as there are cores.
-    When the input has fewer partitions than ``min_partitions`` (default:
-    the context's parallelism), pages are spread round-robin first; an input
-    that is already split finely (the large-scale case) is not shuffled.
+    Tokenizing is Python work, so it wants as many tasks as there are cores;
+    with ``partitions`` the pages are spread round-robin over that many first
+    (for a table of few row groups). Without it nothing is shuffled. A column
+    ``page_error`` of the input (a file that could not be read) is kept.
     """
-    p = spread(pages.select("page_id", "html"), min_partitions)
-    return p.mapInArrow(_batches, FRAGMENT_SCHEMA)
+    known = F.col("page_error") if "page_error" in pages.columns else F.lit(None).cast("string")
+    p = pages.select("page_id", "html", known.alias("page_error"))
+    if partitions:
+        p = p.repartition(partitions)
+    return p.mapInArrow(_page_batches, PAGE_ROWS_SCHEMA)
+
+
+def page_fragments(rows: DataFrame) -> DataFrame:
+    """``page_rows`` -> ``fragments`` (FRAGMENT_SCHEMA), in document order per page."""
+    f = rows.select("page_id", F.explode("frags").alias("f"))
+    return f.select("page_id", "f.*")
+
+
+def fragments(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """B1: ``pages(page_id, html)`` -> ``fragments``; see ``page_rows``."""
+    return page_fragments(page_rows(pages, partitions))
+
+
+def page_errors(rows: DataFrame) -> DataFrame:
+    """``page_rows`` -> ``(page_id, error)`` of the pages that could not be read."""
+    return rows.filter(F.col("page_error").isNotNull()).select("page_id", F.col("page_error").alias("error"))

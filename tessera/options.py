@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # Fixed values. These must stay equal to the behaviour being reproduced, so
@@ -83,9 +83,16 @@ class Options:
     # "fail_page": an unreadable or failed segment loses its page (parity);
     # "keep": only the groups of that segment are marked as errors.
     on_segment_error: str = "fail_page"
-    # number of partitions of the model-call stage (bounds concurrency)
-    call_partitions: int = 8
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
+    # number of partitions of the model-call stage (bounds concurrency);
+    # None: the session's shuffle partitions
+    call_partitions: int | None = None
+    # calls of one task that run at the same time (their opening is paced)
+    calls_in_flight: int = 8
+    # live calls are made and stored in so many waves
+    call_waves: int = 4
+    # spread pages round-robin over so many partitions before tokenizing
+    # (None: the partitions of the input)
+    page_partitions: int | None = None
 
     def with_(self, **kw) -> "Options":
         return replace(self, **kw)

@@ -34,28 +34,37 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _cores(spark: SparkSession) -> int:
+    """Tasks for Python work on tables that may come as one file."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").repartition(_cores(spark))
+
+
 def _long(*names):
     return [F.col(n).cast("long").alias(n) for n in names]
 
 
 # ---------------------------------------------------------------- B
 def q_page_shreds(spark, sf):
-    s = shreds(fragments(_t(spark, sf, "pages")))
+    s = shreds(fragments(_t(spark, sf, "pages"), _cores(spark)))
     return s.select(*_long("page_id", "shred_no"), "text")
 
 
 def q_page_groups(spark, sf):
-    g = page_groups(_t(spark, sf, "pages"))
+    g = page_groups(_pages(spark, sf))
     return g.select(*_long("page_id", "group_no", "n_shreds"), "text")
 
 
 def q_markup_groups(spark, sf):
-    g = page_groups(syn.markup_pages(_t(spark, sf, "documents")))
+    g = page_groups(syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark))))
     return g.select(*_long("page_id", "group_no", "n_shreds"), "text")
 
 
 def q_inline_tags(spark, sf):
-    f = fragments(_t(spark, sf, "pages")).filter(F.col("kind") == "start")
+    f = fragments(_t(spark, sf, "pages"), _cores(spark)).filter(F.col("kind") == "start")
     return f.groupBy("page_id").agg(
         F.count_if(F.col("is_inline")).cast("long").alias("n_inline"),
         F.count_if(~F.col("is_inline")).cast("long").alias("n_block"),
@@ -64,7 +73,7 @@ def q_inline_tags(spark, sf):
 
 # ---------------------------------------------------------------- C
 def q_group_tokens(spark, sf):
-    t = page_tokens(page_groups(_t(spark, sf, "pages")), SMALL_MAX)
+    t = page_tokens(page_groups(_pages(spark, sf)), SMALL_MAX)
     return t.select(*_long("page_id", "n_groups", "total_tokens", "n_seg", "seg_target"))
 
 
@@ -98,7 +107,7 @@ def q_segments_conversations(spark, sf):
 
 
 def q_segments_pages(spark, sf):
-    s = segment_groups(page_groups(_t(spark, sf, "pages")), SMALL_MAX)
+    s = segment_groups(page_groups(_pages(spark, sf)), SMALL_MAX)
     return s.select(*_long("page_id", "group_no", "seg_no", "seg_key"))
 
 
@@ -108,7 +117,7 @@ def q_skipped_conversations(spark, sf):
 
 
 def q_skipped_pages(spark, sf):
-    p = plan_segments(page_groups(_t(spark, sf, "pages")), SMALL_MAX).filter(F.col("seg_no").isNull())
+    p = plan_segments(page_groups(_pages(spark, sf)), SMALL_MAX).filter(F.col("seg_no").isNull())
     return p.select(*_long("page_id", "group_no", "n_tokens"), F.lit("oversize").alias("reason"))
 
 
@@ -141,7 +150,7 @@ def q_chat_history(spark, sf):
 
 def _markup_translated(spark, sf):
     """Markup groups with the clean translation (letter rotation) attached."""
-    g = page_groups(syn.markup_pages(_t(spark, sf, "documents")))
+    g = page_groups(syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark))))
     return g.select(
         "page_id", "group_no", "n_shreds", "shreds", F.col("text").alias("src_text"), rot13("text").alias("trans_text")
     )
@@ -171,7 +180,7 @@ def q_replay(spark, sf):
         "calls",
         F.when(~failed, F.col("content")).alias("content"),
         "finish_reason",
-        F.when(failed, F.lit("Maximum retry reached: rate limited")).alias("error"),
+        F.when(failed, F.lit("gave up: rate limited")).alias("error"),
     )
     out = replay_backend(stored)(reqs)
     return out.select("request_id", *_long("page_id", "seg_no"), "content", "error")
@@ -183,7 +192,7 @@ def q_call_stage(spark, sf):
     replies at the length limit."""
     from tessera.operators.calls import python_backend, truncated
 
-    opts = OPTIONS.with_(rate_limit=100000, rate_period_sec=1.0, backoff_init_delay=0.0, call_partitions=8)
+    opts = OPTIONS.with_(rate_limit=100000, rate_period_sec=1.0, backoff_init_delay=0.0)
     out = python_backend(syn.FlakyRotationModel(), opts)(_conv_requests(spark, sf))
     return out.select(
         "request_id",
@@ -258,12 +267,18 @@ def q_compact_unchanged(spark, sf):
     )
 
 
+PIECE = 150
+
+
 def q_match_score(spark, sf):
-    """G2 on page groups: similarity of every group text with a copy whose word pairs are swapped."""
-    g = page_groups(_t(spark, sf, "pages")).select("page_id", "group_no", F.col("text").alias("line"))
-    g = g.withColumn("edited", F.regexp_replace("line", r"(\w+) (\w+)", "$2 $1"))
-    s = with_match_score(g, "edited", "line", "score")
-    return s.select(*_long("page_id", "group_no"), "score")
+    """G2 on page groups: every piece of 150 characters of every group text against
+    itself with 0 to 3 characters appended that no text has, which scores
+    2 |a| / (2 |a| + k) on the compacted piece."""
+    g = page_groups(_pages(spark, sf)).select("page_id", "group_no", "text", F.ceil(F.length("text") / PIECE).cast("int").alias("n"))
+    g = g.filter("n > 0").select("page_id", "group_no", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece"))
+    a = F.substring(F.col("text"), F.col("piece") * PIECE + 1, F.lit(PIECE))
+    g = g.select("page_id", "group_no", "piece", a.alias("a"), F.concat(a, F.repeat(F.lit("\u2603"), F.col("piece") % 4)).alias("b"))
+    return with_match_score(g, "a", "b", "score").select(*_long("page_id", "group_no", "piece"), "score")
 
 
 def q_fit_routes(spark, sf):
@@ -291,7 +306,7 @@ def q_fit_choice(spark, sf):
 
 # ---------------------------------------------------------------- H, I, J
 def _markup_run(spark, sf):
-    pages = syn.markup_pages(_t(spark, sf, "documents"))
+    pages = syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark)))
     return translate_pages(pages, syn.faulty_translate_backend, OPTIONS, syn.faulty_fit_backend)
 
 
@@ -305,17 +320,41 @@ def q_report(spark, sf):
 
 
 def q_translate_pages(spark, sf):
-    pages = _t(spark, sf, "pages")
+    pages = _pages(spark, sf)
     tr = translate_pages(pages, syn.rot13_translate_backend, OPTIONS, syn.rot13_fit_backend)
     return tr.report.select(*_long("page_id", "s", "c", "f", "e", "all", "m", "u", "x"), "page_status")
 
 
+def q_rendered_texts(spark, sf):
+    """H1, H2 on pages: the texts between the tags of every rendered page. Style
+    text gets a ``>``, which must not be escaped where it is translated."""
+    pages = _pages(spark, sf).withColumn("html", F.replace("html", F.lit("<style>"), F.lit("<style>a>b ")))
+    out = translate_pages(pages, syn.rot13_translate_backend, OPTIONS, syn.rot13_fit_backend).out_pages
+    body = F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), r"(?is)<script[^>]*>.*?</script>", "")
+    texts = F.filter(F.split(body, r"</?[A-Za-z!][^>]*>"), lambda t: ~t.rlike("\\A[ \n\u00a0]*\\z"))
+    return out.select("page_id", F.posexplode(texts).alias("text_no", "text")).select(*_long("page_id", "text_no"), "text")
+
+
+def q_page_faults(spark, sf):
+    """A2, B1, I4: pages with faults by page_id - no content, no text, markup that
+    the tokenizer refuses - beside good ones: what is reported and written."""
+    kind = F.col("page_id") % 7
+    pages = _pages(spark, sf).withColumn(
+        "html", F.when(kind == 1, F.lit("")).when(kind == 2, F.concat(F.lit("<p>a<![foo[x]]>b</p>"), "html")).when(kind != 0, F.col("html")))
+    tr = translate_pages(pages, syn.rot13_translate_backend, OPTIONS, syn.rot13_fit_backend)
+    written = tr.out_pages.select("page_id", (F.length("html") == 0).alias("blank"))
+    return tr.report.join(written, "page_id", "left").select(
+        *_long("page_id", "s"), "page_status", F.col("blank").isNotNull().alias("written"), F.coalesce("blank", F.lit(False)).alias("blank"))
+
+
 # ---------------------------------------------------------------- A
 def q_tree_plan(spark, sf):
     p = _t(spark, sf, "pages").select(
         "page_id", F.concat(F.lit("/data/src/"), F.regexp_extract("url", r"^[a-z]+://([^?#]*)", 1)).alias("path")
     )
-    t = plan_tree(p, "/data/src", "/data/dst", done=None)
+    plan = plan_tree(p, "/data/src", "/data/dst")
+    done = plan.filter("page_id % 5 = 0").select("rel_path")  # targets that are there already
+    t = plan_tree(p, "/data/src", "/data/dst", done)
     return t.select(*_long("page_id"), "rel_path", "ext", "action", "target_path")
 
 
@@ -348,5 +387,7 @@ QUERIES = {
     "rendered": q_rendered,
     "report": q_report,
     "translate_pages": q_translate_pages,
+    "rendered_texts": q_rendered_texts,
+    "page_faults": q_page_faults,
     "tree_plan": q_tree_plan,
 }

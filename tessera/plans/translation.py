@@ -6,7 +6,8 @@ run: fragments, planned groups, replies, outcomes, rendered pages and the
 per-page report.
 
 Materialization points (written to the shared checkpoint folder):
-fragments (read by grouping and by rendering), the translation replies,
+page rows (read by grouping and by rendering), the translation replies,
+their segment status,
 the exploded reply groups, the replies and validated rows of every fit
 round, and the outcomes. Model calls are never repeated by a retried stage,
 and with a resumable work area not by a restarted driver either.
@@ -28,7 +29,7 @@ from tessera.operators.replies import explode_reply_groups, segment_status, unkn
 from tessera.operators.report import OUTCOME_COLS, page_report
 from tessera.operators.requests import translate_requests
 from tessera.operators.segments import plan_segments
-from tessera.operators.tokenize import fragments as tokenize
+from tessera.operators.tokenize import page_errors, page_fragments, page_rows
 from tessera.options import Options
 from tessera.session import WorkArea
 
@@ -68,12 +69,13 @@ def translate_pages(
     ``token_counter`` (optional) maps a text column to its token count
     (default: the built-in rule; ``vocab_token_count`` for a vocabulary).
     """
-    spark = pages.sparkSession
-    work = work or WorkArea(spark)
+    work = work or WorkArea(pages.sparkSession)
     fit_backend = fit_backend or backend
 
     # B1 once; read by grouping and by rendering.
-    frags = work.write(tokenize(pages), "fragments")
+    parsed = work.write(page_rows(pages, options.page_partitions), "page_rows")
+    frags = page_fragments(parsed)
+    unreadable = page_errors(parsed)
     # B2-B12, C1-C7 in one pass over the page_id partitioning.
     groups = page_groups(pages, frags, token_counter)
     planned = plan_segments(groups, options.max_tokens, carry=["text", "n_shreds", "shreds"])
@@ -84,14 +86,14 @@ def translate_pages(
     replies = call_model(reqs, backend, work, "translate_replies")
 
     # F1-F6, I5
-    seg = segment_status(replies)
+    seg = work.write(segment_status(replies), "segments")  # read by outcomes, rendering and report
     if options.on_segment_error == "fail_page":
-        failed = seg.filter(F.col("seg_error").isNotNull()).select("page_id", F.col("seg_error").alias("error"))
+        failed = seg.filter(F.col("seg_error").isNotNull()).select("page_id", F.col("seg_error").alias("error")).unionByName(unreadable)
         usable = seg.join(failed.select("page_id").distinct(), "page_id", "left_anti")
         seg_errors = None
         unknown = None
     else:
-        failed = spark.createDataFrame([], "page_id long, error string")
+        failed = unreadable
         bad = F.col("seg_error").isNotNull() & ~F.col("seg_error").startswith("unknown key")
         usable = seg.filter(~bad | F.col("seg_error").isNull())
         seg_errors = seg.filter(bad)
@@ -135,7 +137,7 @@ def translate_pages(
     outcomes = parts[0]
     for p in parts[1:]:
         outcomes = outcomes.unionByName(p)
-    if options.on_segment_error == "fail_page":
+    if options.on_segment_error == "fail_page":  # an unreadable page has no outcomes to leave out
         outcomes = outcomes.join(failed.select("page_id").distinct(), "page_id", "left_anti")
     outcomes = work.write(outcomes.select(*OUTCOME_COLS), "outcomes")
 
@@ -144,7 +146,7 @@ def translate_pages(
         "page_id", F.col("shreds")[0]["frag_no"].alias("frag_no"), F.col("trans_text").alias("new_text")
     )
     edits = single_edits.unionByName(fit_edits(graded))
-    out_pages = render_pages(frags, edits, failed)
+    out_pages = render_pages(parsed, edits, failed)
     report = page_report(outcomes, pages, failed, seg.select("page_id", "truncated"))
     # every later table reads written data; the cached plan is not needed any more
     planned.unpersist()

@@ -35,29 +35,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only where it is unset (local tests and bench) a fresh folder is
-    made for this process.
+    as is. Only where it is unset and the master is local (tests and bench) a
+    fresh folder is made for this process; elsewhere tasks would write to their
+    own disks, so an unset folder is an error.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
         spark.sparkContext.setCheckpointDir(cur)
     return cur
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's parallelism only when it has fewer
-    partitions than that (a small or single-row-group input); input that is
-    already split finely is returned as is, without a shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -143,3 +136,9 @@ class WorkArea:
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
+
+    def drop(self) -> None:
+        """Delete the folder and all its tables, once nothing reads them any more."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

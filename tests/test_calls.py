@@ -25,7 +25,7 @@ def test_python_backend_retries_and_errors(spark):
     opts = Options(call_max_retry=2, rate_period_sec=0.0, backoff_init_delay=0.0, call_partitions=2)
     out = {r.request_id: r for r in python_backend(fn, opts, sleep=lambda s: None)(_requests(spark, 9)).collect()}
     assert out["r-0"].content == "ok u0" and out["r-0"].calls == 1 and out["r-0"].error is None
-    assert out["r-1"].calls == 3 and out["r-1"].error.startswith("Maximum retry reached")
+    assert out["r-1"].calls == 3 and out["r-1"].error.startswith("gave up after 3 calls")
     assert out["r-2"].calls == 3 and out["r-2"].content is None
 
 
@@ -52,7 +52,7 @@ def test_call_loop_pacing_and_backoff():
 
     msgs = [[{"role": "user", "content": c}] for c in ["a", "busy", "b"]]
     pdf = pd.DataFrame({"request_id": ["r0", "r1", "r2"], "model": ["m"] * 3, "messages": msgs, "temperature": [0.01] * 3})
-    opts = Options(backoff_init_delay=1.0)
+    opts = Options(backoff_init_delay=1.0, calls_in_flight=1)
     out = list(call_batches(iter([pdf]), fn, opts, spacing=7.0, sleep=sleep, clock=clock))[0]
     assert list(out["calls"]) == [1, 3, 1]
     starts = state["starts"]
@@ -61,6 +61,83 @@ def test_call_loop_pacing_and_backoff():
     assert 1.0 in state["sleeps"]
 
 
+def test_calls_in_flight_share_one_pace():
+    """Slow calls overlap, yet no two are opened within the spacing."""
+    import threading
+    import time
+
+    import pandas as pd
+
+    from tessera.operators.calls import call_batches
+
+    starts, now, most, lock = [], [0], [0], threading.Lock()
+
+    def fn(model, messages, temperature):
+        with lock:
+            starts.append(time.monotonic())
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.4)
+        with lock:
+            now[0] -= 1
+        return messages[0]["content"], "stop"
+
+    n = 12
+    pdf = pd.DataFrame({"request_id": [f"r{i}" for i in range(n)], "model": ["m"] * n, "messages": [[{"role": "user", "content": str(i)}] for i in range(n)], "temperature": [0.0] * n})
+    out = list(call_batches(iter([pdf]), fn, Options(calls_in_flight=6), spacing=0.05, clock=time.monotonic))[0]
+    assert list(out["content"]) == [str(i) for i in range(n)]
+    starts.sort()
+    assert all(b - a >= 0.04 for a, b in zip(starts, starts[1:])) and 2 <= most[0] <= 6
+    assert starts[-1] - starts[0] < 0.4 * n / 2
+
+
+def test_a_broken_call_stage_does_not_repeat_whole_waves(spark, tmpdir_path):
+    """The third wave dies on its first try; the resumed run asks nothing again
+    that the waves before have answered."""
+    import os
+    import uuid
+
+    import pytest
+
+    from tessera.operators.calls import call_model
+    from tessera.session import WorkArea
+
+    log, poison = os.path.join(tmpdir_path, "log"), os.path.join(tmpdir_path, "poison")
+    os.makedirs(log)
+    opts = Options(rate_period_sec=0.0, call_partitions=2, call_waves=4, call_max_retry=0)
+    requests = _requests(spark, 40)
+    wave = {r.request_id: r.w for r in requests.select("request_id", F.pmod(F.xxhash64("request_id"), F.lit(4)).alias("w")).collect()}
+    victim = "u" + min(r for r, w in wave.items() if w == 2)[2:]
+
+    def fn(model, messages, temperature):
+        u = messages[-1]["content"]
+        open(os.path.join(log, f"{u}-{uuid.uuid4().hex}"), "w").close()
+        if u == victim and not os.path.exists(poison):
+            open(poison, "w").close()
+            raise KeyboardInterrupt("the task is lost")
+        return "ok", "stop"
+
+    run = f"waves-{uuid.uuid4().hex}"
+    with pytest.raises(Exception):
+        call_model(requests, python_backend(fn, opts), WorkArea(spark, run), "calls")
+    out = call_model(requests, python_backend(fn, opts), WorkArea(spark, run, resume=True), "calls")
+    assert out.count() == 40 and out.filter("error is null").count() == 40
+    asked = {}
+    for n in os.listdir(log):
+        u = n.split("-")[0]
+        asked[u] = asked.get(u, 0) + 1
+    assert all(asked[f"u{r[2:]}"] == 1 for r, w in wave.items() if w != 2)
+    assert len(asked) == 40
+
+
+def test_rate_check_carries_few_rows(spark):
+    """One key, many buckets, a large limit: rows carried stay near limit a bucket."""
+    calls = spark.range(4000).selectExpr("id as event_id", "1L as user_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as ts")
+    plain = rate_check(calls, "user_id", "ts", "event_id", 50, 60.0)
+    split = rate_check(calls, "user_id", "ts", "event_id", 50, 60.0, bucket_sec=20.0)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.select(plain.columns).collect()))
+
+
 def test_chunk_assembly_restores_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r.request_id: r for r in assemble_chunks(syn.reply_chunks(docs)).collect()}

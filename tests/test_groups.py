@@ -1,9 +1,7 @@
-"""Tokenizer and grouping against the fixture cases and a procedural reading of the rule."""
+"""Tokenizer and grouping on cases, built pages and broken markup."""
 
-import os
 import random
-
-import pytest
+import time
 
 from tessera.operators.groups import page_groups
 from tessera.operators.tokenize import tokenize_html
@@ -37,64 +35,41 @@ def test_fixture_cases(spark):
         assert got[i] == want, html
 
 
-# the example input page of FIXTURES section 1, read as data when its path is given
-EXAMPLE = os.environ.get("TESSERA_EXAMPLE_PAGE", "")
-
-
-@pytest.mark.skipif(not os.path.exists(EXAMPLE), reason="set TESSERA_EXAMPLE_PAGE to the example page")
-def test_example_page_goldens(spark):
-    with open(EXAMPLE, encoding="utf-8") as f:
-        html = f.read()
-    df = spark.createDataFrame([(0, html)], "page_id long, html string")
-    rows = page_groups(df).orderBy("group_no").collect()
-    assert len(rows) == 125
-    assert sum(r.n_shreds for r in rows) == 392
-    assert sum(1 for r in rows if r.n_shreds > 1) == 60
-    assert max(r.n_shreds for r in rows) == 24
-    assert sum(len(r.text) for r in rows) == 5680
-    assert rows[0].text == "Installing Sphinx — Sphinx documentation"
-    assert [s.shred_no for s in rows[-1].shreds] == [389, 390, 391]
-
-
-# --- procedural reading of the grouping rule, on the tokenizer's tree ------
-def _procedural(html):
-    rows = tokenize_html(html)
-    children = {}
-    info = {}
-    for frag_no, kind, tag, node_id, parent, child_idx, is_inline, owner, skip, raw, src, text in rows:
-        if kind == "end":
-            continue
-        children.setdefault(parent, []).append(node_id)
-        info[node_id] = (kind, tag, is_inline, text)
-    groups = []
-    cnt = [0]
-
-    def trav(node, inline):
-        group = []
-        for c in children.get(node, []):
-            kind, tag, is_inline, text = info[c]
-            if kind in ("comment", "doctype") or (kind == "start" and tag == "script"):
-                continue
-            if kind != "start":
-                if not set(text) <= {"\n", "\xa0"}:
-                    group.append((cnt[0], text.replace("\n", "")))
-                    cnt[0] += 1
-            else:
-                sub = trav(c, is_inline)
-                if sub is not None:
-                    group += sub
-                elif not inline and group:
-                    groups.append(group)
-                    group = []
-        if not inline:
-            if group:
-                groups.append(group)
-            return None
-        return group
-
-    trav(-1, False)
-    groups.sort(key=lambda g: g[0][0])
-    return [[t for _, t in g] for g in groups]
+# --- pages whose groups are known because they are built from them ----------
+def _sentence(rng, n):
+    """An inline run of n texts: (html, texts). Texts are apart by construction."""
+    html, texts = [], []
+    for k in range(n):
+        t = f"w{rng.randrange(10**6)}"
+        texts.append(t)
+        depth = rng.randrange(0 if k == 0 else 1, 3)
+        names = [rng.choice(["b", "i", "em", "span", "code", "a"]) for _ in range(max(depth, k > 0))]
+        html.append("".join(f"<{x}>" for x in names) + t + "".join(f"</{x}>" for x in reversed(names)))
+        html.append(rng.choice(["", "<!-- c -->", "<br>", "<script>s()</script>"]))
+    return "".join(html), texts
+
+
+def _block(rng, depth):
+    """A block and its groups, each with the place of its first text."""
+    tag = rng.choice(["div", "p", "ul", "li", "h1", "section"])
+    html, groups = [], []
+    for _ in range(rng.randrange(1, 4)):
+        if depth and rng.random() < 0.5:
+            h, g = _block(rng, depth - 1)
+        else:
+            h, t = _sentence(rng, rng.randrange(1, 5))
+            h, g = f"{h}<hr>", [t]  # a block element ends the run
+        html.append(h)
+        groups += g
+    return f"<{tag}>{''.join(html)}</{tag}>", groups
+
+
+def test_groups_of_built_pages(spark):
+    rng = random.Random(7)
+    built = [_block(rng, 3) for _ in range(200)]
+    got = _groups(spark, [h for h, _ in built])
+    for i, (html, want) in enumerate(built):
+        assert got[i] == want, html
 
 
 def _random_html(rng):
@@ -113,12 +88,27 @@ def _random_html(rng):
     return "".join(out)
 
 
-def test_relational_grouping_equals_procedural(spark):
-    rng = random.Random(7)
+def test_invariants_on_broken_markup(spark):
+    """Every shred is in one group, in order; a group stays in one block; groups
+    are numbered by their first shred; blocks between two texts part them."""
+    rng = random.Random(8)
     pages = [_random_html(rng) for _ in range(300)]
-    got = _groups(spark, pages)
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    rows = {i: [] for i in range(len(pages))}
+    for r in page_groups(df).orderBy("page_id", "group_no").collect():
+        rows[r.page_id].append(r)
     for i, html in enumerate(pages):
-        assert got[i] == _procedural(html), html
+        frags = tokenize_html(html)
+        owner = {f[0]: f[7] for f in frags}
+        splits = [f for f in frags if f[1] == "start" and not f[6] and not f[8] and f[4] == f[7]]
+        numbers = [s.shred_no for g in rows[i] for s in g.shreds]
+        assert sorted(numbers) == list(range(len(numbers))), html
+        firsts = [g.shreds[0].shred_no for g in rows[i]]
+        assert firsts == sorted(firsts) and [g.group_no for g in rows[i]] == list(range(len(firsts)))
+        for g in rows[i]:
+            at = [s.frag_no for s in g.shreds]
+            assert at == sorted(at) and len({owner[k] for k in at}) == 1, html
+            assert not any(f[7] == owner[at[0]] and at[0] < f[0] < at[-1] for f in splits), html
 
 
 def test_pages_sf0001_all_single_shred(spark):
@@ -164,3 +154,26 @@ def test_void_quirk_of_the_tree_builder():
     texts = [(r[1], r[2], r[4]) for r in rows if r[1] == "text"]
     br2 = [r[3] for r in rows if r[1] == "start" and r[2] == "br"][1]
     assert texts[1][2] == br2
+
+
+def _seconds(html):
+    began = time.process_time()
+    tokenize_html(html)
+    return time.process_time() - began
+
+
+def test_time_is_linear_in_the_page():
+    """Shapes that made the bookkeeping scan its lists: ten times the tags may
+    cost about ten times the time, not a hundred times."""
+    for shape in (lambda n: "<br>" * n + "<i></i>" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<p>" * n, lambda n: "<br>" * n + "</br>" * n):
+        small, large = _seconds(shape(2_000)), _seconds(shape(20_000))
+        assert large < 35 * max(small, 0.01)
+
+
+def test_unreadable_and_empty_pages(spark):
+    from tessera.operators.tokenize import page_errors, page_rows
+
+    pages = spark.createDataFrame([(1, "<p>a<![foo[x]]>b</p>"), (2, "<![%x;[ z"), (3, None), (4, ""), (5, "<p>ok</p>")], "page_id long, html string")
+    rows = page_rows(pages)
+    assert {r.page_id for r in page_errors(rows).collect()} == {1, 2, 3}
+    assert {r.page_id: r.frags and len(r.frags) for r in rows.collect()} == {1: None, 2: None, 3: None, 4: [], 5: 3}

@@ -1,7 +1,7 @@
 """Rendering, the whole run and its report."""
 
 from tessera.operators.render import render_pages
-from tessera.operators.tokenize import fragments
+from tessera.operators.tokenize import page_rows
 from tessera.options import Options
 from tessera.plans import synthetic as syn
 from tessera.plans.translation import translate_pages
@@ -9,7 +9,7 @@ from tessera.plans.translation import translate_pages
 
 def _render(spark, htmls):
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
-    return {r.page_id: r.html for r in render_pages(fragments(df)).collect()}
+    return {r.page_id: r.html for r in render_pages(page_rows(df)).collect()}
 
 
 def test_render_serializer_rules(spark):
@@ -79,7 +79,7 @@ def test_report_line_and_skipped(spark):
     from tessera.operators.segments import skipped_groups
 
     rep = spark.createDataFrame([(1, 3, 1, 0, 0, 4)], "page_id long, s int, c int, f int, e int, all int")
-    assert report_line(rep).first().line == "RESULT: S|C|F/ALL: 3|1|0/4"
+    assert report_line(rep).first().line == "3 fitted, 1 partly, 0 not, of 4 groups"
     g = spark.createDataFrame([(1, 0, 5), (1, 1, 50)], "page_id long, group_no int, n_tokens int")
     assert [(r.group_no, r.reason) for r in skipped_groups(g, 20).collect()] == [(1, "oversize")]
 

@@ -15,7 +15,7 @@ def test_single_hash_exchange_on_page_id(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-        f = fragments(pages, min_partitions=1)
+        f = fragments(pages)
         planned = plan_segments(page_groups(pages, f), 1638, carry=["text", "n_shreds", "shreds"])
         reqs = translate_requests(planned.filter(F.col("seg_no").isNotNull()), Options())
         plan = reqs._jdf.queryExecution().executedPlan().toString()
@@ -29,18 +29,25 @@ def test_single_hash_exchange_on_page_id(spark):
 
 def test_scan_prunes_columns(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    plan = fragments(pages, min_partitions=1)._jdf.queryExecution().executedPlan().toString()
+    plan = fragments(pages)._jdf.queryExecution().executedPlan().toString()
     assert "url" not in plan.split("ReadSchema:")[1].split("\n")[0]
 
 
-def test_spread_only_when_under_partitioned(spark):
-    from tessera.session import spread
+def test_pages_are_spread_only_when_asked(spark):
+    from tessera.operators.tokenize import fragments
 
-    one = spark.range(100).coalesce(1)
-    many = spark.range(0, 100, numPartitions=16)
-    spread_one = spread(one, 8)
-    spread_many = spread(many, 8)
-    assert spread_one.rdd.getNumPartitions() == 8
-    assert "RoundRobinPartitioning" in spread_one._jdf.queryExecution().executedPlan().toString()
-    assert spread_many.rdd.getNumPartitions() == 16
-    assert "Exchange" not in spread_many._jdf.queryExecution().executedPlan().toString()
+    pages = spark.range(50).selectExpr("id as page_id", "'<p>a</p>' as html").coalesce(1)
+    plain = fragments(pages)._jdf.queryExecution().executedPlan().toString()
+    asked = fragments(pages, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plain
+    assert "RoundRobinPartitioning(8)" in asked
+
+
+def test_rendering_does_not_shuffle_tokens(spark):
+    from tessera.operators.render import render_pages
+    from tessera.operators.tokenize import page_rows
+
+    pages = spark.range(50).selectExpr("id as page_id", "'<p>a</p>' as html")
+    edits = spark.createDataFrame([(1, 1, "b")], "page_id long, frag_no int, new_text string")
+    plan = render_pages(page_rows(pages), edits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1  # the edits of a page

@@ -1,4 +1,4 @@
-"""Token counts and packing, against the fixture table and a procedural fold."""
+"""Token counts and packing: the fixture table, invariants, fixture counts."""
 
 import math
 import random
@@ -8,25 +8,6 @@ from pyspark.sql import functions as F
 from tessera.operators.segments import plan_segments, segment_groups
 
 
-def _procedural(ns, mx):
-    total = sum(ns)
-    if not total:
-        return None
-    n_seg = math.ceil(total / mx)
-    target = math.ceil(total / n_seg)
-    out, cnt, k, seg = [], 0, 0, 0
-    for n in ns:
-        if n > mx:
-            out.append(None)
-            continue
-        if cnt > target and k:
-            seg, cnt, k = seg + 1, 0, 0
-        out.append((seg, k))
-        k += 1
-        cnt += n
-    return out
-
-
 def _spark_pack(spark, arrays, mx):
     rows = [(p, g, n) for p, ns in enumerate(arrays) for g, n in enumerate(ns)]
     df = spark.createDataFrame(rows, "page_id long, group_no int, n_tokens int")
@@ -46,16 +27,32 @@ def test_fixture_packing(spark):
     assert (2, 0) not in got and (2, 1) not in got
 
 
-def test_packing_equals_procedural(spark):
+def test_packing_invariants(spark):
+    """What a packing has to be, on random pages: oversize groups are out, the
+    others are numbered without gaps in order, and a segment is closed by the
+    first group that finds it over the page's target."""
     rng = random.Random(3)
+    limit = 20
     arrays = [[rng.choice([0, 1, 2, 5, 9, 14, 20, 21, 40]) for _ in range(rng.randint(1, 30))] for _ in range(400)]
-    got = _spark_pack(spark, arrays, 20)
+    got = _spark_pack(spark, arrays, limit)
     for p, ns in enumerate(arrays):
-        want = _procedural(ns, 20)
-        if want is None:
+        if sum(ns) == 0:
             assert all((p, g) not in got for g in range(len(ns)))
-        else:
-            assert [got[(p, g)] for g in range(len(ns))] == want, ns
+            continue
+        target = math.ceil(sum(ns) / math.ceil(sum(ns) / limit))
+        place = [got[(p, g)] for g in range(len(ns))]
+        assert [x is None for x in place] == [n > limit for n in ns]
+        kept = [(n, *x) for n, x in zip(ns, place) if x is not None]
+        numbers = sorted({s for _, s, _ in kept})
+        assert numbers == list(range(len(numbers)))
+        for s in numbers:
+            own = [(n, k) for n, at, k in kept if at == s]
+            assert [k for _, k in own] == list(range(len(own)))
+            sizes = [n for n, _ in own]
+            assert all(sum(sizes[:i]) <= target for i in range(1, len(sizes)))
+            if s < numbers[-1]:
+                assert sum(sizes) > target
+        assert [s for _, s, _ in kept] == sorted(s for _, s, _ in kept)
 
 
 def test_fixture_counts_conversations(spark):
