@@ -1,20 +1,22 @@
 """Translating a directory tree of files.
 
-- A1 scan: ``binaryFile`` with recursive lookup (content is read only for
-  the files that need it; the source prunes the ``content`` column).
+- A1 scan: every file under the root, whatever its name or size, listed through
+  the Hadoop file system; names and sizes only.
 - A3 split: the extension is taken like ``os.path.splitext``: exactly
   ``.html`` is work, everything else is copied.
 - A4 skip: a file whose target already exists is left out (anti join on
-  the relative path; the target listing reads no content).
+  the relative path; targets appear by rename, so one that exists is whole).
 - A5 target: the source root prefix is replaced by the target root (only
-  the prefix, not every occurrence; deviation V1).
-- A6/A7 write: pages and copies are written by the tasks that hold them
-  (``foreachPartition``), directories created as needed.
+  the prefix, not every occurrence; deviation V1). A path outside the root is
+  an error, not a row less.
+- A2 read: only the files left are opened, by the tasks. A file that cannot be
+  read or decoded is a failed page (or a copy that is not made) with its error.
+- A6/A7 write: pages and copies are written by the tasks that hold them.
 """
 
 from __future__ import annotations
 
-import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +25,7 @@ from tessera.operators.calls import Backend
 from tessera.options import Options
 from tessera.plans.translation import Translation, translate_pages
 from tessera.session import WorkArea
-
-
-def _strip_scheme(col):
-    return F.regexp_replace(col, r"^file:(//)?", "")
-
-
-def _norm_root(root: str) -> str:
-    root = root[len("file:"):] if root.startswith("file:") else root
-    return root.rstrip("/")
-
-
-def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """A1 (+A2 input): ``(path, length, modificationTime[, content])`` of every file under ``root``."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    cols = [_strip_scheme(F.col("path")).alias("path"), "length", "modificationTime"]
-    if with_content:
-        cols.append("content")
-    return df.select(*cols)
+from tessera.sources.files import bare_column, bare_path, list_files, qualified, with_content, write_files
 
 
 def file_extension(path_col) -> F.Column:
@@ -49,6 +34,14 @@ def file_extension(path_col) -> F.Column:
     return F.regexp_extract(base, r"^.*?[^.].*(\.[^.]*)$", 1)
 
 
+def _relative(path_col, root: str) -> F.Column:
+    """The path below the root; a path outside it raises."""
+    prefix = bare_path(root).rstrip("/") + "/"
+    bare = bare_column(path_col)
+    outside = F.raise_error(F.concat(F.lit(f"not under {root}: "), path_col)).cast("string")
+    return F.when(F.startswith(bare, F.lit(prefix)), F.substring(bare, len(prefix) + 1, 1 << 30)).otherwise(outside)
+
+
 def plan_tree(files: DataFrame, root_src: str, root_dst: str, done: DataFrame | None = None) -> DataFrame:
     """A3-A5: ``files(path, ...)`` -> adds ``rel_path, ext, action, target_path``.
 
@@ -56,65 +49,50 @@ def plan_tree(files: DataFrame, root_src: str, root_dst: str, done: DataFrame |
     ``done(rel_path)`` lists targets that exist already; those files are
     left out (A4).
     """
-    src = _norm_root(root_src)
-    dst = _norm_root(root_dst)
-    rel = F.when(F.col("path").startswith(src + "/"), F.substring(F.col("path"), len(src) + 2, 1 << 30))
-    out = files.withColumn("rel_path", rel).filter(F.col("rel_path").isNotNull())
+    out = files.withColumn("rel_path", _relative(F.col("path"), root_src))
     out = out.withColumn("ext", file_extension(F.col("rel_path")))
     out = out.withColumn("action", F.when(F.col("ext") == ".html", F.lit("translate")).otherwise(F.lit("copy")))
-    out = out.withColumn("target_path", F.concat(F.lit(dst + "/"), F.col("rel_path")))
+    out = out.withColumn("target_path", F.concat(F.lit(root_dst.rstrip("/") + "/"), F.col("rel_path")))
     if done is not None:
         out = out.join(done.select("rel_path").distinct(), "rel_path", "left_anti")
     return out
 
 
-def existing_targets(spark: SparkSession, root_dst: str) -> DataFrame | None:
+def scan_tree(spark: SparkSession, root: str, work: WorkArea | None = None, name: str = "tree") -> DataFrame:
+    """A1: ``(path, length)`` of every file under ``root``."""
+    return list_files(spark, root, work or WorkArea(spark), name)
+
+
+def existing_targets(spark: SparkSession, root_dst: str, work: WorkArea) -> DataFrame:
     """A4 input: relative paths that already exist under the target root."""
-    dst = _norm_root(root_dst)
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(root_dst)
-    if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
-        return None
-    t = scan_tree(spark, dst, with_content=False)
-    return t.select(F.substring(F.col("path"), len(dst) + 2, 1 << 30).alias("rel_path"))
-
-
-def _write_files(rows, content_field: str, binary: bool):
-    for r in rows:
-        path = r["target_path"]
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        data = r[content_field]
-        if data is None:
-            continue
-        with open(path, "wb" if binary else "w", encoding=None if binary else "utf-8") as f:
-            f.write(data)
-
-
-def write_tree(df: DataFrame, content_col: str, binary: bool) -> None:
-    """Each task writes its own files (``target_path``, ``content_col``).
-
-    The target must be a folder every executor can write to (a shared
-    mount); the table sink (``out_pages`` as parquet) works on any store.
-    Rewriting a file on a task retry gives the same content.
-    """
-    df.select("target_path", content_col).foreachPartition(lambda rows: _write_files(rows, content_col, binary))
+    root = qualified(spark, root_dst)[1].toString()
+    return list_files(spark, root_dst, work, "targets").select(_relative(F.col("path"), root).alias("rel_path"))
 
 
 def numbered_pages(files: DataFrame, encoding: str = "UTF-8") -> DataFrame:
-    """Pages to translate with a unique ``page_id`` (``monotonically_increasing_id``).
+    """A2: pages to translate with a unique ``page_id`` (``monotonically_increasing_id``).
 
     The result is meant to be written once (the ids are then fixed, and the
     run works on a snapshot of the input files); a hash of the path could
     collide across a billion files and merge two pages.
     """
-    return files.select(
-        F.monotonically_increasing_id().alias("page_id"),
-        F.col("rel_path").alias("url"),
-        F.decode("content", encoding).alias("html"),
-        "target_path",
+    read = with_content(files.select("path", "rel_path", "target_path"), encoding)
+    return read.select(
+        F.monotonically_increasing_id().alias("page_id"), F.col("rel_path").alias("url"), F.col("content").alias("html"), "file_error", "target_path",
     )
 
 
+@dataclass
+class TreePass:
+    """One pass over a tree: pages worked on, their report, the run and the
+    files that could not be copied (``rel_path, file_error``)."""
+
+    tasks: int
+    report: DataFrame
+    translation: Translation | None
+    copy_errors: DataFrame
+
+
 def translate_tree(
     spark: SparkSession,
     root_src: str,
@@ -123,24 +101,28 @@ def translate_tree(
     options: Options = Options(),
     fit_backend: Backend | None = None,
     encoding: str = "UTF-8",
-) -> tuple[int, DataFrame, Translation | None]:
-    """A1-A8 + J1 + I1 over a directory tree.
-
-    Returns ``(task_count, report, translation)``. Copies are written first,
-    then the translated pages; a page lost to a segment error is not written
-    (I4) and stays to be done on the next run.
+    work: WorkArea | None = None,
+) -> TreePass:
+    """A1-A8 + J1 + I1 over a directory tree: all files without a target.
+
+    Copies are written first, then the translated pages. A page that cannot be
+    read, or is lost to a segment error, is reported ``failed`` and not written
+    (I4): it stays to be done on the next pass. With a resumable work area the
+    listing, the pages and every stored reply of a broken pass are used again.
     """
-    files = scan_tree(spark, root_src)
-    plan = plan_tree(files, root_src, root_dst, existing_targets(spark, root_dst))
-    copies = plan.filter(F.col("action") == "copy")
-    write_tree(copies, "content", binary=True)
-    area = WorkArea(spark)
-    work = area.write(numbered_pages(plan.filter(F.col("action") == "translate"), encoding), "tree_pages")
-    n_tasks = work.count()  # A8
-    if n_tasks == 0:
-        return 0, spark.createDataFrame([], "page_id long, url string"), None
-    tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend, work=area)
-    out = tr.out_pages.join(work.select("page_id", "target_path"), "page_id")
-    write_tree(out, "html", binary=False)
-    report = tr.report.join(work.select("page_id", "target_path"), "page_id", "left")
-    return n_tasks, report, tr
+    area = work or WorkArea(spark)
+    src, dst = (qualified(spark, r)[1].toString() for r in (root_src, root_dst))
+    if not (area.resume and area.done("plan")):
+        plan = plan_tree(scan_tree(spark, src, area), src, dst, existing_targets(spark, dst, area))
+        area.write(plan.repartition("path"), "plan")
+    plan = area.read("plan")
+    copies = with_content(plan.filter(F.col("action") == "copy").select("path", "rel_path", "target_path"))
+    write_files(copies, "target_path", "content")
+    copy_errors = plan.filter(F.col("action") == "copy").select("rel_path").join(
+        existing_targets(spark, dst, area), "rel_path", "left_anti").withColumn("file_error", F.lit("not copied"))
+    pages = area.write(numbered_pages(plan.filter(F.col("action") == "translate"), encoding), "tree_pages")
+    tasks = pages.count()  # A8
+    tr = translate_pages(pages.select("page_id", "url", "html", F.col("file_error").alias("page_error")), backend, options, fit_backend, work=area)
+    write_files(tr.out_pages.join(pages.select("page_id", "target_path"), "page_id"), "target_path", "html")
+    report = tr.report.join(pages.select("page_id", "target_path"), "page_id", "left")
+    return TreePass(tasks, report, tr, copy_errors)

@@ -1,34 +1,25 @@
 """Translate files as they arrive (re-aim of "run again, only new files").
 
-A file stream over the source tree feeds ``foreachBatch``; every micro-batch
-runs the unchanged batch plan (``translate_tree`` steps on that batch). The
-stream checkpoint records which files were seen, so a second run handles only
-new files. Each page is self-contained: no state, no watermark.
+Arriving files trigger micro-batches; every micro-batch is one pass of
+``translate_tree`` over the files that have no target yet. So a page that
+failed is tried again by the next pass, an existing target is never written
+over, and names that Spark's file source hides are handled as well; the source
+is only the trigger, no content goes through it. A pass is also made when the
+stream starts, for what earlier runs have left. Each page is self-contained: no
+state, no watermark.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.calls import Backend
 from tessera.options import Options
-from tessera.plans.translation import translate_pages
 from tessera.session import WorkArea
-from tessera.sources.tree import _strip_scheme, numbered_pages, plan_tree, write_tree
+from tessera.sources.tree import translate_tree
 
-BINARY_FILE_SCHEMA = T.StructType(
-    [
-        T.StructField("path", T.StringType(), False),
-        T.StructField("modificationTime", T.TimestampType(), False),
-        T.StructField("length", T.LongType(), False),
-        T.StructField("content", T.BinaryType(), True),
-    ]
-)
+ARRIVALS = "path string, modificationTime timestamp, length long, content binary"
 
 
 def translate_stream(
@@ -41,33 +32,39 @@ def translate_stream(
     fit_backend: Backend | None = None,
     report_path: str | None = None,
     available_now: bool = True,
+    encoding: str = "UTF-8",
+    max_files_per_trigger: int = 10_000,
 ):
     """Start the stream; returns the ``StreamingQuery``.
 
-    ``report_path`` (optional) receives the per-page report of every batch
-    as parquet (append).
+    ``report_path`` (optional) receives the per-page report of every pass
+    as parquet (append). The work folder of a pass is named after its batch and
+    kept until the pass is complete: a batch that Spark repeats goes on from the
+    stored tables and replies.
     """
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .load(root_src)
-    )
+
+    def one_pass(label: str, batch_id: int) -> None:
+        area = WorkArea(spark, f"stream-{hash_of(checkpoint)}-{label}", resume=True)
+        done = translate_tree(spark, root_src, root_dst, backend, options, fit_backend, encoding, work=area)
+        if report_path and done.tasks:
+            done.report.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(report_path)
+        area.drop()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.select(_strip_scheme(F.col("path")).alias("path"), "content")
-        plan = plan_tree(b, root_src, root_dst).persist()
-        write_tree(plan.filter(F.col("action") == "copy"), "content", binary=True)
-        area = WorkArea(spark, f"stream-{batch_id}-{uuid.uuid4().hex}")
-        work = area.write(numbered_pages(plan.filter(F.col("action") == "translate")), "tree_pages")
-        if not work.isEmpty():
-            tr = translate_pages(work.select("page_id", "url", "html"), backend, options, fit_backend, work=area)
-            out = tr.out_pages.join(work.select("page_id", "target_path"), "page_id")
-            write_tree(out, "html", binary=False)
-            if report_path:
-                tr.report.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(report_path)
-        plan.unpersist()
+        one_pass(str(batch_id), batch_id)
 
-    writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", os.path.join(checkpoint))
+    one_pass("start", -1)
+    arrivals = (
+        spark.readStream.format("binaryFile").schema(ARRIVALS).option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", max_files_per_trigger).load(root_src).select("path")
+    )
+    writer = arrivals.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def hash_of(text: str) -> int:
+    """A stable number for a folder name."""
+    import zlib
+
+    return zlib.crc32(text.encode())

@@ -3,9 +3,13 @@
 import os
 import time
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.options import Options
 from tessera.plans import synthetic as syn
-from tessera.sources.tree import file_extension, plan_tree, translate_tree
+from tessera.session import WorkArea
+from tessera.sources.tree import file_extension, plan_tree, scan_tree, translate_tree
 from tessera.streaming.pages_stream import translate_stream
 
 
@@ -24,41 +28,117 @@ def test_extension_rule(spark):
 
 
 def test_plan_prefix_only(spark):
-    df = spark.createDataFrame([("/src/a/src/b.html",), ("/other/c.html",)], "path string")
+    df = spark.createDataFrame([("/src/a/src/b.html",)], "path string")
     rows = plan_tree(df, "/src", "/dst").collect()
     assert [(r.rel_path, r.action, r.target_path) for r in rows] == [("a/src/b.html", "translate", "/dst/a/src/b.html")]
 
 
-def test_translate_tree_and_rerun(spark, tmpdir_path):
+@pytest.mark.parametrize("root", ["/src", "/src/", "file:///src", "file:/src", "/src/../src", "/x/../src/."])
+@pytest.mark.parametrize("path", ["/src/a/b.html", "file:/src/a/b.html", "file:///src/a/b.html", "hdfs://nn:8020/src/a/b.html"])
+def test_plan_root_spellings(spark, root, path):
+    assert plan_tree(spark.createDataFrame([(path,)], "path string"), root, "/dst").first().rel_path == "a/b.html"
+
+
+def test_plan_outside_the_root_is_an_error(spark):
+    df = spark.createDataFrame([("/src/a.html",), ("/srcs/c.html",)], "path string")
+    with pytest.raises(Exception, match="not under /src"):
+        plan_tree(df, "/src", "/dst").collect()
+
+
+TREE = {
+    "index.html": "<html><body><p>Hello <b>big</b> world</p></body></html>",
+    "docs/a.html": "<p>Install <code>pkg</code> now</p>",
+    "docs/style.css": "p{}",
+    "_u.html": "<p>one</p>", ".hid.html": "<p>two</p>", "_modules/m.html": "<p>three</p>", "_static/s.css": "q{}", "_static/.x/_y": "z",
+    "empty.html": "", "empty.css": "", "sp ace/%41 é.html": "<p>four</p>",
+}
+
+
+def _tree(root):
+    for rel, text in TREE.items():
+        _write(root, rel, text)
+
+
+def _read(root):
+    out = {}
+    for d, _, names in os.walk(root):
+        for n in names:
+            with open(os.path.join(d, n), "rb") as f:
+                out[os.path.relpath(os.path.join(d, n), root)] = f.read()
+    return out
+
+
+def _rot(s):
+    return s.translate(str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"))
+
+
+def _run(spark, src, dst, backend=syn.rot13_translate_backend, **kw):
+    return translate_tree(spark, src, dst, backend, Options(), syn.rot13_fit_backend, **kw)
+
+
+@pytest.mark.parametrize("form", ["plain", "uri", "relative"])
+def test_translate_whole_tree_and_rerun(spark, tmpdir_path, form):
     src, dst = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "dst")
-    _write(src, "index.html", "<html><body><p>Hello <b>big</b> world</p></body></html>")
-    _write(src, "docs/a.html", "<p>Install <code>pkg</code> now</p>")
-    _write(src, "docs/style.css", "p{}")
-    n, report, _ = translate_tree(spark, src, dst, syn.rot13_translate_backend, Options(), syn.rot13_fit_backend)
-    assert n == 2
-    assert report.count() == 2
-    with open(os.path.join(dst, "index.html"), encoding="utf-8") as f:
-        assert f.read() == "<html><body><p>Uryyb <b>ovt</b> jbeyq</p></body></html>"
-    with open(os.path.join(dst, "docs/style.css"), encoding="utf-8") as f:
-        assert f.read() == "p{}"
+    _tree(src)
+    assert scan_tree(spark, src, WorkArea(spark)).count() == len(TREE)
+    name = {"plain": lambda p: p, "uri": lambda p: f"file://{p}", "relative": lambda p: os.path.relpath(p)}[form]
+    done = _run(spark, name(src), name(dst))
+    assert done.tasks == 7 and done.report.count() == 7 and done.report.filter("page_status <> 'ok'").count() == 0
+    got = _read(dst)
+    assert set(got) == set(TREE)
+    assert got["index.html"].decode() == "<html><body><p>Uryyb <b>ovt</b> jbeyq</p></body></html>"
+    for rel, text in TREE.items():
+        if not rel.endswith(".html"):
+            assert got[rel].decode() == text
+    assert got["_u.html"].decode() == f"<p>{_rot('one')}</p>" and got[".hid.html"].decode() == f"<p>{_rot('two')}</p>"
+    assert got["empty.html"] == b"" and got["sp ace/%41 é.html"].decode() == f"<p>{_rot('four')}</p>"
     # second run: every target exists, nothing to do
-    n2, _, _ = translate_tree(spark, src, dst, syn.rot13_translate_backend, Options(), syn.rot13_fit_backend)
-    assert n2 == 0
+    assert _run(spark, name(src), name(dst)).tasks == 0
+    # a target that is gone is made again, the others are left alone
+    os.remove(os.path.join(dst, "_u.html"))
+    _write(dst, "docs/a.html", "mine")
+    assert _run(spark, name(src), name(dst)).tasks == 1
+    assert _read(dst)["docs/a.html"] == b"mine" and "_u.html" in _read(dst)
 
 
-def test_stream_sees_only_new_files(spark, tmpdir_path):
+def test_odd_files_do_not_stop_the_others(spark, tmpdir_path):
     src, dst = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "dst")
-    ckpt = os.path.join(tmpdir_path, "ckpt")
+    _write(src, "good.html", "<p>one</p>")
+    _write(src, "marked.html", "<p>a<![foo[x]]>b</p>")
+    with open(os.path.join(src, "latin.html"), "wb") as f:
+        f.write("<p>é</p>".encode("latin-1"))
+    done = _run(spark, src, dst)
+    status = {r.url: (r.page_status, r.page_error) for r in done.report.collect()}
+    assert status["good.html"] == ("ok", None)
+    assert status["marked.html"][0] == status["latin.html"][0] == "failed"
+    assert "UnicodeDecodeError" in status["latin.html"][1] and "AssertionError" in status["marked.html"][1]
+    assert set(_read(dst)) == {"good.html"}
+    assert _run(spark, src, dst, encoding="latin-1").tasks == 2  # tried again, now readable
+    assert "latin.html" in _read(dst)
+
+
+def _broken(reqs):
+    return syn.rot13_translate_backend(reqs).withColumn("content", F.lit("no"))
+
+
+def test_stream_passes(spark, tmpdir_path):
+    src, dst = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "dst")
+    ckpt, rep = os.path.join(tmpdir_path, "ckpt"), os.path.join(tmpdir_path, "rep")
+
+    def stream(backend=syn.rot13_translate_backend):
+        q = translate_stream(spark, src, dst, ckpt, backend, Options(), syn.rot13_fit_backend, report_path=rep)
+        q.awaitTermination(120)
+
     _write(src, "one.html", "<p>one</p>")
-    q = translate_stream(spark, src, dst, ckpt, syn.rot13_translate_backend, Options(), syn.rot13_fit_backend)
-    q.awaitTermination(120)
-    assert os.path.exists(os.path.join(dst, "one.html"))
-    os.remove(os.path.join(dst, "one.html"))
+    _write(src, "_hidden.html", "<p>two</p>")
+    stream(_broken)
+    assert _read(dst) == {}
+    stream()  # the same checkpoint, a model that answers: what failed is done now
+    assert set(_read(dst)) == {"one.html", "_hidden.html"}
+    _write(dst, "one.html", "mine")
     time.sleep(1.1)
     _write(src, "two.html", "<p>two</p>")
-    q = translate_stream(spark, src, dst, ckpt, syn.rot13_translate_backend, Options(), syn.rot13_fit_backend)
-    q.awaitTermination(120)
-    assert os.path.exists(os.path.join(dst, "two.html"))
-    assert not os.path.exists(os.path.join(dst, "one.html"))
-    with open(os.path.join(dst, "two.html"), encoding="utf-8") as f:
-        assert f.read() == "<p>gjb</p>"
+    _write(src, "s.css", "")
+    stream()
+    assert _read(dst) == {"one.html": b"mine", "_hidden.html": f"<p>{_rot('two')}</p>".encode(), "two.html": f"<p>{_rot('two')}</p>".encode(), "s.css": b""}
+    assert spark.read.parquet(rep).filter("url = 'two.html' and page_status = 'ok'").count() == 1
