@@ -45,12 +45,13 @@ Backend = Callable[[DataFrame], DataFrame]
 
 
 def call_model(
-    requests: DataFrame, backend: Backend, work: WorkArea, name: str, drop: tuple[str, ...] = ("messages",)
+    requests: DataFrame, backend: Backend, work: WorkArea, name: str, keep: set[str] | None = None
 ) -> DataFrame:
     """Run the backend over all request rows and store the result.
 
     The prompt messages are dropped before storing (they are rebuilt from
     the request columns when needed); the reply is kept with its request key.
+    ``keep`` (optional) names the only columns to store.
 
     Live backends (those with ``waves``) run in that many waves by a hash of the
     request id. A wave's replies are stored when it is complete and are not
@@ -59,6 +60,10 @@ def call_model(
     """
     if work.resume and work.done(name):
         return work.read(name)  # stored replies of an earlier attempt of this run
+
+    def stored(out: DataFrame) -> DataFrame:
+        return out.select(*[c for c in out.columns if (c in keep if keep else c != "messages")])
+
     waves = getattr(backend, "waves", 1)
     if waves > 1:
         requests = work.write(requests, f"{name}_requests")
@@ -66,12 +71,10 @@ def call_model(
         for k in range(waves):
             part = f"{name}_wave_{k}"
             if not (work.resume and work.done(part)):
-                out = backend(requests.filter(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == k))
-                work.write(out.drop(*[c for c in drop if c in out.columns]), part)
+                work.write(stored(backend(requests.filter(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == k))), part)
             parts.append(work.path(part))
         return work.write(work.spark.read.parquet(*parts), name)
-    out = backend(requests)
-    return work.write(out.drop(*[c for c in drop if c in out.columns]), name)
+    return work.write(stored(backend(requests)), name)
 
 
 # --------------------------------------------------------------------------

@@ -9,7 +9,7 @@ temperature ``t0 * growth**k``; each reply is read (F1-F3) and validated
 (G6, G7); every readable, non-empty reply that passes the piece-count check
 or fails it becomes a *candidate*. A group leaves the rounds once a
 candidate scores 1.0. Each round's replies and candidates are written to the
-work area, so later rounds never recompute earlier ones.
+work area as one table, so later rounds never recompute earlier ones.
 """
 
 from __future__ import annotations
@@ -101,12 +101,18 @@ def fit_rounds(
     """Attempt rounds over a shrinking table of unresolved groups.
 
     ``fit_rows``: ``page_id, group_no, n_shreds, shreds, src_text,
-    trans_text``. Per round: the replies are stored (call stage), then the
-    validated replies are stored once; the groups without a perfect fit,
-    read from that table, are the next round's input. Returns all
+    trans_text``. Per round one table is stored: the replies with their
+    validation, made in the call stage itself; the groups without a perfect
+    fit, read from that table, are the next round's input. Returns all
     candidates (``CANDIDATE_COLS``). The driver only loops over attempt
     numbers and asks once per round whether any group is left.
     """
+
+    def call_and_check(reqs: DataFrame) -> DataFrame:
+        return validate_fit(backend(reqs))
+
+    call_and_check.waves = getattr(backend, "waves", 1)
+    keep = {*CANDIDATE_COLS, "candidate", "content", "src_text", "trans_text"}
     written: list[str] = []
     active = fit_rows.select(*FIT_ROW_COLS)
     if active.isEmpty():
@@ -116,9 +122,8 @@ def fit_rounds(
         if attempt > 0 and active.isEmpty():
             break
         reqs = fit_requests(active, attempt, options)
-        replies = call_model(reqs, backend, work, f"{prefix}_replies_{attempt}")
-        name = f"{prefix}_checked_{attempt}"
-        checked = work.write(validate_fit(replies).select(*CANDIDATE_COLS, "candidate", "src_text", "trans_text"), name)
+        name = f"{prefix}_round_{attempt}"
+        checked = call_model(reqs, call_and_check, work, name, keep=keep)
         written.append(work.path(name))
         perfect = F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False))
         active = checked.filter(~perfect).select(*FIT_ROW_COLS)
