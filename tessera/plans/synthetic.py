@@ -2,9 +2,10 @@
 
 Nothing here does pipeline work. The builders only produce rows in the
 schema a stage expects (pages with inline markup, reply chunks, fit
-candidates); the backends play the part of the language model, reading the
-request messages like a model would and answering with letter-rotated text,
-with faults on a fixed schedule so that every outcome class occurs.
+candidates); the backends play the part of the language model and answer with
+letter-rotated text. The clean ones read the request messages; the faulty ones
+also read the request's columns (ids, attempt, texts) to make faults on a fixed
+schedule, so that every outcome class occurs.
 """
 
 from __future__ import annotations
