@@ -59,25 +59,32 @@ def near_rows():
     rows += [(1400 + k, f"{prose(rng, rng.randrange(8, 30))} {passage} {prose(rng, rng.randrange(0, 20))}") for k in range(40)]
     grow = prose(rng, 104).split(" ")
     rows += [(1500 + k, " ".join(grow[:n])) for k, n in enumerate((104, 79, 78, 61, 60, 6, 5, 4))]
+    for k in range(20):  # a part and the whole: the whole's own words are its rarest
+        part = prose(rng, 90)
+        rows += [(1600 + 2 * k, part), (1601 + 2 * k, f"{part} {prose(rng, rng.randrange(20, 34))}")]
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 6])
-def test_jaccard(spark, corpus, rounds):
+@pytest.mark.parametrize("pivots", [1, 6])
+def test_jaccard(spark, corpus, pivots, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
     seen, rows = set(), []
     for d, t in corpus + near_rows():
         if d not in seen:
             seen.add(d)
             rows.append((d, t))
-    got = jaccard_join.link_sets(frame(spark, rows), rounds=rounds).collect()
+    got = jaccard_join.link_sets(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
 
 
-def test_jaccard_small_chunks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "_CHUNK", 8)
-    rows = near_rows()
-    got = jaccard_join.link_sets(frame(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+def test_packs():
+    rng = np.random.default_rng(2)
+    for n, sets in ((1, 1), (5000, 40), (3, 70_000)):
+        x = rng.integers(-(1 << 62), 1 << 62, sets)
+        tokens = np.sort(rng.integers(0, 1 << 32, n))
+        owner = rng.integers(0, sets, n)
+        got = jaccard_join._unpack(jaccard_join._pack(tokens, owner, x))
+        assert np.array_equal(got[0], tokens) and np.array_equal(got[1], x[owner])
 
 
 def test_jaccard_edges(spark, corpus):
