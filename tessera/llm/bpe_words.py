@@ -13,11 +13,12 @@ from __future__ import annotations
 import os
 import re
 import threading
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import split_words
+from tessera.llm.common import split_words, strings
 
 #: Characters whose normalized and lower-cased forms have as many UTF-8 bytes
 #: as they have, and which never combine: ASCII and the Latin-1 letters.
@@ -73,7 +74,7 @@ class WordEncoder:
             texts = ["\n".join(part[k : k + 100]) for k in range(0, len(part), 100)]
             ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(self.bytes_of[ids])
-            want = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            want = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
             last = np.searchsorted(ends, want)
             if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], want):
                 other += part  # never for the characters above; the library decides
@@ -90,14 +91,15 @@ class WordEncoder:
             return np.empty(0, np.int32), np.zeros(len(counts), np.int64)
         coded = words.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        names = coded.dictionary.to_pylist()
+        names = strings(coded.dictionary)
         if len(self.at) > self.keep:
             self._reset()
-        new = [w for w in names if w not in self.at]
-        if new:
-            self._encode_new(new)
-        at = self.at
-        place = np.fromiter((at[w] for w in names), np.int64, len(names))[coded.indices.to_numpy()]
+        place = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self._encode_new([names[i] for i in new.tolist()])
+            place[new] = np.fromiter((self.at[names[i]] for i in new.tolist()), np.int64, len(new))
+        place = place[coded.indices.to_numpy()]
         size = self.size[place]
         ends = np.cumsum(size)
         shift = np.repeat(self.start[place] - (ends - size), size)

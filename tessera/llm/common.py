@@ -79,10 +79,15 @@ def hash_strings(values: pa.Array, seed: int = 0) -> np.ndarray:
     coded = values.dictionary_encode()
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     h = xxhash.xxh3_64_intdigest
-    own = np.fromiter((h(w, seed) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    own = np.fromiter((h(w, seed) for w in strings(coded.dictionary)), np.uint64, len(coded.dictionary))
     return own[coded.indices.to_numpy()]
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The strings of an array without nulls (several times faster than to_pylist)."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def gram_hashes(words: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of the n words from every position on (polynomial modulo 2^64 of
     the words' own hashes, then mixed); the last n - 1 positions have none."""

@@ -52,9 +52,8 @@ def test_coder(size, kind):
             id_coder.decode_block(bytes(broken))
 
 
-def test_word_encoder_resets(monkeypatch):
-    monkeypatch.setattr(bpe_words, "KEEP_WORDS", 20)
-    enc, tok = bpe_words.WordEncoder(PATH), library()
+def test_word_encoder_resets():
+    enc, tok = bpe_words.WordEncoder(PATH, keep=20), library()
     for t in hard_texts():
         ids, counts = enc.texts(pa.array([t, t], pa.string()))
         want = tok.encode(t or "", add_special_tokens=False).ids
@@ -89,7 +88,7 @@ def test_token_files_edges(spark):
 def test_bpe(spark, leaf):
     texts = hard_texts()
     docs = frame(spark, [(k % 100, t) for k, t in enumerate(texts)] + [(None, "x y")])
-    got = bpe_tree.with_digests(bpe_tree.decode_ids(bpe_tree.encode_texts(docs, PATH, leaf), PATH)).collect()
+    got = bpe_tree.digests(bpe_tree.encode_texts(docs, PATH, leaf), PATH).collect()
     tok, want = library(), []
     for d, t in [(k % 100, t) for k, t in enumerate(texts)] + [(None, "x y")]:
         ids = tok.encode(t or "", add_special_tokens=False).ids
