@@ -60,7 +60,7 @@ def test_translate_markup_faults_and_report(spark):
     assert all(r.truncated > 0 for p, r in rep.items() if p % 8 == 6 and r.all > 0)
     assert all(r.truncated == 0 for p, r in rep.items() if p % 8 != 6)
     # every fit round was written; no group got more than 11 attempts
-    attempts = [a for a in range(12) if __import__("os").path.exists(tr.work.path(f"fit_checked_{a}"))]
+    attempts = [a for a in range(12) if __import__("os").path.exists(tr.work.path(f"fit_round_{a}"))]
     assert attempts and max(attempts) <= 10
 
 
