@@ -84,7 +84,7 @@ def test_packs():
         tokens = np.sort(rng.integers(0, 1 << 32, n))
         owner = rng.integers(0, sets, n)
         got = jaccard_join._unpack(jaccard_join._pack(tokens, owner, x))
-        assert np.array_equal(got[0], tokens) and np.array_equal(got[1], x[owner])
+        assert np.array_equal(got[0], tokens) and np.array_equal(got[2][got[1]], x[owner])
 
 
 def test_jaccard_edges(spark, corpus):
