@@ -77,6 +77,43 @@ def test_jaccard(spark, corpus, pivots, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
 
 
+def test_large_regions_are_dealt(spark, corpus, monkeypatch):
+    """A region above the limit is compared in tiles that no task holds more than
+    two blocks of, each two members once; the result stays that of all pairs."""
+    monkeypatch.setattr(jaccard_join, "REGION", 8)
+    monkeypatch.setattr(jaccard_join, "_SIDE", 4)
+    plain, sizes = jaccard_join._region_rows, []
+
+    def watched(*args):
+        rows = plain(*args)
+        sizes.extend((r["tile"], r["count"]) for r in rows.groupBy("token", "tile").count().collect())
+        return rows
+
+    monkeypatch.setattr(jaccard_join, "_region_rows", watched)
+    rows = list({d: (d, t) for d, t in corpus + near_rows()}.values())
+    got = jaccard_join.link_sets(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+    assert max(n for tile, n in sizes if not tile) <= 8
+    cut = [n for tile, n in sizes if tile]
+    assert cut and max(cut) <= 4 * 8  # blocks are dealt by hash
+
+
+def test_tiles_meet_once():
+    x = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 60)
+    row, tile = jaccard_join._tiles(x, np.full(60, 5))
+    met = {}
+    for t in np.unique(tile).tolist():
+        own = row[tile == t]
+        assert len(own) < 60
+        block = jaccard_join._block(x[own], 5)
+        for i in range(len(own)):
+            for j in range(i):
+                if t >> 40 == (t >> 20) & 0xFFFFF or block[i] != block[j]:
+                    key = tuple(sorted((int(own[i]), int(own[j]))))
+                    met[key] = met.get(key, 0) + 1
+    assert len(met) == 60 * 59 // 2 and set(met.values()) == {1}
+
+
 def test_packs():
     rng = np.random.default_rng(2)
     for n, sets in ((1, 1), (5000, 40), (3, 70_000)):
