@@ -4,7 +4,7 @@ A block is coded on its own: its models start empty and its ids and frame are
 checksummed. Its ids are cut into lanes, consecutive runs of ``LANE`` ids that
 are coded side by side, one id of every lane per step, so that each step is a
 handful of array operations; the models are the block's and learn from all
-lanes together.
+lanes after every step.
 
 Prediction of the next id of a lane:
 
@@ -12,7 +12,7 @@ Prediction of the next id of a lane:
 - order 1: the id that last followed the same id, with a confidence;
 - order 2: the id that last followed the same two ids, with a confidence.
 
-Orders 1 and 2 learn from every fourth step. They are mixed in one distribution: the order-0 counts plus extra mass on the
+Both learn from every id. The three are mixed in one distribution: the order-0 counts plus extra mass on the
 predicted ids. How much is learned: for each confidence, hits and misses so
 far give the odds of the prediction. All arithmetic is on integers, so coder
 and decoder agree on every machine. The range coder is carryless, with 64-bit
@@ -26,10 +26,10 @@ import zlib
 
 import numpy as np
 
-LANE = 128
-LANES = 8192
+LANE = 256
+LANES = 4096
 BLOCK = LANE * LANES
-RENEW = 16
+RENEW = 8
 MAGIC = b"IDB1"
 
 _U = np.uint64
@@ -37,7 +37,7 @@ _TOP, _BOT, _16, _48 = _U(1 << 48), _U(1 << 40), _U(16), _U(48)
 _SLOTS = 1 << 16
 _STEP = 24  # count added for an id seen
 _ROOM = 2 * LANE + 8  # 16-bit words a lane can take: no id costs over 32 bits
-_CONF = np.concatenate([np.arange(8) >> 1, np.minimum(np.arange(8) + 1, 7)])  # next confidence: missed, hit
+_CONF = np.concatenate([np.arange(8) >> 1, np.minimum(np.arange(8) + 1, 7)]).astype(np.int32)  # next confidence: missed, hit
 
 
 class _Model:
@@ -47,8 +47,7 @@ class _Model:
         self.alphabet = alphabet
         self.freq = np.ones(alphabet, np.int64)
         self.cum = np.zeros(alphabet + 1, np.int64)
-        self.next = [np.zeros(alphabet, np.int64), np.zeros(_SLOTS, np.int64)]
-        self.conf = [np.zeros(alphabet, np.int64), np.zeros(_SLOTS, np.int64)]
+        self.slot = [np.zeros(alphabet, np.int32), np.zeros(_SLOTS, np.int32)]  # 8 times the id that followed, and its confidence
         self.tally = [np.tile([1, 0], 8), np.tile([1, 0], 8)]  # misses and hits by confidence
         self.key = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
         self.seen: list[np.ndarray] = []
@@ -69,9 +68,10 @@ class _Model:
             key = self.key[order] = self.key[order][:rows]
             t = self.tally[order].reshape(8, 2)
             odds = np.minimum((t[:, 1] << 8) // t[:, 0], 1 << 13)
-            c = self.conf[order].take(key)
+            slot = self.slot[order].take(key)
+            c = slot & 7
             self.conf_now.append(c)
-            self.guess.append(self.next[order].take(key))
+            self.guess.append(slot >> 3)
             self.mass.append(((total * odds) >> 8).take(c))
             self.total = self.total + self.mass[-1]
 
@@ -97,12 +97,12 @@ class _Model:
 
     def learn(self, x: np.ndarray) -> None:
         self.seen.append(x)
-        for order in (0, 1) if self.step % 4 == 0 or self.step < 8 else ():
+        small = x.astype(np.int32)
+        for order in (0, 1):
             key, c, p = self.key[order], self.conf_now[order], self.guess[order]
-            good = p == x
+            good = p == small
             self.tally[order] += np.bincount(2 * c + good, minlength=16)
-            self.conf[order][key] = _CONF.take(c + 8 * good)
-            self.next[order][key] = np.where(c < 2, x, p)
+            self.slot[order][key] = np.where(c < 2, small, p) << 3 | _CONF.take(c + 8 * good)
         self.key[1] = (self.key[0] * 40503 + x * 30011) & (_SLOTS - 1)
         self.key[0] = x
         self.step += 1

@@ -52,6 +52,16 @@ def test_coder(size, kind):
             id_coder.decode_block(bytes(broken))
 
 
+def test_models_learn_from_every_id():
+    rng = np.random.default_rng(1)
+    model = id_coder._Model(90, 50)
+    for _ in range(40):
+        model.predict(50)
+        model.learn(rng.integers(0, 90, 50))
+    for tally in model.tally:
+        assert tally.sum() - 8 == 40 * 50
+
+
 def test_word_encoder_resets():
     enc, tok = bpe_words.WordEncoder(PATH, keep=20), library()
     for t in hard_texts():
