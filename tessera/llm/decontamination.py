@@ -17,8 +17,12 @@ skipped).
   Hamming distance: walks fall into step again after an edit.
 - *LSH.* Each walk is sampled at ``sampled`` steps; windows whose samples equal
   an item's are candidates. Steps are drawn from a range that fits the length class, so
-  a window has the size of the items it is compared with. ``repeats`` is set so that a stretch at the full distance is
-  found with probability 0.95 or more (measured in tests/llm).
+  a window has the size of the items it is compared with. Walks drift apart with
+  their length, so items of ``_LONG`` words or more are entered from every
+  ``_APART``-th word on with walks of ``_STEPS`` steps, however long they are: as
+  many edits as an item may have leave some of its parts at no more than their
+  share. ``repeats`` is set so that a stretch with as many random edits as are
+  allowed is found with probability 0.95 or more (tests/llm: 15 to 500 words).
 - *Verification.* The exact edit distance between a candidate item and the
   words around the candidate start decides.
 
@@ -44,6 +48,7 @@ from tessera.llm.common import gram_hashes, hash_strings, mix64, read, split_wor
 from tessera.llm.toxicity import PUNCTUATION
 
 _PAD = np.uint64(0)
+_LONG, _APART, _STEPS = 60, 20, 64
 
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +91,19 @@ class _LengthClass:
         self.span = int((size + most).max())
         self.need = int((size - 2 - 3 * most).min())
         self.seeds = np.unique(np.concatenate([gram_hashes(index.words[i], 3) for i in own])) if self.need > 0 else None
-        steps = max(1, int(1.5 * size.min()))
+        long = size.min() >= _LONG
+        steps = _STEPS if long else max(1, int(1.5 * size.min()))
+        # a walk of _STEPS takes 32 words, give or take 4: the last part has 40 left
+        skips = [np.arange(0, n - 39, _APART) if long else np.zeros(1, np.int64) for n in size.tolist()]
+        entry, skip = np.repeat(own, [len(k) for k in skips]), np.concatenate(skips)
+        self.reach = int(skip.max() + most.max()) if long else 0
         self.coins = rng.integers(0, 1 << 63, (repeats, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.picks = [np.sort(rng.choice(steps, min(sampled, steps), replace=False)) for _ in range(repeats)]
         self.tables = []
         for r in range(repeats):
-            keys = self.keys(r, flat, first[own], first[own] + size)
+            keys = self.keys(r, flat, first[entry] + skip, first[entry] + index.size[entry])
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], own[order]))
+            self.tables.append((keys[order], entry[order], skip[order]))
 
     def keys(self, r: int, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Keys of walk r from the starts."""
@@ -107,13 +117,18 @@ class _LengthClass:
         return mix64(key)
 
     def starts(self, h: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Starts whose windows can hold an item."""
+        """Starts whose windows can hold an item, and the places up to ``reach``
+        words after one, where a later part of the item can begin."""
         every = np.arange(len(h))
         if self.seeds is None or not len(grams):
             return every
         at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
         hit = np.concatenate([[0], np.cumsum(self.seeds[at] == grams)])  # one that runs over a text's end only adds starts
-        return every[hit[np.minimum(every + self.span, len(grams))] - hit[np.minimum(every, len(grams))] >= self.need]
+        good = hit[np.minimum(every + self.span, len(grams))] - hit[np.minimum(every, len(grams))] >= self.need
+        if self.reach:
+            total = np.concatenate([[0], np.cumsum(good)])
+            good = total[every + 1] > total[np.maximum(every - self.reach, 0)]
+        return every[good]
 
 
 class ItemIndex:
@@ -144,12 +159,13 @@ class ItemIndex:
             if not len(start):
                 continue
             text = np.searchsorted(ends, start, side="right")
-            for r, (known, item) in enumerate(c.tables):
+            for r, (known, item, skip) in enumerate(c.tables):
                 keys = c.keys(r, h, start, ends[text])
                 lo, hi = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
                 who = np.flatnonzero(hi > lo)
                 for i in who.tolist():
-                    found += [(int(text[i]), int(item[k]), int(start[i])) for k in range(lo[i], hi[i])]
+                    t = int(text[i])
+                    found += [(t, int(item[k]), max(int(start[i] - skip[k]), int(first[t]))) for k in range(lo[i], hi[i])]
         out: dict[tuple[int, int], tuple[int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         for t, i, s in sorted(set(found)):

@@ -241,3 +241,22 @@ def test_recall_at_the_full_distance():
         texts.append(" ".join(w))
     found = {(t, i) for t, i, _, _ in index.search(*decontamination.normal_words(pa.array(texts)))}
     assert sum((k, k) in found for k in range(150)) >= 143
+
+
+@pytest.mark.parametrize("size", [60, 100, 150, 200, 300, 500])
+@pytest.mark.parametrize("where", ["all", "head"])
+def test_recall_of_long_items(size, where):
+    """As many edits as are allowed, all over the item or in its first half."""
+    rng = random.Random(size)
+    items = [(k, prose(rng, rng.randrange(size, size + size // 10))) for k in range(80)]
+    index = decontamination.ItemIndex(items, 0.2, 32, 3, 11)
+    texts = []
+    for _, t in items:
+        w = t.split(" ")
+        for _ in range(len(w) // 5):
+            p, op = rng.randrange(len(w) // (1 if where == "all" else 2)), rng.random()
+            w[p : p + 1] = ["q"] if op < 0.4 else [] if op < 0.7 else [w[p], "q"]
+        texts.append(" ".join([prose(rng, rng.randrange(1, 60)), *w, prose(rng, 30)]))
+    found = {(t, i) for t, i, _, _ in index.search(*decontamination.normal_words(pa.array(texts)))}
+    assert sum((k, k) in found for k in range(80)) >= 76
+    assert all(t == i for t, i in found)
