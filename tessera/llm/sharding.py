@@ -12,7 +12,9 @@ driver sees bins only, never documents.
 
 Documents with equal texts move together, as one point with the metadata of
 their smallest doc_id, while their bytes stay under ``group_share`` of a
-shard; a larger group of copies is dealt out document by document.
+shard; a larger group of copies is dealt out document by document. A point moves
+a split by at most half of its bytes, and each level's shift is shared by the
+shards below: groups change a shard's bytes by at most ``group_share`` in all.
 
 Defined cases: a null text counts 1 byte and has crc32 0; null metadata sorts
 before all values; rows with the same doc_id are separate documents; an empty
@@ -34,8 +36,9 @@ def _code(col):
     return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _points(docs: DataFrame, leaf_share: float, shards: int) -> DataFrame:
-    """One row per document: own size and crc32, and the point it moves with."""
+def _points(docs: DataFrame, leaf_share: float, depth: int, target_bytes: int | None) -> tuple[DataFrame, int]:
+    """One row per document: own size and crc32, and the point it moves with;
+    and the depth of the tree."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select(
         "doc_id",
@@ -49,7 +52,9 @@ def _points(docs: DataFrame, leaf_share: float, shards: int) -> DataFrame:
     area = work_area(docs.sparkSession)
     own = area.write(own, "own")
     total = own.agg(F.sum("size")).first()[0] or 0
-    most = leaf_share * total / shards
+    if target_bytes:
+        depth = max(0, -(-total // target_bytes) - 1).bit_length()
+    most = leaf_share * total / (1 << depth)
     groups = own.groupBy("copy_of").agg(
         F.sum("size").alias("g_size"),
         F.count(F.lit(1)).alias("g_rows"),
@@ -63,7 +68,7 @@ def _points(docs: DataFrame, leaf_share: float, shards: int) -> DataFrame:
         F.when(F.col("g_head").isNull(), alone)
         .otherwise(F.abs(F.xxhash64("copy_of") % F.lit(1 << 52)).cast("double")).alias("tie"),
     )
-    return area.write(points, "points")
+    return area.write(points, "points"), depth
 
 
 def _node(splits: dict[int, tuple[str, float, float] | None]):
@@ -145,12 +150,13 @@ def _medians(points: DataFrame, splits: dict, level: list[int], spread: dict, bi
             del open_[n]
 
 
-def kd_shards(docs: DataFrame, depth: int = 3, bins: int = 1024, tolerance: float = 0.0005, group_share: float = 0.01) -> DataFrame:
+def kd_shards(docs: DataFrame, depth: int = 3, bins: int = 1024, tolerance: float = 0.0005, group_share: float = 0.04, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document, with
-    2 ** depth shards of nearly equal bytes. A slot is the document's gapless
+    2 ** depth shards of nearly equal bytes; with target_bytes the depth is the
+    least at which a shard's mean has at most so many bytes. A slot is the document's gapless
     place in its shard, in the order of a hash of doc_id, then doc_id."""
     spark = docs.sparkSession
-    points = _points(docs, group_share, 1 << depth)
+    points, depth = _points(docs, group_share, depth, target_bytes)
     splits: dict = {}
     spread: dict = {}
     for k in range(depth):

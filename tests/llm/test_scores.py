@@ -152,6 +152,28 @@ def test_sharding(spark, corpus, depth):
     assert all(len(place[c]) == 1 for c, s in per_text.items() if s <= 0.01 * total / 2**depth)
 
 
+def test_copies_stay_together(spark):
+    """Pairs and triples of copies of up to 4 % of a shard, in a small table."""
+    rng = random.Random(6)
+    rows = [(k, prose(rng, rng.randrange(5, 30))) for k in range(500)]
+    for k in range(40):
+        text = prose(rng, rng.randrange(10, 25))
+        rows += [(1000 + 10 * k + i, text) for i in range(rng.randrange(2, 4))]
+    docs = frame(spark, rows)
+    total = sum(len(t.encode()) + 1 for _, t in rows)
+    got = sharding.kd_shards(docs, target_bytes=total // 6).collect()  # 8 shards
+    place, per_text, size = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for r in got:
+        place[r.text_crc32].add(r.shard)
+        per_text[r.text_crc32] += r.size
+        size[r.shard] += r.size
+    groups = [c for c, n in collections.Counter(r.text_crc32 for r in got).items() if n > 1]
+    assert len(size) == 8 and max(size.values()) < 1.08 * total / 8 and min(size.values()) > 0.92 * total / 8
+    assert len([c for c in groups if 0.01 < per_text[c] * 8 / total <= 0.04]) > 10
+    assert all(len(place[c]) == 1 for c in groups if per_text[c] <= 0.04 * total / 8)
+    assert {r.shard for r in sharding.kd_shards(docs, target_bytes=total).collect()} == {0}
+
+
 def test_sharding_edges(spark):
     assert sharding.kd_shards(frame(spark, [])).count() == 0
     one = sharding.kd_shards(frame(spark, [(3, None)])).collect()
