@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_tree, conversations, decontamination, jaccard_join, line_dedup, quality, sharding, substring_dedup, token_files, toxicity, warc, whitening
+from tessera.llm import bpe_tree, conversations, decontamination, jaccard_join, line_dedup, prefix_forest, quality, sharding, substring_dedup, token_files, toxicity, warc, whitening
 
 QUERIES = {
     "op10_cgk_decontamination": decontamination.op10_cgk_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op9_kd_sharding": sharding.op9_kd_sharding,
     "op11_whitening": whitening.op11_whitening,
+    "op12_prefix_forest": prefix_forest.op12_prefix_forest,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 

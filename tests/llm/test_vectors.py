@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from tessera.llm import bidiagonal, whitening
+from tessera.llm import bidiagonal, prefix_forest, whitening
 
 NAN, INF = float("nan"), float("inf")
 SCHEMA = T.StructType([
@@ -143,3 +143,110 @@ def test_values_are_accurate_beside_greater_ones():
         return count
     for k, value in enumerate(got):
         assert below(D(value) * (1 - D("1e-12"))) <= k < below(D(value) * (1 + D("1e-12")))
+
+
+# ------------------------------------------------------- nearest neighbours
+def by_brute_force(rows, every, k=5):
+    """(query_id, [(vec_id, score)]) of every query row, exactly."""
+    kept = [(i, v) for i, v in usable(rows) if i is not None and len(v) and (v != 0).any()]
+    lengths = [len(v) for _, v in kept]
+    most = max(lengths, key=lambda n: (lengths.count(n), n), default=0)
+    kept = [(i, v) for i, v in kept if len(v) == most]
+    cos = lambda a, b: float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
+    out = []
+    for p, (i, v) in enumerate(kept):
+        if i % every == 0:
+            near = sorted((-cos(v, w), j) for o, (j, w) in enumerate(kept) if o != p)
+            out.append((i, [(j, -s) for s, j in near[:k]]))
+    return sorted(out)
+
+
+def answers(df):
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+def check_nearest(rows, df, every, least):
+    want, got, hits, total = by_brute_force(rows, every), answers(df), 0, 0
+    assert set(got) == {q for q, near in want if near}
+    vectors = defaultdict(list)
+    for i, v in usable(rows):
+        vectors[i].append(v)
+    for q, near in want:
+        mine = got.get(q, [])
+        copies = [x for x in want if x[0] == q]
+        assert [r for r, _, _ in mine] == sorted(list(range(1, len(near) + 1)) * len(copies))
+        assert all(s <= t + 1e-12 for (_, _, s), (_, _, t) in zip(mine[1:], mine, strict=False))
+        for _, j, s in mine:
+            assert any(abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12 for a in vectors[q] for b in vectors[j] if len(a) == len(b))
+        hits += len({j for j, _ in near} & {j for _, j, _ in mine})
+        total += len({j for j, _ in near})
+    assert hits >= least * total
+    return want, got
+
+
+def test_recall_on_the_given_vectors(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}"
+        check_nearest(given(spark, path), prefix_forest.op12_prefix_forest(spark, path), 50, 0.9)
+
+
+def test_recall_where_some_is_near(spark):
+    """Groups of near vectors: the forest finds them without going to the root."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((300, 24))
+    rows = [(k, (centres[k % 300] + 0.15 * rng.standard_normal(24)).tolist()) for k in range(3000)]
+    levels = []
+    fit = prefix_forest.fit_sought
+    prefix_forest.fit_sought = lambda totals, matches, whole, recall: levels.append((fit(totals, matches, whole, recall), whole)) or levels[0][0]
+    try:
+        check_nearest(rows, prefix_forest.nearest(frame(spark, rows), 20), 20, 0.9)
+    finally:
+        prefix_forest.fit_sought = fit
+    assert levels[0][0] < 0.1 * levels[0][1]
+
+
+def test_nearest_of_odd_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.standard_normal(6).tolist()) for k in range(40)]
+    rows += [(None, rows[0][1]), (100, None), (101, [1, None, 0, 0, 0, 0]), (102, [NAN] * 6), (103, [INF, 0, 0, 0, 0, 0]), (104, [0.0] * 6), (105, [-0.0] * 6), (106, [1.0, 2.0]), (107, [])]
+    rows += [(200 + k, [1.0, 0, 0, 0, 0, 0]) for k in range(25)]  # a group of equal vectors
+    rows += [(300 + k, [4.0, 0, 0, 0, 0, 0]) for k in range(5)] + [(310, [3e-30, 0, 0, 0, 0, 0]), (320, [1e30, 1e30, 0, 0, 0, 0])]
+    rows += [(20, rows[20][1])] * 2 + [(33, rng.standard_normal(6).tolist())]  # one id, equal and other vectors
+    want, got = check_nearest(rows, prefix_forest.nearest(frame(spark, rows).repartition(7), 10), 10, 0.9)
+    assert [j for _, j, _ in got[210]] == [200, 201, 202, 203, 204]
+    assert [j for _, j, _ in got[200]] == [201, 202, 203, 204, 205]
+    assert sum(j == 20 for _, j, _ in got[20]) == 6  # each of three rows sees the other two
+
+
+def test_few_or_no_candidates(spark):
+    assert prefix_forest.nearest(frame(spark, []), 50).count() == 0
+    assert prefix_forest.nearest(frame(spark, [(1, None), (50, [0.0, 0.0])]), 50).count() == 0
+    assert prefix_forest.nearest(frame(spark, [(1, [1.0, 0.0])]), 50).count() == 0
+    assert prefix_forest.nearest(frame(spark, [(50, [1.0, 0.0])]), 50).count() == 0
+    got = answers(prefix_forest.nearest(frame(spark, [(50, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [-1.0, 0.0])]), 50))
+    assert got == {50: [(1, 3, 1.0), (2, 2, -1.0)]}
+
+
+def test_chunks_hold_every_shared_prefix(spark, monkeypatch):
+    """Small chunks, two symbols a bucket and salts give the same counts as plain sorting."""
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 1 << 60, (400, prefix_forest.TREES))
+    labels[:, :] = np.where(rng.random(labels.shape) < 0.6, labels[:1], labels)  # a hot string
+    labels[200:] = np.where(rng.random((200, prefix_forest.TREES)) < 0.5, labels[:200] ^ 77, labels[200:])
+    rows = [(bytes(rng.integers(0, 256, 16, dtype=np.uint8)), labels[k].tobytes(), k % 4 == 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "key binary, labels binary, asked boolean").repartition(5)
+    monkeypatch.setattr(prefix_forest, "QUERIES", 16)
+    for depth in (1, 2):
+        size = 1 << (6 * depth)
+        at = labels >> (60 - 6 * depth)
+        items = np.stack([np.bincount(at[:, t], minlength=size) for t in range(prefix_forest.TREES)])
+        asked = np.stack([np.bincount(at[::4, t], minlength=size) for t in range(prefix_forest.TREES)])
+        chunks = prefix_forest.Chunks(depth, items, asked, 32)
+        from pyspark.sql import functions as F
+        queries = df.filter("asked").withColumn("level", F.lit(depth).cast("long"))
+        got = prefix_forest.count_shared(prefix_forest._dealt(df, chunks, {}, False), prefix_forest._dealt(queries, chunks, {"key": "binary"}, True), depth).collect()
+        want = {rows[k][0]: [int((labels >> (60 - 6 * x) == labels[k] >> (60 - 6 * x)).sum()) for x in range(depth, 11)] for k in range(0, 400, 4)}
+        assert {bytes(r["key"]): [r[f"s{x}"] for x in range(depth, 11)] for r in got} == want
