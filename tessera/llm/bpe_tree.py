@@ -2,24 +2,28 @@
 
 Encoding gives exactly what the tokenizers library gives for the whole text.
 
-A document of at most ``leaf`` characters is encoded in one piece. A longer one
-is cut into leaves of about ``leaf`` characters that are dealt over all tasks,
-encoded there, and joined again:
-
-- between two words a join is free, since no token reaches across white space;
-- a word longer than a leaf is normalized and pre-tokenized by the library, and
-  a pre-token longer than a leaf - unsplit text - is cut in the middle, again
-  and again. Halves are encoded as if they went on (without the end-of-word
-  mark, but for the last). Neighbours are then joined pairwise, level by level:
-  a window of tokens on both sides of the join is encoded anew and grows
-  (doubling) until its first token is the left half's and its last token is the
-  right half's. Then every two neighbouring tokens are a pair that encodes to
-  itself, which makes the whole sequence the one the library gives.
+Unsplit text - a pre-token, which no white space or punctuation divides - of more
+than ``half`` symbols is cut in the middle, again and again. Halves are encoded as
+if they went on (without the end-of-word mark, but for the last). Neighbours are
+then joined pairwise, level by level: a window of tokens on both sides of the join
+is encoded anew and grows (doubling) until its first token is the left half's and
+its last token is the right half's. Then every two neighbouring tokens are a pair
+that encodes to itself, which makes the whole sequence the one the library gives.
+Between two words a join is free, since no token reaches across white space; so
+every distinct word is encoded once and looked up afterwards.
+
+A document of at most ``leaf`` characters is encoded in one task. A longer one is
+cut into leaves of whole words of about ``leaf`` characters that are dealt over all
+tasks and joined again; a word longer than a leaf is cut into halves of at most
+``leaf`` symbols, which tasks encode in parallel (each again by halves) and whose
+joins are made where the document comes together.
 
 Decoding is the library's decode(ids, skip_special_tokens=False).
+``encode_digests`` encodes, decodes and digests in one pass, with one tokenizer a
+task, whose memory goes back when the partition ends.
 
 Only documents over ``leaf`` characters are shuffled, as leaves and ids; a
-group holds one document's ids.
+group holds one document's ids, equal documents apart.
 
 Defined cases: a null text is empty and has no ids; rows with the same doc_id,
 even equal rows, give a row each; an empty table gives an empty result; other
@@ -31,10 +35,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +47,21 @@ from tessera.llm import bpe_words
 from tessera.llm.common import SPACES, read, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
-LEAF = 1 << 16
+LEAF = 1 << 14
+HALF = 12
+KEEP = 200_000
 _GAP = re.compile(f"[{SPACES}]")
 
 
 class TreeEncoder(bpe_words.WordEncoder):
     """Word encoder that can also encode unsplit text by halves."""
 
-    def __init__(self, path: str):
-        super().__init__(path, keep=500_000)
+    def __init__(self, path: str, half: int = HALF, keep: int = KEEP):
+        super().__init__(path, keep)
+        self.path, self.half_size = path, half
         with open(path) as f:
-            spec = json.load(f)
-        self.spec = spec["model"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            added = json.load(f)["added_tokens"]
+        self.special = {t["content"]: t["id"] for t in added}
         self.special_at = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
 
     @cached_property
@@ -62,13 +69,16 @@ class TreeEncoder(bpe_words.WordEncoder):
         """The model without and with the end-of-word mark; loaded where unsplit text is met."""
         from tokenizers import models
 
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in self.spec["merges"]]
-        return models.BPE(vocab=self.spec["vocab"], merges=merges), models.BPE(vocab=self.spec["vocab"], merges=merges, end_of_word_suffix=self.spec["end_of_word_suffix"])
+        with open(self.path) as f:
+            spec = json.load(f)["model"]
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in spec["merges"]]
+        suffix = spec["end_of_word_suffix"]
+        return models.BPE(vocab=spec["vocab"], merges=merges), models.BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=suffix)
 
     @cached_property
     def text_of(self) -> list[str]:
-        names = {v: k for k, v in self.spec["vocab"].items()}
-        return [names.get(i, "").removesuffix(self.spec["end_of_word_suffix"] or "") for i in range(max(names) + 1)]
+        """The symbols of each id; the word mark is an end, not a symbol."""
+        return [(self.tok.id_to_token(i) or "").removesuffix(bpe_words.WORD_END) for i in range(self.tok.get_vocab_size())]
 
     def half(self, symbols: str, last: bool) -> list[int]:
         """Ids of a piece of a pre-token (in the byte alphabet)."""
@@ -95,6 +105,44 @@ class TreeEncoder(bpe_words.WordEncoder):
             halves = [self.join(halves[k], halves[k + 1], last and k + 1 == end) if k < end else halves[k] for k in range(0, len(halves), 2)]
         return halves[0] if halves else []
 
+    def unsplit(self, symbols: str, last: bool = True) -> list[int]:
+        """Ids of unsplit text, by halves where it is long."""
+        if len(symbols) <= self.half_size:
+            return self.half(symbols, last)
+        parts = cut_long(symbols, self.half_size)
+        return self.join_all([self.half(x, last and k == len(parts) - 1) for k, x in enumerate(parts)], last)
+
+    def leaf(self, kind: str, part: str) -> list[int]:
+        """Ids of one leaf."""
+        if kind == "words":
+            return self.texts(pa.array([part]))[0].tolist()
+        if kind == "id":
+            return [int(part)]
+        if kind == "pre":
+            return [i for x in part.split("\n") for i in self.unsplit(x)]
+        return self.unsplit(part, kind == "last")
+
+    def concatenate(self, leaves) -> list[int]:
+        """Ids of the leaves (kind, ids) of a text, in order."""
+        out, halves = [], []
+        for kind, ids in leaves:
+            if kind in ("half", "last"):
+                halves.append(ids)
+                if kind == "last":
+                    out += self.join_all(halves)
+                    halves = []
+            else:
+                out += ids
+        return out
+
+    def _encode_new(self, words: list[str]) -> None:
+        """Words that may hold long unsplit text are encoded by halves."""
+        super()._encode_new([w for w in words if len(w) <= self.half_size])
+        long = [w for w in words if len(w) > self.half_size]
+        if long:
+            found = [self.concatenate((kind, self.leaf(kind, part)) for kind, part in long_word_leaves(self, w, self.half_size)) for w in long]
+            self._add(long, np.array([i for ids in found for i in ids], np.int32), np.array(list(map(len, found)), np.int64))
+
 
 def cut_words(text: str, leaf: int):
     """The text as pieces of whole words of about leaf characters; a longer word
@@ -159,111 +207,106 @@ def _bytes(ids) -> bytes:
     return np.asarray(ids, "<i4").tobytes()
 
 
-def encode_texts(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataFrame:
-    """doc_id, ids (binary: little-endian 32-bit numbers) of every document."""
+def _lists(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+    ends = np.cumsum(counts).tolist()
+    ids = ids.tolist()
+    return [ids[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
+
+
+def _encoded(docs: DataFrame, tokenizer: str, leaf: int, half: int, finish, schema: str) -> DataFrame:
+    """``finish(encoder, doc_ids, lists of ids)`` of all documents, as record batches."""
     docs = docs.select("doc_id", "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > leaf
 
     def whole(batches):
-        enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in text_slices(batches, most=4 << 20):
-            ids, counts = enc.texts(b.column(1))
-            raw, ends = memoryview(ids.astype("<i4").tobytes()), 4 * np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bytes(raw[e - 4 * n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], ["doc_id", "ids"])
+        with bpe_words.encoder(tokenizer, TreeEncoder, half=half) as enc:
+            for b in text_slices(batches, most=1 << 20):
+                yield finish(enc, b.column(0), _lists(*enc.texts(b.column(1))))
 
     def leaves(batches):
-        enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in text_slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key, rows, n = hashlib.sha256(text.encode()).digest(), [], 0
-                for piece, one_word in cut_words(text, leaf):
-                    for kind, part in long_word_leaves(enc, piece, leaf) if one_word else [("words", piece)]:
-                        rows.append((doc, key, n, kind, part))
-                        n += 1
-                if not rows:
-                    rows = [(doc, key, 0, "words", "")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)],
-                                                 ["doc_id", "key", "n", "kind", "part"])
+        with bpe_words.encoder(tokenizer, TreeEncoder, half=half) as enc:
+            # rows are told apart by their place, which a repeated task finds again
+            row = TaskContext.get().partitionId() << 40
+            for b in text_slices(batches):
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    row, rows = row + 1, []
+                    for piece, one_word in cut_words(text, leaf):
+                        for kind, part in long_word_leaves(enc, piece, leaf) if one_word else [("words", piece)]:
+                            rows.append((row, doc, len(rows), kind, part))
+                    rows = rows or [(row, doc, 0, "words", "")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+                                                     ["row", "doc_id", "n", "kind", "part"])
 
     def encode(batches):
-        enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in batches:
-            out = []
-            for kind, part in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if kind == "words":
-                    ids = enc.texts(pa.array([part]))[0]
-                elif kind == "id":
-                    ids = [int(part)]
-                elif kind == "pre":
-                    ids = [i for x in part.split("\n") for i in enc.half(x, True)]
-                else:
-                    ids = enc.half(part, kind == "last")
-                out.append(_bytes(ids))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(out, pa.binary())], ["doc_id", "key", "n", "kind", "ids"])
-
-    def concatenate(batches):
-        enc = bpe_words.encoder(tokenizer, TreeEncoder)
-        for b in batches:
-            for r in range(b.num_rows):
-                parts, out, halves = sorted(((x["n"], x["kind"], x["ids"]) for x in b.column(2)[r].as_py())), [], []
-                rows = sum(1 for n, _, _ in parts if n == 0)  # equal rows of the input come together
-                for _, kind, ids in parts[::rows]:
-                    if kind in ("half", "last"):
-                        halves.append(np.frombuffer(ids, "<i4").tolist())
-                        if kind == "last":
-                            out.append(_bytes(enc.join_all(halves)))
-                            halves = []
-                    else:
-                        out.append(ids)
-                joined = b"".join(out)
-                for _ in range(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[r].as_py()], pa.int64()), pa.array([joined], pa.binary())], ["doc_id", "ids"])
-
-    pieces = docs.filter(long).mapInArrow(leaves, "doc_id long, key binary, n long, kind string, part string")
-    coded = pieces.repartition("key", "n").mapInArrow(encode, "doc_id long, key binary, n long, kind string, ids binary")
-    trees = coded.groupBy("doc_id", "key").agg(F.collect_list(F.struct("n", "kind", "ids")).alias("parts"))
-    return docs.filter(~long).mapInArrow(whole, "doc_id long, ids binary").unionByName(trees.mapInArrow(concatenate, "doc_id long, ids binary"))
-
-
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    return bpe_words.load(path)
-
-
-def _decoded(batches, tokenizer: str):
-    """(batch, ids as lists, decoded texts), a bounded slice of ids at a time."""
-    tok = _tokenizer(tokenizer)
-    for b in text_slices(batches, text="ids", most=1 << 20):
-        ids = [np.frombuffer(x, "<i4").tolist() for x in b.column(1).to_pylist()]
-        yield b, ids, tok.decode_batch(ids, skip_special_tokens=False)
+        with bpe_words.encoder(tokenizer, TreeEncoder, half=half) as enc:
+            for b in batches:
+                out = [_bytes(enc.leaf(kind, part)) for kind, part in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(out, pa.binary())], ["row", "doc_id", "n", "kind", "ids"])
+
+    def together(batches):
+        with bpe_words.encoder(tokenizer, TreeEncoder, half=half) as enc:
+            for b in batches:
+                for r in range(b.num_rows):
+                    parts = sorted((x["n"], x["kind"], x["ids"]) for x in b.column(1)[r].as_py())
+                    ids = enc.concatenate((kind, np.frombuffer(raw, "<i4").tolist()) for _, kind, raw in parts)
+                    yield finish(enc, b.column(0).slice(r, 1), [ids])
+
+    pieces = docs.filter(long).mapInArrow(leaves, "row long, doc_id long, n long, kind string, part string")
+    coded = pieces.repartition("row", "n").mapInArrow(encode, "row long, doc_id long, n long, kind string, ids binary")
+    trees = coded.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("n", "kind", "ids")).alias("parts")).select("doc_id", "parts")
+    return docs.filter(~long).mapInArrow(whole, schema).unionByName(trees.mapInArrow(together, schema))
+
+
+def encode_texts(docs: DataFrame, tokenizer: str, leaf: int = LEAF, half: int = HALF) -> DataFrame:
+    """doc_id, ids (binary: little-endian 32-bit numbers) of every document."""
+
+    def finish(_, doc_ids, ids):
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(list(map(_bytes, ids)), pa.binary())], ["doc_id", "ids"])
+
+    return _encoded(docs, tokenizer, leaf, half, finish, "doc_id long, ids binary")
 
 
 def decode_ids(coded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids, and the decoded text of every document."""
 
     def decode(batches):
-        for b, _, texts in _decoded(batches, tokenizer):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        with bpe_words.encoder(tokenizer, bpe_words.Library) as library:
+            for b in text_slices(batches, text="ids", most=1 << 20):
+                texts = library.tok.decode_batch([np.frombuffer(x, "<i4").tolist() for x in b.column(1).to_pylist()], skip_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return coded.mapInArrow(decode, "doc_id long, ids binary, decoded string")
 
 
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(tok, doc_ids: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts = tok.decode_batch(ids, skip_special_tokens=False)
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in ids], pa.string()), pa.array(list(map(sha, texts)), pa.string())],
+        [c.split(" ")[0] for c in _DIGESTS.split(", ")])
+
+
 def digests(coded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
 
     def digest(batches):
-        name = list(map(str, range(1 << 16)))
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for b, ids, texts in _decoded(batches, tokenizer):
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(name.__getitem__, x))) for x in ids], pa.string()), pa.array(list(map(sha, texts)), pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with bpe_words.encoder(tokenizer, bpe_words.Library) as library:
+            for b in text_slices(batches, text="ids", most=1 << 20):
+                yield _digested(library.tok, b.column(0), [np.frombuffer(x, "<i4").tolist() for x in b.column(1).to_pylist()])
+
+    return coded.mapInArrow(digest, _DIGESTS)
+
 
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, tokenizer: str, leaf: int = LEAF, half: int = HALF) -> DataFrame:
+    """``digests`` of ``encode_texts`` in one pass over the documents."""
+    return _encoded(docs, tokenizer, leaf, half, lambda enc, doc_ids, ids: _digested(enc.tok, doc_ids, ids), _DIGESTS)
 
 
 def op7_bpe_tree(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    return digests(encode_texts(read(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    return encode_digests(read(spark, sf_dir, "documents", "doc_id", "text"), path)

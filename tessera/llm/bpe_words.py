@@ -4,15 +4,19 @@ The tokenizer's normalizer turns white space into one space and its
 pre-tokenizer drops it, so no token, normalization or special token reaches
 across the ASCII white space between two words: a text's ids are the ids of
 its words, one after another. Every distinct word is therefore given to the
-library once and looked up afterwards; the table of a Python worker is bounded
-by ``keep`` words and starts anew when full.
+library once and looked up afterwards; the table is bounded by ``keep`` words and
+``POOL`` ids and starts anew when full. ``encoder`` gives a task its encoder and
+gives the memory back when the task's partition ends, since Spark reuses its
+Python workers for other work.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
-import threading
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -20,6 +24,10 @@ import pyarrow as pa
 
 from tessera.llm.common import split_words, strings
 
+#: Ids that a table of words may hold before it starts anew.
+POOL = 1 << 22
+#: What the vocabulary's tokens at the end of a word end with.
+WORD_END = "</w>"
 #: Characters whose normalized and lower-cased forms have as many UTF-8 bytes
 #: as they have, and which never combine: ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -38,20 +46,20 @@ def load(path: str):
 class WordEncoder:
     """Ids of words and of texts, for a tokenizer that drops white space."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1 << 20):
         self.tok = load(path)
         self.keep = keep
         size = self.tok.get_vocab_size()
         names = [self.tok.id_to_token(i) or "" for i in range(size)]
-        self.bytes_of = np.array([len(n.removesuffix("</w>")) for n in names], np.int64)
+        self.bytes_of = np.array([len(n.removesuffix(WORD_END)) for n in names], np.int64)
         self._reset()
 
     def _reset(self):
         self.at: dict[str, int] = {}
-        self.pool = np.empty(1 << 20, np.int32)
+        self.pool = np.empty(1 << 18, np.int32)
         self.used = 0
-        self.start = np.empty(1 << 18, np.int64)
-        self.size = np.empty(1 << 18, np.int64)
+        self.start = np.empty(1 << 16, np.int64)
+        self.size = np.empty(1 << 16, np.int64)
 
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
@@ -92,7 +100,7 @@ class WordEncoder:
         coded = words.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         names = strings(coded.dictionary)
-        if len(self.at) > self.keep:
+        if len(self.at) > self.keep or self.used > POOL:
             self._reset()
         place = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(place < 0)
@@ -108,13 +116,28 @@ class WordEncoder:
         return self.pool[shift], np.diff(bounds)
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-_LOCK = threading.Lock()
+class Library:
+    """The tokenizer alone."""
+
+    def __init__(self, path: str):
+        self.tok = load(path)
 
 
-def encoder(path: str, make=WordEncoder, *key) -> WordEncoder:
-    """The worker's own encoder of a vocabulary file."""
-    with _LOCK:
-        if (path, make, *key) not in _ENCODERS:
-            _ENCODERS[(path, make, *key)] = make(path)
-        return _ENCODERS[(path, make, *key)]
+@contextmanager
+def encoder(path: str, make=WordEncoder, **options):
+    """An encoder (or ``Library``) for the time of one partition."""
+    made = make(path, **options)
+    try:
+        yield made
+    finally:
+        vars(made).clear()  # the task's function may still hold the object
+        release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass

@@ -103,16 +103,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["frame"])
 
     def encode(batches):
-        enc = bpe_words.encoder(tokenizer)
         filler = _Filler(block)
-        for b in text_slices(batches):
-            ids, counts = enc.texts(b.column(1))
-            ends = np.cumsum(counts)
-            whole = np.insert(ids, ends, end_id)  # the end id after every document
-            ends = ends + np.arange(1, len(ends) + 1)
-            for doc, i, j in zip(pc.fill_null(b.column(0), int(NULL_ID)).to_pylist(), (ends - counts - 1).tolist(), ends.tolist(), strict=True):
-                for x in filler.add(doc, whole[i:j]):
-                    yield frame(x)
+        with bpe_words.encoder(tokenizer) as enc:
+            for b in text_slices(batches):
+                ids, counts = enc.texts(b.column(1))
+                ends = np.cumsum(counts)
+                whole = np.insert(ids, ends, end_id)  # the end id after every document
+                ends = ends + np.arange(1, len(ends) + 1)
+                for doc, i, j in zip(pc.fill_null(b.column(0), int(NULL_ID)).to_pylist(), (ends - counts - 1).tolist(), ends.tolist(), strict=True):
+                    for x in filler.add(doc, whole[i:j]):
+                        yield frame(x)
         if filler.held:
             yield frame(filler.frame(True))
 

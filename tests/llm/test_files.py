@@ -105,6 +105,31 @@ def test_bpe(spark, leaf):
         decoded = tok.decode(ids, skip_special_tokens=False)
         want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted(want, key=str)
+    got = bpe_tree.encode_digests(docs, PATH, leaf, 3).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_joins_act_on_given_words(spark):
+    """The given documents have words that are encoded by halves, as the library does."""
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in (r.text or "").split()})
+    enc, tok = bpe_tree.TreeEncoder(PATH), library()
+    joins, join = [], enc.join
+    enc.join = lambda *a: joins.append(a) or join(*a)
+    ids, counts = enc.texts(pa.array(words))
+    ends = counts.cumsum().tolist()
+    assert len(joins) > 100
+    for w, n, e in zip(words, counts.tolist(), ends, strict=True):
+        if len(w) > 12:
+            assert ids[e - n : e].tolist() == tok.encode(w, add_special_tokens=False).ids, w
+
+
+def test_words_leave_with_the_partition():
+    """An encoder's table is bounded, and empty after its partition."""
+    with bpe_words.encoder(PATH, bpe_tree.TreeEncoder, keep=10) as enc:
+        for k in range(50):
+            enc.texts(pa.array([f"word{k} other{k}"]))
+            assert len(enc.at) <= 12
+    assert not vars(enc)
 
 
 def test_bpe_empty(spark):
