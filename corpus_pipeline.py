@@ -58,7 +58,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(bpe_tree.TOKENIZER)
-    return bpe_tree.digests(bpe_tree.encode_texts(docs, path), path)
+    return bpe_tree.encode_digests(docs, path)
 
 
 STAGES = [
