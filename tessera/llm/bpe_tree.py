@@ -47,9 +47,9 @@ from tessera.llm import bpe_words
 from tessera.llm.common import SPACES, read, text_slices
 
 TOKENIZER = "word_bpe_49k.json"
-LEAF = 1 << 14
+LEAF = 1 << 16
 HALF = 12
-KEEP = 200_000
+KEEP = 100_000
 _GAP = re.compile(f"[{SPACES}]")
 
 
@@ -67,13 +67,9 @@ class TreeEncoder(bpe_words.WordEncoder):
     @cached_property
     def models(self):
         """The model without and with the end-of-word mark; loaded where unsplit text is met."""
-        from tokenizers import models
-
-        with open(self.path) as f:
-            spec = json.load(f)["model"]
-        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ", 1)) for x in spec["merges"]]
-        suffix = spec["end_of_word_suffix"]
-        return models.BPE(vocab=spec["vocab"], merges=merges), models.BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=suffix)
+        inner = bpe_words.load(self.path).model
+        inner.end_of_word_suffix = None
+        return inner, self.tok.model
 
     @cached_property
     def text_of(self) -> list[str]:

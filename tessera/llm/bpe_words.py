@@ -12,8 +12,6 @@ Python workers for other work.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 from contextlib import contextmanager
@@ -22,7 +20,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import split_words, strings
+from tessera.llm.common import release, split_words, strings
 
 #: Ids that a table of words may hold before it starts anew.
 POOL = 1 << 22
@@ -132,12 +130,3 @@ def encoder(path: str, make=WordEncoder, **options):
     finally:
         vars(made).clear()  # the task's function may still hold the object
         release()
-
-
-def release() -> None:
-    """Hand freed memory back to the system."""
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not the GNU C library
-        pass

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +52,29 @@ def text_slices(batches, text: str = "text", most: int = 16 << 20):
             i = j
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Spark reuses its Python workers for
+    other work, and keeps them while they idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def tidy(per_partition):
+    """A function of batches that releases its memory when its partition ends."""
+
+    def run(batches):
+        try:
+            yield from per_partition(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit numbers (splitmix64's finalizer)."""
     x = x.astype(np.uint64, copy=True)

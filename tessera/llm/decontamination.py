@@ -38,13 +38,15 @@ not read.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gram_hashes, hash_strings, mix64, read, split_words, text_slices, work_area
+from tessera.llm.common import gram_hashes, hash_strings, mix64, read, split_words, text_slices, tidy, work_area
 from tessera.llm.toxicity import PUNCTUATION
 
 _PAD = np.uint64(0)
@@ -183,19 +185,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeat
     """doc_id, item_id, n_words (of the item), edits and last_word (the place in
     the document where the best stretch ends) of every item in every document."""
     out = None
-    for index in _blocks(benchmark, edits, repeats, sampled, block_bytes, seed):
-
-        def search(batches, index=index):
-            x = index.value
-            for b in text_slices(batches):
-                rows = x.search(*normal_words(b.column(1)))
-                if rows:
-                    t, i, e, w = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(t)), pa.array([x.ids[j] for j in i], pa.int64()), pa.array([int(x.size[j]) for j in i], pa.int64()), pa.array(e, pa.int64()), pa.array(w, pa.int64())],
-                        ["doc_id", "item_id", "n_words", "edits", "last_word"])
-
-        part = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, n_words long, edits long, last_word long")
+    for group in _grouped(_blocks(benchmark, edits, repeats, sampled, block_bytes, seed)):
+
+        def search(batches, group=group):
+            for b in text_slices(batches, most=4 << 20):
+                words = normal_words(b.column(1))
+                for x in (index.value for index in group):
+                    rows = x.search(*words)
+                    if rows:
+                        t, i, e, w = zip(*rows, strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(t)), pa.array([x.ids[j] for j in i], pa.int64()), pa.array([int(x.size[j]) for j in i], pa.int64()), pa.array(e, pa.int64()), pa.array(w, pa.int64())],
+                            ["doc_id", "item_id", "n_words", "edits", "last_word"])
+
+        part = docs.select("doc_id", "text").mapInArrow(tidy(search), "doc_id long, item_id long, n_words long, edits long, last_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -203,17 +206,25 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeat
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, repeats: int = 32, sampled: int = 3, block_bytes: int = 4 << 20, seed: int = 11) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
     at = docs.columns.index("text")
-    for index in _blocks(benchmark, edits, repeats, sampled, block_bytes, seed):
+    for group in _grouped(_blocks(benchmark, edits, repeats, sampled, block_bytes, seed)):
 
-        def clean(batches, index=index):
-            for b in text_slices(batches):
-                bad = {t for t, *_ in index.value.search(*normal_words(b.column(at)))}
+        def clean(batches, group=group):
+            for b in text_slices(batches, most=4 << 20):
+                words = normal_words(b.column(at))
+                bad = {t for index in group for t, *_ in index.value.search(*words)}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)]))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(tidy(clean), docs.schema)
     return docs
 
 
+def _grouped(blocks):
+    """Up to 16 blocks (64 MB) for one pass over the documents."""
+    blocks = iter(blocks)
+    while group := list(islice(blocks, 16)):
+        yield group
+
+
 def _blocks(benchmark: DataFrame, edits: float, repeats: int, sampled: int, block_bytes: int, seed: int):
     """Broadcast indexes of the benchmark's items, block by block."""
     spark = benchmark.sparkSession

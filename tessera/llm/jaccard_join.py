@@ -63,7 +63,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gram_hashes, hash_strings, int64, mix64, one_row_per, partitions, read, split_words, text_slices, work_area
+from tessera.llm.common import gram_hashes, hash_strings, int64, mix64, one_row_per, partitions, read, split_words, text_slices, tidy, work_area
 from tessera.llm.components import components
 
 SKETCH = 1 << 20
@@ -173,8 +173,8 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             e = pa.nulls(len(full), pa.int64())
             yield _batch("doc_id n x y shared", e, e, names[full], e, shared[full])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "part int, doc_id long, n long, x long, y long, data binary")
-    return dealt.repartition(parts, "part").mapInArrow(count, SCAN)
+    dealt = docs.select("doc_id", "text").mapInArrow(tidy(deal), "part int, doc_id long, n long, x long, y long, data binary")
+    return dealt.repartition(parts, "part").mapInArrow(tidy(count), SCAN)
 
 
 _BLOOM = 1 << 24  # bits
@@ -205,7 +205,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         for k, bits in sums.items():
             yield _batch("k bits", pa.array([k], pa.int32()), pa.array([bits.tobytes()], pa.binary()))
 
-    rows = ids.mapInArrow(fill, "k int, bits binary").repartition("k").mapInArrow(merge, "k int, bits binary").collect()
+    rows = ids.mapInArrow(tidy(fill), "k int, bits binary").repartition("k").mapInArrow(merge, "k int, bits binary").collect()
     out = np.zeros((64, _BLOOM // 8 // 64), np.uint8)
     for r in rows:
         out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
@@ -226,7 +226,7 @@ def _known_sets(docs: DataFrame, known: DataFrame, width: int) -> DataFrame:
             x = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes())[:8] for s in sets), np.int64)
             yield _batch("node x shingles", b.column(0), x, pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(build, "node long, x long, shingles binary").join(known, ["x", "node"])
+    return docs.select("doc_id", "text").mapInArrow(tidy(build), "node long, x long, shingles binary").join(known, ["x", "node"])
 
 
 def _counts(sets: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _counts(sets: DataFrame) -> DataFrame:
                 data = b"s" + np.stack([full.astype(np.uint32), part[full]]).tobytes() if len(full) < _PART // 2 else b"d" + part.tobytes()
                 yield _batch("part data", pa.array([k], pa.int32()), pa.array([data], pa.binary()))
 
-    return sets.select("shingles").mapInArrow(scan, "part int, data binary")
+    return sets.select("shingles").mapInArrow(tidy(scan), "part int, data binary")
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
@@ -281,7 +281,7 @@ def _leads(sets: DataFrame) -> DataFrame:
             token = mix64(np.array(lows, np.uint64).reshape(-1, PIVOTS) + seeds).ravel()
             yield _batch("token x n s", int64(token), *(np.repeat(b.column(k).to_numpy(), PIVOTS) for k in range(3)))
 
-    return sets.select("x", "n", "s", "shingles").mapInArrow(scan, "token long, x long, n long, s long")
+    return sets.select("x", "n", "s", "shingles").mapInArrow(tidy(scan), "token long, x long, n long, s long")
 
 
 def _hearts(raw: bytes, level: np.ndarray, percent: int) -> np.ndarray:
@@ -307,7 +307,7 @@ def _large_regions(sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[n
             if token:
                 yield _batch("token cell", int64(np.concatenate(token)), np.repeat(b.column(0).to_numpy(), [len(t) for t in token]))
 
-    rows = sets.select("cell", "shingles").mapInArrow(scan, "token long, cell long")
+    rows = sets.select("cell", "shingles").mapInArrow(tidy(scan), "token long, cell long")
     large = rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("cell").alias("low"), F.max("cell").alias("high")).filter(F.col("rows") > REGION).collect()
     token = np.array([r["token"] for r in large], np.int64).view(np.uint64)
     blocks = np.array([0 if r["low"] == r["high"] else -(-r["rows"] // REGION) for r in large], np.int64)
@@ -401,7 +401,7 @@ def _region_rows(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame
                     row, tile = _tiles(b.column(0).to_numpy()[owner[i:j]], times[i:j])
                     yield _batch(" ".join(["token", "tile", *_OWN]), int64(token[i:j][row]), tile, *(b.column(k).to_numpy()[owner[i:j]][row] for k in range(len(_OWN))))
 
-    return sets.select(*_OWN, "shingles").mapInArrow(hearts, "token long, tile long, " + ", ".join(f"{c} {'double' if c == 'd' else 'long'}" for c in _OWN))
+    return sets.select(*_OWN, "shingles").mapInArrow(tidy(hearts), "token long, tile long, " + ", ".join(f"{c} {'double' if c == 'd' else 'long'}" for c in _OWN))
 
 
 def _region_pairs(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
@@ -450,7 +450,7 @@ def _region_pairs(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFram
             yield take()
 
     rows = _region_rows(sets, levels, percent)
-    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(pairs, "a long, b long, n long, m long").distinct()
+    return rows.repartition("token", "tile").sortWithinPartitions("token", "tile").mapInArrow(tidy(pairs), "a long, b long, n long, m long").distinct()
 
 
 def _feasible(p: str, q: str, percent: int):
@@ -498,7 +498,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, fan: int = 512, deltas: bool = Fa
             if out:
                 yield _batch(" ".join(["a", "b", "both", *more]), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True)))
 
-    return rows.mapInArrow(compare, ", ".join(f"{c} long" for c in ("a", "b", "both", *more)))
+    return rows.mapInArrow(tidy(compare), ", ".join(f"{c} long" for c in ("a", "b", "both", *more)))
 
 
 def _linked(percent: int):

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, int64, mix64, partitions, read, text_slices, work_area
+from tessera.llm.common import int64, mix64, partitions, read, SPACES, text_slices, tidy, work_area
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -219,8 +219,8 @@ def index_lines(docs: DataFrame, min_chars: int, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([rows], pa.schema([("shard", pa.int32()), ("keys", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()),
                                                                 ("prints", pa.binary()), ("counts", pa.binary()), ("largest", pa.binary()), ("over", pa.binary())]))
 
-    found = docs.select("doc_id", "text").mapInArrow(emit, "shard int, hi binary, lo binary, count binary, largest binary")
-    return found.repartition(shards, "shard").mapInArrow(build, LineIndex.FIELDS)
+    found = docs.select("doc_id", "text").mapInArrow(tidy(emit), "shard int, hi binary, lo binary, count binary, largest binary")
+    return found.repartition(shards, "shard").mapInArrow(tidy(build), LineIndex.FIELDS)
 
 
 def hot_entries(index: DataFrame, min_docs: int, hot: int) -> dict[tuple[int, int], int]:
@@ -295,7 +295,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                     [pa.array([s for s, _ in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()),
                      *(pa.array([p[k] for _, p in rows], pa.binary()) for k in range(3))], ["shard", "kind", "hi", "lo", "id"])
 
-    asked = docs.mapInArrow(ask, "shard int, kind int, hi binary, lo binary, id binary")
+    asked = docs.mapInArrow(tidy(ask), "shard int, kind int, hi binary, lo binary, id binary")
     arrays = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("hi"), F.lit(None).cast("binary").alias("lo"),
                           F.lit(None).cast("binary").alias("id"), F.struct(*[c for c in index.columns if c != "keys"]).alias("arrays"))
     both = arrays.unionByName(asked, allowMissingColumns=True).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
@@ -313,7 +313,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 if gone.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[gone]), pa.array(int64(hi[gone])), pa.array(int64(lo[gone]))], ["doc_id", "hi", "lo"])
 
-    gone = both.mapInArrow(probe, "doc_id long, hi long, lo long")
+    gone = both.mapInArrow(tidy(probe), "doc_id long, hi long, lo long")
     lists = gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumn("doc_id", F.nullif("doc_id", F.lit(int(NO_ID))))
 
     def rewrite(batches):
@@ -341,7 +341,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                                              ["doc_id", "n_lines", "n_dropped", "kept", "carry"])
 
     joined = whole.join(lists, whole["doc_id"].eqNullSafe(lists["doc_id"]), "left").select(whole["doc_id"], "text", "gone", "carry")
-    out = joined.mapInArrow(rewrite, f"doc_id long, n_lines long, n_dropped long, kept string, carry {whole.schema['carry'].dataType.simpleString()}")
+    out = joined.mapInArrow(tidy(rewrite), f"doc_id long, n_lines long, n_dropped long, kept string, carry {whole.schema['carry'].dataType.simpleString()}")
     return out if carry else out.drop("carry")
 
 

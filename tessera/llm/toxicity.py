@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_strings, mix64, one_row_per, read, split_words, text_slices, work_area
+from tessera.llm.common import hash_strings, mix64, one_row_per, read, split_words, text_slices, tidy, work_area
 
 BUCKETS = 1 << 20
 FACTORS = 8
@@ -158,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, terms
     chosen = np.full(BUCKETS, -1, np.int32)
     if not n["bad"] or not n["good"]:
         return chosen, machine
-    seen = rows.mapInArrow(count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    seen = rows.mapInArrow(tidy(count), "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     part = lambda x, of: x * F.log(x / of)
     a, b = F.col("bad") + 0.5, F.col("good") + 0.5
     c, d = F.lit(n["bad"] + 1.0), F.lit(n["good"] + 1.0)
@@ -174,7 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, terms
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("toxic")).cast(pa.int32()), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))],
                                              ["doc_id", "toxic", "terms"])
 
-    known = sorted(rows.mapInArrow(present, "doc_id long, toxic int, terms array<int>").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["terms"]))
+    known = sorted(rows.mapInArrow(tidy(present), "doc_id long, toxic int, terms array<int>").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["terms"]))
     sizes = np.array([len(r["terms"]) for r in known])
     flat = np.array([t for r in known for t in r["terms"]], np.int64)
     return chosen, machine.fit(np.repeat(np.arange(len(known)), sizes), flat, np.array([int(r["toxic"] > 0) for r in known]))
@@ -189,13 +189,13 @@ def score_texts(docs: DataFrame, chosen: np.ndarray, machine: FactorizationMachi
         at, place, fm = model.value
         table = np.full(BUCKETS, -1, np.int32)
         table[at] = place
-        for b in text_slices(batches):
+        for b in text_slices(batches, most=4 << 20):
             doc, term = text_terms(b.column(cols.index("text")), table)
             p = 1 / (1 + np.exp(-np.clip(fm.margins(doc, term, b.num_rows), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*cols, "toxic_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, toxic_score double")
+    return docs.mapInArrow(tidy(score), f"{fields}, toxic_score double")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
