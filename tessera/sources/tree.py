@@ -1,7 +1,7 @@
 """Translating a directory tree of files.
 
-- A1 scan: every file under the root, whatever its name or size, listed through
-  the Hadoop file system; names and sizes only.
+- A1 scan: every file under the root, whatever its name or size, listed level by
+  level in tasks; names, sizes and times only.
 - A3 split: the extension is taken like ``os.path.splitext``: exactly
   ``.html`` is work, everything else is copied.
 - A4 skip: a file whose target already exists is left out (anti join on
@@ -11,7 +11,9 @@
   an error, not a row less.
 - A2 read: only the files left are opened, by the tasks. A file that cannot be
   read or decoded is a failed page (or a copy that is not made) with its error.
-- A6/A7 write: pages and copies are written by the tasks that hold them.
+- A6 write: the pages of a pass are staged by the tasks that hold them and renamed to
+  their places when all are there.
+- A7 copy: from file to file in the tasks, in blocks, each with its error.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tessera.operators.calls import Backend
 from tessera.options import Options
 from tessera.plans.translation import Translation, translate_pages
 from tessera.session import WorkArea
-from tessera.sources.files import bare_column, bare_path, list_files, qualified, with_content, write_files
+from tessera.sources.files import STAGING, bare_column, bare_path, copy_files, list_tree, publish_files, qualified, with_content
 
 
 def file_extension(path_col) -> F.Column:
@@ -59,14 +61,16 @@ def plan_tree(files: DataFrame, root_src: str, root_dst: str, done: DataFrame |
 
 
 def scan_tree(spark: SparkSession, root: str, work: WorkArea | None = None, name: str = "tree") -> DataFrame:
-    """A1: ``(path, length)`` of every file under ``root``."""
-    return list_files(spark, root, work or WorkArea(spark), name)
+    """A1: ``(path, length, modified, error)`` of every file under ``root``; a folder
+    that can't be listed is a row with its error."""
+    return list_tree(spark, root, work or WorkArea(spark), name)
 
 
-def existing_targets(spark: SparkSession, root_dst: str, work: WorkArea) -> DataFrame:
+def existing_targets(spark: SparkSession, root_dst: str, work: WorkArea, name: str = "targets") -> DataFrame:
     """A4 input: relative paths that already exist under the target root."""
     root = qualified(spark, root_dst)[1].toString()
-    return list_files(spark, root_dst, work, "targets").select(_relative(F.col("path"), root).alias("rel_path"))
+    found = list_tree(spark, root_dst, work, name).filter("error is null").select(_relative(F.col("path"), root).alias("rel_path"))
+    return found.filter(~F.startswith("rel_path", F.lit(STAGING)))
 
 
 def numbered_pages(files: DataFrame, encoding: str = "UTF-8") -> DataFrame:
@@ -84,8 +88,8 @@ def numbered_pages(files: DataFrame, encoding: str = "UTF-8") -> DataFrame:
 
 @dataclass
 class TreePass:
-    """One pass over a tree: pages worked on, their report, the run and the
-    files that could not be copied (``rel_path, file_error``)."""
+    """One pass over files: pages worked on, their report, the run, and what could
+    not be copied or listed (``rel_path, file_error``)."""
 
     tasks: int
     report: DataFrame
@@ -93,6 +97,31 @@ class TreePass:
     copy_errors: DataFrame
 
 
+def translate_files(
+    plan: DataFrame,
+    root_dst: str,
+    backend: Backend,
+    work: WorkArea,
+    options: Options = Options(),
+    fit_backend: Backend | None = None,
+    encoding: str = "UTF-8",
+) -> TreePass:
+    """A2, A6-A8, J1, I1 for planned files (``path, rel_path, target_path, action``;
+    a stored table).
+
+    Copies are made first, then the pages are translated and published. A page that
+    cannot be read, or is lost to a segment error, is reported ``failed`` and not written
+    (I4): it stays to be done.
+    """
+    copies = work.write(copy_files(plan.filter(F.col("action") == "copy")), "copies")
+    pages = work.write(numbered_pages(plan.filter(F.col("action") == "translate"), encoding), "tree_pages")
+    tasks = pages.count()  # A8
+    tr = translate_pages(pages.select("page_id", "url", "html", F.col("file_error").alias("page_error")), backend, options, fit_backend, work=work)
+    publish_files(tr.out_pages.join(pages.select("page_id", "target_path"), "page_id"), "target_path", "html", root_dst, work, "pages")
+    report = tr.report.join(pages.select("page_id", "target_path"), "page_id", "left")
+    return TreePass(tasks, report, tr, copies.filter("file_error is not null"))
+
+
 def translate_tree(
     spark: SparkSession,
     root_src: str,
@@ -105,24 +134,16 @@ def translate_tree(
 ) -> TreePass:
     """A1-A8 + J1 + I1 over a directory tree: all files without a target.
 
-    Copies are written first, then the translated pages. A page that cannot be
-    read, or is lost to a segment error, is reported ``failed`` and not written
-    (I4): it stays to be done on the next pass. With a resumable work area the
-    listing, the pages and every stored reply of a broken pass are used again.
+    With a resumable work area the listing, the pages and every stored reply of a broken
+    pass are used again. Folders that could not be listed are among the ``copy_errors``.
     """
     area = work or WorkArea(spark)
     src, dst = (qualified(spark, r)[1].toString() for r in (root_src, root_dst))
+    listed = scan_tree(spark, src, area)
     if not (area.resume and area.done("plan")):
-        plan = plan_tree(scan_tree(spark, src, area), src, dst, existing_targets(spark, dst, area))
-        area.write(plan.repartition("path"), "plan")
-    plan = area.read("plan")
-    copies = with_content(plan.filter(F.col("action") == "copy").select("path", "rel_path", "target_path"))
-    write_files(copies, "target_path", "content")
-    copy_errors = plan.filter(F.col("action") == "copy").select("rel_path").join(
-        existing_targets(spark, dst, area), "rel_path", "left_anti").withColumn("file_error", F.lit("not copied"))
-    pages = area.write(numbered_pages(plan.filter(F.col("action") == "translate"), encoding), "tree_pages")
-    tasks = pages.count()  # A8
-    tr = translate_pages(pages.select("page_id", "url", "html", F.col("file_error").alias("page_error")), backend, options, fit_backend, work=area)
-    write_files(tr.out_pages.join(pages.select("page_id", "target_path"), "page_id"), "target_path", "html")
-    report = tr.report.join(pages.select("page_id", "target_path"), "page_id", "left")
-    return TreePass(tasks, report, tr, copy_errors)
+        plan = plan_tree(listed.filter("error is null"), src, dst, existing_targets(spark, dst, area))
+        area.write(plan.drop("error").repartition("path"), "plan")
+    done = translate_files(area.read("plan"), dst, backend, area, options, fit_backend, encoding)
+    missed = listed.filter("error is not null").select(F.col("path").alias("rel_path"), F.col("error").alias("file_error"))
+    done.copy_errors = done.copy_errors.unionByName(missed)
+    return done
