@@ -2,29 +2,28 @@
 
 A *backend* is a function ``requests DataFrame -> DataFrame`` that returns
 the request columns plus ``calls INT, content STRING, finish_reason STRING,
-error STRING``. Three kinds exist:
+error STRING``. A backend with a method ``stage(requests, work, name)`` runs in
+the work area of its caller, where it may keep tables of its own. There are
 
-- ``python_backend(fn)``: live calls through a user function, on Arrow
-  batches, with pacing (E4), retries (E6) and back-off (E7) inside the task;
+- ``python_backend(fn)``: live calls through a user function, paced, retried and
+  resumed (``tessera.operators.live``);
 - ``replay_backend(replies)``: a left join with stored replies (E2);
+- ``shared_backend(backend, path)``: equal requests asked once, replies kept between
+  runs (E2);
+- ``continued_backend(backend)``: replies that stopped at the length limit are
+  continued (D7, D8, E8);
 - any DataFrame function (the synthetic models of tests and bench).
 
 ``call_model`` writes the replies to the shared work area before anything
 reads them: a retried or re-planned downstream stage re-reads the stored
-replies. Within the call stage itself a lost task repeats the calls of its share
-of one wave; complete waves are never asked again.
+replies.
 """
 
 from __future__ import annotations
 
-import random
-import threading
 import time
-import zlib
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,29 +51,16 @@ def call_model(
     The prompt messages are dropped before storing (they are rebuilt from
     the request columns when needed); the reply is kept with its request key.
     ``keep`` (optional) names the only columns to store.
-
-    Live backends (those with ``waves``) run in that many waves by a hash of the
-    request id. A wave's replies are stored when it is complete and are not
-    asked for again: a resumed run leaves out the waves that are there, and a lost
-    task repeats its own share of one wave only.
     """
     if work.resume and work.done(name):
         return work.read(name)  # stored replies of an earlier attempt of this run
+    out = run_backend(backend, requests, work, name)
+    return work.write(out.select(*[c for c in out.columns if (c in keep if keep else c != "messages")]), name)
 
-    def stored(out: DataFrame) -> DataFrame:
-        return out.select(*[c for c in out.columns if (c in keep if keep else c != "messages")])
 
-    waves = getattr(backend, "waves", 1)
-    if waves > 1:
-        requests = work.write(requests, f"{name}_requests")
-        parts = []
-        for k in range(waves):
-            part = f"{name}_wave_{k}"
-            if not (work.resume and work.done(part)):
-                work.write(stored(backend(requests.filter(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == k))), part)
-            parts.append(work.path(part))
-        return work.write(work.spark.read.parquet(*parts), name)
-    return work.write(stored(backend(requests)), name)
+def run_backend(backend: Backend, requests: DataFrame, work: WorkArea, name: str) -> DataFrame:
+    """The backend's replies, in the caller's work area where it has a stage."""
+    return backend.stage(requests, work, name) if hasattr(backend, "stage") else backend(requests)
 
 
 # --------------------------------------------------------------------------
@@ -97,99 +83,115 @@ def replay_backend(replies: DataFrame) -> Backend:
     return run
 
 
-# --------------------------------------------------------------------------
-# E1, E4, E6, E7, E8 live calls
-# --------------------------------------------------------------------------
-class RetryableError(Exception):
-    """Raised by a call function for errors that should back off (rate limit, server error)."""
+class Staged:
+    """A backend that works in stages of others."""
 
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        return self.stage(requests, WorkArea(requests.sparkSession), "calls")
 
-def backoff_factor(request_id: str, retry: int, base: float) -> float:
-    """Growth factor ``base ± 1`` with a jitter seeded by request and retry."""
-    rnd = random.Random(zlib.crc32(f"{request_id}:{retry}".encode()))
-    return base + rnd.uniform(-1.0, 1.0)
+    def stage(self, requests: DataFrame, work: WorkArea, name: str) -> DataFrame:
+        raise NotImplementedError
 
 
-def call_batches(
-    batches: Iterator[pd.DataFrame],
-    fn: Callable[[str, list, float], tuple[str, str]],
-    options: Options,
-    spacing: float,
-    sleep: Callable[[float], None] = time.sleep,
-    clock: Callable[[], float] = time.time,
-) -> Iterator[pd.DataFrame]:
-    """The per-partition call loop (E1, E4, E6, E7) over Arrow batches of requests.
+def message_key(model: str = "model", temperature: str = "temperature", messages: str = "messages") -> Column:
+    """SHA-256 of a request's model, temperature and messages."""
+    return F.sha2(F.to_json(F.struct(F.col(model).alias("m"), F.col(temperature).alias("t"), F.col(messages).alias("c")), {"ignoreNullFields": "false"}), 256)
 
-    Only the opening of calls is paced: up to ``options.calls_in_flight`` calls
-    of a task run at the same time, so the rate limit, not the model's latency,
-    bounds the throughput.
+
+class shared_backend(Staged):  # noqa: N801 - reads like the other backends
+    """Replies addressed by content. Requests with the same model, temperature
+    and messages are asked once and their reply goes to all of them. With ``path``, complete
+    replies are kept there (a table by key, appended to) and not asked for by later
+    runs. Failed calls are not kept. Not used unless asked for: by default every
+    request is a call of its own.
+    """
+
+    def __init__(self, backend: Backend, path: str | None = None):
+        self.backend, self.path = backend, path
+
+    def known(self, work: WorkArea) -> DataFrame:
+        """key, content, finish_reason of the kept replies."""
+        schema = "key string, content string, finish_reason string"
+        if self.path and WorkArea.complete(work.spark, self.path):
+            kept = work.spark.read.schema(schema).parquet(self.path)
+            # two runs at a time may both have asked: one reply is taken
+            return kept.groupBy("key").agg(F.min_by(F.struct("content", "finish_reason"), F.struct("content", "finish_reason")).alias("r")).select("key", "r.*")
+        return work.spark.createDataFrame([], schema)
+
+    def stage(self, requests: DataFrame, work: WorkArea, name: str) -> DataFrame:
+        keyed = work.write(requests.withColumn("_key", message_key()), f"{name}_keyed")
+        known = work.write(self.known(work), f"{name}_known")
+        once = keyed.groupBy(F.col("_key").alias("request_id")).agg(F.first("model").alias("model"), F.first("messages").alias("messages"), F.first("temperature").alias("temperature"))
+        new = once.join(known.select(F.col("key").alias("request_id")), "request_id", "left_anti")
+        asked = call_model(new, self.backend, work, f"{name}_once", keep={"request_id", *[f.name for f in REPLY_FIELDS]})
+        if self.path and not (work.resume and work.done(f"{name}_kept")):
+            fresh = asked.filter("error is null").select(F.col("request_id").alias("key"), "content", "finish_reason")
+            fresh.write.mode("append").parquet(self.path)
+            work.write(fresh.select("key"), f"{name}_kept")
+        found = asked.select(F.col("request_id").alias("_key"), *[f.name for f in REPLY_FIELDS]).unionByName(
+            known.select(F.col("key").alias("_key"), F.lit(0).alias("calls"), "content", "finish_reason", F.lit(None).cast("string").alias("error")))
+        return keyed.join(found, "_key", "left").drop("_key")
+
+
+class continued_backend(Staged):  # noqa: N801
+    """A conversation goes on until its reply is whole.
+
+    Every round asks the requests whose reply stopped at the length limit again, with
+    the turns so far as history and no user turn; the replies of all rounds are one
+    reply, in order. After ``rounds`` rounds what is still cut keeps its finish reason
+    ``length``. A call that fails for good ends its conversation with that error.
     """
-    opened: list[float] = []
-    gate = threading.Lock()
-
-    def wait_for_turn() -> None:
-        with gate:
-            if opened:
-                wait = opened[0] + spacing - clock()
-                if wait > 0:
-                    sleep(wait)
-            opened[:] = [clock()]
-
-    def one(row) -> tuple:
-        rid, model, msgs, temp = row
-        messages = [{"role": m["role"], "content": m["content"]} for m in msgs]
-        n, delay = 0, options.backoff_init_delay
-        while True:
-            wait_for_turn()
-            n += 1
-            try:
-                content, finish = fn(model, messages, float(temp))
-                return n, content, finish, None
-            except Exception as e:  # noqa: BLE001 - every failure is a row result
-                if n > options.call_max_retry:
-                    return n, None, None, f"gave up after {n} calls: {e}"
-                if isinstance(e, RetryableError):
-                    sleep(delay)
-                    delay = min(options.backoff_cap_sec, delay * backoff_factor(rid, n, options.backoff_exp_base))
-                else:
-                    sleep(options.backoff_init_delay)
-
-    with ThreadPoolExecutor(max(1, options.calls_in_flight)) as pool:
-        for pdf in batches:
-            rows = list(pool.map(one, zip(pdf["request_id"], pdf["model"], pdf["messages"], pdf["temperature"])))
-            calls, contents, finishes, errors = zip(*rows) if rows else ((), (), (), ())
-            yield pdf.assign(calls=calls, content=contents, finish_reason=finishes, error=errors)
+
+    def __init__(self, backend: Backend, rounds: int = 16):
+        self.backend, self.rounds = backend, rounds
+
+    def stage(self, requests: DataFrame, work: WorkArea, name: str) -> DataFrame:
+        from tessera.operators.requests import append_reply, build_messages, conversation_of
+
+        requests = work.write(requests, f"{name}_first")
+        talk = conversation_of(requests.select("request_id", "model", "temperature", "messages"))
+        parts: list[str] = []
+        for k in range(self.rounds):
+            asked = talk.withColumn("messages", build_messages(F.col("system"), F.col("history"), F.col("user"), F.lit(k > 0)))
+            replies = call_model(asked, self.backend, work, f"{name}_part_{k}")
+            parts.append(f"{name}_part_{k}")
+            cut = replies.filter(truncated() & F.col("error").isNull())
+            talk = append_reply(cut, "user", "content", first=k == 0).select("request_id", "model", "temperature", "system", "history", "user")
+            if k + 1 < self.rounds and talk.isEmpty():
+                break
+        rounds = None
+        for k, part in enumerate(parts):
+            one = work.read(part).select("request_id", F.lit(k).alias("seq"), F.lit("assistant").alias("role"), *[f.name for f in REPLY_FIELDS])
+            rounds = one if rounds is None else rounds.unionByName(one)
+        whole = assemble_chunks(rounds).select("request_id", "content", "finish_reason")
+        ends = rounds.groupBy("request_id").agg(F.sum("calls").cast("int").alias("calls"), F.max_by("error", "seq").alias("error"))
+        out = ends.join(whole, "request_id")
+        out = out.withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+        return requests.join(out, "request_id", "left")
+
+
+# --------------------------------------------------------------------------
+# E1, E4, E6, E7, E8 live calls
+# --------------------------------------------------------------------------
+class RetryableError(Exception):
+    """Raised by a call function for errors that should back off (rate limit, server error)."""
 
 
 def python_backend(
-    fn: Callable[[str, list, float], tuple[str, str]],
+    fn: Callable,
     options: Options = Options(),
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.time,
 ) -> Backend:
-    """E1 + E4 + E6 + E7: call ``fn(model, messages, temperature) -> (content, finish_reason)``.
-
-    - E4 pacing: the stage runs on ``options.call_partitions`` partitions;
-      each spaces its calls ``P * period / limit`` seconds apart, so the
-      whole stage stays within ``limit`` calls per ``period``.
-    - E6 retries: a failing call is repeated up to ``call_max_retry`` times,
-      then the row gets ``error`` instead of failing the task.
-    - E7 back-off: ``RetryableError`` delays grow by ``base ± 1`` up to
-      the cap; other errors wait the initial delay.
-    """
-
-    def run(requests: DataFrame) -> DataFrame:
-        parts = int(options.call_partitions or requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spacing = parts * options.rate_period_sec / max(1, options.rate_limit)
+    """E1 + E3 + E4 + E6 + E7: live calls of ``fn(model, messages, temperature)``.
 
-        def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            return call_batches(batches, fn, options, spacing, sleep, clock)
-
-        schema = T.StructType(requests.schema.fields + REPLY_FIELDS)
-        return requests.repartition(parts, "request_id").mapInPandas(per_partition, schema)
+    ``fn`` returns ``(content, finish_reason)`` or an iterable of pieces; with a
+    parameter ``call`` it is told the request, the attempt and the text so far. See
+    ``tessera.operators.live``.
+    """
+    from tessera.operators.live import LiveCalls
 
-    run.waves = max(1, options.call_waves)
-    return run
+    return LiveCalls(fn, options, sleep, clock)
 
 
 def truncated(finish_reason: Column | str = "finish_reason") -> Column:
@@ -282,6 +284,53 @@ def rate_check(
     return out.withColumn("gap_sec", gap).withColumn("breaks", gap < F.lit(period_sec))
 
 
+def _errors_in_a_row(log: DataFrame, key: str, order: list[str], outcome: str, bucket: str | None, states: DataFrame | None) -> DataFrame:
+    """Adds ``_n``: listed errors of the key since its last success, up to this row,
+    those before the log (``states``) included, and ``_grown``: the sum of the logarithms
+    of their factors without the last one's (``_factor``)."""
+    listed = F.col(outcome) == "listed"
+    d = running_sum(log, key, order, listed.cast("long"), "_cum", bucket)
+    d = running_sum(d, key, order, F.when(listed, F.ln("_factor")).otherwise(0.0), "_sum", bucket)
+    d = d.withColumn("_both", F.struct("_cum", "_sum"))
+    d = last_marked(d, key, order, F.col(outcome) == "ok", "_both", "_at_ok", bucket)
+    if states is None:
+        before, grown = F.lit(0), F.lit(0.0)
+    else:
+        d = d.join(states.select(key, F.col("errors").alias("_errors"), F.col("grown").alias("_before")), key, "left")
+        before, grown = F.coalesce("_errors", F.lit(0)), F.coalesce("_before", F.lit(0.0))
+    since = F.col("_at_ok").isNotNull()
+    d = d.withColumn("_n", F.when(since, F.col("_cum") - F.col("_at_ok._cum")).otherwise(F.col("_cum") + before))
+    d = d.withColumn("_after", F.when(since, F.col("_sum") - F.col("_at_ok._sum")).otherwise(F.col("_sum") + grown))
+    return d.drop("_cum", "_sum", "_both", "_at_ok", "_errors", "_before")
+
+
+def _delay(outcome: str, options: Options) -> Column:
+    grown = F.col("_after") - F.when(F.col(outcome) == "listed", F.ln("_factor")).otherwise(0.0)
+    listed = F.least(F.lit(options.backoff_cap_sec), F.lit(options.backoff_init_delay) * F.exp(grown))
+    return F.when(F.col(outcome) == "ok", F.lit(None).cast("double")).when(F.col(outcome) == "listed", listed).otherwise(F.lit(options.backoff_init_delay))
+
+
+def backoff_states(
+    log: DataFrame, key: str, ts: str, tie: str, options: Options = Options(), states: DataFrame | None = None, bucket_sec: float = 30.0, outcome: str = "outcome",
+) -> tuple[DataFrame, DataFrame]:
+    """E7 carried from one part of a call log to the next.
+
+    ``log``: the calls of one round (``ts`` in seconds); ``states``: ``(key, errors,
+    grown)`` after the rounds before it. Returns the log with ``delay_sec`` and the states
+    after it. The delay of a listed error is ``init`` times one factor ``base ± 1`` for every
+    listed error of the key since its last success but the last, capped; the factor's
+    jitter is drawn from the row's ``tie`` and attempt. Other errors wait ``init``.
+    """
+    jitter = F.pmod(F.xxhash64(F.lit("jitter"), tie, "attempt"), F.lit(1 << 30)) / F.lit(float(1 << 29)) - 1
+    log = log.withColumn("_factor", F.lit(options.backoff_exp_base) + F.lit(options.backoff_jitter) * jitter)
+    log = log.withColumn("_bucket", F.floor(F.col(ts) / bucket_sec).cast("long"))
+    d = _errors_in_a_row(log, key, [ts, tie], outcome, "_bucket", states).withColumn("delay_sec", _delay(outcome, options))
+    last = d.groupBy(key).agg(F.max_by(F.struct(F.col("_n").alias("errors"), F.col("_after").alias("grown")), F.struct(ts, tie)).alias("s")).select(key, "s.*")
+    if states is not None:
+        last = last.unionByName(states.join(last.select(key), key, "left_anti"))
+    return d.drop("_factor", "_bucket", "_n", "_after"), last
+
+
 def backoff_schedule(
     log: DataFrame,
     key: str,

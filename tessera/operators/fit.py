@@ -111,7 +111,8 @@ def fit_rounds(
     def call_and_check(reqs: DataFrame) -> DataFrame:
         return validate_fit(backend(reqs))
 
-    call_and_check.waves = getattr(backend, "waves", 1)
+    if hasattr(backend, "stage"):
+        call_and_check.stage = lambda reqs, area, name: validate_fit(backend.stage(reqs, area, name))
     keep = {*CANDIDATE_COLS, "candidate", "content", "src_text", "trans_text"}
     written: list[str] = []
     active = fit_rows.select(*FIT_ROW_COLS)

@@ -182,15 +182,35 @@ def chat_message_rows(
     return h.select("conv_id", "pos", "role", "content").unionByName(sys_rows)
 
 
+def _turn(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
 def append_round(log: DataFrame, user_col: str, assistant_col: str) -> DataFrame:
     """A finished round adds its user and assistant turns to the log."""
-    new = F.array(
-        F.struct(F.lit("user").alias("role"), F.col(user_col).alias("content")),
-        F.struct(F.lit("assistant").alias("role"), F.col(assistant_col).alias("content")),
-    ).cast(MESSAGE_TYPE)
+    new = F.array(_turn("user", F.col(user_col)), _turn("assistant", F.col(assistant_col))).cast(MESSAGE_TYPE)
     return log.withColumn("history", F.concat(F.coalesce(F.col("history").cast(MESSAGE_TYPE), F.array().cast(MESSAGE_TYPE)), new))
 
 
+def append_reply(log: DataFrame, user_col: str, assistant_col: str, first: bool) -> DataFrame:
+    """D8 for a reply in parts: the first part closes a round, later ones go on
+    with the assistant's turn that is the last of the history."""
+    if first:
+        return append_round(log, user_col, assistant_col)
+    longer = F.concat(F.element_at("history", -1)["content"], F.col(assistant_col))
+    kept = F.slice("history", 1, F.size("history") - 1)
+    return log.withColumn("history", F.concat(kept, F.array(_turn("assistant", longer)).cast(MESSAGE_TYPE)))
+
+
+def conversation_of(requests: DataFrame) -> DataFrame:
+    """D7 backwards: ``messages`` as ``system, history, user`` (its last turn)."""
+    m = F.col("messages").cast(MESSAGE_TYPE)
+    has_system = m[0]["role"] == "system"
+    turns = F.when(has_system, F.slice(m, 2, F.size(m))).otherwise(m)
+    out = requests.withColumn("system", F.when(has_system, m[0]["content"]).otherwise(F.lit(""))).withColumn("_turns", turns)
+    return out.withColumn("user", F.element_at("_turns", -1)["content"]).withColumn("history", F.slice("_turns", 1, F.size("_turns") - 1)).drop("_turns", "messages")
+
+
 def exploded_messages(df: DataFrame, key_cols: list[str]) -> DataFrame:
     """Messages as rows ``(*keys, pos, role, content)``."""
     return df.select(*key_cols, F.posexplode("messages").alias("pos", "m")).select(

@@ -80,15 +80,23 @@ class Options:
     backoff_init_delay: float = 1.0
     backoff_exp_base: float = 2.0
     backoff_cap_sec: float = 300.0
+    # the factor of each further error is backoff_exp_base plus or minus up to this
+    backoff_jitter: float = 1.0
+    # calls that share one back-off state: those of one model (or of one request_id)
+    backoff_key: str = "model"
+    # failed calls due within so many seconds of the first are asked in one round
+    retry_gather_sec: float = 5.0
+    # a task stores the replies it has every so many seconds
+    store_sec: float = 10.0
     # "fail_page": an unreadable or failed segment loses its page (parity);
     # "keep": only the groups of that segment are marked as errors.
     on_segment_error: str = "fail_page"
-    # number of partitions of the model-call stage (bounds concurrency);
-    # None: the session's shuffle partitions
+    # number of lanes (tasks) of the model-call stage; None: the cores of the session.
+    # More lanes than cores keep the limit too, but use only part of it
     call_partitions: int | None = None
     # calls of one task that run at the same time (their opening is paced)
     calls_in_flight: int = 8
-    # live calls are made and stored in so many waves
+    # first calls are made and stored in so many waves
     call_waves: int = 4
     # spread pages round-robin over so many partitions before tokenizing
     # (None: the partitions of the input)

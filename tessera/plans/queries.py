@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions.json_reply import with_parsed_reply
 from tessera.functions.similarity import with_match_score
 from tessera.functions.text import compact_text, rot13, token_count
-from tessera.operators.calls import assemble_chunks, backoff_schedule, rate_check, replay_backend
+from tessera.operators.calls import assemble_chunks, backoff_schedule, call_model, continued_backend, python_backend, rate_check, replay_backend, shared_backend, truncated
+from tessera.operators.live import call_log, reply_pieces
 from tessera.operators.fit import best_candidate, grade_best, route_groups, validate_fit
 from tessera.operators.groups import page_groups, shreds
 from tessera.operators.replies import match_replies
@@ -24,6 +25,7 @@ from tessera.operators.tokenize import fragments
 from tessera.options import ENCODING_MAP, Options
 from tessera.plans import synthetic as syn
 from tessera.plans.translation import translate_pages
+from tessera.session import WorkArea
 from tessera.sources.tree import plan_tree
 
 SMALL_MAX = 200
@@ -190,8 +192,6 @@ def q_call_stage(spark, sf):
     """Segment requests through the live-call backend (paced,
     retried) with a stand-in model that fails some first calls and cuts some
     replies at the length limit."""
-    from tessera.operators.calls import python_backend, truncated
-
     opts = OPTIONS.with_(rate_limit=100000, rate_period_sec=1.0, backoff_init_delay=0.0)
     out = python_backend(syn.FlakyRotationModel(), opts)(_conv_requests(spark, sf))
     return out.select(
@@ -204,6 +204,54 @@ def q_call_stage(spark, sf):
     )
 
 
+PACE = OPTIONS.with_(rate_limit=100, rate_period_sec=0.25, backoff_init_delay=0.01, backoff_jitter=0.0, backoff_key="request_id", retry_gather_sec=1.0, call_waves=1)
+
+
+def q_call_openings(spark, sf):
+    """The stored openings of a paced stage, failed calls and all, put through the
+    rate check: no call opens within the period of the call ``limit`` before it."""
+    work = WorkArea(spark)
+    call_model(_conv_requests(spark, sf), python_backend(syn.FlakyRotationModel(), PACE), work, "paced")
+    log = call_log(work, "paced").withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz"))
+    r = rate_check(log, "model", "opened_at", "request_id", PACE.rate_limit, PACE.rate_period_sec, bucket_sec=4 * PACE.rate_period_sec)
+    return r.select("request_id", *_long("attempt"), "outcome", F.coalesce("breaks", F.lit(False)).alias("breaks"))
+
+
+def q_streamed_replies(spark, sf):
+    """Every document streamed back by the model, in pieces that are stored as
+    rows; streams that broke go on from their last piece."""
+    docs = _t(spark, sf, "documents").repartition(_cores(spark))
+    reqs = syn.text_requests(docs, F.format_string("d-%d", "doc_id"), F.coalesce("text", F.lit("")))
+    work, opts = WorkArea(spark), PACE.with_(rate_limit=1_000_000)
+    out = call_model(reqs, python_backend(syn.StreamingEcho(), opts), work, "streamed")
+    pieces = reply_pieces(work, "streamed").groupBy("request_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("seq").alias("places"))
+    return out.join(pieces, "request_id").select("request_id", *_long("calls", "pieces", "places"), "content", "finish_reason", "error")
+
+
+def q_continued_replies(spark, sf):
+    """Replies cut at a length are continued until they stop, with the
+    reply so far as history."""
+    turns = _t(spark, sf, "conversations").repartition(_cores(spark))
+    reqs = syn.text_requests(turns, F.format_string("c-%d-%d", "conv_id", "turn"), F.col("text"))
+    opts = PACE.with_(rate_limit=1_000_000)
+    out = call_model(reqs, continued_backend(python_backend(syn.CutRotationModel(), opts), rounds=20), WorkArea(spark), "continued")
+    return out.select("request_id", *_long("calls"), "content", "finish_reason", "error")
+
+
+def q_shared_replies(spark, sf):
+    """Equal requests are asked once, by the content of their messages; a second
+    run finds all replies kept."""
+    turns = _t(spark, sf, "conversations")
+    reqs = syn.text_requests(turns, F.format_string("c-%d-%d", "conv_id", "turn"), F.substring("text", 1, 4))
+    work, opts = WorkArea(spark), PACE.with_(rate_limit=1_000_000)
+    backend = shared_backend(python_backend(syn.CutRotationModel(), opts), work.path("kept_replies"))
+    first = call_model(reqs, backend, work, "first")
+    asked = call_log(work, "first_once").count()
+    second = call_model(reqs, backend, work, "second")
+    both = first.select("request_id", "content").join(second.select("request_id", F.col("content").alias("again"), F.col("calls").alias("calls_again")), "request_id")
+    return both.select("request_id", "content", "again", *_long("calls_again"), F.lit(asked).cast("long").alias("asked"))
+
+
 def q_chunk_assembly(spark, sf):
     a = assemble_chunks(syn.reply_chunks(_t(spark, sf, "documents")))
     return a.select("request_id", "content", "role", "finish_reason", F.col("n_chunks").cast("long").alias("n_chunks"))
@@ -216,17 +264,12 @@ def q_rate_check(spark, sf):
 
 
 def q_backoff(spark, sf):
-    ev = _t(spark, sf, "events").select(
-        "event_id",
-        "user_id",
-        "ts",
-        F.when(F.col("event_type") == "purchase", F.lit("ok"))
-        .when(F.col("event_type") == "error", F.lit("listed"))
-        .otherwise(F.lit("other"))
-        .alias("outcome"),
-    )
-    b = backoff_schedule(ev, "user_id", "ts", "event_id", "outcome", OPTIONS, bucket_sec=7 * 86400.0)
-    return b.select(*_long("event_id", "user_id"), "outcome", F.col("delay_sec").cast("double").alias("delay_sec"))
+    """The call log that the stage itself writes, and the delay after each call."""
+    work = WorkArea(spark)
+    call_model(_conv_requests(spark, sf), python_backend(syn.OftenFlakyModel(), PACE.with_(rate_limit=1_000_000)), work, "flaky")
+    log = call_log(work, "flaky")
+    b = backoff_schedule(log, "request_id", "opened_at", "attempt", "outcome", PACE, bucket_sec=60.0)
+    return b.select("request_id", *_long("attempt"), "outcome", F.col("delay_sec").cast("double").alias("delay_sec"))
 
 
 # ---------------------------------------------------------------- F
@@ -374,6 +417,10 @@ QUERIES = {
     "fit_requests": q_fit_requests,
     "replay": q_replay,
     "call_stage": q_call_stage,
+    "call_openings": q_call_openings,
+    "streamed_replies": q_streamed_replies,
+    "continued_replies": q_continued_replies,
+    "shared_replies": q_shared_replies,
     "chunk_assembly": q_chunk_assembly,
     "rate_check": q_rate_check,
     "backoff": q_backoff,

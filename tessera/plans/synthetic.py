@@ -144,6 +144,7 @@ def faulty_fit_backend(requests: DataFrame) -> DataFrame:
 def reply_chunks(documents: DataFrame, width: int = 40) -> DataFrame:
     """``chunks(request_id, seq, role, content, finish_reason)``: each document
     cut every ``width`` characters; role only on seq 0, finish reason on the last."""
+    documents = documents.repartition(documents.sparkSession.sparkContext.defaultParallelism)  # may be one row group
     n = F.greatest(F.ceil(F.length("text") / F.lit(width)), F.lit(1)).cast("int")
     d = documents.select(F.col("doc_id"), "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"), n.alias("n"))
     return d.select(
@@ -218,13 +219,14 @@ class FlakyRotationModel:
     Answers with the letter-rotated JSON payload of the last user message.
     The first call for a payload whose length is a multiple of 7 fails with
     a retryable error; a payload whose length is a multiple of 11 is answered
-    with finish reason ``length``. Each task gets its own copy (and memory).
+    with finish reason ``length``.
     """
 
-    def __init__(self):
-        self.failed: set[str] = set()
+    def failures(self, payload: str) -> int:
+        """How many calls for a payload fail before it is answered."""
+        return 1 if len(payload) % 7 == 0 else 0
 
-    def __call__(self, model, messages, temperature):
+    def __call__(self, model, messages, temperature, call):
         import codecs
         import json
         import re
@@ -234,9 +236,63 @@ class FlakyRotationModel:
         user = [m for m in messages if m["role"] == "user"][-1]["content"]
         found = re.search(r"\{.*\}", user, re.S)
         payload = found.group(0) if found else "{}"
-        if len(payload) % 7 == 0 and payload not in self.failed:
-            self.failed.add(payload)
+        if call.attempt < self.failures(payload):
             raise RetryableError("rate limited")
         obj = json.loads(payload)
         out = json.dumps({k: codecs.encode(v, "rot13") for k, v in obj.items()}, ensure_ascii=False, separators=(",", ":"))
         return out, ("length" if len(payload) % 11 == 0 else "stop")
+
+
+class OftenFlakyModel(FlakyRotationModel):
+    """Fails 0 to 3 times, by the payload's length."""
+
+    def failures(self, payload: str) -> int:
+        return len(payload) % 4
+
+
+class StreamingEcho:
+    """A model that streams the user's text back in pieces of ``width`` characters.
+
+    A stream of text whose length is a multiple of 3 breaks after its second piece, on
+    the first attempt; asked to go on after a part, the model streams the rest.
+    """
+
+    def __init__(self, width: int = 1000):
+        self.width = width
+
+    def __call__(self, model, messages, temperature, call):
+        from tessera.operators.calls import RetryableError
+
+        text = messages[-1]["content"] if messages[-1]["role"] == "user" else messages[-2]["content"]
+        done = messages[-1]["content"] if messages[-1]["role"] == "assistant" else ""
+        rest = text[len(done):] if text.startswith(done) else "?"
+        cuts = range(0, max(len(rest), 1), self.width)
+        for n, at in enumerate(cuts):
+            if n == 2 and call.attempt == 0 and len(text) % 3 == 0:
+                raise RetryableError("the stream broke")
+            yield {"role": "assistant" if n == 0 else None, "content": rest[at : at + self.width], "finish_reason": "stop" if at == cuts[-1] else None}
+
+
+class CutRotationModel:
+    """A model whose replies hold at most ``width`` characters: it answers the last
+    user turn letter-rotated, and goes on where the assistant's turn after it ends."""
+
+    def __init__(self, width: int = 150):
+        self.width = width
+
+    def __call__(self, model, messages, temperature):
+        import codecs
+
+        user = [m for m in messages if m["role"] == "user"][-1]["content"]
+        done = len(messages[-1]["content"]) if messages[-1]["role"] == "assistant" else 0
+        part = codecs.encode(user, "rot13")[done : done + self.width]
+        return part, ("length" if done + self.width < len(user) else "stop")
+
+
+def text_requests(rows: DataFrame, request_id: Column, text: Column) -> DataFrame:
+    """One request per row: its text as the user's turn."""
+    from tessera.operators.requests import build_messages
+
+    return rows.select(
+        request_id.alias("request_id"), F.lit("local-model").alias("model"), F.lit(0.01).alias("temperature"),
+        build_messages(F.lit("Answer."), F.lit(None), text).alias("messages"))

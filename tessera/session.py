@@ -123,9 +123,13 @@ class WorkArea:
 
     def done(self, name: str) -> bool:
         """The table was written completely."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return self.complete(self.spark, self.path(name))
+
+    @staticmethod
+    def complete(spark: SparkSession, path: str) -> bool:
+        """A table was written to this path, completely (Spark's ``_SUCCESS``)."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
         if self.resume and mode == "overwrite" and self.done(name):

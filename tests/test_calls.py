@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators.calls import RetryableError, assemble_chunks, backoff_schedule, python_backend, rate_check
+from tessera.operators.calls import (
+    RetryableError, assemble_chunks, backoff_schedule, backoff_states, call_model, continued_backend, python_backend, rate_check, shared_backend,
+)
+from tessera.operators.live import Gate, LaneStore, ask_lane, call_log
 from tessera.options import Options
 from tessera.plans import synthetic as syn
+from tessera.session import WorkArea
 
 
 def _requests(spark, n):
@@ -29,66 +33,214 @@ def test_python_backend_retries_and_errors(spark):
     assert out["r-2"].calls == 3 and out["r-2"].content is None
 
 
-def test_call_loop_pacing_and_backoff():
-    import pandas as pd
+class Clock:
+    """A clock that sleeping moves on."""
 
-    from tessera.operators.calls import call_batches
+    def __init__(self, now=1000.0):
+        self.now, self.slept = now, []
 
-    state = {"t": 0.0, "sleeps": [], "starts": []}
+    def __call__(self):
+        return self.now
 
-    def clock():
-        return state["t"]
+    def sleep(self, sec):
+        self.slept.append(sec)
+        self.now += sec
 
-    def sleep(s):
-        state["sleeps"].append(s)
-        state["t"] += s
 
-    def fn(model, messages, temperature):
-        state["starts"].append(state["t"])
-        state["t"] += 0.5  # call duration
-        if messages[-1]["content"] == "busy" and len(state["starts"]) < 4:
-            raise RetryableError("rate limited")
-        return "ok", "stop"
+def _gate(clock, lane=0, lanes=1, step=1.0, tolerance=0.1, start=1000.0):
+    return Gate(start, step, lanes, lane, tolerance, clock.sleep, clock)
+
+
+def test_lanes_own_their_slots():
+    """Each lane opens at its own slots only, and takes the next one when late."""
+    a, b = Clock(), Clock(1005.3)
+    first, late = _gate(a, 0, 2), _gate(b, 1, 2)
+    assert [first.wait()[0] for _ in range(3)] == [0, 2, 4]
+    assert [late.wait() for _ in range(2)] == [(7, 1007.0), (9, 1009.0)]
+    assert first.wait(due=1010.5) == (12, 1012.0)
+    # a sleep that takes too long costs the slot, not the limit
+    c = Clock()
+    slow = _gate(c)
+    c.sleep = lambda sec: setattr(c, "now", c.now + sec + (0.5 if c.now < 1002 else 0))
+    slow.sleep = c.sleep
+    assert slow.wait()[0] == 0 and slow.wait()[0] == 3
+    assert _gate(Clock(), step=0.0).wait() == (0, 1000.0)
 
-    msgs = [[{"role": "user", "content": c}] for c in ["a", "busy", "b"]]
-    pdf = pd.DataFrame({"request_id": ["r0", "r1", "r2"], "model": ["m"] * 3, "messages": msgs, "temperature": [0.01] * 3})
-    opts = Options(backoff_init_delay=1.0, calls_in_flight=1)
-    out = list(call_batches(iter([pdf]), fn, opts, spacing=7.0, sleep=sleep, clock=clock))[0]
-    assert list(out["calls"]) == [1, 3, 1]
-    starts = state["starts"]
-    assert all(b - a >= 7.0 - 1e-9 for a, b in zip(starts, starts[1:]))
-    # first retry waits the initial delay, the next one a grown delay
-    assert 1.0 in state["sleeps"]
 
+def _rows(n, **more):
+    return [{"request_id": f"r{i}", "model": "m", "messages": [{"role": "user", "content": str(i)}], "temperature": 0.0, "attempt": 0, "due": 0.0, "seq": 0, "text": None, **more} for i in range(n)]
 
-def test_calls_in_flight_share_one_pace():
-    """Slow calls overlap, yet no two are opened within the spacing."""
+
+def _lane(rows, fn, folder, in_flight=1, clock=None, store_sec=1e9):
+    clock = clock or Clock()
+    return [r for reply in ask_lane(iter(rows), fn, _gate(clock, step=0.0), LaneStore(folder, store_sec, clock), in_flight) for r in reply]
+
+
+def test_the_set_in_flight_slides(tmpdir_path):
+    """One slow call holds up one place, not the calls after it."""
     import threading
     import time
 
-    import pandas as pd
+    done, release = [], threading.Event()
+
+    def fn(model, messages, temperature):
+        if messages[0]["content"] == "0":
+            release.wait(10)
+        else:
+            time.sleep(0.01)
+        done.append(int(messages[0]["content"]))
+        if len(done) == 30:
+            release.set()
+        return "ok", "stop"
+
+    out = _lane(_rows(31), fn, tmpdir_path, in_flight=3)
+    assert done[-1] == 0 and sum(r["kind"] == "call" for r in out) == 31
+
+
+def test_failed_calls_leave_the_task(tmpdir_path):
+    """No task sleeps for an error: a failed call is a row."""
+    clock = Clock()
+
+    def fn(model, messages, temperature):
+        if messages[0]["content"] == "1":
+            raise RetryableError("busy")
+        if messages[0]["content"] == "2":
+            raise ValueError("bad")
+        return "ok", "stop"
+
+    out = [r for r in _lane(_rows(4), fn, tmpdir_path, clock=clock) if r["kind"] == "call"]
+    assert [(r["request_id"], r["outcome"]) for r in out] == [("r0", "ok"), ("r1", "listed"), ("r2", "other"), ("r3", "ok")]
+    assert clock.slept == []
+
+
+def test_a_lost_lane_repeats_no_complete_reply(tmpdir_path):
+    """The task dies in the middle of a stream; its next attempt asks only what is
+    not whole, and goes on after the last stored piece."""
+    asked, dead = [], []
+
+    def fn(model, messages, temperature, call):
+        asked.append((messages[0]["content"], messages[-1]["content"] if len(messages) > 1 else ""))
+        start = len(messages[-1]["content"]) if len(messages) > 1 else 0
+        for k in range(start, 5):
+            if messages[0]["content"] == "2" and k == 3 and not dead:
+                dead.append(1)
+                raise KeyboardInterrupt("the task is lost")
+            yield str(k), "stop" if k == 4 else None
+
+    import pytest
+
+    with pytest.raises(KeyboardInterrupt):
+        _lane(_rows(4), fn, tmpdir_path)
+    out = _lane(_rows(4), fn, tmpdir_path)
+    assert asked == [("0", ""), ("1", ""), ("2", ""), ("2", "012"), ("3", "")]
+    for i in range(4):
+        pieces = [r for r in out if r["request_id"] == f"r{i}" and r["kind"] == "piece"]
+        assert [r["seq"] for r in pieces] == list(range(5)) and "".join(r["content"] for r in pieces) == "01234"
+    assert sorted(r["request_id"] for r in out if r["kind"] == "call") == ["r0", "r1", "r2", "r3"]
+
 
-    from tessera.operators.calls import call_batches
+def test_openings_keep_the_limit_with_fewer_cores_than_lanes(spark):
+    """Ten lanes on four cores, failed calls and two stages: over all openings none is
+    within the period of the one ``limit`` before it."""
+    limit, period = 6, 0.3
+    opts = Options(rate_limit=limit, rate_period_sec=period, call_partitions=10, call_waves=2, backoff_init_delay=0.05, backoff_jitter=0.0, retry_gather_sec=0.5)
+
+    def fn(model, messages, temperature, call):
+        if call.attempt == 0 and int(messages[-1]["content"][1:]) % 3 == 0:
+            raise RetryableError("busy")
+        return "ok", "stop"
 
-    starts, now, most, lock = [], [0], [0], threading.Lock()
+    work, backend = WorkArea(spark), python_backend(fn, opts)
+    for name in ("one", "two"):
+        out = call_model(_requests(spark, 40), backend, work, name)
+        assert out.filter("content = 'ok'").count() == 40
+    log = call_log(work, "one").unionByName(call_log(work, "two"))
+    assert log.count() == 2 * (40 + 14)
+    log = log.withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz")).withColumn("all", F.lit(1))
+    assert rate_check(log, "all", "opened_at", "request_id", limit, period).filter("breaks").count() == 0
+    # and a failed call isn't asked before it is due
+    calls = {}
+    for r in log.filter("model = 'm'").orderBy("opened_at").collect():
+        calls.setdefault(r.request_id, []).append(r)
+    assert all((b.opened_at - a.opened_at).total_seconds() >= 0.05 for v in calls.values() for a, b in zip(v, v[1:]))
+
+
+def test_backoff_states_go_on_from_round_to_round(spark):
+    """The state carried over three parts of a log gives the delays of the whole log."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"r{i}", rng.choice("ab"), 0, 1000.0 + i * rng.choice([1.0, 7.0]), rng.choice(["ok", "listed", "listed", "other"])) for i in range(120)]
+    rows.sort(key=lambda r: r[3])
+    schema = "request_id string, model string, attempt int, closed_at double, outcome string"
+    opts = Options(backoff_init_delay=0.5, backoff_cap_sec=20.0)
+    whole = {r.request_id: r.delay_sec for r in backoff_states(spark.createDataFrame(rows, schema), "model", "closed_at", "request_id", opts)[0].collect()}
+    got, states = {}, None
+    for i in range(0, 120, 40):
+        log, states = backoff_states(spark.createDataFrame(rows[i : i + 40], schema), "model", "closed_at", "request_id", opts, states)
+        got |= {r.request_id: r.delay_sec for r in log.collect()}
+        states = spark.createDataFrame(states.collect(), states.schema)
+    assert got.keys() == whole.keys()
+    delay = {}
+    for rid, model, _, _, outcome in rows:
+        if outcome == "ok":
+            delay[model] = None
+            assert got[rid] is None and whole[rid] is None
+            continue
+        assert abs(got[rid] - whole[rid]) < 1e-9
+        if outcome == "other":
+            assert got[rid] == 0.5
+            continue
+        before = delay.get(model)
+        # each listed error in a row waits 1 to 3 times as long as the one before, up to the cap
+        assert abs(got[rid] - 0.5) < 1e-9 if before is None else min(20.0, before) - 1e-9 <= got[rid] <= min(20.0, 3 * before) + 1e-9
+        delay[model] = got[rid]
+
+
+def test_equal_requests_are_asked_once_and_kept(spark, tmpdir_path):
+    asked = []
+    rows = [(f"r-{i}", "m", [("user", f"u{i % 3}")], 0.01 if i < 9 else 0.5) for i in range(12)]
+    reqs = spark.createDataFrame(rows, "request_id string, model string, messages array<struct<role:string,content:string>>, temperature double")
 
     def fn(model, messages, temperature):
-        with lock:
-            starts.append(time.monotonic())
-            now[0] += 1
-            most[0] = max(most[0], now[0])
-        time.sleep(0.4)
-        with lock:
-            now[0] -= 1
-        return messages[0]["content"], "stop"
-
-    n = 12
-    pdf = pd.DataFrame({"request_id": [f"r{i}" for i in range(n)], "model": ["m"] * n, "messages": [[{"role": "user", "content": str(i)}] for i in range(n)], "temperature": [0.0] * n})
-    out = list(call_batches(iter([pdf]), fn, Options(calls_in_flight=6), spacing=0.05, clock=time.monotonic))[0]
-    assert list(out["content"]) == [str(i) for i in range(n)]
-    starts.sort()
-    assert all(b - a >= 0.04 for a, b in zip(starts, starts[1:])) and 2 <= most[0] <= 6
-    assert starts[-1] - starts[0] < 0.4 * n / 2
+        if messages[-1]["content"] == "u2":
+            raise ValueError("bad")
+        return f"{messages[-1]['content']} at {temperature}", "stop"
+
+    opts = Options(rate_period_sec=0.0, call_max_retry=0, backoff_init_delay=0.0, call_waves=1)
+    for run in range(2):
+        work = WorkArea(spark)
+        backend = shared_backend(python_backend(fn, opts), f"{tmpdir_path}/kept")
+        out = {r.request_id: r for r in call_model(reqs, backend, work, "c").collect()}
+        for i in range(12):
+            r = out[f"r-{i}"]
+            if i % 3 == 2:
+                assert r.content is None and r.error.startswith("gave up after 1 calls")
+            else:
+                assert r.content == f"u{i % 3} at {0.01 if i < 9 else 0.5}" and r.error is None and r.calls == (0 if run else 1)
+        asked.append(call_log(work, "c_once").count())
+    assert asked == [6, 2]  # the failed ones are asked again
+
+
+def test_continued_replies(spark):
+    """Parts are joined until the reply stops, the bound is met or a call fails."""
+    def fn(model, messages, temperature):
+        n = int(next(m["content"] for m in messages if m["role"] == "user")[1:])
+        done = messages[-1]["content"] if messages[-1]["role"] == "assistant" else ""
+        assert [m["role"] for m in messages] == ["system", "user"] + ["assistant"] * bool(done)
+        if n == 7 and len(done) == 2:
+            raise ValueError("bad")
+        return "x", "stop" if len(done) + 1 == n else "length"
+
+    opts = Options(rate_period_sec=0.0, call_max_retry=1, backoff_init_delay=0.0, call_waves=1)
+    reqs = _requests(spark, 10).filter("request_id <> 'r-0'")
+    out = {r.request_id: r for r in continued_backend(python_backend(fn, opts), rounds=6)(reqs).collect()}
+    for n in range(1, 10):
+        r = out[f"r-{n}"]
+        if n == 7:
+            assert r.content is None and r.error.startswith("gave up after 2 calls") and r.calls == 4
+        else:
+            assert r.content == "x" * min(n, 6) and r.calls == min(n, 6) and r.finish_reason == ("stop" if n <= 6 else "length")
 
 
 def test_a_broken_call_stage_does_not_repeat_whole_waves(spark, tmpdir_path):
