@@ -8,8 +8,9 @@ Fit rounds (G8): attempt ``k`` sends one request per unresolved group at
 temperature ``t0 * growth**k``; each reply is read (F1-F3) and validated
 (G6, G7); every readable, non-empty reply that passes the piece-count check
 or fails it becomes a *candidate*. A group leaves the rounds once a
-candidate scores 1.0. Each round's replies and candidates are written to the
-work area as one table, so later rounds never recompute earlier ones.
+candidate scores 1.0. The groups with their texts are written once; a round
+writes what its replies came to, by group, and the next round takes the texts of
+the groups left from the first table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from tessera.operators.requests import fit_requests
 from tessera.options import Options
 from tessera.session import WorkArea
 
-CANDIDATE_COLS = ["page_id", "group_no", "attempt", "score", "reason", "pieces", "bad_values", "n_shreds", "shreds"]
+KEYS = ["page_id", "group_no"]
+ROUND_COLS = [*KEYS, "attempt", "score", "reason", "pieces", "bad_values"]
+CANDIDATE_COLS = [*ROUND_COLS, "n_shreds", "shreds"]
 
 
 def route_groups(matched: DataFrame) -> DataFrame:
@@ -98,14 +101,14 @@ def fit_rounds(
     work: WorkArea,
     prefix: str = "fit",
 ) -> DataFrame:
-    """Attempt rounds over a shrinking table of unresolved groups.
+    """Attempt rounds over a shrinking set of unresolved groups.
 
     ``fit_rows``: ``page_id, group_no, n_shreds, shreds, src_text,
-    trans_text``. Per round one table is stored: the replies with their
-    validation, made in the call stage itself; the groups without a perfect
-    fit, read from that table, are the next round's input. Returns all
-    candidates (``CANDIDATE_COLS``). The driver only loops over attempt
-    numbers and asks once per round whether any group is left.
+    trans_text``, stored once as ``<prefix>_rows``. Per round one table is stored: the
+    validated replies (``ROUND_COLS``), made in the call stage itself; the groups
+    without a perfect fit there are the next round's. Returns all candidates
+    (``CANDIDATE_COLS``). The driver only loops over attempt numbers and asks once per round how many groups
+    are left.
     """
 
     def call_and_check(reqs: DataFrame) -> DataFrame:
@@ -113,37 +116,30 @@ def fit_rounds(
 
     if hasattr(backend, "stage"):
         call_and_check.stage = lambda reqs, area, name: validate_fit(backend.stage(reqs, area, name))
-    keep = {*CANDIDATE_COLS, "candidate", "content", "src_text", "trans_text"}
+    keep = {*ROUND_COLS, "candidate"}
     written: list[str] = []
-    active = fit_rows.select(*FIT_ROW_COLS)
-    if active.isEmpty():
-        return _no_candidates(fit_rows)
-    active = work.write(active, f"{prefix}_active")
+    rows = work.write(fit_rows.select(*FIT_ROW_COLS), f"{prefix}_rows")
+    active, left = rows, rows.count()
     for attempt in range(options.fit_attempts):
-        if attempt > 0 and active.isEmpty():
+        if not left:
             break
-        reqs = fit_requests(active, attempt, options)
         name = f"{prefix}_round_{attempt}"
-        checked = call_model(reqs, call_and_check, work, name, keep=keep)
+        checked = call_model(fit_requests(active, attempt, options), call_and_check, work, name, keep=keep)
         written.append(work.path(name))
-        perfect = F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False))
-        active = checked.filter(~perfect).select(*FIT_ROW_COLS)
-    return fit_rows.sparkSession.read.parquet(*written).filter("candidate").select(*CANDIDATE_COLS)
-
-
-def _no_candidates(like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame(
-        [], "page_id long, group_no int, attempt int, score double, reason string, "
-        "pieces map<string,string>, bad_values boolean, n_shreds int, "
-        "shreds array<struct<shred_no:int,frag_no:int,text:string>>"
-    )
+        unresolved = checked.filter(~(F.col("candidate") & F.coalesce(F.col("score") == 1.0, F.lit(False)))).select(*KEYS)
+        active, left = rows.join(unresolved, KEYS, "left_semi"), unresolved.count()
+    if written:
+        found = rows.sparkSession.read.parquet(*written).filter("candidate").select(*ROUND_COLS)
+    else:
+        found = rows.sparkSession.createDataFrame([], "page_id long, group_no int, attempt int, score double, reason string, pieces map<string,string>, bad_values boolean")
+    return found.join(rows.select(*KEYS, "n_shreds", "shreds"), KEYS).select(*CANDIDATE_COLS)
 
 
 def best_candidate(cands: DataFrame) -> DataFrame:
     """Highest score, earliest attempt on ties, as a partial aggregate."""
     rank = F.struct(F.col("score"), (-F.col("attempt")).alias("neg_attempt"))
-    best = cands.groupBy("page_id", "group_no").agg(F.max_by(F.struct(*[c for c in CANDIDATE_COLS if c not in ("page_id", "group_no")]), rank).alias("b"))
-    return best.select("page_id", "group_no", "b.*")
+    best = cands.groupBy(*KEYS).agg(F.max_by(F.struct(*[c for c in cands.columns if c not in KEYS]), rank).alias("b"))
+    return best.select(*KEYS, "b.*")
 
 
 def grade_best(best: DataFrame) -> DataFrame:

@@ -74,18 +74,24 @@ def unknown_key_rows(seg: DataFrame) -> DataFrame:
     return seg.select("page_id", "seg_no", F.explode("unknown_keys").alias("key"))
 
 
-def match_replies(reply_rows: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """F5, F6 as joins: reply entries ``(page_id, seg_no, key, value)`` against
+def match_status(reply_rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """F5, F6 as one join: reply entries ``(page_id, seg_no, key, value)`` against
     ``segments(page_id, seg_no, seg_key, group_no)``.
 
-    Returns ``(matched, unknown, absent)``: the inner join, reply keys with no
-    group (``U``) and groups with no reply key (``M``). Keys match as text,
-    as dictionary keys do ("01" is not "1"). All three joins use the same
-    keys, so each side is shuffled once.
+    Every group and every reply key once, with ``status`` ``matched``, ``U`` (a reply key
+    with no group) or ``M`` (a group with no reply key). Keys match as text, as dictionary
+    keys do ("01" is not "1").
     """
-    seg = segments.withColumn("key", F.col("seg_key").cast("string"))
     keys = ["page_id", "seg_no", "key"]
-    matched = seg.join(reply_rows, keys, "inner")
-    unknown = reply_rows.join(seg.select(*keys), keys, "left_anti")
-    absent = seg.join(reply_rows.select(*keys), keys, "left_anti")
-    return matched, unknown, absent
+    seg = segments.withColumn("key", F.col("seg_key").cast("string")).withColumn("_group", F.lit(True))
+    both = seg.join(reply_rows.withColumn("_reply", F.lit(True)), keys, "full")
+    status = F.when(F.col("_group").isNull(), "U").when(F.col("_reply").isNull(), "M").otherwise("matched")
+    return both.withColumn("status", status).drop("_group", "_reply")
+
+
+def match_replies(reply_rows: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(matched, unknown, absent)``: the three kinds of ``match_status``. Each of them is
+    the join; where more than one is used, store ``match_status`` instead."""
+    both = match_status(reply_rows, segments)
+    matched, unknown, absent = (both.filter(F.col("status") == s).drop("status") for s in ("matched", "U", "M"))
+    return matched, unknown.select(*reply_rows.columns), absent.drop("value")

@@ -83,15 +83,19 @@ def _per_page(groups: DataFrame, max_tokens: int, carry: list[str]) -> DataFrame
 
 
 def _kept_rows(per_page: DataFrame, carry: list[str]) -> DataFrame:
-    exploded = per_page.select("page_id", "starts", F.posexplode("kept").alias("pos", "x"))
-    seg_no = (F.size(F.filter("starts", lambda s: s <= F.col("pos"))) - 1).cast("int")
-    out = exploded.withColumn("seg_no", seg_no)
-    out = out.withColumn("seg_key", (F.col("pos") - F.element_at("starts", F.col("seg_no") + 1)).cast("int"))
+    """One row per kept group. The groups are cut into their segments first, so that
+    a row of a segment holds that segment only, and every group is looked at once."""
+    def cut(start, i):
+        end = F.coalesce(F.get("starts", i + 1), F.size("kept"))
+        return F.slice("kept", start + 1, end - start)
+
+    segments = per_page.select("page_id", F.posexplode(F.transform("starts", cut)).alias("seg_no", "_segment"))
+    out = segments.select("page_id", F.col("seg_no").cast("int").alias("seg_no"), F.posexplode("_segment").alias("seg_key", "x"))
     return out.select(
         "page_id",
         F.col("x.group_no").alias("group_no"),
         "seg_no",
-        "seg_key",
+        F.col("seg_key").cast("int").alias("seg_key"),
         F.col("x.n_tokens").alias("n_tokens"),
         *[F.col("x." + c).alias(c) for c in carry],
     )

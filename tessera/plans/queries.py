@@ -18,9 +18,9 @@ from tessera.operators.calls import assemble_chunks, backoff_schedule, call_mode
 from tessera.operators.live import call_log, reply_pieces
 from tessera.operators.fit import best_candidate, grade_best, route_groups, validate_fit
 from tessera.operators.groups import page_groups, shreds
-from tessera.operators.replies import match_replies
+from tessera.operators.replies import match_status
 from tessera.operators.requests import chat_message_rows, fit_requests, translate_requests
-from tessera.operators.segments import page_tokens, plan_segments, segment_groups, with_encoding
+from tessera.operators.segments import page_tokens, plan_segments, segment_groups, skipped_groups, with_encoding
 from tessera.operators.tokenize import fragments
 from tessera.options import ENCODING_MAP, Options
 from tessera.plans import synthetic as syn
@@ -119,8 +119,7 @@ def q_skipped_conversations(spark, sf):
 
 
 def q_skipped_pages(spark, sf):
-    p = plan_segments(page_groups(_pages(spark, sf)), SMALL_MAX).filter(F.col("seg_no").isNull())
-    return p.select(*_long("page_id", "group_no", "n_tokens"), F.lit("oversize").alias("reason"))
+    return skipped_groups(page_groups(_pages(spark, sf)), SMALL_MAX).select(*_long("page_id", "group_no", "n_tokens"), "reason")
 
 
 # ---------------------------------------------------------------- D
@@ -287,15 +286,7 @@ def q_parse_replies(spark, sf):
 
 def q_match_replies(spark, sf):
     seg = segment_groups(_conv_groups(spark, sf), SMALL_MAX)
-    entries = syn.reply_entries(seg)
-    matched, unknown, absent = match_replies(entries, seg)
-    cols = ["page_id", "seg_no", "key"]
-    out = (
-        matched.select(*cols, F.lit("matched").alias("status"))
-        .unionByName(unknown.select(*cols, F.lit("U").alias("status")))
-        .unionByName(absent.select(*cols, F.lit("M").alias("status")))
-    )
-    return out.select(*_long("page_id", "seg_no"), "key", "status")
+    return match_status(syn.reply_entries(seg), seg).select(*_long("page_id", "seg_no"), "key", "status")
 
 
 # ---------------------------------------------------------------- G
@@ -324,6 +315,26 @@ def q_match_score(spark, sf):
     return with_match_score(g, "a", "b", "score").select(*_long("page_id", "group_no", "piece"), "score")
 
 
+def with_inner_edits(groups: DataFrame) -> DataFrame:
+    """Group texts beside a copy with edits inside: every fifth word dropped, every
+    seventh reversed, two halves changed about where the group's number is odd."""
+    words = F.split("text", " ")
+    edited = F.transform(words, lambda w, i: F.when(i % 7 == 6, F.reverse(w)).when(i % 5 == 4, F.lit("")).otherwise(w))
+    half = F.floor(F.size(words) / 2).cast("int")
+    turned = F.when(F.col("group_no") % 2 == 1, F.concat(F.slice(edited, half + 1, F.size(words)), F.slice(edited, 1, half))).otherwise(edited)
+    return groups.withColumn("edited", F.array_join(turned, " "))
+
+
+def q_match_whole(spark, sf):
+    """G2 on whole group texts with edits inside, of pages and of documents (whose lines
+    are long enough for popular characters)."""
+    markup = page_groups(syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark)))).select("page_id", "group_no", "text", F.lit("documents").alias("origin"))
+    both = page_groups(_pages(spark, sf)).select("page_id", "group_no", "text", F.lit("pages").alias("origin")).unionByName(markup)
+    # a task's work grows faster than its texts: rows are dealt evenly by hash
+    both = both.repartition(4 * _cores(spark), "origin", "page_id", "group_no")
+    return with_match_score(with_inner_edits(both), "text", "edited", "score").select("origin", *_long("page_id", "group_no"), "score")
+
+
 def q_fit_routes(spark, sf):
     r = route_groups(_markup_translated(spark, sf))
     return r.select(*_long("page_id", "group_no", "n_shreds"), "route")
@@ -428,6 +439,7 @@ QUERIES = {
     "match_replies": q_match_replies,
     "compact_unchanged": q_compact_unchanged,
     "match_score": q_match_score,
+    "match_whole": q_match_whole,
     "fit_routes": q_fit_routes,
     "validate_fit": q_validate_fit,
     "fit_choice": q_fit_choice,

@@ -112,7 +112,7 @@ def translate_pages(
     # G6-G10 fit rounds
     cands = fit_rounds(multi, fit_backend, options, work)
     graded = work.write(grade_best(best_candidate(cands)), "graded")  # read by outcomes and rendering
-    fitted = multi.select("page_id", "group_no").join(
+    fitted = work.read("fit_rows").select("page_id", "group_no").join(
         graded.select("page_id", "group_no", "status", "score", "error"), ["page_id", "group_no"], "left"
     )
 

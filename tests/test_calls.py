@@ -171,7 +171,7 @@ def test_backoff_states_go_on_from_round_to_round(spark):
 
     rng = random.Random(4)
     rows = [(f"r{i}", rng.choice("ab"), 0, 1000.0 + i * rng.choice([1.0, 7.0]), rng.choice(["ok", "listed", "listed", "other"])) for i in range(120)]
-    rows.sort(key=lambda r: r[3])
+    rows.sort(key=lambda r: (r[3], r[0]))
     schema = "request_id string, model string, attempt int, closed_at double, outcome string"
     opts = Options(backoff_init_delay=0.5, backoff_cap_sec=20.0)
     whole = {r.request_id: r.delay_sec for r in backoff_states(spark.createDataFrame(rows, schema), "model", "closed_at", "request_id", opts)[0].collect()}
