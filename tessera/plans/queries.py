@@ -352,6 +352,21 @@ def q_validate_fit(spark, sf):
     )
 
 
+def q_partial_fits(spark, sf):
+    """Fits that differ from the translation in part, graded."""
+    routed = route_groups(_markup_translated(spark, sf)).filter(F.col("route") == "multi").drop("route")
+    v = validate_fit(syn.extended_fit_backend(fit_requests(routed, 0, OPTIONS))).filter("candidate")
+    return grade_best(v).select(*_long("page_id", "group_no"), F.col("score").cast("double").alias("score"), "status")
+
+
+def q_kept_report(spark, sf):
+    """With ``"keep"`` a fault costs its own groups only: missing keys (M), keys that
+    were not asked for (U) and unreadable segments (E) beside good ones."""
+    opts = OPTIONS.with_(on_segment_error="keep", max_tokens=SMALL_MAX)
+    r = translate_pages(_pages(spark, sf), syn.keyless_translate_backend, opts, syn.rot13_fit_backend).report
+    return r.select(*_long("page_id", "s", "e", "m", "u", "x"), "page_status")
+
+
 def q_fit_choice(spark, sf):
     c = syn.conversation_candidates(_t(spark, sf, "conversations"))
     g = grade_best(best_candidate(c.withColumn("shreds", F.lit(None).cast("array<struct<shred_no:int,frag_no:int,text:string>>"))))
@@ -443,6 +458,8 @@ QUERIES = {
     "fit_routes": q_fit_routes,
     "validate_fit": q_validate_fit,
     "fit_choice": q_fit_choice,
+    "partial_fits": q_partial_fits,
+    "kept_report": q_kept_report,
     "rendered": q_rendered,
     "report": q_report,
     "translate_pages": q_translate_pages,

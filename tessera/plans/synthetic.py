@@ -138,6 +138,29 @@ def faulty_fit_backend(requests: DataFrame) -> DataFrame:
     return _reply(r, content).drop("_pieces", "_rot")
 
 
+def extended_fit_backend(requests: DataFrame) -> DataFrame:
+    """Fit model that adds ``(page_id + group_no) % 4`` snowmen to the last piece of a
+    perfect fit: partial scores between 0 and 1."""
+    more = F.repeat(F.lit("\u2603"), F.pmod(F.col("page_id") + F.col("group_no"), F.lit(4)).cast("int"))
+    perfect = _rotated_object(_fit_pieces(requests))
+    return _reply(requests, F.concat(F.regexp_replace(perfect, r'"\}$', ""), more, F.lit('"}')))
+
+
+def keyless_translate_backend(requests: DataFrame) -> DataFrame:
+    """Translation model with faults by segment, ``(page_id + seg_no) % 4``: 1: the first key
+    is missing; 2: a key that was not asked for; 3: no JSON at all."""
+    m = F.from_json(F.regexp_extract(_user_text(F.col("messages")), r"(?s)\{.*\}", 0), "map<string,string>")
+    rot = F.transform_values(m, lambda k, v: rot13(v))
+    cls = F.pmod(F.col("page_id") + F.col("seg_no"), F.lit(4))
+    content = (
+        F.when(cls == 1, F.to_json(F.map_filter(rot, lambda k, v: k != "0")))
+        .when(cls == 2, F.regexp_replace(F.to_json(rot), r"\}$", ',"x99":"?"}'))
+        .when(cls == 3, F.lit("Sorry, I cannot translate this."))
+        .otherwise(F.to_json(rot))
+    )
+    return _reply(requests, content)
+
+
 # --------------------------------------------------------------------------
 # other stand-in tables
 # --------------------------------------------------------------------------
