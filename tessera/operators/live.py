@@ -266,7 +266,8 @@ class LiveCalls:
             return name
         o, fn, sleep, clock = self.options, self.fn, self.sleep, self.clock
         lanes = int(o.call_partitions or work.spark.sparkContext.defaultParallelism)
-        start, step, tolerance = max(clock(), self.free_at), self.step if o.rate_period_sec > 0 else 0.0, self.tolerance
+        start, step = max(clock(), self.free_at), self.step if o.rate_period_sec > 0 else 0.0
+        tolerance = 0.9 * self.tolerance  # the rest is for rounding of stored times
         folder, store_sec, in_flight = work.path(f"{name}_lanes"), o.store_sec, o.calls_in_flight
         rows = due.join(asks, "request_id")
         if written:
