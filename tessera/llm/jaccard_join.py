@@ -333,9 +333,8 @@ def _open_pairs(tile: int, percent: int, x, n, s, cell, p, d, size, *words):
     """(a, b, n, m) of the open pairs of one tile, _SIDE by _SIDE members at a time."""
     r = 1 - percent / 100
     words = [w.view(np.uint64) for w in words]
-    if len(x) > _SIDE:  # many slices are within one cell then
-        order = np.argsort(cell, kind="stable")
-        x, n, s, cell, p, d, size, *words = (c[order] for c in (x, n, s, cell, p, d, size, *words))
+    order = np.argsort(cell, kind="stable")  # a slice whose first and last members share a cell is within one then
+    x, n, s, cell, p, d, size, *words = (c[order] for c in (x, n, s, cell, p, d, size, *words))
     both = np.rint((1 - d) * (n + size) / (2 - d)).astype(np.int64)  # with the pivot: 1 - d = both / (n + size - both)
     left = right = np.arange(len(x))
     if tile >> 40 != (tile >> 20) & 0xFFFFF:
