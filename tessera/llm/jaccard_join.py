@@ -22,8 +22,13 @@ a metric.
    shingles of each, in any order common to all sets. The order is rarest first,
    by a sketch of shingle counts of fixed size over the sets left, so that a
    line or passage of many documents comes last. Each shingle in that position
-   is the heart of a region that holds all sets of that prefix: this replicates
-   a set to every region where a neighbour can be.
+   that the sketch doesn't show to be one set's alone is the heart of a region
+   that holds all sets of that prefix: this replicates a set to every region
+   where a neighbour can be. A pair is looked at as if the heart were its first
+   common shingle, as in one region it is: there neither set shares what it holds
+   before the heart, which bounds the overlap; and a region in whose order the pair
+   has a common shingle earlier (of each set the ``_FIRST`` first hearts are at
+   hand) leaves the pair to the region of that one.
 4. *Tiles and windows.* A region within one cell is done. One of more than
    ``REGION`` members is dealt: its members fall by hash into blocks of about
    ``REGION``, and every two blocks, and each block with itself, are a tile that a
@@ -72,6 +77,7 @@ REGION = 1 << 13  # members of a region or a block
 _SIDE = 1 << 10
 _WORDS = 4  # 64-bit words of a difference's bitmap
 _DELTAS = [f"{k}{i}" for k in ("lacks", "adds") for i in range(_WORDS)]
+_FIRST = 8  # hearts that a member of a region brings along
 _PART = 1 << 16  # counts of one sketch row
 
 
@@ -248,7 +254,7 @@ def _counts(sets: DataFrame) -> DataFrame:
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
-    """The sketch over all sets: log2 of a bucket's count (SKETCH bytes)."""
+    """The sketch over all sets: log2 of a bucket's count, 0 for a count of one (SKETCH bytes)."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -262,7 +268,7 @@ def _levels(rows: DataFrame) -> np.ndarray:
                 else:
                     total += raw
         for k, total in sums.items():
-            yield _batch("part level", pa.array([k], pa.int32()), pa.array([np.log2(total + 1).astype(np.uint8).tobytes()], pa.binary()))
+            yield _batch("part level", pa.array([k], pa.int32()), pa.array([np.where(total > 1, np.log2(total + 1), 0).astype(np.uint8).tobytes()], pa.binary()))
 
     parts = rows.repartition("part").mapInArrow(add, "part int, level binary").collect()
     out = np.zeros(SKETCH, np.uint8)
@@ -284,11 +290,22 @@ def _leads(sets: DataFrame) -> DataFrame:
     return sets.select("x", "n", "s", "shingles").mapInArrow(tidy(scan), "token long, x long, n long, s long")
 
 
-def _hearts(raw: bytes, level: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set, rarest first."""
+def _hearts(raw: bytes, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first shingles of a set, rarest first, those that another set may
+    hold, and their places in that order."""
     h = np.frombuffer(raw, np.uint64)
-    order = np.argsort((level[h & np.uint64(SKETCH - 1)].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6)))
-    return h[order[: _prefix_length(len(h), percent)]]
+    own = level[h & np.uint64(SKETCH - 1)]
+    order = np.argsort((own.astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6)), kind="stable")[: _prefix_length(len(h), percent)]
+    alone = int((own[order] == 0).sum())  # they come first
+    return h[order[alone:]], np.arange(alone, len(order))
+
+
+def _firsts(tokens: np.ndarray) -> np.ndarray:
+    """For every heart of a set, the first ``_FIRST`` of those before it (0: none)."""
+    out = np.zeros((len(tokens), _FIRST), np.uint64)
+    for k in range(min(_FIRST, len(tokens))):
+        out[k + 1 :, k] = tokens[k]
+    return out
 
 
 def _large_regions(sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,7 +320,7 @@ def _large_regions(sets: DataFrame, levels: np.ndarray, percent: int) -> tuple[n
         level = sketch.value
         can = (np.int64(2) << level.astype(np.int64)) - 2 > REGION
         for b in text_slices(batches, text="shingles", most=4 << 20):
-            token = [h[can[h & np.uint64(SKETCH - 1)]] for h in (_hearts(raw, level, percent) for raw in b.column(1).to_pylist())]
+            token = [h[can[h & np.uint64(SKETCH - 1)]] for h, _ in (_hearts(raw, level, percent) for raw in b.column(1).to_pylist())]
             if token:
                 yield _batch("token cell", int64(np.concatenate(token)), np.repeat(b.column(0).to_numpy(), [len(t) for t in token]))
 
@@ -329,12 +346,24 @@ def _block(x: np.ndarray, blocks) -> np.ndarray:
     return (mix64(x.view(np.uint64)) % np.asarray(blocks).astype(np.uint64)).astype(np.int64)
 
 
-def _open_pairs(tile: int, percent: int, x, n, s, cell, p, d, size, *words):
+def _met_before(a: np.ndarray, b: np.ndarray, firsts: list[np.ndarray]) -> np.ndarray:
+    """Whether the members a and b have one of their first hearts in common."""
+    met = np.zeros(len(a), bool)
+    for f in firsts:
+        at = np.flatnonzero(~met & (f[a] != 0))
+        mine = f[a[at]]
+        for g in firsts:
+            met[at] |= g[b[at]] == mine
+    return met
+
+
+def _open_pairs(tile: int, percent: int, x, n, s, cell, p, d, size, *more):
     """(a, b, n, m) of the open pairs of one tile, _SIDE by _SIDE members at a time."""
     r = 1 - percent / 100
-    words = [w.view(np.uint64) for w in words]
     order = np.argsort(cell, kind="stable")  # a slice whose first and last members share a cell is within one then
-    x, n, s, cell, p, d, size, *words = (c[order] for c in (x, n, s, cell, p, d, size, *words))
+    x, n, s, cell, p, d, size, *more = (c[order] for c in (x, n, s, cell, p, d, size, *more))
+    words, place, firsts = [w.view(np.uint64) for w in more[: len(_DELTAS)]], more[len(_DELTAS)], more[len(_DELTAS) + 1 :]
+    rest = n - place
     both = np.rint((1 - d) * (n + size) / (2 - d)).astype(np.int64)  # with the pivot: 1 - d = both / (n + size - both)
     left = right = np.arange(len(x))
     if tile >> 40 != (tile >> 20) & 0xFFFFF:
@@ -356,7 +385,7 @@ def _open_pairs(tile: int, percent: int, x, n, s, cell, p, d, size, *words):
             if one:
                 good &= u[:, None] < v
             good &= (100 + percent) * np.minimum(s[u, None], s[v]) >= need
-            good &= (100 + percent) * np.minimum(n[u, None], n[v]) >= need
+            good &= (100 + percent) * np.minimum(rest[u, None], rest[v]) >= need
             good &= ~((p[u, None] == p[v]) & (np.abs(d[u, None] - d[v]) > r + 1e-9))
             a, b = np.nonzero(good)
             a, b = u[a], v[b]
@@ -370,24 +399,29 @@ def _open_pairs(tile: int, percent: int, x, n, s, cell, p, d, size, *words):
                 open_ = np.ones(len(a), bool)
                 open_[same[lost]] = False
                 a, b = a[open_], b[open_]
+                new = ~_met_before(a, b, firsts)
+                a, b = a[new], b[new]
             if len(a):
                 yield np.stack([x[a], x[b], n[a], n[b]], 1)
 
 
 _OWN = ["x", "n", "s", "cell", "p", "d", "size", *_DELTAS]
+_HERE = ["place", *(f"first{i}" for i in range(_FIRST))]
 
 
 def _region_rows(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """(token, tile, _OWN): every set in every tile of every region that it is in."""
+    """(token, tile, _OWN, _HERE): every set in every tile of every region that it
+    is in, with the heart's place in its order and the first hearts before that."""
     sketch, large = (sets.sparkSession.sparkContext.broadcast(v) for v in (levels, _large_regions(sets, levels, percent)))
 
     def hearts(batches):
         level, (big, blocks) = sketch.value, large.value
         for b in text_slices(batches, text="shingles", most=4 << 20):
-            token = [_hearts(raw, level, percent) for raw in b.column(len(_OWN)).to_pylist()]
-            if not token:
+            found = [_hearts(raw, level, percent) for raw in b.column(len(_OWN)).to_pylist()]
+            if not found:
                 continue
-            owner, token = np.repeat(np.arange(len(token)), [len(t) for t in token]), np.concatenate(token)
+            owner, token, place = np.repeat(np.arange(len(found)), [len(t) for t, _ in found]), *map(np.concatenate, zip(*found, strict=True))
+            firsts = np.concatenate([_firsts(t) for t, _ in found])
             times = np.ones(len(token), np.int64)
             if len(big):
                 at = np.minimum(np.searchsorted(big, token), len(big) - 1)
@@ -398,9 +432,10 @@ def _region_rows(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame
             for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(token)], strict=True):
                 if i < j:
                     row, tile = _tiles(b.column(0).to_numpy()[owner[i:j]], times[i:j])
-                    yield _batch(" ".join(["token", "tile", *_OWN]), int64(token[i:j][row]), tile, *(b.column(k).to_numpy()[owner[i:j]][row] for k in range(len(_OWN))))
+                    own = (b.column(k).to_numpy()[owner[i:j]][row] for k in range(len(_OWN)))
+                    yield _batch(" ".join(["token", "tile", *_OWN, *_HERE]), int64(token[i:j][row]), tile, *own, place[i:j][row], *(int64(firsts[i:j, k][row]) for k in range(_FIRST)))
 
-    return sets.select(*_OWN, "shingles").mapInArrow(tidy(hearts), "token long, tile long, " + ", ".join(f"{c} {'double' if c == 'd' else 'long'}" for c in _OWN))
+    return sets.select(*_OWN, "shingles").mapInArrow(tidy(hearts), "token long, tile long, " + ", ".join(f"{c} {'double' if c == 'd' else 'long'}" for c in [*_OWN, *_HERE]))
 
 
 def _region_pairs(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:

@@ -114,6 +114,46 @@ def test_tiles_meet_once():
     assert len(met) == 60 * 59 // 2 and set(met.values()) == {1}
 
 
+def test_regions_list_each_open_pair():
+    """Over all regions every linked pair comes, one whose first common heart is
+    among the hearts at hand once; members of one cell at both ends of a region
+    hide nothing between them."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(1, 1 << 63, 90).astype(np.uint64)
+    sets = []
+    for _ in range(50):
+        kept = base[rng.random(90) > rng.choice([0.05, 0.12, 0.25])]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(1, 1 << 63, rng.integers(0, 12)).astype(np.uint64)])))
+    counts = np.bincount(np.concatenate([t & np.uint64(jaccard_join.SKETCH - 1) for t in sets]).astype(np.int64), minlength=jaccard_join.SKETCH)
+    level = np.where(counts > 1, np.log2(counts + 1), 0).astype(np.uint8)
+    hearts = [jaccard_join._hearts(t.tobytes(), level, 75) for t in sets]
+    firsts = [jaccard_join._firsts(t).view(np.int64) for t, _ in hearts]
+    cell = np.array([k % 7 for k in range(50)])
+    met = {}
+    for token in np.unique(np.concatenate([t for t, _ in hearts])):
+        own = np.array([k for k in range(50) if token in hearts[k][0]])
+        at = [int(np.flatnonzero(hearts[k][0] == token)[0]) for k in own]
+        n = np.array([len(sets[k]) for k in own])
+        nothing = [np.zeros(len(own), np.int64)] * len(jaccard_join._DELTAS)
+        here = np.array([hearts[k][1][i] for k, i in zip(own, at)])
+        first = np.array([firsts[k][i] for k, i in zip(own, at)])
+        for got in jaccard_join._open_pairs(0, 75, own, n, n, cell[own], own, np.zeros(len(own)), n, *nothing, here, *first.T):
+            for a, b, *_ in got.tolist():
+                met[a, b] = met.get((a, b), 0) + 1
+    links = 0
+    for a in range(50):
+        for b in range(a + 1, 50):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if cell[a] != cell[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                assert (a, b) in met
+    assert links > 100
+    for (a, b), times in met.items():
+        common = np.flatnonzero(np.isin(hearts[a][0], hearts[b][0]))[0]
+        if common < jaccard_join._FIRST and np.flatnonzero(np.isin(hearts[b][0], hearts[a][0]))[0] < jaccard_join._FIRST:
+            assert times == 1
+
+
 def test_packs():
     rng = np.random.default_rng(2)
     for n, sets in ((1, 1), (5000, 40), (3, 70_000)):
