@@ -6,21 +6,30 @@ element does not split the outer group). The running count of splits inside
 ``(page_id, owner_block)`` in document order is ``run_no``; kept text
 fragments with the same ``(page_id, owner_block, run_no)`` form one group.
 
-Plan: one exchange on ``page_id`` (the page-level window comes first, so the
-``(page_id, owner_block)`` window, the group aggregate and the group
+Plan for pages: they are clustered by ``page_id`` as they come, one exchange of the
+pages themselves; a task goes through the sorted pages, tokenizes one after the other
+and keeps the running counts of one page while it does, so no row per word is ever
+shuffled, sorted or stored. Pages that share a ``page_id`` are one page: their
+fragments interleave by number.
+
+Plan for stored fragments: one exchange on ``page_id`` (the page-level window comes
+first, so the ``(page_id, owner_block)`` window, the group aggregate and the group
 numbering all reuse that partitioning). Work per key is bounded by the size
 of one page, which is a single input row.
 """
 
 from __future__ import annotations
 
+from heapq import merge
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import drop_newlines, is_ignorable, token_count
-from tessera.operators.tokenize import fragments as tokenize
+from tessera.operators.tokenize import TEXT_KINDS, page_marks
 
-TEXT_KINDS = ("text", "cdata", "decl", "pi")
+GROUPS_DDL = "page_id long, group_no int, text string, n_shreds int, shreds array<struct<shred_no:int,frag_no:int,text:string>>"
 
 
 def mark_fragments(frags: DataFrame) -> DataFrame:
@@ -81,13 +90,78 @@ def groups_from_shreds(sh: DataFrame) -> DataFrame:
     )
 
 
+def marked_groups(marks) -> list[list[tuple]]:
+    """The groups of one page, each a list of ``(shred_no, frag_no, text)``: marks of the
+    same block with the same number of splits before them."""
+    splits, groups, shred_no, block, group = {}, {}, 0, None, None
+    for frag_no, owner, text in marks:
+        if text is None:
+            splits[owner] = splits.get(owner, 0) + 1
+            block = None
+            continue
+        if owner != block:  # else it goes on in the group of the mark before
+            block, group = owner, groups.setdefault((owner, splits.get(owner, 0)), [])
+        group.append((shred_no, frag_no, text.replace("\n", "") if "\n" in text else text))
+        shred_no += 1
+    return list(groups.values())
+
+
+def _marks_or_none(html: str | None, known: str | None) -> list[tuple]:
+    """The marks of a page; none for a page with an error, which ``page_errors`` reports."""
+    if known or html is None:
+        return []
+    try:
+        return page_marks(html)
+    except Exception:  # noqa: BLE001 - as in tokenizing: that page's result
+        return []
+
+
+def _group_batches(batches, max_shreds: int = 65536):
+    """mapInArrow body: pages sorted by page_id in, one row per group out, in batches of
+    about ``max_shreds`` shreds."""
+    import numpy as np
+    import pyarrow as pa
+
+    def take():
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*shreds), (pa.int32(), pa.int32(), pa.string()))], ["shred_no", "frag_no", "text"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)],
+            ["page_id", "group_no", "text", "n_shreds", "shreds"])
+
+    ids, numbers, texts, sizes, shreds = [], [], [], [], []
+    pages = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    for page_id, same in groupby(pages, key=lambda row: row[0]):
+        marks = [_marks_or_none(html, known) for _, html, known in same]
+        marks = marks[0] if len(marks) == 1 else merge(*marks, key=lambda m: m[0])
+        for group_no, group in enumerate(marked_groups(marks)):
+            ids.append(page_id)
+            numbers.append(group_no)
+            texts.append("".join([s[2] for s in group]))
+            sizes.append(len(group))
+            shreds.extend(group)
+            if len(shreds) >= max_shreds:
+                yield take()
+                for c in (ids, numbers, texts, sizes, shreds):
+                    c.clear()
+    if ids:
+        yield take()
+
+
+def groups_from_pages(pages: DataFrame) -> DataFrame:
+    """B1-B11 on ``pages(page_id, html)``: the rows of ``groups_from_shreds``."""
+    known = F.col("page_error") if "page_error" in pages.columns else F.lit(None).cast("string")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", known.alias("page_error"))
+    return p.repartition("page_id").sortWithinPartitions("page_id").mapInArrow(_group_batches, GROUPS_DDL)
+
+
 def page_groups(pages: DataFrame, frags: DataFrame | None = None, counter=None) -> DataFrame:
     """Pages -> groups, with the token count of each group.
 
-    ``counter`` maps the text column to a token-count column; the default is
-    the JVM-side rule ``token_count``; ``vocab_token_count`` uses a real
-    vocabulary.
+    ``frags`` (optional): the stored fragments of the pages. ``counter`` maps the text
+    column to a token-count column; the default is the JVM-side rule ``token_count``;
+    ``vocab_token_count`` uses a real vocabulary.
     """
-    frags = tokenize(pages) if frags is None else frags
+    groups = groups_from_pages(pages) if frags is None else groups_from_shreds(shreds(frags))
     counter = counter or token_count
-    return groups_from_shreds(shreds(frags)).withColumn("n_tokens", counter(F.col("text")))
+    return groups.withColumn("n_tokens", counter(F.col("text")))

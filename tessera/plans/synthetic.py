@@ -19,14 +19,11 @@ from tessera.functions.text import html_escape, rot13
 # markup: pages with multi-shred groups, from documents
 # --------------------------------------------------------------------------
 def _word_html(w: Column, j: Column) -> Column:
-    esc = html_escape(w)
-    kind = F.pmod(F.floor((j - 1) / 2), F.lit(3))
-    wrapped = (
-        F.when(kind == 0, F.concat(F.lit("<em>"), esc, F.lit("</em>")))
-        .when(kind == 1, F.concat(F.lit("<code>"), esc, F.lit("</code>")))
-        .otherwise(F.concat(F.lit('<a href="#">'), esc, F.lit("</a>")))
-    )
-    return F.when(F.pmod(j, F.lit(2)) == 1, wrapped).otherwise(esc)
+    """Every other word in ``em``, ``code`` or ``a`` in turn; ``w`` is escaped already."""
+    kind = F.pmod(F.shiftright(j, 1), F.lit(3))
+    opened = F.get(F.array(F.lit("<em>"), F.lit("<code>"), F.lit('<a href="#">')), kind)
+    closed = F.get(F.array(F.lit("</em>"), F.lit("</code>"), F.lit("</a>")), kind)
+    return F.when(F.pmod(j, F.lit(2)) == 1, F.concat(opened, w, closed)).otherwise(w)
 
 
 def paragraphs(text: Column) -> Column:
@@ -40,7 +37,7 @@ def markup_pages(documents: DataFrame) -> DataFrame:
     every other word wrapped in ``em``, ``code`` or ``a`` in turn. Row-local."""
 
     def para_html(line):
-        words = F.split(line, " ")
+        words = F.split(html_escape(line), " ")
         return F.concat(F.lit("<p>"), F.array_join(F.transform(words, _word_html), " "), F.lit("</p>"))
 
     body = F.array_join(F.transform(paragraphs(F.col("text")), para_html), "")
