@@ -28,6 +28,15 @@ def reply_object(col) -> Column:
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the named columns behind a generated row: a filter on them stays above.
+    Moved below, it would hold (and evaluate for every row) a copy of all that they are
+    made from for each mention of it, down to the parsed text."""
+    rest = [c for c in df.columns if c not in names]
+    one = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_once"))
+    return one.select(*[F.col(f"_once.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def _cmp(a, b):
     return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json_reply import int_key_order, with_parsed_reply
+from tessera.functions.json_reply import computed_once, int_key_order, with_parsed_reply
 from tessera.functions.similarity import with_match_score
 from tessera.functions.text import compact_text
 from tessera.operators.calls import Backend, call_model
@@ -70,6 +70,7 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         .when(~keys_ok | F.col("bad_values"), F.lit("raised"))
         .otherwise(F.lit("scored")),
     )
+    r = computed_once(r, "pieces", "bad_values", "_ordered", "_state")
     r = r.withColumn("fitted", F.when(F.col("_state") == "scored", F.array_join(F.transform(ordered, lambda e: e["value"]), "")))
     r = with_match_score(r, "trans_text", "fitted", "_score")
     out = r.withColumn(

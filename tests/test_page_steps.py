@@ -23,3 +23,16 @@ def test_words_are_not_shuffled(spark):
     pages = spark.range(50).selectExpr("id as page_id", "'<p>a <em>b</em></p>' as html")
     plan = page_groups(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Window", "Generate", "Aggregate"))
+
+
+def test_a_filter_on_fits_repeats_no_parsing(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.fit import validate_fit
+
+    cols = "page_id long, group_no int, attempt int, n_shreds int, trans_text string, calls int, content string, finish_reason string, error string"
+    rows = [(1, 0, 0, 2, "ab", 1, '{"0":"a","1":"b"}', "stop", None), (1, 1, 0, 2, "ab", 1, '{"0":"a"}', "stop", None), (1, 2, 0, 1, "ab", 1, "no", "stop", None)]
+    v = validate_fit(spark.createDataFrame(rows, cols).repartition(2)).filter("candidate")
+    assert {(r.group_no, r.score) for r in v.collect()} == {(0, 1.0), (1, 0.0)}
+    made = v.withColumn("content", F.upper("content"))._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("from_json") == 1
