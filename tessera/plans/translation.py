@@ -6,8 +6,7 @@ run: fragments, planned groups, replies, outcomes, rendered pages and the
 per-page report.
 
 Materialization points (written to the shared checkpoint folder):
-page rows (read by grouping and by rendering), the translation replies,
-their segment status,
+the errors of unreadable pages, the translation replies, their segment status,
 the exploded reply groups, the replies and validated rows of every fit
 round, and the outcomes. Model calls are never repeated by a retried stage,
 and with a resumable work area not by a restarted driver either.
@@ -29,7 +28,7 @@ from tessera.operators.replies import explode_reply_groups, segment_status, unkn
 from tessera.operators.report import OUTCOME_COLS, page_report
 from tessera.operators.requests import translate_requests
 from tessera.operators.segments import plan_segments
-from tessera.operators.tokenize import page_errors, page_fragments, page_rows
+from tessera.operators.tokenize import fragments, read_errors
 from tessera.options import Options
 from tessera.session import WorkArea
 
@@ -72,12 +71,12 @@ def translate_pages(
     work = work or WorkArea(pages.sparkSession)
     fit_backend = fit_backend or backend
 
-    # B1 once; read by grouping and by rendering.
-    parsed = work.write(page_rows(pages, options.page_partitions), "page_rows")
-    frags = page_fragments(parsed)
-    unreadable = page_errors(parsed)
+    # B1 wherever it is needed: a page's fragments are some tens of times its html, so
+    # grouping and rendering tokenize what they read, and no fragment is stored.
+    frags = fragments(pages, options.page_partitions)
+    unreadable = work.write(read_errors(pages, options.page_partitions), "page_errors")
     # B2-B12, C1-C7 in one pass over the page_id partitioning.
-    groups = page_groups(pages, frags, token_counter)
+    groups = page_groups(pages, counter=token_counter)
     planned = plan_segments(groups, options.max_tokens, carry=["text", "n_shreds", "shreds"])
     planned = planned.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -146,7 +145,7 @@ def translate_pages(
         "page_id", F.col("shreds")[0]["frag_no"].alias("frag_no"), F.col("trans_text").alias("new_text")
     )
     edits = single_edits.unionByName(fit_edits(graded))
-    out_pages = render_pages(parsed, edits, failed)
+    out_pages = render_pages(pages, edits, failed)
     report = page_report(outcomes, pages, failed, seg.select("page_id", "truncated"))
     # every later table reads written data; the cached plan is not needed any more
     planned.unpersist()

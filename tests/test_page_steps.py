@@ -36,3 +36,30 @@ def test_a_filter_on_fits_repeats_no_parsing(spark):
     assert {(r.group_no, r.score) for r in v.collect()} == {(0, 1.0), (1, 0.0)}
     made = v.withColumn("content", F.upper("content"))._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("from_json") == 1
+
+
+def test_pages_are_rendered_from_html_as_from_fragments(spark):
+    from tessera.operators.render import render_pages
+    from tessera.operators.tokenize import page_errors, page_rows, read_errors
+
+    rng = random.Random(6)
+    pages = [(i, _random_html(rng)) for i in range(60)] + [(200, None), (201, "<p>a<![foo[x]]>b</p>"), (202, ""), (203, "<style>a</style><p>x &amp; y</p>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    rows, (raw, text) = page_rows(df), (1, 4)
+    edits = spark.createDataFrame([(203, raw, "b > c"), (203, text, "d > e")], "page_id long, frag_no int, new_text string")
+    drop = spark.createDataFrame([(3,)], "page_id long")
+    for args in ((None, None), (edits, drop)):
+        got, want = (sorted(tuple(r) for r in render_pages(d, *args).collect()) for d in (df, rows))
+        assert got == want and len(got) == len(pages) - 2 - (args[1] is not None)
+    assert ("<style>b > c</style><p>d &gt; e</p>") in {r.html for r in render_pages(df, edits).collect()}
+    assert sorted(map(tuple, read_errors(df).collect())) == sorted(map(tuple, page_errors(rows).collect()))
+
+
+def test_a_run_stores_no_fragments(spark):
+    from tessera.plans import synthetic as syn
+    from tessera.plans.translation import translate_pages
+
+    pages = spark.createDataFrame([(1, "<p>a <em>b</em> c</p>")], "page_id long, html string")
+    out = translate_pages(pages, syn.rot13_translate_backend, fit_backend=syn.rot13_fit_backend)
+    assert [r.html for r in out.out_pages.collect()] == ["<p>n <em>o</em> p</p>"]
+    assert not out.work.done("page_rows")
