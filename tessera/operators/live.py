@@ -16,7 +16,7 @@ is due and stores what came of it; no task sleeps for a failed call.
   goes on after them: the text so far is sent as the assistant's turn, with no user
   turn after it (D7, continue).
 - **Lost tasks.** A lane puts what it has into a file of the work area every
-  ``store_sec`` seconds. A repeated task reads these files: complete replies are not
+  ``store_sec`` seconds, sooner when it holds much text. A repeated task reads these files: complete replies are not
   asked again, broken ones go on. (Only one attempt of a task may run: leave
   ``spark.speculation`` off.)
 - **Retries (E6, E7).** A failed call is a row of the call log. After the round, the
@@ -61,6 +61,11 @@ RECORD_DDL = (
     "model string, slot long, opened_at double, closed_at double, outcome string, error string"
 )
 
+#: Requests of a lane taken as Python objects at a time, and records given on at a time.
+TAKE_ROWS, GIVE_RECORDS = 64, 512
+#: About so many characters a lane holds before it stores or gives them on.
+STORE_CHARS, GIVE_CHARS = 1 << 22, 1 << 20
+
 
 @dataclass
 class Call:
@@ -111,7 +116,7 @@ class LaneStore:
     def __init__(self, folder: str, store_sec: float, clock: Callable[[], float]):
         self.folder, self.store_sec, self.clock = folder, store_sec, clock
         self.new: list[dict] = []
-        self.lock, self.last = threading.Lock(), clock()
+        self.lock, self.last, self.size = threading.Lock(), clock(), 0
 
     def load(self) -> list[dict]:
         lines = [x for name in list_names(self.folder) if name.endswith(".jsonl") for x in read_bytes(f"{self.folder}/{name}").decode().splitlines()]
@@ -120,7 +125,8 @@ class LaneStore:
     def add(self, record: dict) -> None:
         with self.lock:
             self.new.append(record)
-            if self.clock() - self.last >= self.store_sec:
+            self.size += len(record["content"] or "") + 200
+            if self.size >= STORE_CHARS or self.clock() - self.last >= self.store_sec:
                 self._put()
 
     def flush(self) -> None:
@@ -130,7 +136,7 @@ class LaneStore:
     def _put(self) -> None:
         if self.new:
             write_bytes(f"{self.folder}/{uuid.uuid4().hex}.jsonl", "\n".join(json.dumps(r) for r in self.new).encode())
-            self.new = []
+            self.new, self.size = [], 0
         self.last = self.clock()
 
 
@@ -281,7 +287,7 @@ class LiveCalls:
         rows = rows.sortWithinPartitions("due", "request_id").select("request_id", "model", "messages", "temperature", "attempt", "due", "seq", "text", "lane")
 
         def ask(batches):
-            each = (row for b in batches for row in b.to_pylist())
+            each = (row for b in batches for k in range(0, b.num_rows, TAKE_ROWS) for row in b.slice(k, TAKE_ROWS).to_pylist())
             head = next(each, None)
             if head is None:
                 return
@@ -292,8 +298,15 @@ class LiveCalls:
                 yield head
                 yield from each
 
+            out, size = [], 0
             for records in ask_lane(rows(), fn, gate, store, in_flight):
-                yield pa.RecordBatch.from_pylist(records, RECORD)
+                out += records
+                size += sum(len(r["content"] or "") for r in records)
+                if len(out) >= GIVE_RECORDS or size >= GIVE_CHARS:
+                    yield pa.RecordBatch.from_pylist(out, RECORD)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, RECORD)
 
         work.write(rows.mapInArrow(ask, RECORD_DDL), name)
         return name

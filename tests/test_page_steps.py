@@ -63,3 +63,14 @@ def test_a_run_stores_no_fragments(spark):
     out = translate_pages(pages, syn.rot13_translate_backend, fit_backend=syn.rot13_fit_backend)
     assert [r.html for r in out.out_pages.collect()] == ["<p>n <em>o</em> p</p>"]
     assert not out.work.done("page_rows")
+
+
+def test_a_lane_holds_little_text(tmpdir_path):
+    from tessera.operators import live
+
+    store = live.LaneStore(tmpdir_path, store_sec=1e9, clock=lambda: 0.0)
+    for k in range(20):
+        store.add(live._record(kind="piece", request_id=str(k), content="x" * (live.STORE_CHARS // 4)))
+        assert sum(len(r["content"]) for r in store.new) < live.STORE_CHARS
+    store.flush()
+    assert len(store.load()) == 20
