@@ -8,10 +8,11 @@ only grow over it. Of equally long blocks the one that starts first in the first
 text is taken, then the one that starts first in the second. The order
 (translation, fitted) matters: the score is not symmetric.
 
-The matcher works on arrays. All places where the texts have an unpopular character in
-common are made at once; neighbours on a diagonal are one *run*. A range of both texts
-needs no new search: its blocks are the runs cut to the range, so every step looks at
-the runs left in its range only. Equal texts score 1.0 in Spark itself, without Python.
+The matcher works on arrays, over many pairs of texts at a time. All places where two
+texts have an unpopular character in common are made at once; neighbours on a diagonal
+are one *run*. A range of both texts needs no new search: its blocks are the runs cut to
+the range, so every step looks at the runs left in its range only. A step takes one block
+in every open range of all pairs. Equal texts score 1.0 in Spark itself, without Python.
 """
 
 from __future__ import annotations
@@ -26,81 +27,134 @@ from tessera.functions.text import compact_text
 
 #: Length from which on a text has popular characters.
 POPULAR_FROM = 200
+#: About so many characters of first texts, and common places, are looked at together
+#: (a longer pair is alone).
+SLICE_CHARS, SLICE_PLACES = 1 << 18, 1 << 18
+#: Bits of a character in a key; the places between two texts have keys of their own.
+_CHAR, _GAP_A, _GAP_B = 22, 0, 1
+
+
+def _slices(sizes: np.ndarray, most: int):
+    """Stretches of a list whose sizes add up to ``most`` (a larger element is alone)."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, side="right")))
+        yield i, j
+        i = j
+
+
+def _keys(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' characters as keys that no two texts have in common, with a gap before,
+    between and after the texts; where texts start, and their lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = 1 + np.cumsum(size + 1) - (size + 1)
+    owner = np.repeat(np.arange(len(texts)), size + 1)
+    keys = np.full(1 + len(owner), gap, np.int64)
+    keys[1:] += owner << _CHAR
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    keys[np.arange(len(codes)) + np.repeat(1 + np.arange(len(texts)), size)] += codes + np.int64(2 - gap)
+    return keys, start, size
+
+
+def _agree(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray, way: int = 1) -> np.ndarray:
+    """How far a from i on and b from j on agree (backwards: ``way`` -1), at most ``most``."""
+    n, live, step = np.zeros(len(i), np.int64), np.flatnonzero(most > 0), 1
+    while len(live):
+        at = np.arange(step)
+        p, q = i[live] + way * n[live], j[live] + way * n[live]
+        differ = a.take(p[:, None] + way * at, mode="clip") != b.take(q[:, None] + way * at, mode="clip")
+        differ |= at >= (most[live] - n[live])[:, None]
+        got = np.where(differ.any(1), differ.argmax(1), step)
+        n[live] += got
+        live = live[got == step]
+        step = min(2 * step, max(8, (1 << 20) // max(1, len(live))))
+    return n
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+def matched(first: list[str], second: list[str]) -> np.ndarray:
+    """M of every pair of texts: the characters in their matching blocks."""
+    out = [np.empty(0, np.int64)]
+    for i, j in _slices(np.fromiter(map(len, first), np.int64, len(first)), SLICE_CHARS):
+        out += _matched_slice(first[i:j], second[i:j])
+    return np.concatenate(out)
 
 
-def _runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts in a and b, and lengths, of the maximal runs of unpopular characters."""
+def _matched_slice(first: list[str], second: list[str]):
+    (a, a0, la), (b, b0, lb) = _keys(first, _GAP_A), _keys(second, _GAP_B)
     order = np.argsort(b, kind="stable")
-    chars, first, count = np.unique(b[order], return_index=True, return_counts=True)
-    usable = count <= len(b) // 100 + 1 if len(b) >= POPULAR_FROM else np.ones(len(chars), bool)
-    at = np.minimum(np.searchsorted(chars, a), len(chars) - 1)
-    times = np.where((chars[at] == a) & usable[at], count[at], 0)
-    i = np.repeat(np.arange(len(a)), times)
-    if not len(i):
-        return i, i, i
-    j = order[np.repeat(first[at], times) + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)]
-    place = np.lexsort((i, j - i))
-    i, j = i[place], j[place]
-    begins = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)]))
-    return i[begins], j[begins], np.diff(np.append(begins, len(i)))
-
-
-def _equal_steps(x: np.ndarray, y: np.ndarray) -> int:
-    """How far two arrays agree from their start on."""
-    n, step = min(len(x), len(y)), 16
-    at = 0
-    while at < n:
-        differ = np.flatnonzero(x[at : min(at + step, n)] != y[at : min(at + step, n)])
-        if len(differ):
-            return at + int(differ[0])
-        at, step = at + step, 4 * step
-    return n
-
-
-def matched(a: np.ndarray, b: np.ndarray) -> int:
-    """M: the characters in the matching blocks."""
-    if not len(a) or not len(b):
-        return 0
-    total = 0
-    todo = [(0, len(a), 0, len(b), *_runs(a, b))]
-    while todo:
-        alo, ahi, blo, bhi, i, j, n = todo.pop()
-        back = np.maximum(np.maximum(alo - i, blo - j), 0)
+    chars, at, count = np.unique(b[order], return_index=True, return_counts=True)
+    size = lb[chars >> _CHAR]
+    usable = (size < POPULAR_FROM) | (count <= size // 100 + 1)
+    own = np.minimum(np.searchsorted(chars, a), len(chars) - 1)
+    common = (chars[own] == a) & usable[own]
+    times = np.where(common, count[own], 0)
+    # unpopular characters only; the others are equal to none
+    plain_a, plain_b = np.where(common, a, -1), np.empty_like(b)
+    plain_b[order] = np.where(np.repeat(usable, count), b[order], -2)
+    places = np.add.reduceat(times, a0 - 1)
+    for p, q in _slices(places, SLICE_PLACES):
+        s, e = a0[p], a0[q - 1] + la[q - 1]
+        t = times[s:e]
+        i = np.repeat(np.arange(s, e), t)
+        j = order[np.repeat(at[own[s:e]], t) + np.arange(len(i)) - np.repeat(np.cumsum(t) - t, t)]
+        begins = plain_a[i - 1] != plain_b[j - 1]
+        i, j = i[begins], j[begins]
+        n = 1 + _agree(plain_a, plain_b, i + 1, j + 1, np.full(len(i), len(a)))
+        yield _blocks(a, b, a0[p:q], a0[p:q] + la[p:q], b0[p:q], b0[p:q] + lb[p:q], i, j, n, (a[i] >> _CHAR) - p)
+
+
+def _blocks(a, b, alo, ahi, blo, bhi, i, j, n, of) -> np.ndarray:
+    """The characters in the matching blocks of ranges of a and b; i, j, n: starts and
+    lengths of their runs, ``of``: the range of each, ascending."""
+    total, pair = np.zeros(len(alo), np.int64), np.arange(len(alo))
+    while len(alo):
+        back = np.maximum(np.maximum(alo[of] - i, blo[of] - j), 0)
         i, j, n = i + back, j + back, n - back
-        n = np.minimum(np.minimum(n, ahi - i), bhi - j)
+        n = np.minimum(np.minimum(n, ahi[of] - i), bhi[of] - j)
         left = n > 0
-        i, j, n = i[left], j[left], n[left]
-        x, y, size = alo, blo, 0
+        i, j, n, of = i[left], j[left], n[left], of[left]
+        x, y, size = alo.copy(), blo.copy(), np.zeros(len(alo), np.int64)
         if len(n):
-            best = np.flatnonzero(n == n.max())
-            best = best[np.lexsort((j[best], i[best]))[0]]
-            x, y, size = int(i[best]), int(j[best]), int(n[best])
-        before = _equal_steps(a[alo:x][::-1], b[blo:y][::-1])
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            longest = np.zeros(len(alo), np.int64)
+            longest[of[starts]] = np.maximum.reduceat(n, starts)
+            best = np.flatnonzero(n == longest[of])
+            best = best[np.lexsort((j[best], i[best], of[best]))]
+            best = best[np.concatenate([[True], of[best][1:] != of[best][:-1]])]
+            x[of[best]], y[of[best]], size[of[best]] = i[best], j[best], n[best]
+        before = _agree(a, b, x - 1, y - 1, np.minimum(x - alo, y - blo), -1)
         x, y, size = x - before, y - before, size + before
-        size += _equal_steps(a[x + size : ahi], b[y + size : bhi])
-        if not size:
-            continue
-        total += size
-        if alo < x and blo < y:
-            todo.append((alo, x, blo, y, i, j, n))
-        if x + size < ahi and y + size < bhi:
-            todo.append((x + size, ahi, y + size, bhi, i, j, n))
+        size += _agree(a, b, x + size, y + size, np.minimum(ahi - x, bhi - y) - size)
+        np.add.at(total, pair, size)
+        x2, y2 = x + size, y + size
+        low, high = (size > 0) & (alo < x) & (blo < y), (size > 0) & (x2 < ahi) & (y2 < bhi)
+        in_low = low[of] & (i < x[of]) & (j < y[of])
+        in_high = high[of] & (i + n > x2[of]) & (j + n > y2[of])
+        i, j, n = (np.concatenate([v[in_low], v[in_high]]) for v in (i, j, n))
+        of = np.concatenate([(np.cumsum(low) - 1)[of[in_low]], (low.sum() + np.cumsum(high) - 1)[of[in_high]]])
+        alo, ahi = np.concatenate([alo[low], x2[high]]), np.concatenate([x[low], ahi[high]])
+        blo, bhi = np.concatenate([blo[low], y2[high]]), np.concatenate([y[low], bhi[high]])
+        pair = np.concatenate([pair[low], pair[high]])
     return total
 
 
+def ratios(first: list[str], second: list[str]) -> np.ndarray:
+    """2*M/T of every pair; 1.0 for two empty texts."""
+    both = np.fromiter(map(len, first), np.int64, len(first)) + np.fromiter(map(len, second), np.int64, len(second))
+    return np.where(both > 0, 2.0 * matched(first, second) / np.maximum(both, 1), 1.0)
+
+
 def ratio(a: str, b: str) -> float:
     """2*M/T; 1.0 for two empty texts."""
-    x, y = _codes(a), _codes(b)
-    return 2.0 * matched(x, y) / (len(x) + len(y)) if len(x) + len(y) else 1.0
+    return float(ratios([a], [b])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    out = np.full(len(a), np.nan)
+    there = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    out[there] = ratios(a.iloc[there].tolist(), b.iloc[there].tolist())
+    return pd.Series(out)
 
 
 def with_match_score(df: DataFrame, left: str, right: str, out: str = "score") -> DataFrame:

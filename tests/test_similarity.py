@@ -54,6 +54,21 @@ def test_long_text_of_one_letter():
         assert ratio(a, b) == want(a, b)
 
 
+def test_many_pairs_at_a_time(monkeypatch):
+    """Pairs that are matched together, in slices of any size, don't touch each other."""
+    from tessera.functions import similarity
+
+    rng = random.Random(7)
+    first = ["".join(rng.choice("abcde \U0001f600") for _ in range(rng.choice([0, 1, 7, 60, 199, 200, 450]))) for _ in range(120)]
+    second = [x[len(x) // 3 :] + x[: len(x) // 4] if k % 3 else first[k - 1] for k, x in enumerate(first)]
+    expected = [want(a, b) for a, b in zip(first, second, strict=True)]
+    for chars, places in ((1 << 18, 1 << 18), (300, 1 << 18), (1 << 18, 200), (1, 1)):
+        monkeypatch.setattr(similarity, "SLICE_CHARS", chars)
+        monkeypatch.setattr(similarity, "SLICE_PLACES", places)
+        assert similarity.ratios(first, second).tolist() == expected
+    assert similarity.ratios([], []).tolist() == []
+
+
 def test_whole_group_texts(spark):
     """The registered query on a small fixture, pair by pair."""
     from tessera.operators.groups import page_groups
