@@ -128,13 +128,16 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(step)[step != 0xFFFFFF].astype(np.uint32), place, x
 
 
-SCAN = "doc_id long, n long, x long, y long, shared long"
+SCAN = "doc_id long, n long, x long, y long, bucket int, shared binary"
+_SHARED = np.dtype([("x", "<i8"), ("shared", "<u4")])
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, x, y): size and 128-bit key of a document's
-    set; (x, shared): how many shingles of a set, in one partition of the
-    shingles, other sets hold too."""
+    set; (bucket, shared): how many shingles of each set of a bucket of keys x, in
+    one partition of the shingles, other sets hold too (``_SHARED``). A set has its
+    shingles in as many partitions as it has shingles, so a row for each would
+    grow with the partitions too; there is one for each bucket."""
     parts = partitions(docs.sparkSession)
 
     def deal(batches):
@@ -160,7 +163,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
         packs: dict[int, list] = {}
         for b in batches:
             plain = b.filter(pc.is_null(b.column(5)))
-            yield _batch("doc_id n x y shared", *(plain.column(k) for k in range(1, 5)), pa.nulls(plain.num_rows, pa.int64()))
+            yield _batch("doc_id n x y bucket shared", *(plain.column(k) for k in range(1, 5)), pa.nulls(plain.num_rows, pa.int32()), pa.nulls(plain.num_rows, pa.binary()))
             for part, data in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True):
                 if data is not None:
                     packs.setdefault(part, []).append(_unpack(data))
@@ -176,13 +179,46 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             many[1:] |= same
             shared = np.bincount((rows[many] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
             full = np.flatnonzero(shared)
-            e = pa.nulls(len(full), pa.int64())
-            yield _batch("doc_id n x y shared", e, e, names[full], e, shared[full])
+            out = np.empty(len(full), _SHARED)
+            out["x"], out["shared"] = names[full], shared[full]
+            bucket = (out["x"].astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+            out = out[np.argsort(bucket, kind="stable")]
+            used, first = np.unique(np.sort(bucket), return_index=True)
+            e = pa.nulls(len(used), pa.int64())
+            yield _batch("doc_id n x y bucket shared", e, e, e, e, pa.array(used, pa.int32()), pa.array([c.tobytes() for c in np.split(out, first[1:])][: len(used)], pa.binary()))
 
     dealt = docs.select("doc_id", "text").mapInArrow(tidy(deal), "part int, doc_id long, n long, x long, y long, data binary")
     return dealt.repartition(parts, "part").mapInArrow(tidy(count), SCAN)
 
 
+def _shared_counts(scanned: DataFrame) -> DataFrame:
+    """(x, s): the shingles of a set that any other set holds too, of the sets that have such."""
+
+    def add(batches):
+        sums: dict[int, list] = {}
+
+        def total(packs):
+            rows = np.concatenate(packs)
+            rows = rows[np.argsort(rows["x"], kind="stable")]
+            first = np.flatnonzero(np.concatenate([[True], rows["x"][1:] != rows["x"][:-1]]))
+            out = rows[first]
+            out["shared"] = np.add.reduceat(rows["shared"], first)
+            return out
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                packs = sums.setdefault(k, [])
+                packs.append(np.frombuffer(data, _SHARED))
+                if sum(map(len, packs[1:])) > max(1 << 18, len(packs[0])):
+                    sums[k] = [total(packs)]
+        while sums:
+            out = total(sums.popitem()[1])
+            yield _batch("x s", np.ascontiguousarray(out["x"]), out["shared"].astype(np.int64))
+
+    parts = partitions(scanned.sparkSession)
+    return scanned.filter("shared is not null").select("bucket", "shared").repartitionById(parts, F.col("bucket")).mapInArrow(tidy(add), "x long, s long")
+
+
 _BLOOM = 1 << 24  # bits
 
 
@@ -544,11 +580,10 @@ def link_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     area = work_area(docs.sparkSession)
     scanned = area.write(_scan(docs, width), "scan")
-    own = scanned.filter("shared is null").select("doc_id", F.col("n").alias("n_shingles"), "x", "y")
+    own = scanned.filter("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "x", "y")
     classes = area.write(own.filter("n_shingles > 0 and doc_id is not null").groupBy("x", "y").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")), "classes")
     # s: the shingles of a set that any other set can share
-    shared = scanned.filter("shared is not null").groupBy("x").agg(F.sum("shared").alias("s"))
-    known = area.write(classes.join(shared, "x").filter(F.col("s") * 100 >= F.col("n") * percent).select("x", "node", "n", "s"), "known")
+    known = area.write(classes.join(_shared_counts(scanned), "x").filter(F.col("s") * 100 >= F.col("n") * percent).select("x", "node", "n", "s"), "known")
     sets = area.write(_known_sets(docs, known, width), "sets")
 
     # cells: every set against the most central set of each of its min-hashes

@@ -1,4 +1,5 @@
 """Jaccard join, decontamination and the pipeline against brute force."""
+import collections
 import random
 import re
 
@@ -77,6 +78,25 @@ def test_jaccard(spark, corpus, pivots, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
 
 
+def test_shared_counts_have_a_row_for_each_bucket(spark):
+    """What the scan counts doesn't take a row for every set and partition of the shingles."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i % 7 : 300 + i % 7] + [f"own{i}"])) for i in range(300)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        scanned = jaccard_join._scan(frame(spark, rows), 5).cache()
+        assert scanned.filter("shared is null").count() == len(rows)
+        assert 0 < scanned.filter("shared is not null").count() <= 25
+        got = {r.x: r.s for r in jaccard_join._shared_counts(scanned).collect()}
+        keys = {r.x: r.doc_id for r in scanned.filter("shared is null").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split(" ")) for i, t in rows)}
+    held = collections.Counter(s for v in sets.values() for s in v)
+    assert {keys[x]: s for x, s in got.items()} == {i: sum(held[s] > 1 for s in v) for i, v in sets.items()}
+
+
 def test_large_regions_are_dealt(spark, corpus, monkeypatch):
     """A region above the limit is compared in tiles that no task holds more than
     two blocks of, each two members once; the result stays that of all pairs."""
