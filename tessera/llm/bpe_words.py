@@ -5,30 +5,34 @@ pre-tokenizer drops it, so no token, normalization or special token reaches
 across the ASCII white space between two words: a text's ids are the ids of
 its words, one after another. Every distinct word is therefore given to the
 library once and looked up afterwards; the table is bounded by ``keep`` words and
-``POOL`` ids and starts anew when full. ``encoder`` gives a task its encoder and
+``POOL`` ids. When full it drops the words of one slice of texts only, and starts
+anew if too many are left. ``encoder`` gives a task its encoder and
 gives the memory back when the task's partition ends, since Spark reuses its
-Python workers for other work.
+Python workers for other work. ``kept_encoder`` gives a task the encoder of its
+Python worker, whose table (``KEPT`` words) later tasks of the worker find filled.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import release, split_words, strings
 
 #: Ids that a table of words may hold before it starts anew.
 POOL = 1 << 22
+#: Words that an encoder has which stays in its Python worker.
+KEPT = 1 << 20
 #: What the vocabulary's tokens at the end of a word end with.
 WORD_END = "</w>"
 #: Characters whose normalized and lower-cased forms have as many UTF-8 bytes
 #: as they have, and which never combine: ASCII and the Latin-1 letters.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PLAIN = "^[\x21-\x7eÀ-ÖØ-öø-ÿ]+$"
 
 
 def load(path: str):
@@ -58,13 +62,28 @@ class WordEncoder:
         self.used = 0
         self.start = np.empty(1 << 16, np.int64)
         self.size = np.empty(1 << 16, np.int64)
+        self.slices = np.zeros(1 << 16, np.int32)  # of texts that had the word
+
+    def _thin(self):
+        """Drop the words that one slice of texts had; all, if more than half of what is kept are left."""
+        n = len(self.at)
+        keep = np.flatnonzero(self.slices[:n] > 1)
+        size = self.size[keep]
+        if len(keep) > self.keep // 2 or size.sum() > POOL // 2:
+            self._reset()
+            return
+        words, start = list(self.at), self.start[keep]
+        ids = self.pool[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self._reset()
+        self._add([words[k] for k in keep.tolist()], ids, size)
+        self.slices[: len(keep)] = 1
 
     def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.at)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while n + len(words) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.slices = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.slices))
         self.pool[self.used : self.used + len(ids)] = ids
         self.size[n : n + len(words)] = sizes
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -72,15 +91,16 @@ class WordEncoder:
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _encode_new(self, words: list[str]) -> None:
-        plain, other = [], []
-        for w in words:
-            (plain if len(w) < 200 and "<|" not in w and _PLAIN.fullmatch(w) else other).append(w)
+        col = pa.array(words)
+        rule = pc.and_(pc.match_substring_regex(col, _PLAIN), pc.and_not(pc.less(pc.utf8_length(col), 200), pc.match_substring(col, "<|")))
+        plain = strings(col.filter(rule))
+        other = strings(col.filter(pc.invert(rule)))
         for i in range(0, len(plain), 6400):
             part = plain[i : i + 6400]
             texts = ["\n".join(part[k : k + 100]) for k in range(0, len(part), 100)]
             ids = np.concatenate([np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum(self.bytes_of[ids])
-            want = np.cumsum(np.fromiter(map(len, map(str.encode, part)), np.int64, len(part)))
+            want = np.cumsum(pc.binary_length(pa.array(part)).to_numpy().astype(np.int64))
             last = np.searchsorted(ends, want)
             if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], want):
                 other += part  # never for the characters above; the library decides
@@ -99,12 +119,14 @@ class WordEncoder:
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         names = strings(coded.dictionary)
         if len(self.at) > self.keep or self.used > POOL:
-            self._reset()
+            self._thin()
         place = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(place < 0)
         if len(new):
-            self._encode_new([names[i] for i in new.tolist()])
-            place[new] = np.fromiter((self.at[names[i]] for i in new.tolist()), np.int64, len(new))
+            names = [names[i] for i in new.tolist()]
+            self._encode_new(names)
+            place[new] = np.fromiter(map(self.at.__getitem__, names), np.int64, len(new))
+        self.slices[place] += 1
         place = place[coded.indices.to_numpy()]
         size = self.size[place]
         ends = np.cumsum(size)
@@ -114,6 +136,23 @@ class WordEncoder:
         return self.pool[shift], np.diff(bounds)
 
 
+_KEPT: dict[str, WordEncoder] = {}
+
+
+@contextmanager
+def kept_encoder(path: str):
+    """The Python worker's encoder for this file; it stays when the partition ends."""
+    if path not in _KEPT:
+        _KEPT[path] = WordEncoder(path, keep=KEPT)
+    try:
+        yield _KEPT[path]
+    except BaseException:
+        _KEPT.pop(path, None)  # a table may be half filled
+        raise
+    finally:
+        release()
+
+
 class Library:
     """The tokenizer alone."""
 

@@ -28,6 +28,7 @@ import numpy as np
 
 LANE = 256
 LANES = 4096
+_LANE_BITS = LANES.bit_length() - 1
 BLOCK = LANE * LANES
 RENEW = 8
 MAGIC = b"IDB1"
@@ -90,9 +91,9 @@ class _Model:
         for g, k in ((np.where(swap, q, p), np.where(swap, n, m)), (np.where(swap, p, q), np.where(swap, m, n))):
             last = self.cum.take(g + 1)
             v = np.where(v >= last, np.maximum(v - k, last - 1), v)
-        order = np.argsort(v)
-        out = np.empty_like(order)
-        out[order] = np.searchsorted(self.cum, v[order], side="right") - 1
+        v = np.sort(v << _LANE_BITS | np.arange(len(v)))  # with their lanes, several times faster than an argsort
+        out = np.empty_like(v)
+        out[v & (LANES - 1)] = np.searchsorted(self.cum, v >> _LANE_BITS, side="right") - 1
         return out
 
     def learn(self, x: np.ndarray) -> None:

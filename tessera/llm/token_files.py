@@ -13,7 +13,8 @@ Reading parses each file by frame lengths, decodes block by block, and takes
 the files' positions in the corpus from the sums of their ids: a table with a
 row per file.
 
-Memory: a task holds one slice of texts, the ids of the block being filled and
+Memory: a Python worker keeps one table of words for all its tasks (bounded, see
+``bpe_words``); a task holds one slice of texts, the ids of the block being filled and
 one file's bytes on reading (a range partition's ids, about one byte each).
 
 Defined cases: a null text is empty and has the end id only; rows with the same
@@ -104,7 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def encode(batches):
         filler = _Filler(block)
-        with bpe_words.encoder(tokenizer) as enc:
+        with bpe_words.kept_encoder(tokenizer) as enc:
             for b in text_slices(batches):
                 ids, counts = enc.texts(b.column(1))
                 ends = np.cumsum(counts)

@@ -70,6 +70,25 @@ def test_word_encoder_resets():
         assert ids.tolist() == want * 2 and counts.tolist() == [len(want)] * 2
 
 
+def test_word_table_is_kept():
+    """A full table keeps the words of several slices of texts, and later tasks find it."""
+    tok = library()
+    with pytest.raises(ValueError), bpe_words.kept_encoder(PATH) as broken:
+        raise ValueError
+    with bpe_words.kept_encoder(PATH) as enc:
+        assert enc is not broken
+        enc.keep = 40
+        for k in range(9):
+            text = " ".join(["often", "heard,", "Words", "ünd", "日本"] + [f"w{k}x{i}" for i in range(30)])
+            ids, counts = enc.texts(pa.array([text]))
+            assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+            assert k < 2 or "often" in enc.at and "w0x1" not in enc.at
+            assert len(enc.at) <= 80
+    with bpe_words.kept_encoder(PATH) as again:
+        assert again is enc and "often" in again.at
+    bpe_words._KEPT.clear()
+
+
 @pytest.mark.parametrize("block", [64, id_coder.BLOCK])
 def test_token_files(spark, corpus, block):
     rows = [r for r in corpus if r[0] != 96] + [(500 + k, t) for k, t in enumerate(hard_texts())]
