@@ -91,7 +91,7 @@ class WordEncoder:
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
 
     def _encode_new(self, words: list[str]) -> None:
-        col = pa.array(words)
+        col = pa.array(words, pa.string())
         rule = pc.and_(pc.match_substring_regex(col, _PLAIN), pc.and_not(pc.less(pc.utf8_length(col), 200), pc.match_substring(col, "<|")))
         plain = strings(col.filter(rule))
         other = strings(col.filter(pc.invert(rule)))
