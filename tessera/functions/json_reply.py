@@ -90,8 +90,15 @@ def has_non_string_value(col) -> Column:
     something other than a quote. Only meaningful for readable objects. (With
     a duplicated key it looks at every occurrence, not only the last.)
     """
-    blanked = F.regexp_replace(reply_object(col), _JSON_STRING, '""')
-    return blanked.rlike(r':\s*+[^"\s]')
+    return _non_string_value(_blanked(reply_object(col)))
+
+
+def _blanked(obj) -> Column:
+    return F.regexp_replace(_c(obj), _JSON_STRING, '""')
+
+
+def _non_string_value(blanked) -> Column:
+    return _c(blanked).rlike(r':\s*+[^"\s]')
 
 
 def has_trailing_text(col) -> Column:
@@ -104,7 +111,11 @@ def has_trailing_text(col) -> Column:
     that comes when the depth is back at zero is trailing text. Objects without
     inner brackets (nearly all) are judged by one pattern.
     """
-    blanked = F.regexp_replace(reply_object(col), _JSON_STRING, '""')
+    return _trailing_text(_blanked(reply_object(col)))
+
+
+def _trailing_text(blanked) -> Column:
+    blanked = _c(blanked)
     flat = blanked.rlike(r"^\{[^{}\[\]]*+\}$")
     marks = F.split(F.regexp_replace(F.regexp_replace(blanked, r"\s++", ""), r"[^{}\[\]]++", "x"), "")
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("begun"), F.lit(False).alias("after"))
@@ -133,16 +144,19 @@ def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply
     values as variants for per-key checks, only for objects that have a
     non-string value (null otherwise).
     """
-    j = F.concat(F.lit("["), reply_object(content), F.lit("]"))
+    obj, blank = f"_obj_{out}", f"_blank_{out}"  # the object is cut out and blanked once
+    df = df.withColumn(obj, reply_object(content))
+    df = df.withColumn(blank, _blanked(obj))
+    j = F.concat(F.lit("["), F.col(obj), F.lit("]"))
     arr = F.from_json(j, "array<map<string,string>>", _STRICT)
     tmp = f"_raw_{out}"
     df = df.withColumn(tmp + "a", arr)
     df = df.withColumn(
-        tmp, F.when((F.size(tmp + "a") == 1) & ~has_trailing_text(content), F.get(F.col(tmp + "a"), 0))
+        tmp, F.when((F.size(tmp + "a") == 1) & ~_trailing_text(blank), F.get(F.col(tmp + "a"), 0))
     )
     df = _dedup_last(df, tmp, out).drop(tmp, tmp + "a")
     flag = non_string or f"_ns_{out}"
-    df = df.withColumn(flag, F.when(F.col(out).isNotNull(), has_non_string_value(content)))
+    df = df.withColumn(flag, F.when(F.col(out).isNotNull(), _non_string_value(blank)))
     if variants:
         va = F.from_json(j, "array<map<string,variant>>", _STRICT)
         vt = f"_rawv_{out}"
@@ -150,7 +164,14 @@ def with_parsed_reply(df: DataFrame, content: str = "content", out: str = "reply
         df = _dedup_last(df, vt, variants).drop(vt)
     if not non_string:
         df = df.drop(flag)
-    return df
+    return df.drop(obj, blank)
+
+
+def numbered_keys(m) -> Column:
+    """True for a map whose keys are 0, 1, 2, ... in that order: its values are in integer key
+    order as they are. (As many keys as numbers, so none of them holds a comma.)"""
+    n = F.size(_c(m))
+    return F.coalesce((n > 0) & (F.array_join(F.map_keys(_c(m)), ",") == F.array_join(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1).cast("array<string>"), ",")), F.lit(False))
 
 
 def int_key_order(m) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.options import COMPACT_CHARS, IGNORABLE_CHARS, TOKEN_PATTERN
 
 
+_COMPACT = "[" + "".join("\\u%04x" % ord(ch) for ch in COMPACT_CHARS) + "]+"
+_SIGMA = "\u03a3"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -29,8 +33,23 @@ def token_count(col) -> Column:
 
 
 def compact_text(col) -> Column:
-    """G1: drop spaces, newlines, tabs, commas (both widths) and dots; lower-case."""
-    return F.lower(F.translate(_c(col), COMPACT_CHARS, ""))
+    """G1: drop spaces, newlines, tabs, commas (both widths) and dots; lower-case.
+
+    One pattern instead of ``translate``, which looks every character up as a string of its own."""
+    return F.lower(F.regexp_replace(_c(col), _COMPACT, ""))
+
+
+def same_compact(left, right) -> Column:
+    """``compact_text(left) == compact_text(right)``. Equal texts are compact alike; of others
+    the beginnings are compared first: what they have left has to agree as far as the shorter
+    goes. The last character left and texts with a capital sigma, whose lower case depends on
+    what follows, are for the whole comparison."""
+    a, b = _c(left), _c(right)
+    heads = [F.translate(F.substring(c, 1, 16), COMPACT_CHARS, "") for c in (a, b)]
+    n = F.least(*[F.length(h) for h in heads]) - 1
+    x, y = (F.lower(F.substring(h, F.lit(1), n)) for h in heads)
+    unlike = (n > 0) & (x != y) & ~F.contains(a, F.lit(_SIGMA)) & ~F.contains(b, F.lit(_SIGMA))
+    return F.when(a == b, F.lit(True)).when(unlike, F.lit(False)).otherwise(compact_text(a) == compact_text(b))
 
 
 def html_escape(col) -> Column:

@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.json_reply import computed_once, int_key_order, with_parsed_reply
+from tessera.functions.json_reply import computed_once, int_key_order, numbered_keys, with_parsed_reply
 from tessera.functions.similarity import with_match_score
-from tessera.functions.text import compact_text
+from tessera.functions.text import same_compact
 from tessera.operators.calls import Backend, call_model
 from tessera.operators.requests import fit_requests
 from tessera.options import Options
@@ -33,7 +33,7 @@ CANDIDATE_COLS = [*ROUND_COLS, "n_shreds", "shreds"]
 
 def route_groups(matched: DataFrame) -> DataFrame:
     """``route`` is ``unchanged``, ``single`` or ``multi`` for groups with a translation."""
-    unchanged = compact_text("src_text") == compact_text("trans_text")
+    unchanged = same_compact("src_text", "trans_text")
     return matched.withColumn(
         "route",
         F.when(F.col("trans_text").isNull(), F.lit(None))
@@ -60,9 +60,10 @@ def validate_fit(replies: DataFrame) -> DataFrame:
     r = r.withColumn("bad_values", F.coalesce(F.col("bad_values"), F.lit(False)))
     readable = F.col("error").isNull() & F.col("pieces").isNotNull() & (F.size("pieces") > 0)
     count_ok = F.size("pieces") == F.col("n_shreds")
-    r = r.withColumn("_ordered", int_key_order("pieces"))
+    r = r.withColumn("_numbered", numbered_keys("pieces"))
+    r = r.withColumn("_ordered", F.when(~F.col("_numbered"), int_key_order("pieces")))  # the sort is for the others
     ordered = F.col("_ordered")
-    keys_ok = ~F.exists(ordered, lambda e: e["k"].isNull())
+    keys_ok = F.col("_numbered") | ~F.exists(ordered, lambda e: e["k"].isNull())
     r = r.withColumn(
         "_state",
         F.when(~readable, F.lit("invalid"))
@@ -70,8 +71,9 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         .when(~keys_ok | F.col("bad_values"), F.lit("raised"))
         .otherwise(F.lit("scored")),
     )
-    r = computed_once(r, "pieces", "bad_values", "_ordered", "_state")
-    r = r.withColumn("fitted", F.when(F.col("_state") == "scored", F.array_join(F.transform(ordered, lambda e: e["value"]), "")))
+    r = computed_once(r, "pieces", "bad_values", "_numbered", "_ordered", "_state")
+    joined = F.when(F.col("_numbered"), F.array_join(F.map_values("pieces"), "")).otherwise(F.array_join(F.transform(ordered, lambda e: e["value"]), ""))
+    r = r.withColumn("fitted", F.when(F.col("_state") == "scored", joined))
     r = with_match_score(r, "trans_text", "fitted", "_score")
     out = r.withColumn(
         "score",
@@ -88,7 +90,7 @@ def validate_fit(replies: DataFrame) -> DataFrame:
         .otherwise(F.lit(""))
     )
     return out.withColumn("candidate", F.col("_state").isin("count", "scored")).withColumn("reason", reason).drop(
-        "_state", "_ordered"
+        "_state", "_numbered", "_ordered"
     )
 
 
@@ -150,9 +152,10 @@ def grade_best(best: DataFrame) -> DataFrame:
     ``0..n_shreds-1``, or a piece that is not a string, makes the group an
     error and leaves its text untouched.
     """
-    best = best.withColumn("_ordered", int_key_order("pieces"))
     n = F.col("n_shreds")
-    bad_key = F.exists("_ordered", lambda e: e["k"].isNull() | (e["k"] < 0) | (e["k"] >= n))
+    fine = numbered_keys("pieces") & (F.size("pieces") <= n)
+    best = best.withColumn("_ordered", F.when(~F.coalesce(fine, F.lit(False)), int_key_order("pieces")))
+    bad_key = F.coalesce(F.exists("_ordered", lambda e: e["k"].isNull() | (e["k"] < 0) | (e["k"] >= n)), F.lit(False))
     status = (
         F.when(bad_key | F.col("bad_values"), F.lit("E"))
         .when(F.col("score") >= 1.0, F.lit("S"))

@@ -90,18 +90,20 @@ def groups_from_shreds(sh: DataFrame) -> DataFrame:
     )
 
 
-def marked_groups(marks) -> list[list[tuple]]:
-    """The groups of one page, each a list of ``(shred_no, frag_no, text)``: marks of the
-    same block with the same number of splits before them."""
-    splits, groups, shred_no, block, group = {}, {}, 0, None, None
+def marked_groups(marks) -> list[tuple[list, list, list]]:
+    """The groups of one page, each the lists of its ``shred_no``, ``frag_no`` and ``text``:
+    marks of the same block with the same number of splits before them."""
+    splits, groups, shred_no, block = {}, {}, 0, None
     for frag_no, owner, text in marks:
         if text is None:
             splits[owner] = splits.get(owner, 0) + 1
             block = None
             continue
         if owner != block:  # else it goes on in the group of the mark before
-            block, group = owner, groups.setdefault((owner, splits.get(owner, 0)), [])
-        group.append((shred_no, frag_no, text.replace("\n", "") if "\n" in text else text))
+            block, (numbers, frags, texts) = owner, groups.setdefault((owner, splits.get(owner, 0)), ([], [], []))
+        numbers.append(shred_no)
+        frags.append(frag_no)
+        texts.append(text.replace("\n", "") if "\n" in text else text)
         shred_no += 1
     return list(groups.values())
 
@@ -124,12 +126,12 @@ def _group_batches(batches, max_shreds: int = 65536):
 
     def take():
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*shreds), (pa.int32(), pa.int32(), pa.string()))], ["shred_no", "frag_no", "text"])
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(shreds, (pa.int32(), pa.int32(), pa.string()))], ["shred_no", "frag_no", "text"])
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, flat)],
             ["page_id", "group_no", "text", "n_shreds", "shreds"])
 
-    ids, numbers, texts, sizes, shreds = [], [], [], [], []
+    ids, numbers, texts, sizes, shreds = [], [], [], [], ([], [], [])
     pages = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
     for page_id, same in groupby(pages, key=lambda row: row[0]):
         marks = [_marks_or_none(html, known) for _, html, known in same]
@@ -137,12 +139,13 @@ def _group_batches(batches, max_shreds: int = 65536):
         for group_no, group in enumerate(marked_groups(marks)):
             ids.append(page_id)
             numbers.append(group_no)
-            texts.append("".join([s[2] for s in group]))
-            sizes.append(len(group))
-            shreds.extend(group)
-            if len(shreds) >= max_shreds:
+            texts.append("".join(group[2]))
+            sizes.append(len(group[2]))
+            for c, values in zip(shreds, group):
+                c.extend(values)
+            if len(shreds[0]) >= max_shreds:
                 yield take()
-                for c in (ids, numbers, texts, sizes, shreds):
+                for c in (ids, numbers, texts, sizes, *shreds):
                     c.clear()
     if ids:
         yield take()

@@ -46,15 +46,12 @@ FIT_SYSTEM_MSG = (
 
 def fit_user_msg(trans: Column, ori: Column, shreds_json: Column) -> Column:
     """Translation, original text and the shreds JSON; no character may be dropped."""
-    return F.format_string(
-        'Translation:\n"""\n%s\n"""\nOriginal text:\n"""\n%s\n"""\n'
-        'The original text is split into these pieces:\nJSON: """\n%s\n"""\n'
-        "Split the translation the same way, one part per key, and drop no character "
-        "of the translation.",
-        trans,
-        ori,
-        shreds_json,
+    parts = (
+        F.lit('Translation:\n"""\n'), trans, F.lit('\n"""\nOriginal text:\n"""\n'), ori,
+        F.lit('\n"""\nThe original text is split into these pieces:\nJSON: """\n'), shreds_json,
+        F.lit('\n"""\nSplit the translation the same way, one part per key, and drop no character of the translation.'),
     )
+    return F.concat(*[F.coalesce(p, F.lit("null")) for p in parts])
 
 
 def keyed_json(items: Column, key: str, value: str) -> Column:
@@ -68,8 +65,8 @@ def keyed_json(items: Column, key: str, value: str) -> Column:
 
 def shreds_json(shreds: Column) -> Column:
     """Shred texts of a group keyed "0".."n-1" by position."""
-    indexed = F.transform(shreds, lambda s, i: F.struct(i.alias("k"), s["text"].alias("v")))
-    return keyed_json(indexed, "k", "v")
+    entries = F.transform(shreds, lambda s, i: F.struct(i.cast("string").alias("key"), s["text"].alias("value")))
+    return F.to_json(F.map_from_entries(entries))
 
 
 def build_messages(system: Column, history: Column, user: Column, to_continue: Column | bool = False) -> Column:

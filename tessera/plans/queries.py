@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.json_reply import with_parsed_reply
 from tessera.functions.similarity import with_match_score
-from tessera.functions.text import compact_text, rot13, token_count
+from tessera.functions.text import compact_text, token_count
 from tessera.operators.calls import assemble_chunks, backoff_schedule, call_model, continued_backend, python_backend, rate_check, replay_backend, shared_backend, truncated
 from tessera.operators.live import call_log, reply_pieces
 from tessera.operators.fit import best_candidate, grade_best, route_groups, validate_fit
@@ -153,7 +153,7 @@ def _markup_translated(spark, sf):
     """Markup groups with the clean translation (letter rotation) attached."""
     g = page_groups(syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark))))
     return g.select(
-        "page_id", "group_no", "n_shreds", "shreds", F.col("text").alias("src_text"), rot13("text").alias("trans_text")
+        "page_id", "group_no", "n_shreds", "shreds", F.col("text").alias("src_text"), syn.rotated("text").alias("trans_text")
     )
 
 

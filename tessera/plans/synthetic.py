@@ -10,41 +10,47 @@ schedule, so that every outcome class occurs.
 
 from __future__ import annotations
 
+import json
+import re
+from string import ascii_lowercase, ascii_uppercase
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import html_escape, rot13
+from tessera.functions.text import rot13
 
 # --------------------------------------------------------------------------
 # markup: pages with multi-shred groups, from documents
 # --------------------------------------------------------------------------
-def _word_html(w: Column, j: Column) -> Column:
-    """Every other word in ``em``, ``code`` or ``a`` in turn; ``w`` is escaped already."""
-    kind = F.pmod(F.shiftright(j, 1), F.lit(3))
-    opened = F.get(F.array(F.lit("<em>"), F.lit("<code>"), F.lit('<a href="#">')), kind)
-    closed = F.get(F.array(F.lit("</em>"), F.lit("</code>"), F.lit("</a>")), kind)
-    return F.when(F.pmod(j, F.lit(2)) == 1, F.concat(opened, w, closed)).otherwise(w)
+_TAGS = (("<em>", "</em>"), ("<code>", "</code>"), ('<a href="#">', "</a>"))
+_SPACES = re.compile("[ \t\r\f\x0b]+")
+
+
+def _paragraph_html(line: str) -> str:
+    """Every other word in ``em``, ``code`` or ``a`` in turn."""
+    words = line.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").split(" ")
+    for k, (opened, closed) in enumerate(_TAGS):
+        words[2 * k + 1 :: 6] = [opened + w + closed for w in words[2 * k + 1 :: 6]]
+    return f"<p>{' '.join(words)}</p>"
 
 
-def paragraphs(text: Column) -> Column:
-    """Lines of a document with runs of spaces made single; empty lines dropped."""
-    lines = F.transform(F.split(text, "\n"), lambda l: F.trim(F.regexp_replace(l, "[ \\t\\r\\f\\x0B]+", " ")))
-    return F.filter(lines, lambda l: l != "")
+def _document_html(text: str) -> str:
+    """One ``<p>`` per line with runs of spaces made single; empty lines dropped."""
+    lines = (_SPACES.sub(" ", line).strip(" ") for line in text.split("\n"))
+    return f"<!DOCTYPE html><html><body>{''.join([_paragraph_html(line) for line in lines if line])}</body></html>"
 
 
 def markup_pages(documents: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` from ``documents``: one ``<p>`` per line,
     every other word wrapped in ``em``, ``code`` or ``a`` in turn. Row-local."""
 
-    def para_html(line):
-        words = F.split(html_escape(line), " ")
-        return F.concat(F.lit("<p>"), F.array_join(F.transform(words, _word_html), " "), F.lit("</p>"))
-
-    body = F.array_join(F.transform(paragraphs(F.col("text")), para_html), "")
     return documents.select(
         F.col("doc_id").alias("page_id"),
         F.format_string("docs/%s/%d.html", F.col("source"), F.col("doc_id")).alias("url"),
-        F.concat(F.lit("<!DOCTYPE html><html><body>"), body, F.lit("</body></html>")).alias("html"),
+        _documents_html(F.col("text")).alias("html"),
     )
 
 
@@ -56,17 +62,117 @@ def _user_text(messages: Column) -> Column:
     return F.element_at(users, -1)["content"]
 
 
-def _rotated_object(j: Column) -> Column:
-    m = F.from_json(j, "map<string,string>")
-    return F.to_json(F.transform_values(m, lambda k, v: rot13(v)))
+_ROTATED = bytes.maketrans((ascii_lowercase + ascii_uppercase).encode(), "".join(x[13:] + x[:13] for x in (ascii_lowercase, ascii_uppercase)).encode())
+_FIT_JSON = re.compile(r'JSON: """\n(\{.*\})\n"""', re.S)
+
+
+@F.arrow_udf(T.StringType())
+def _rotated_texts(texts: pa.Array) -> pa.Array:
+    there, ends, data = texts.buffers()
+    if data is None:
+        return texts
+    turned = np.frombuffer(_ROTATED, np.uint8)[np.frombuffer(data, np.uint8)]  # no byte of a longer character is a letter
+    return pa.Array.from_buffers(texts.type, len(texts), [there, ends, pa.py_buffer(turned)], offset=texts.offset)
+
+
+def rotated(text: Column | str) -> Column:
+    """``rot13`` of a whole column, which looks no character up (not for use inside a lambda)."""
+    return _rotated_texts(F.col(text) if isinstance(text, str) else text)
+
+
+def _object(text: str | None) -> dict | None:
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _dumped(pieces: dict) -> str:
+    return json.dumps(pieces, ensure_ascii=False, separators=(",", ":"))
+
+
+def _rotated_values(pieces: dict[str, str]) -> dict[str, str]:
+    turned = "\0".join(pieces.values()).encode().translate(_ROTATED).decode().split("\0")
+    if len(turned) != len(pieces):  # a text with that character
+        turned = [v.encode().translate(_ROTATED).decode() for v in pieces.values()]
+    return dict(zip(pieces, turned))
+
+
+def _answers(answer, *columns: pa.Array) -> pa.Array:
+    """``answer`` to each row whose first column, the last user turn, is there."""
+    return pa.array([None if row[0] is None else answer(*row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())
+
+
+def _rotated_payload(user: str) -> str | None:
+    pieces = _object(user[user.find("{"):user.rfind("}") + 1]) if "{" in user else None
+    return None if pieces is None else _dumped(_rotated_values(pieces))
+
+
+@F.arrow_udf(T.StringType())
+def _documents_html(texts: pa.Array) -> pa.Array:
+    return _answers(_document_html, texts)
+
+
+@F.arrow_udf(T.StringType())
+def _translations(users: pa.Array) -> pa.Array:
+    return _answers(_rotated_payload, users)
 
 
 def _translate_content(requests: DataFrame) -> Column:
-    return _rotated_object(F.regexp_extract(_user_text(F.col("messages")), r"(?s)\{.*\}", 0))
+    return _translations(_user_text(F.col("messages")))
+
+
+def _fit_pieces(user: str) -> dict | None:
+    found = _FIT_JSON.search(user)
+    return _object(found[1]) if found else None
+
+
+def _perfect_fit(user: str) -> str | None:
+    pieces = _fit_pieces(user)
+    return None if pieces is None else _dumped(_rotated_values(pieces))
+
 
+@F.arrow_udf(T.StringType())
+def _perfect_fits(users: pa.Array) -> pa.Array:
+    return _answers(_perfect_fit, users)
 
-def _fit_pieces(requests: DataFrame) -> Column:
-    return F.regexp_extract(_user_text(F.col("messages")), r'(?s)JSON: """\n(\{.*\})\n"""', 1)
+
+def _faulty_fit(user: str, page_id: int | None, group_no: int, attempt: int, trans_text: str | None) -> str | None:
+    cls = 8 if page_id is None else (page_id + 3 * group_no) % 8
+    if cls == 4 and attempt == 0:
+        return "I am not sure."
+    if cls == 6 or cls == 4 and attempt == 1:
+        return _dumped({"0": trans_text})
+    if cls >= 7 and group_no % 2 and attempt % 2 == 0:
+        return "{}"
+    pieces = _fit_pieces(user)
+    if pieces is None:
+        return None
+    if cls >= 7 and group_no % 2:
+        return _dumped({k: len(v) for k, v in pieces.items()})
+    turned = _rotated_values(pieces)
+    if cls >= 7:
+        return _dumped({str(int(k) + 1): v for k, v in turned.items()})
+    perfect = _dumped(turned)
+    return f"Result:\n{perfect[:-1]},}}\nThanks." if cls == 5 else perfect
+
+
+@F.arrow_udf(T.StringType())
+def _faulty_fits(users: pa.Array, page_ids: pa.Array, group_nos: pa.Array, attempts: pa.Array, trans_texts: pa.Array) -> pa.Array:
+    return _answers(_faulty_fit, users, page_ids, group_nos, attempts, trans_texts)
+
+
+def _extended_fit(user: str, page_id: int | None, group_no: int) -> str | None:
+    perfect = _perfect_fit(user)
+    if perfect is None or page_id is None:
+        return None
+    return perfect.removesuffix('"}') + "\u2603" * ((page_id + group_no) % 4) + '"}'
+
+
+@F.arrow_udf(T.StringType())
+def _extended_fits(users: pa.Array, page_ids: pa.Array, group_nos: pa.Array) -> pa.Array:
+    return _answers(_extended_fit, users, page_ids, group_nos)
 
 
 def _reply(df: DataFrame, content: Column, finish: Column | None = None) -> DataFrame:
@@ -91,7 +197,8 @@ def faulty_translate_backend(requests: DataFrame) -> DataFrame:
     6: finish reason ``length`` (text complete); 7: no JSON at all (the
     segment is unreadable); other classes: clean.
     """
-    clean = _translate_content(requests)
+    r = requests.withColumn("_clean", _translate_content(requests))
+    clean = F.col("_clean")
     cls = F.pmod(F.col("page_id"), F.lit(8))
     content = (
         F.when(cls == 5, F.concat(F.lit("Here you go:\n"), F.regexp_replace(clean, r"\}$", ",}"), F.lit("\nDone.")))
@@ -99,12 +206,12 @@ def faulty_translate_backend(requests: DataFrame) -> DataFrame:
         .otherwise(clean)
     )
     finish = F.when(cls == 6, F.lit("length")).otherwise(F.lit("stop"))
-    return _reply(requests, content, finish)
+    return _reply(r, content, finish).drop("_clean")
 
 
 def rot13_fit_backend(requests: DataFrame) -> DataFrame:
     """Clean fit model: every piece letter-rotated (a perfect fit)."""
-    return _reply(requests, _rotated_object(_fit_pieces(requests)))
+    return _reply(requests, _perfect_fits(_user_text(F.col("messages"))))
 
 
 def faulty_fit_backend(requests: DataFrame) -> DataFrame:
@@ -116,31 +223,13 @@ def faulty_fit_backend(requests: DataFrame) -> DataFrame:
     even group: keys shifted by one (count right, keys out of range); 7 with
     an odd group: ``{}`` and non-string pieces in turn (never a candidate).
     """
-    r = requests.withColumn("_pieces", F.from_json(_fit_pieces(requests), "map<string,string>"))
-    r = r.withColumn("_rot", F.transform_values("_pieces", lambda k, v: rot13(v)))
-    perfect = F.to_json("_rot")
-    whole = F.to_json(F.create_map(F.lit("0"), F.col("trans_text")))
-    shifted = F.to_json(F.transform_keys("_rot", lambda k, v: (k.cast("int") + 1).cast("string")))
-    numeric = F.to_json(F.transform_values("_pieces", lambda k, v: F.length(v)))
-    cls = F.pmod(F.col("page_id") + 3 * F.col("group_no"), F.lit(8))
-    a = F.col("attempt")
-    content = (
-        F.when(cls <= 3, perfect)
-        .when(cls == 4, F.when(a == 0, F.lit("I am not sure.")).when(a == 1, whole).otherwise(perfect))
-        .when(cls == 5, F.concat(F.lit("Result:\n"), F.regexp_replace(perfect, r"\}$", ",}"), F.lit("\nThanks.")))
-        .when(cls == 6, whole)
-        .when(F.pmod(F.col("group_no"), F.lit(2)) == 0, shifted)
-        .otherwise(F.when(F.pmod(a, F.lit(2)) == 0, F.lit("{}")).otherwise(numeric))
-    )
-    return _reply(r, content).drop("_pieces", "_rot")
+    return _reply(requests, _faulty_fits(_user_text(F.col("messages")), F.col("page_id"), F.col("group_no"), F.col("attempt"), F.col("trans_text")))
 
 
 def extended_fit_backend(requests: DataFrame) -> DataFrame:
     """Fit model that adds ``(page_id + group_no) % 4`` snowmen to the last piece of a
     perfect fit: partial scores between 0 and 1."""
-    more = F.repeat(F.lit("\u2603"), F.pmod(F.col("page_id") + F.col("group_no"), F.lit(4)).cast("int"))
-    perfect = _rotated_object(_fit_pieces(requests))
-    return _reply(requests, F.concat(F.regexp_replace(perfect, r'"\}$', ""), more, F.lit('"}')))
+    return _reply(requests, _extended_fits(_user_text(F.col("messages")), F.col("page_id"), F.col("group_no")))
 
 
 def keyless_translate_backend(requests: DataFrame) -> DataFrame:
