@@ -139,7 +139,12 @@ def _blocks(a, b, alo, ahi, blo, bhi, i, j, n, of) -> np.ndarray:
 
 
 def ratios(first: list[str], second: list[str]) -> np.ndarray:
-    """2*M/T of every pair; 1.0 for two empty texts."""
+    """2*M/T of every pair; 1.0 for two empty texts.
+
+    If one text of a pair begins with the other one, M is the shorter's length: every run of
+    other places has one at least as long, and begun no later, on the diagonal from the two
+    beginnings, so the first block is taken there and grows over the whole shorter text.
+    """
     both = np.fromiter(map(len, first), np.int64, len(first)) + np.fromiter(map(len, second), np.int64, len(second))
     return np.where(both > 0, 2.0 * matched(first, second) / np.maximum(both, 1), 1.0)
 
@@ -163,15 +168,18 @@ def with_match_score(df: DataFrame, left: str, right: str, out: str = "score") -
     One pass: the Python matcher receives the compacted pair only for rows
     whose texts differ and nulls otherwise (Arrow sends just the argument
     columns, so equal rows cost almost nothing there); equal pairs score 1.0
-    natively. Rows with a null side get a null score.
+    natively. Where one text begins with the whole other one, that is the first block, and
+    nothing is left to match (see ``ratios``), so these pairs are scored natively as well.
+    Rows with a null side get a null score.
     """
-    a, b = "_ms_a", "_ms_b"
-    d = df.withColumn(a, compact_text(left)).withColumn(b, compact_text(right))
-    needs = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    a, b, native = "_ms_a", "_ms_b", "_ms_n"
+    there = F.col(left).isNotNull() & F.col(right).isNotNull()
+    unlike = there & (F.col(left) != F.col(right))
+    d = df.withColumn(a, F.when(unlike, compact_text(left))).withColumn(b, F.when(unlike, compact_text(right)))
+    la, lb = F.length(a), F.length(b)
+    begins = F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a))
+    known = F.when(there & F.col(a).isNull(), F.lit(1.0)).when(F.col(a) == F.col(b), F.lit(1.0)).when(begins, F.lit(2.0) * F.least(la, lb) / (la + lb))
+    d = d.withColumn(native, known)
+    needs = F.col(a).isNotNull() & F.col(native).isNull()
     d = d.withColumn("_ms_r", _ratio_udf(F.when(needs, F.col(a)), F.when(needs, F.col(b))))
-    score = (
-        F.when(F.col(a).isNull() | F.col(b).isNull(), F.lit(None).cast("double"))
-        .when(F.col(a) == F.col(b), F.lit(1.0))
-        .otherwise(F.col("_ms_r"))
-    )
-    return d.withColumn(out, score).drop(a, b, "_ms_r")
+    return d.withColumn(out, F.when(there, F.coalesce(F.col(native), F.col("_ms_r")))).drop(a, b, native, "_ms_r")
