@@ -44,18 +44,19 @@ Backend = Callable[[DataFrame], DataFrame]
 
 
 def call_model(
-    requests: DataFrame, backend: Backend, work: WorkArea, name: str, keep: set[str] | None = None
+    requests: DataFrame, backend: Backend, work: WorkArea, name: str, keep: set[str] | None = None, by: str | None = None, schema: str | None = None
 ) -> DataFrame:
     """Run the backend over all request rows and store the result.
 
     The prompt messages are dropped before storing (they are rebuilt from
     the request columns when needed); the reply is kept with its request key.
-    ``keep`` (optional) names the only columns to store.
+    ``keep`` (optional) names the only columns to store, ``by`` one that is stored in folders
+    (``schema``: what is read from those).
     """
     if work.resume and work.done(name):
-        return work.read(name)  # stored replies of an earlier attempt of this run
+        return work.read(name, schema)  # stored replies of an earlier attempt of this run
     out = run_backend(backend, requests, work, name)
-    return work.write(out.select(*[c for c in out.columns if (c in keep if keep else c != "messages")]), name)
+    return work.write(out.select(*[c for c in out.columns if (c in keep if keep else c != "messages")]), name, by=by)
 
 
 def run_backend(backend: Backend, requests: DataFrame, work: WorkArea, name: str) -> DataFrame:

@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import drop_newlines, is_ignorable, token_count
-from tessera.operators.tokenize import TEXT_KINDS, page_marks
+from tessera.operators.tokenize import TEXT_KINDS, try_marks
 
-GROUPS_DDL = "page_id long, group_no int, text string, n_shreds int, shreds array<struct<shred_no:int,frag_no:int,text:string>>"
+SHREDS_DDL = "array<struct<shred_no:int,frag_no:int,text:string>>"
+GROUPS_DDL = f"page_id long, group_no int, text string, n_shreds int, shreds {SHREDS_DDL}"
+PAGE_GROUPS_DDL = f"page_id long, error string, groups array<struct<group_no:int,text:string,n_shreds:int,shreds:{SHREDS_DDL}>>"
 
 
 def mark_fragments(frags: DataFrame) -> DataFrame:
@@ -110,12 +112,7 @@ def marked_groups(marks) -> list[tuple[list, list, list]]:
 
 def _marks_or_none(html: str | None, known: str | None) -> list[tuple]:
     """The marks of a page; none for a page with an error, which ``page_errors`` reports."""
-    if known or html is None:
-        return []
-    try:
-        return page_marks(html)
-    except Exception:  # noqa: BLE001 - as in tokenizing: that page's result
-        return []
+    return try_marks(html, known)[0]
 
 
 def _group_batches(batches, max_shreds: int = 65536):
@@ -151,11 +148,63 @@ def _group_batches(batches, max_shreds: int = 65536):
         yield take()
 
 
-def groups_from_pages(pages: DataFrame) -> DataFrame:
-    """B1-B11 on ``pages(page_id, html)``: the rows of ``groups_from_shreds``."""
+def _page_group_batches(batches, max_shreds: int = 65536):
+    """mapInArrow body: pages sorted by page_id in, one row per page out with its groups, and
+    one per page row that can't be read with its error."""
+    import numpy as np
+    import pyarrow as pa
+
+    def listed(sizes, values):
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+    def take():
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(shreds, (pa.int32(), pa.int32(), pa.string()))], ["shred_no", "frag_no", "text"])
+        groups = pa.StructArray.from_arrays(
+            [pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), listed(sizes, flat)], ["group_no", "text", "n_shreds", "shreds"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(errors, pa.string()), listed(counts, groups)], ["page_id", "error", "groups"])
+
+    ids, errors, counts, numbers, texts, sizes, shreds = [], [], [], [], [], [], ([], [], [])
+    pages = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    for page_id, same in groupby(pages, key=lambda row: row[0]):
+        read = [try_marks(html, known) for _, html, known in same]
+        for error in [e for _, e in read if e]:
+            ids.append(page_id)
+            errors.append(error)
+            counts.append(0)
+        found = marked_groups(read[0][0] if len(read) == 1 else merge(*[m for m, _ in read], key=lambda m: m[0]))
+        ids.append(page_id)
+        errors.append(None)
+        counts.append(len(found))
+        numbers.extend(range(len(found)))
+        for group in found:
+            texts.append("".join(group[2]))
+            sizes.append(len(group[2]))
+            for c, values in zip(shreds, group):
+                c.extend(values)
+        if len(shreds[0]) >= max_shreds or len(ids) >= max_shreds:
+            yield take()
+            for c in (ids, errors, counts, numbers, texts, sizes, *shreds):
+                c.clear()
+    if ids:
+        yield take()
+
+
+def _clustered(pages: DataFrame, already: bool = False) -> DataFrame:
     known = F.col("page_error") if "page_error" in pages.columns else F.lit(None).cast("string")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", known.alias("page_error"))
-    return p.repartition("page_id").sortWithinPartitions("page_id").mapInArrow(_group_batches, GROUPS_DDL)
+    return (p if already else p.repartition("page_id")).sortWithinPartitions("page_id")
+
+
+def groups_by_page(pages: DataFrame, clustered: bool = False) -> DataFrame:
+    """B1-B11 on ``pages(page_id, html)``, a row per page: what ``groups_from_pages`` gives as
+    rows, as an array in group order. A page row with an error has a row of its own.
+    ``clustered``: pages with one id are in one partition as they come."""
+    return _clustered(pages, clustered).mapInArrow(_page_group_batches, PAGE_GROUPS_DDL)
+
+
+def groups_from_pages(pages: DataFrame) -> DataFrame:
+    """B1-B11 on ``pages(page_id, html)``: the rows of ``groups_from_shreds``."""
+    return _clustered(pages).mapInArrow(_group_batches, GROUPS_DDL)
 
 
 def page_groups(pages: DataFrame, frags: DataFrame | None = None, counter=None) -> DataFrame:

@@ -47,7 +47,11 @@ def _per_page(groups: DataFrame, max_tokens: int, carry: list[str]) -> DataFrame
     item = F.struct(
         F.col("group_no"), F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col(c) for c in carry]
     )
-    per_page = groups.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("g"))
+    return _broken(groups.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("g")), max_tokens)
+
+
+def _broken(per_page: DataFrame, max_tokens: int) -> DataFrame:
+    """Pages with their groups ``g`` in order: those kept, and where segments start."""
     total = F.aggregate("g", F.lit(0).cast("long"), lambda acc, x: acc + x["n_tokens"])
     per_page = per_page.withColumn("total", total).filter(F.col("total") > 0)
     n_seg = F.ceil(F.col("total") / F.lit(max_tokens))
@@ -82,14 +86,37 @@ def _per_page(groups: DataFrame, max_tokens: int, carry: list[str]) -> DataFrame
     return per_page.withColumn("starts", F.aggregate("kept", init, step)["starts"])
 
 
-def _kept_rows(per_page: DataFrame, carry: list[str]) -> DataFrame:
-    """One row per kept group. The groups are cut into their segments first, so that
-    a row of a segment holds that segment only, and every group is looked at once."""
+def _segments(per_page: DataFrame) -> DataFrame:
+    """One row per segment: ``(page_id, seg_no, _segment)``."""
     def cut(start, i):
         end = F.coalesce(F.get("starts", i + 1), F.size("kept"))
         return F.slice("kept", start + 1, end - start)
 
-    segments = per_page.select("page_id", F.posexplode(F.transform("starts", cut)).alias("seg_no", "_segment"))
+    return per_page.select("page_id", F.posexplode(F.transform("starts", cut)).alias("seg_no", "_segment"))
+
+
+def page_segments(pages: DataFrame, max_tokens: int, counter) -> DataFrame:
+    """C1-C7 on a row per page (``groups_by_page``), where the groups of a page need not meet
+    any more: a row per segment, ``(page_id, seg_no, groups)``, as ``translate_requests`` takes it."""
+    item = ("group_no", "text", "n_shreds", "shreds")
+    counted = F.transform("groups", lambda g: F.struct(g["group_no"].alias("group_no"), counter(g["text"]).cast("long").alias("n_tokens"), *[g[c].alias(c) for c in item[1:]]))
+    segments = _segments(_broken(pages.select("page_id", counted.alias("g")), max_tokens)).filter(F.size("_segment") > 0)
+    keyed = F.transform("_segment", lambda g, i: F.struct(i.alias("seg_key"), *[g[c].alias(c) for c in item]))
+    return segments.select("page_id", F.col("seg_no").cast("int").alias("seg_no"), keyed.alias("groups"))
+
+
+def page_faults(pages: DataFrame, max_tokens: int, counter) -> DataFrame:
+    """I4, C5 on a row per page (``groups_by_page``): ``(page_id, error, group_no)`` of pages that
+    can't be read (``group_no`` null) and of groups above the maximum (``error`` null)."""
+    over = F.transform(F.filter("groups", lambda g: counter(g["text"]) > F.lit(max_tokens)), lambda g: g["group_no"])
+    found = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("int"))).otherwise(over)
+    return pages.select("page_id", "error", F.explode(found).alias("group_no"))
+
+
+def _kept_rows(per_page: DataFrame, carry: list[str]) -> DataFrame:
+    """One row per kept group. The groups are cut into their segments first, so that
+    a row of a segment holds that segment only, and every group is looked at once."""
+    segments = _segments(per_page)
     out = segments.select("page_id", F.col("seg_no").cast("int").alias("seg_no"), F.posexplode("_segment").alias("seg_key", "x"))
     return out.select(
         "page_id",

@@ -375,8 +375,8 @@ def q_fit_choice(spark, sf):
 
 # ---------------------------------------------------------------- H, I, J
 def _markup_run(spark, sf):
-    pages = syn.markup_pages(_t(spark, sf, "documents").repartition(_cores(spark)))
-    return translate_pages(pages, syn.faulty_translate_backend, OPTIONS, syn.faulty_fit_backend)
+    pages = syn.markup_pages(_t(spark, sf, "documents").repartition("doc_id"))  # texts are smaller than pages
+    return translate_pages(pages, syn.faulty_translate_backend, OPTIONS, syn.faulty_fit_backend, clustered=True)
 
 
 def q_rendered(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,6 +101,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+@contextmanager
+def slim_stages(spark: SparkSession):
+    """While stages are written: a stage's shuffle files go when it is stored, not when the
+    driver happens to collect its garbage, and stored tables are compressed harder."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class WorkArea:
     """Named tables written under the shared checkpoint folder.
 
@@ -131,18 +147,22 @@ class WorkArea:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
         return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def write(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+    def write(self, df: DataFrame, name: str, mode: str = "overwrite", by: str | None = None) -> DataFrame:
+        """``by`` (optional): a column of few values, each of which gets a folder of its own.
+        Such a table without rows has no file that its columns could be read from."""
         if self.resume and mode == "overwrite" and self.done(name):
             return self.read(name)
         p = self.path(name)
-        df.write.mode(mode).parquet(p)
-        return self.spark.read.parquet(p)
+        out = df.write.mode(mode)
+        (out.partitionBy(by) if by else out).parquet(p)
+        return self.read(name, df.schema if by else None)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+    def read(self, name: str, schema=None) -> DataFrame:
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path(name))
 
-    def drop(self) -> None:
-        """Delete the folder and all its tables, once nothing reads them any more."""
+    def drop(self, name: str | None = None) -> None:
+        """Delete the folder and all its tables, or one table (or folder of one), once nothing
+        reads them any more."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
+        p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

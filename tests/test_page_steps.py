@@ -160,3 +160,49 @@ def test_keys_in_order_are_not_sorted(spark):
     for r in df.select("i", "m", numbered_keys("m").alias("x"), int_key_order("m").alias("o")).collect():
         assert r.x == cases[r.i][1], r
         assert not r.x or [e.value for e in r.o] == list(r.m.values())
+
+
+def test_groups_by_page_are_the_groups_of_pages(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import token_count
+    from tessera.operators.groups import groups_by_page
+    from tessera.operators.segments import page_faults, page_segments, plan_segments, skipped_groups
+    from tessera.operators.tokenize import read_errors
+
+    rng = random.Random(7)
+    pages = [(i, _random_html(rng)) for i in range(80)] + [(7, _random_html(rng)), (9, None), (200, None), (201, "<p>a<![foo[x]]>b</p>"), (202, ""), (None, "<p>x <b>y</b></p>"), (None, "<p>z</p>")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    by_page, rows = groups_by_page(df), page_groups(df)
+    got = by_page.select("page_id", F.explode("groups").alias("g")).select("page_id", "g.*", token_count("g.text").alias("n_tokens"))
+    key = lambda r: repr(tuple(r))  # noqa: E731 - ids may be null
+    assert sorted(got.select(rows.select("page_id", "group_no", "text", "n_shreds", "shreds", "n_tokens").columns).collect(), key=key) == sorted(rows.select("page_id", "group_no", "text", "n_shreds", "shreds", "n_tokens").collect(), key=key)
+    for most in (2, 4, 1000):
+        cols = ["page_id", "seg_no", "seg_key", "group_no", "text", "n_shreds", "shreds"]
+        want = plan_segments(rows, most, carry=["text", "n_shreds", "shreds"]).filter("seg_no is not null").select(*cols)
+        seg = page_segments(by_page, most, token_count).select("page_id", "seg_no", F.explode("groups").alias("g")).select("page_id", "seg_no", "g.*").select(*cols)
+        assert sorted(seg.collect(), key=key) == sorted(want.collect(), key=key)
+        faults = page_faults(by_page, most, token_count)
+        assert sorted(faults.filter("error is not null").select("page_id", "error").collect(), key=key) == sorted(read_errors(df).collect(), key=key)
+        assert sorted(faults.filter("error is null").select("page_id", "group_no").collect(), key=key) == sorted(skipped_groups(rows, most).select("page_id", "group_no").collect(), key=key)
+
+
+def test_a_run_keeps_no_texts_and_shuffles_none_between_rounds(spark):
+    import os
+
+    from tessera.options import Options
+    from tessera.plans import synthetic as syn
+    from tessera.plans.translation import translate_pages
+
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    docs = spark.createDataFrame([(i, "w%d x y z\nsecond line of it" % i, "s") for i in range(40)], "doc_id long, text string, source string")
+    tr = translate_pages(syn.markup_pages(docs.repartition("doc_id")), syn.faulty_translate_backend, Options(), syn.faulty_fit_backend, clustered=True)
+    tables = sorted(os.listdir(tr.work.root))
+    assert not {"fit_rows", "graded"} & set(tables)  # failed before: texts were stored up to five times
+    left = [os.path.join(t, d) for t in tables for d in os.listdir(tr.work.path(t)) if d in ("unresolved=1", "whole=1")]
+    assert not left and spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    plain = translate_pages(syn.markup_pages(docs), syn.faulty_translate_backend, Options(), syn.faulty_fit_backend)
+    for name in ("outcomes", "report", "out_pages"):
+        a, b = (sorted(map(repr, getattr(x, name).collect())) for x in (tr, plain))
+        assert a == b and a
+    assert {r.content for r in tr.replies.collect()} == {r.content for r in plain.replies.collect()} and tr.replies.count() == 40
