@@ -194,8 +194,16 @@ def fit_edits(graded: DataFrame) -> DataFrame:
     return e.select("page_id", (F.col("first_frag") + F.try_element_at("frags", idx + 1)).alias("frag_no"), F.col("v").alias("new_text"))
 
 
-def chosen_edits(cands: DataFrame) -> DataFrame:
-    """The edits of the candidates of ``fit_rounds``. They meet by page, once, with
-    their pieces as text; a group's best one is found and taken apart where its page is."""
-    best = best_candidate(cands.select(*KEYS, "attempt", "score", "status", "first_frag", "frags", F.to_json("pieces").alias("pieces")).repartition("page_id"))
-    return fit_edits(best.withColumn("pieces", F.from_json("pieces", "map<string,string>")))
+def chosen_edits(cands: DataFrame, whole: DataFrame) -> DataFrame:
+    """The edits of the candidates of ``fit_rounds`` and of the groups that take their
+    translation whole, ``(page_id, group_no, frag_no, new_text)``. They meet by page, once, with
+    their pieces and numbers as text; a group's best one is found and taken apart where its
+    page is."""
+    fitted = cands.select(
+        *KEYS, "attempt", "score", "status", "first_frag", F.array_join("frags", ",").alias("frags"), F.to_json("pieces").alias("pieces"), F.lit(None).cast("string").alias("new_text"))
+    one = whole.select(
+        *KEYS, F.lit(0).alias("attempt"), F.lit(1.0).alias("score"), F.lit("S").alias("status"), F.col("frag_no").alias("first_frag"), F.lit("0").alias("frags"),
+        F.lit(None).cast("string").alias("pieces"), "new_text")
+    best = best_candidate(fitted.unionByName(one).repartition("page_id"))
+    pieces = F.coalesce(F.from_json("pieces", "map<string,string>"), F.create_map(F.lit("0"), F.col("new_text")))
+    return fit_edits(best.withColumn("pieces", pieces).withColumn("frags", F.split("frags", ",").cast("array<int>")))

@@ -196,7 +196,6 @@ def _translate(pages: DataFrame, backend: Backend, options: Options, fit_backend
     outcomes = work.write(outcomes.select(*OUTCOME_COLS), "outcomes")
 
     # H1, H2, I4
-    edits = single.select("page_id", "frag_no", "new_text").unionByName(chosen_edits(cands))
-    out_pages = render_pages(pages, edits, failed)
+    out_pages = render_pages(pages, chosen_edits(cands, single), failed)
     report = page_report(outcomes, pages, failed, seg.select("page_id", "truncated"))
     return Translation(frags, planned, replies, outcomes, failed, out_pages, report, work)

@@ -206,3 +206,18 @@ def test_a_run_keeps_no_texts_and_shuffles_none_between_rounds(spark):
         a, b = (sorted(map(repr, getattr(x, name).collect())) for x in (tr, plain))
         assert a == b and a
     assert {r.content for r in tr.replies.collect()} == {r.content for r in plain.replies.collect()} and tr.replies.count() == 40
+
+
+def test_edits_meet_by_page_once(spark):
+    from tessera.operators.fit import ROUND_DDL, chosen_edits
+    from tessera.operators.render import render_pages
+
+    cands = spark.createDataFrame([], ROUND_DDL)
+    whole = spark.createDataFrame([(1, 0, 1, "x"), (1, 1, 4, None)], "page_id long, group_no int, frag_no int, new_text string")
+    edits = chosen_edits(cands, whole)
+    assert sorted(map(tuple, edits.collect())) == [(1, 1, "x"), (1, 4, None)]
+    pages = spark.createDataFrame([(1, "<p>a</p><p>b</p>")], "page_id long, html string")
+    assert [r.html for r in render_pages(pages, edits).collect()] == ["<p>x</p><p></p>"]
+    plan = edits.groupBy("page_id").count()._jdf.queryExecution().sparkPlan().toString()
+    made = edits.groupBy("page_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in made and made.count("Exchange hashpartitioning") == 1, plan  # failed before: one by group, one by page
